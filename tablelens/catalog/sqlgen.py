@@ -23,3 +23,8 @@ def clean_sql(col: str, is_float: bool) -> str:
 def rint2(expr: str, digits: int = 2) -> str:
     scale = 10 ** digits
     return f"(round_even(({expr}) * {scale}.0, 0) / {scale}.0)"
+
+
+def D(expr: str) -> str:
+    """CAST to DOUBLE (DuckDB decimal literals would otherwise turn arithmetic DECIMAL)."""
+    return f"CAST({expr} AS DOUBLE)"
