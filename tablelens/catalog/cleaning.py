@@ -294,3 +294,26 @@ def q_dedupe_drop_all(spark, sf):
           "FROM (SELECT count(*) AS c FROM documents GROUP BY text) AS g", ["pct_removed"])
 def q_dedupe_report(spark, sf):
     return dd.dedupe_report(fx.table(spark, sf, "documents"), ["text"])
+
+
+# ------------------------------------------------------------------ D4 (KNN)
+def _knn_sql(k: int = 5) -> str:
+    cm = fx.CUSTOMER_MISSING_SQL
+    return (
+        f"WITH b AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS nk, "
+        f"CAST(c_custkey AS DOUBLE) AS ck FROM {cm} AS c), "
+        "r AS (SELECT * FROM b WHERE a IS NULL), d AS (SELECT * FROM b WHERE a IS NOT NULL), "
+        "p AS (SELECT r.id AS rid, d.id AS did, d.a AS da, sqrt(CAST(3 AS DOUBLE) / 2 * "
+        "((r.nk - d.nk) * (r.nk - d.nk) + (r.ck - d.ck) * (r.ck - d.ck))) AS dist FROM r, d), "
+        "t AS (SELECT rid, da, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS rn FROM p), "
+        f"f AS (SELECT rid, avg(da) AS fill FROM t WHERE rn <= {k} GROUP BY rid) "
+        f"SELECT c.c_custkey, coalesce(CAST(c.c_acctbal AS DOUBLE), f.fill) AS c_acctbal "
+        f"FROM {cm} AS c LEFT JOIN f ON f.rid = c.c_custkey")
+
+
+@register("impute_knn", _knn_sql(5), ["c_acctbal"])
+def q_impute_knn(spark, sf):
+    df = fx.customer_missing(spark, sf)
+    out = imp.impute(df, knn=["c_acctbal"], k=5, knn_features=["c_acctbal", "c_nationkey", "c_custkey"],
+                     knn_order=["c_custkey"])
+    return out.select("c_custkey", "c_acctbal")
