@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
-from ..plans.fit import clean_value, one_row
+from ..plans.fit import attach, clean_value, one_row
 from ..plans.ranks import quantiles_from_offsets, sorted_positions, value_offsets
 from .columns import group_label, to_numeric
 
@@ -104,12 +104,6 @@ def _keyed(df: DataFrame, var: str, by: str | None) -> tuple[DataFrame, list[str
     return df.select(F.lit(0).alias("_g"), _x(df, var).alias("_x")), ["_g"]
 
 
-def _small(frame: DataFrame, by: str | None) -> DataFrame:
-    """Ungrouped per-key frames hold exactly one row: broadcast them (proven size).
-    Grouped ones are left to AQE, which broadcasts only after measuring them."""
-    return frame if by else F.broadcast(frame)
-
-
 def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """H4/H5: n, mean, std, q1, median, q3, fences, whiskers, outlier count, notch.
 
@@ -125,13 +119,14 @@ def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     fences = quart.select(*keys, "n", "q1", "median", "q3",
                           (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
                           (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
-    joined = offsets.join(_small(fences.select(*keys, "lower_fence", "upper_fence"), by), keys, "inner")
+    joined = attach(offsets, fences.select(*keys, "lower_fence", "upper_fence"), keys, bool(by))
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     whisk = joined.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("outliers"))
-    out = fences.join(whisk, keys, "left").join(moments, keys, "left")
+    out = attach(attach(whisk, fences, keys, bool(by), "right" if by else "left"), moments, keys,
+                 bool(by), "left")
     notch = F.lit(NOTCH_FACTOR) * (F.col("q3") - F.col("q1")) / F.sqrt(F.col("n"))
     return out.select(*([by] if by else []), "n", "mean", "std", "q1", "median", "q3",
                       "lower_fence", "upper_fence", "whisker_low", "whisker_high", "outliers",
@@ -331,5 +326,5 @@ def distribution_summary(df: DataFrame, var: str, by: str | None = None) -> Data
                                      kurt.alias("kurtosis"))
     med = quantiles_from_offsets(value_offsets(src, "_x", keys), [0.5], keys).select(
         *keys, F.col("q")[0].alias("median"))
-    out = moments.join(_small(med, by), keys, "left")
+    out = attach(moments, med, keys, bool(by), "left")
     return out.select(*([by] if by else []), "n", "mean", "median", "std", "skewness", "kurtosis")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
-from ..plans.fit import clean_value
+from ..plans.fit import attach, clean_value
 from ..plans.ranks import average_ranks, sorted_positions, value_offsets
 from .columns import group_label
 
@@ -34,10 +34,6 @@ def _keyed(df: DataFrame, cols: Sequence[str], by: str | None) -> tuple[DataFram
     return src, [by] if by else ["_g"]
 
 
-def _small(frame: DataFrame, by: str | None) -> DataFrame:
-    return frame if by else F.broadcast(frame)
-
-
 def _out(frame: DataFrame, by: str | None, cols: list) -> DataFrame:
     return frame.select(*([by] if by else []), *cols)
 
@@ -63,7 +59,7 @@ def shapiro(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA
         at(F.lit(1), "value").alias("x_1"), at(F.lit(2), "value").alias("x_2"),
         at(F.col("n") - 1, "value").alias("x_n1"), at(F.col("n"), "value").alias("x_n"))
     ssq = src.groupBy(*keys).agg((F.var_pop(var) * F.count(var)).alias("ssq"))
-    joined = sums.join(_small(ssq, by), keys, "inner")
+    joined = attach(sums, ssq, keys, bool(by))
     res = joined.withColumn("_r", shapiro_udf("n", "sum_m2", "sum_mx", "m_n", "m_n1",
                                               "x_1", "x_2", "x_n1", "x_n", "ssq"))
     p = F.col("_r.p_value")
@@ -81,7 +77,7 @@ def ks_statistic(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     src, keys = _keyed(df, [var], by)
     src = src.where(F.col(var).isNotNull())
     stats = src.groupBy(*keys).agg(F.avg(var).alias("mean"), F.stddev_samp(var).alias("sd"))
-    off = value_offsets(src, var, keys).join(_small(stats, by), keys, "inner")
+    off = attach(value_offsets(src, var, keys), stats, keys, bool(by))
     cdf = norm_cdf_col((F.col("value") - F.col("mean")) / F.col("sd"))
     d = F.greatest((F.col("below") + F.col("cnt")) / F.col("n") - cdf, cdf - F.col("below") / F.col("n"))
     return off.groupBy(*keys).agg(F.max("n").alias("n"), F.max(d).alias("statistic"))
@@ -194,17 +190,18 @@ def chi2_statistic(df: DataFrame, a: str, b: str, by: str | None = None,
     cstat = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cols"),
                                     F.sum(F.lit(1.0) / F.col("c")).alias("inv_c"),
                                     F.min(F.struct("_b", "c")).alias("_fb"))
-    margins = rstat.join(cstat, keys, "inner")
-    e = F.col("r") * F.col("c") / F.col("n")
-    first = (F.col("_a") == F.col("_fa._a")) & (F.col("_b") == F.col("_fb._b"))
     cellstats = (cells.join(rows, [*keys, "_a"]).join(cols, [*keys, "_b"])
-                 .join(margins.select(*keys, "n", "_fa", "_fb"), keys)
-                 .groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / e).alias("s"),
-                                     F.coalesce(F.sum(F.when(first, F.col("o"))), F.lit(0)).alias("o11")))
-    st = margins.join(cellstats, keys, "inner")
+                 .groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s_rc"),
+                                     F.min(F.struct("_a", "_b", "o")).alias("_m")))
+    grouped = bool(by)
+    rflat = rstat.select(*keys, "n_rows", "n", "inv_r", F.col("_fa.r").alias("r1"))
+    cflat = cstat.select(*keys, "n_cols", "inv_c", F.col("_fb._b").alias("b1"), F.col("_fb.c").alias("c1"))
+    st = attach(attach(cellstats, rflat, keys, grouped), cflat, keys, grouped)
+    st = st.withColumn("o11", F.when(F.col("_m._b") == F.col("b1"), F.col("_m.o")).otherwise(F.lit(0)))
+    st = st.withColumn("s", F.col("s_rc") * F.col("n"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     plain = F.col("s") - F.col("n")
-    d = F.abs(F.col("o11") - F.col("_fa.r") * F.col("_fb.c") / F.col("n"))
+    d = F.abs(F.col("o11") - F.col("r1") * F.col("c1") / F.col("n"))
     corrected = F.pow(F.greatest(d - F.lit(0.5), F.lit(0.0)), 2) * F.col("n") * F.col("inv_r") * F.col("inv_c")
     use_yates = F.lit(bool(yates)) & (dof == 1)
     chi2 = F.when(dof == 0, F.lit(0.0)).when(use_yates, corrected).otherwise(F.greatest(plain, F.lit(0.0)))

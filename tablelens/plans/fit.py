@@ -101,3 +101,33 @@ def struct_rows(exprs: list[Column]) -> Column:
 
 def empty_like(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def typed_lit(value, dt: T.DataType) -> Column:
+    """A literal of type ``dt`` (structs and arrays built field by field)."""
+    if value is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.StructType):
+        return F.struct(*[typed_lit(value[f.name], f.dataType).alias(f.name) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return F.array(*[typed_lit(v, dt.elementType) for v in value]).cast(dt)
+    return F.lit(value).cast(dt)
+
+
+def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
+           how: str = "inner") -> DataFrame:
+    """Add per-key parameters to ``df``.
+
+    Grouped: an equi-join on the keys (AQE broadcasts small sides after
+    measuring them). Ungrouped: ``params`` holds at most one row, which is
+    collected (a bounded fit) and added as literals — no join at all.
+    """
+    if grouped:
+        return df.join(params, list(keys), how)
+    rows = collect_bounded(params, 1)
+    fields = [f for f in params.schema.fields if f.name not in keys]
+    if not rows:
+        if how == "inner":
+            return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
+        return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return df.select("*", *[typed_lit(rows[0][f.name], f.dataType).alias(f.name) for f in fields])
