@@ -78,7 +78,10 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     kcols = [f"_key{i}" for i in range(len(key))]
     base = df.select(*[F.col(c).alias(kc) for c, kc in zip(key, kcols)],
                      *[F.col(f).cast("double").alias(f) for f in feats])
+    donor_only = lambda c: F.when(F.col(target).isNotNull(), F.col(c))
     counts = one_row(base.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats],
+                              *[F.min(donor_only(f)).alias(f"_lo_{f}") for f in feats],
+                              *[F.max(donor_only(f)).alias(f"_hi_{f}") for f in feats],
                               F.count_if(F.col(target).isNotNull()).alias("_donors"),
                               F.avg(target).alias("_mean")))
     col_mean = counts["_mean"]
@@ -97,10 +100,16 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     donors = (donors.withColumn("_dup", F.row_number().over(w_dup)).where(F.col("_dup") <= k)
               .drop("_dup"))
     n_donors = counts["_donors"]
-    d = len(grid_dims)
-    cells = max(1, min(_MAX_CELLS_PER_DIM,
-                       math.ceil((n_donors / _TARGET_DONORS_PER_CELL) ** (1.0 / d))))
-    edges = {g: _cell_edges(donors, g, cells) for g in grid_dims}
+    # Cells per dimension in proportion to its range, so cells are roughly cubes
+    # in the distance metric (a narrow dimension gets few cells, a wide one many);
+    # edges are donor quantiles so dense regions get finer cells.
+    spans = {g: max(counts[f"_hi_{g}"] - counts[f"_lo_{g}"], 0.0) for g in grid_dims}
+    wide = [g for g in grid_dims if spans[g] > 0]
+    target_cells = max(1.0, n_donors / _TARGET_DONORS_PER_CELL)
+    side = (math.prod(spans[g] for g in wide) / target_cells) ** (1.0 / len(wide)) if wide else 0.0
+    per_dim = {g: (max(1, min(_MAX_CELLS_PER_DIM, math.ceil(spans[g] / side))) if side > 0 else 1)
+               for g in grid_dims}
+    edges = {g: _cell_edges(donors, g, per_dim[g]) for g in grid_dims}
     n_cells = {g: len(edges[g]) - 1 for g in grid_dims}
 
     def bucket(frame: DataFrame, prefix: str) -> DataFrame:
@@ -143,7 +152,11 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
             hi_idx = F.least(F.col(f"_cell_{g}") + radius, F.lit(n_cells[g] - 1)) + 1
             margins.append(F.least(F.col(f"r_{g}") - F.element_at(edge, lo_idx + 1),
                                    F.element_at(edge, hi_idx + 1) - F.col(f"r_{g}")))
-        margin = F.least(*margins) if len(margins) > 1 else margins[0]
+        # Any donor outside the box is at grid distance ≥ margin, and its real
+        # distance is ≥ sqrt(F/|P|)·grid distance with |P| ≤ features present in r.
+        present = sum((F.col(f"r_{f}").isNotNull().cast("int") for f in feats), F.lit(0))
+        margin = (F.least(*margins) if len(margins) > 1 else margins[0]) * \
+            F.sqrt(F.lit(float(len(feats))) / F.greatest(present, F.lit(1)))
         st = (pending.withColumn("_margin", margin).alias("p")
               .join(agg.alias("a"), [F.col(f"p.{c}").eqNullSafe(F.col(f"a.{c}")) for c in rkeys], "left")
               .select(*[F.col(f"p.{c}").alias(c) for c in rkeys + cell_cols],
