@@ -65,7 +65,10 @@ def _cell_edges(donors: DataFrame, dim: str, cells: int) -> list[float]:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds in the session's checkpoint folder."""
+    """Cut lineage between rounds in the session's checkpoint folder
+    (``spark.checkpoint.dir``; a scratch folder is set only when it is unset)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
