@@ -221,21 +221,24 @@ def chi2(df: DataFrame, a: str, b: str, by: str | None = None, yates: bool = Tru
 
 # --------------------------------------------------------------------- I7/I8
 def t_statistic(df: DataFrame, cat: str, num: str, by: str | None = None, equal_var: bool = True,
-                listwise: str = "all") -> DataFrame:
-    """Two-sample t statistic from per-group (n, mean, var); groups ordered by label.
+                listwise: str = "all", order_key: str | None = None) -> DataFrame:
+    """Two-sample t statistic from per-group (n, mean, var).
 
-    ``status`` is 'ok' or an error when the key does not have exactly two groups.
+    Groups are ordered by label, or by first appearance (smallest ``order_key``)
+    when given — the order sets the sign of t. ``status`` is 'ok' or an error
+    when the key does not have exactly two groups.
     """
     base = _listwise(df, cat, num, listwise, [by] if by else [])
     keys = [by] if by else ["_g"]
     src = base.select(*([group_label(by).alias(by)] if by else [F.lit(0).alias("_g")]),
-                      F.col(cat).cast("string").alias("_c"), clean_value(base, num).cast("double").alias("_x"))
+                      F.col(cat).cast("string").alias("_c"), clean_value(base, num).cast("double").alias("_x"),
+                      (F.col(order_key) if order_key else F.lit(0)).alias("_o"))
     src = src.where(F.col("_c").isNotNull() & F.col("_x").isNotNull())
     g = src.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"),
-                                     F.var_samp("_x").alias("var"))
+                                     F.var_samp("_x").alias("var"), F.min("_o").alias("_first"))
     two = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"),
-                               F.min(F.struct("_c", "n", "mean", "var")).alias("g1"),
-                               F.max(F.struct("_c", "n", "mean", "var")).alias("g2"))
+                               F.min(F.struct("_first", "_c", "n", "mean", "var")).alias("g1"),
+                               F.max(F.struct("_first", "_c", "n", "mean", "var")).alias("g2"))
     n1, n2 = F.col("g1.n").cast("double"), F.col("g2.n").cast("double")
     v1, v2 = F.col("g1.var"), F.col("g2.var")
     diff = F.col("g1.mean") - F.col("g2.mean")
@@ -258,9 +261,9 @@ def t_statistic(df: DataFrame, cat: str, num: str, by: str | None = None, equal_
 
 
 def t_test(df: DataFrame, cat: str, num: str, by: str | None = None, equal_var: bool = True,
-           listwise: str = "all", alpha: float = ALPHA) -> DataFrame:
+           listwise: str = "all", alpha: float = ALPHA, order_key: str | None = None) -> DataFrame:
     """I7 (pooled, ``equal_var=True``) / I8 (Welch): two-sided p and verdict."""
-    st = t_statistic(df, cat, num, by, equal_var, listwise)
+    st = t_statistic(df, cat, num, by, equal_var, listwise, order_key)
     res = st.withColumn("p_value", F.when(F.col("t_stat").isNotNull(), t_p_udf(F.col("t_stat"), F.col("dof"))))
     return _out(res, by, ["group_1", "group_2", "n_1", "n_2", "mean_1", "mean_2", "t_stat", "dof",
                           "p_value", verdict(F.col("p_value"), alpha, "significant", "not significant")

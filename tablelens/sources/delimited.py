@@ -70,24 +70,35 @@ def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: st
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def _round_on_load(df: DataFrame, round_decimals: int | None) -> DataFrame:
+    """The reference rounds float columns to 2 decimals at load (lossy); opt-in here."""
+    if round_decimals is None:
+        return df
+    from ..operators.columns import round_floats
+    return round_floats(df, round_decimals)
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
+             round_decimals: int | None = None) -> DataFrame:
     """A1: comma-separated, header row, pandas-style inferred types."""
-    return infer_types(read_text_table(spark, path, ",", encoding))
+    return _round_on_load(infer_types(read_text_table(spark, path, ",", encoding)), round_decimals)
 
 
-def read_txt(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_txt(spark: SparkSession, path: str, encoding: str = "UTF-8",
+             round_decimals: int | None = None) -> DataFrame:
     """A2: tab-separated text."""
-    return infer_types(read_text_table(spark, path, "\t", encoding))
+    return _round_on_load(infer_types(read_text_table(spark, path, "\t", encoding)), round_decimals)
 
 
-def ingest(spark: SparkSession, path: str) -> DataFrame:
+def ingest(spark: SparkSession, path: str, round_decimals: int | None = None) -> DataFrame:
     """A5: dispatch on the extension; anything else is rejected."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in DELIMITED_EXTENSIONS:
-        return infer_types(read_text_table(spark, path, DELIMITED_EXTENSIONS[ext]))
+        return _round_on_load(infer_types(read_text_table(spark, path, DELIMITED_EXTENSIONS[ext])),
+                              round_decimals)
     if ext in WORKBOOK_EXTENSIONS:
         from .workbook import read_workbooks
-        return read_workbooks(spark, path)
+        return _round_on_load(read_workbooks(spark, path), round_decimals)
     if ext == ".xls":
         raise ValueError("legacy binary .xls workbooks are not supported; save as .xlsx")
     raise ValueError(f"unsupported file type {ext!r}: expected .csv, .txt, .tsv or .xlsx")

@@ -146,3 +146,24 @@ def test_pearson_spearman_vs_pandas(spark):
     assert p["r"] == pytest.approx(pdf.x.corr(pdf.y), rel=1e-12)
     assert s["r"] == pytest.approx(pdf.x.rank().corr(pdf.y.rank()), rel=1e-12)
     assert p["p_value"] < 1e-10 and p["verdict"] == "significant"
+
+
+def test_t_test_first_appearance_order(spark):
+    rows = [(1, "zz", 1.0), (2, "aa", 4.0), (3, "zz", 2.0), (4, "aa", 6.0), (5, "zz", 3.0), (6, "aa", 9.0)]
+    df = spark.createDataFrame(rows, "id long, c string, v double")
+    by_label = T.t_test(df, "c", "v").collect()[0]
+    by_first = T.t_test(df, "c", "v", order_key="id").collect()[0]
+    assert by_label["group_1"] == "aa" and by_first["group_1"] == "zz"
+    assert by_first["t_stat"] == pytest.approx(-by_label["t_stat"])
+
+
+def test_skewed_hot_value_quantiles(spark):
+    # one value holds a third of the rows: results stay exact
+    vals = [7.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v, "hot" if i % 3 == 0 else "cold") for i, v in enumerate(vals)], "x double, g string")
+    s = pd.Series(vals)
+    r = H.box_stats(df, "x").collect()[0]
+    assert (r["q1"], r["median"], r["q3"]) == (s.quantile(.25), s.quantile(.5), s.quantile(.75))
+    grouped = {row["g"]: row["median"] for row in H.box_stats(df, "x", by="g").collect()}
+    pdf = pd.DataFrame({"x": vals, "g": ["hot" if i % 3 == 0 else "cold" for i in range(len(vals))]})
+    assert grouped == pdf.groupby("g")["x"].median().to_dict()
