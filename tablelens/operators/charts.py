@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
 from ..plans.fit import attach, clean_value, one_row
-from ..plans.ranks import quantiles_from_offsets, sorted_positions, value_offsets
+from ..plans.ranks import keyed_offsets, quantiles_from_offsets, sorted_positions, value_offsets
 from .columns import group_label, to_numeric
 
 KDE_POINTS = 100
@@ -112,7 +112,7 @@ def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     per-group fences — no second pass over the raw rows.
     """
     src, keys = _keyed(df, var, by)
-    offsets = value_offsets(src, "_x", keys)
+    offsets = keyed_offsets(src, "_x", keys, bool(by))
     quart = _box_from(offsets, keys)
     moments = src.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
     iqr = F.col("q3") - F.col("q1")
@@ -324,7 +324,7 @@ def distribution_summary(df: DataFrame, var: str, by: str | None = None) -> Data
     moments = src.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"),
                                      F.stddev_samp("_x").alias("std"), skew.alias("skewness"),
                                      kurt.alias("kurtosis"))
-    med = quantiles_from_offsets(value_offsets(src, "_x", keys), [0.5], keys).select(
+    med = quantiles_from_offsets(keyed_offsets(src, "_x", keys, bool(by)), [0.5], keys).select(
         *keys, F.col("q")[0].alias("median"))
     out = attach(moments, med, keys, bool(by), "left")
     return out.select(*([by] if by else []), "n", "mean", "median", "std", "skewness", "kurtosis")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
 from ..plans.fit import attach, clean_value
-from ..plans.ranks import average_ranks, sorted_positions, value_offsets
+from ..plans.ranks import keyed_offsets, average_ranks, sorted_positions, value_offsets
 from .columns import group_label
 
 ALPHA = 0.05
@@ -48,7 +48,7 @@ def shapiro(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA
     """
     src, keys = _keyed(df, [var], by)
     src = src.where(F.col(var).isNotNull())
-    pos = sorted_positions(value_offsets(src, var, keys), keys)
+    pos = sorted_positions(keyed_offsets(src, var, keys, bool(by)), keys)
     m = ppnd_col((F.col("pos") - F.lit(0.375)) / (F.col("n") + F.lit(0.25)))
     pos = pos.withColumn("m", m)
     at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
@@ -77,7 +77,7 @@ def ks_statistic(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     src, keys = _keyed(df, [var], by)
     src = src.where(F.col(var).isNotNull())
     stats = src.groupBy(*keys).agg(F.avg(var).alias("mean"), F.stddev_samp(var).alias("sd"))
-    off = attach(value_offsets(src, var, keys), stats, keys, bool(by))
+    off = attach(keyed_offsets(src, var, keys, bool(by)), stats, keys, bool(by))
     cdf = norm_cdf_col((F.col("value") - F.col("mean")) / F.col("sd"))
     d = F.greatest((F.col("below") + F.col("cnt")) / F.col("n") - cdf, cdf - F.col("below") / F.col("n"))
     return off.groupBy(*keys).agg(F.max("n").alias("n"), F.max(d).alias("statistic"))
@@ -141,9 +141,9 @@ def spearman(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str
     base = _listwise(df, x, y, listwise, [by] if by else [])
     src, keys = _keyed(base, [x, y], by)
     src = src.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_ranks(value_offsets(src, x, keys)).select(*keys, F.col("value").alias(x),
+    rx = average_ranks(keyed_offsets(src, x, keys, bool(by))).select(*keys, F.col("value").alias(x),
                                                            F.col("rank").alias("_rx"))
-    ry = average_ranks(value_offsets(src, y, keys)).select(*keys, F.col("value").alias(y),
+    ry = average_ranks(keyed_offsets(src, y, keys, bool(by))).select(*keys, F.col("value").alias(y),
                                                            F.col("rank").alias("_ry"))
     ranked = src.join(rx, [*keys, x], "inner").join(ry, [*keys, y], "inner")
     return _corr_result(_pearson_from(ranked, keys, "_rx", "_ry"), by, alpha)

@@ -9,7 +9,8 @@ task. Instead:
    distinct values (a bounded list collected to the driver), then a JVM
    ``Bucketizer`` (binary search) assigns every distinct value a bucket.
 3. Per (keys, bucket) totals — at most #keys × #buckets rows — give each
-   bucket's offset with a window partitioned by the keys.
+   bucket's offset with a window partitioned by the keys (for whole-table
+   ranks the ≤ #buckets totals are collected and applied as a literal array).
 4. A running sum partitioned by (keys, bucket) and ordered by value gives the
    number of rows strictly below every distinct value.
 
@@ -67,19 +68,29 @@ def value_offsets(df: DataFrame, value: str, keys: Sequence[str] = (),
     else:
         bucketed = vc.withColumn("_b", F.lit(0))
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bcnt"))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    wb = (Window.partitionBy(*keys, "_b").orderBy("value")
+          .rowsBetween(Window.unboundedPreceding, -1))
+    within = F.coalesce(F.sum("cnt").over(wb), F.lit(0))
+    if not keys:
+        # Whole-table ranks: the bucket totals are at most len(edges) rows, so
+        # their prefix offsets are computed on the driver and applied as a
+        # literal array — no join and no single-partition window.
+        counts = {int(r["_b"]): int(r["_bcnt"]) for r in collect_bounded(totals, len(edges))}
+        offs, run = [], 0
+        for b in range(len(edges) - 1):
+            offs.append(run)
+            run += counts.get(b, 0)
+        boff = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs]), F.col("_b") + 1)
+        return bucketed.select("value", "cnt", (boff + within).alias("below"),
+                               F.lit(run).cast("long").alias("n"))
+    wk = Window.partitionBy(*keys)
     totals = (totals
               .withColumn("_boff", F.coalesce(
                   F.sum("_bcnt").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
                   F.lit(0)))
               .withColumn("n", F.sum("_bcnt").over(wk)))
     joined = bucketed.join(totals.select(*keys, "_b", "_boff", "n"), on=[*keys, "_b"], how="inner")
-    wb = (Window.partitionBy(*keys, "_b").orderBy("value")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    return joined.select(
-        *keys, "value", "cnt",
-        (F.col("_boff") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))).alias("below"),
-        "n")
+    return joined.select(*keys, "value", "cnt", (F.col("_boff") + within).alias("below"), "n")
 
 
 def average_ranks(offsets: DataFrame) -> DataFrame:
@@ -161,3 +172,12 @@ def global_offsets_splits_bound() -> int:
 
 __all__ = ["value_offsets", "average_ranks", "quantiles_from_offsets", "exact_quantiles",
            "sorted_positions", "collect_bounded"]
+
+
+def keyed_offsets(df: DataFrame, value: str, keys: Sequence[str], grouped: bool) -> DataFrame:
+    """:func:`value_offsets` for callers that carry a constant key when ungrouped:
+    the whole-table path ranks without the key and adds it back afterwards."""
+    if grouped:
+        return value_offsets(df, value, keys)
+    out = value_offsets(df.drop(*keys), value, [])
+    return out.select(*[F.lit(0).alias(k) for k in keys], *out.columns)
