@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
 from ..plans.fit import attach, clean_value, one_row
-from ..plans.ranks import keyed_offsets, quantiles_from_offsets, sorted_positions, value_offsets
+from ..plans.quantiles import exact_quantiles_refined
+from ..plans.ranks import sorted_positions, value_offsets
 from .columns import group_label, to_numeric
 
 KDE_POINTS = 100
@@ -91,11 +92,6 @@ def density_histogram(df: DataFrame, var: str, bins: int = DENSITY_BINS) -> Data
     return histogram(df, var, bins, density=True)
 
 
-def _box_from(offsets: DataFrame, keys: list[str]) -> DataFrame:
-    return quantiles_from_offsets(offsets, [0.25, 0.5, 0.75], keys).select(
-        *keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-
-
 def _keyed(df: DataFrame, var: str, by: str | None) -> tuple[DataFrame, list[str]]:
     """(source, keys): the grouping key as text, or a constant key when ungrouped,
     so grouped and whole-table statistics share one join-by-key plan."""
@@ -107,28 +103,28 @@ def _keyed(df: DataFrame, var: str, by: str | None) -> tuple[DataFrame, list[str
 def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """H4/H5: n, mean, std, q1, median, q3, fences, whiskers, outlier count, notch.
 
-    Whiskers are the extreme values inside Q1−1.5·IQR … Q3+1.5·IQR. They are
-    read off the distinct-value frame (already one row per value) joined to the
-    per-group fences — no second pass over the raw rows.
+    Quartiles come from the sketch-then-refine exact plan; whiskers (extreme
+    values inside Q1−1.5·IQR … Q3+1.5·IQR), the outlier count and the moments
+    are then one aggregate over the rows with the per-group fences attached.
     """
-    src, keys = _keyed(df, var, by)
-    offsets = keyed_offsets(src, "_x", keys, bool(by))
-    quart = _box_from(offsets, keys)
-    moments = src.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
-    iqr = F.col("q3") - F.col("q1")
-    fences = quart.select(*keys, "n", "q1", "median", "q3",
-                          (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
-                          (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
-    joined = attach(offsets, fences.select(*keys, "lower_fence", "upper_fence"), keys, bool(by))
-    inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
-    whisk = joined.groupBy(*keys).agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("outliers"))
-    out = attach(attach(whisk, fences, keys, bool(by), "right" if by else "left"), moments, keys,
-                 bool(by), "left")
+    keys = [by] if by else []
+    src = (df.select(*[group_label(k).alias(k) for k in keys], _x(df, var).alias("_x"))
+           .where(F.col("_x").isNotNull()))
+    quart = exact_quantiles_refined(src, "_x", [0.25, 0.5, 0.75], keys)
+    iqr = F.col("q")[2] - F.col("q")[0]
+    fences = quart.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                          F.col("q")[2].alias("q3"), (F.col("q")[0] - F.lit(1.5) * iqr).alias("lower_fence"),
+                          (F.col("q")[2] + F.lit(1.5) * iqr).alias("upper_fence"))
+    rows = attach(src, fences.select(*keys, "lower_fence", "upper_fence"), keys, bool(by))
+    inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
+    whisk = rows.groupBy(*keys).agg(
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"),
+        F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
+    out = attach(whisk, fences, keys, bool(by), "inner").where(F.col("n").isNotNull())
     notch = F.lit(NOTCH_FACTOR) * (F.col("q3") - F.col("q1")) / F.sqrt(F.col("n"))
-    return out.select(*([by] if by else []), "n", "mean", "std", "q1", "median", "q3",
+    return out.select(*keys, "n", "mean", "std", "q1", "median", "q3",
                       "lower_fence", "upper_fence", "whisker_low", "whisker_high", "outliers",
                       (F.col("median") - notch).alias("notch_low"),
                       (F.col("median") + notch).alias("notch_high"))
@@ -324,7 +320,7 @@ def distribution_summary(df: DataFrame, var: str, by: str | None = None) -> Data
     moments = src.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"),
                                      F.stddev_samp("_x").alias("std"), skew.alias("skewness"),
                                      kurt.alias("kurtosis"))
-    med = quantiles_from_offsets(keyed_offsets(src, "_x", keys, bool(by)), [0.5], keys).select(
+    med = exact_quantiles_refined(src.where(F.col("_x").isNotNull()), "_x", [0.5], keys).select(
         *keys, F.col("q")[0].alias("median"))
     out = attach(moments, med, keys, bool(by), "left")
     return out.select(*([by] if by else []), "n", "mean", "median", "std", "skewness", "kurtosis")

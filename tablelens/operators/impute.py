@@ -1,7 +1,7 @@
 """D — missing-value treatment: fit = one aggregate, transform = one projection.
 
 ``fit_imputer`` runs the aggregates (means and modes in one pass; medians via
-the distributed R1 quantile plan) and returns an :class:`ImputeModel` holding
+the exact sketch-then-refine quantile plan) and returns an :class:`ImputeModel` holding
 a handful of literals. ``ImputeModel.transform`` is a pure ``coalesce``
 projection, so it also applies unchanged to a streaming DataFrame. KNN fill is
 its own sub-plan (``operators.knn``).
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.fit import (clean_value, is_numeric, long_form, missing_cond, one_row)
-from ..plans.ranks import quantiles_from_offsets, value_offsets
+from ..plans.quantiles import exact_quantiles_refined
 from .profile import category_counts, missing_counts
 
 METHODS = ("mean", "median", "zero", "mode", "knn")
@@ -107,8 +107,8 @@ def fit_imputer(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] =
         row = one_row(df.agg(*aggs))
         model.values.update({c: row[c] for c in mean})
     if median:
-        off = value_offsets(long_form(df, list(median)), "value", ["variable"])
-        rows = quantiles_from_offsets(off, [0.5], ["variable"]).collect()
+        rows = exact_quantiles_refined(long_form(df, list(median)), "value", [0.5], ["variable"],
+                                       bounded_keys=True).collect()
         model.values.update({r["variable"]: r["q"][0] for r in rows})
     if mode:
         modes = (category_counts(df, list(mode)).where(F.col("value").isNotNull())

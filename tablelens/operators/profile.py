@@ -3,8 +3,9 @@
 Wide one-row aggregates are turned into one row per column with
 ``explode(array(struct…))`` on the single aggregated row, so a profile of any
 number of columns is one scan and one tiny exchange. Exact quantiles use the
-R1 plan (``plans.ranks``); ``exact=False`` switches to ``percentile_approx``
-inside the same single aggregate.
+sketch-then-refine plan (``plans.quantiles``: approximate brackets, exact
+ranking of the bracketed rows only); ``exact=False`` switches to
+``percentile_approx`` inside the same single aggregate.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fit import (clean_value, long_form, missing_cond, numeric_columns,
                          qualitative_columns)
-from ..plans.ranks import quantiles_from_offsets, value_offsets
+from ..plans.quantiles import exact_quantiles_refined
 from .columns import role_of, round_half_even, type_name
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -52,8 +53,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
         structs.append(F.struct(*parts))
     moments = _explode_structs(df.agg(F.array(*structs).alias("_a")))
     if exact:
-        offsets = value_offsets(long_form(df, cols), "value", ["variable"])
-        qs = quantiles_from_offsets(offsets, QUARTILES, ["variable"]).select("variable", "q")
+        qs = exact_quantiles_refined(long_form(df, cols), "value", QUARTILES, ["variable"],
+                                     bounded_keys=True).select("variable", "q")
         moments = moments.join(F.broadcast(qs), on="variable", how="left")
     out = moments.select(
         "variable", "count", "mean", "std", "min",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fit import clean_value, one_row
-from ..plans.ranks import exact_quantiles
+from ..plans.quantiles import exact_quantiles_refined
 
 SCALERS = ("standard", "minmax", "robust", "log")
 
@@ -54,7 +54,7 @@ def fit_scaler(df: DataFrame, var: str, method: str, suffix: str = "_norm") -> S
         center = r["lo"]
         scale = None if r["lo"] is None else r["hi"] - r["lo"]
     else:
-        rows = exact_quantiles(df.select(x.alias("_x")), "_x", [0.25, 0.5, 0.75]).collect()
+        rows = exact_quantiles_refined(df.select(x.alias("_x")), "_x", [0.25, 0.5, 0.75]).collect()
         if rows:
             q1, med, q3 = rows[0]["q"]
             center, scale = med, q3 - q1

@@ -115,7 +115,7 @@ def typed_lit(value, dt: T.DataType) -> Column:
 
 
 def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
-           how: str = "inner") -> DataFrame:
+           how: str = "inner", broadcast: bool = False) -> DataFrame:
     """Add per-key parameters to ``df``.
 
     Grouped: an equi-join on the keys (AQE broadcasts small sides after
@@ -123,7 +123,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
     collected (a bounded fit) and added as literals — no join at all.
     """
     if grouped:
-        return df.join(params, list(keys), how)
+        return df.join(F.broadcast(params) if broadcast else params, list(keys), how)
     rows = collect_bounded(params, 1)
     fields = [f for f in params.schema.fields if f.name not in keys]
     if not rows:

@@ -90,3 +90,19 @@ def test_to_numeric_and_group_label(spark):
     got = [r[0] for r in df.select(C.to_numeric("s")).collect()]
     assert got[0] == 1.5 and got[1] is None and got[2] is None
     assert [r[0] for r in df.select(C.group_label("s")).collect()] == ["1.5", "abc", "None"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-5, 5)), min_size=1, max_size=80),
+       st.sampled_from([10, 1000, 50_000]))
+def test_refined_quantiles_equal_full_ranking(spark, pairs, accuracy):
+    from tablelens.plans.quantiles import exact_quantiles_refined
+    from tablelens.plans.ranks import exact_quantiles
+    df = spark.createDataFrame([(g, float(v)) for g, v in pairs], "g string, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    a = sorted(map(tuple, exact_quantiles_refined(df, "x", probs, ["g"], accuracy=accuracy).collect()))
+    b = sorted(map(tuple, exact_quantiles(df, "x", probs, ["g"]).collect()))
+    assert a == b
+    s = pd.Series([float(v) for _, v in pairs])
+    whole = exact_quantiles_refined(df, "x", probs, accuracy=accuracy).collect()[0]["q"]
+    assert whole == pytest.approx([s.quantile(p) for p in probs], abs=1e-12)
