@@ -16,6 +16,9 @@ ROLE_QUALITATIVE = "qualitative"
 ROLE_TEMPORAL = "temporal"
 ROLE_OTHER = "other"
 
+MAX_INLINE_SELECTION = 10_000        # keys inlined as an IN list
+MAX_BROADCAST_SELECTION = 1_000_000  # keys broadcast for the semi-join
+
 
 def role_of(dt: T.DataType, field: T.StructField | None = None) -> str:
     if isinstance(dt, NUMERIC_TYPES):
@@ -104,11 +107,13 @@ def select_rows(df: DataFrame, key: str | Sequence[str], selection: DataFrame |
         sel = selection.select(*keys).distinct()
         return df.join(sel, on=keys, how="left_semi")
     values = list(selection)
-    if len(keys) == 1:
+    if len(keys) == 1 and len(values) <= MAX_INLINE_SELECTION:
         return df.where(F.col(keys[0]).isin(values))
     schema = df.select(*keys).schema
-    sel = df.sparkSession.createDataFrame([tuple(v) for v in values], schema)
-    return df.join(F.broadcast(sel), on=keys, how="left_semi")
+    sel = df.sparkSession.createDataFrame([tuple(v) if len(keys) > 1 else (v,) for v in values], schema)
+    # Broadcast only a selection of checked size; larger ones are a regular join.
+    sel = F.broadcast(sel) if len(values) <= MAX_BROADCAST_SELECTION else sel
+    return df.join(sel, on=keys, how="left_semi")
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | str | None = None) -> DataFrame:

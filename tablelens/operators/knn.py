@@ -35,7 +35,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import one_row
+from ..plans.fit import materialize, one_row
 
 _TARGET_DONORS_PER_CELL = 64
 _MAX_CELLS_PER_DIM = 1024
@@ -65,11 +65,8 @@ def _cell_edges(donors: DataFrame, dim: str, cells: int) -> list[float]:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds in the session's checkpoint folder
-    (``spark.checkpoint.dir``; a scratch folder is set only when it is unset)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage between rounds: written once under ``spark.checkpoint.dir``."""
+    return materialize(df)
 
 
 def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],

@@ -131,3 +131,23 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
             return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
         return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     return df.select("*", *[typed_lit(rows[0][f.name], f.dataType).alias(f.name) for f in fields])
+
+
+def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Compute ``df`` once and cut its lineage.
+
+    With ``max_rows`` the frame is known to be small: it is collected (bounded)
+    and recreated on the driver. Otherwise it is written once as parquet under
+    the session's ``spark.checkpoint.dir`` (a shared folder on a cluster) and
+    read back, which survives executor loss and is computed exactly once.
+    """
+    if max_rows is not None:
+        rows = collect_bounded(df, max_rows)
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tablelens-stage-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,10 @@ positions, so:
 1. one aggregate per key: ``count`` and ``percentile_approx`` at p ± 3ε for
    every target p (ε = 1/accuracy is the sketch's rank error) — the exact
    value at rank (n−1)·p lies inside [lo, hi];
-2. one aggregate per key: rows below each ``lo`` and rows inside each
-   bracket (partial aggregation, tiny exchange);
-3. only the bracketed rows (≈ 6ε·n per quantile) are ranked with R1, keyed by
-   (key, quantile), and offset by the rows below the bracket.
+2. only the bracketed rows (≈ 6ε·n per quantile) are ranked with R1, keyed by
+   (key, quantile); rows below a bracket enter that ranking as one sentinel
+   value (−inf) whose count the map-side aggregate collapses to a row per
+   task, so the offsets already include them.
 
 Every answer is verified (both interpolation positions must fall inside the
 bracket); if any key fails, that call falls back to full R1, so results are
@@ -24,10 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fit import attach, one_row
+from .fit import attach, materialize, one_row
 from .ranks import quantiles_from_offsets, value_offsets
 
-DEFAULT_ACCURACY = 50_000
+DEFAULT_ACCURACY = 10_000
 _ROWS_PER_BUCKET = 2_000_000
 
 
@@ -43,15 +43,11 @@ def _verified_pick(off: DataFrame, keys: list[str], probs: Sequence[float]) -> D
               .agg(F.max(F.when(has(lo), F.col("value"))).alias("_vlo"),
                    F.max(F.when(has(hi), F.col("value"))).alias("_vhi"),
                    F.max(h - F.floor(h)).alias("_frac")))
-    return picked.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+    ok = (F.col("_vlo") > F.lit(float("-inf"))) & F.col("_vhi").isNotNull()
+    return picked.withColumn("_q", F.when(ok, F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Small per-key frames are used several times: cut lineage once in the
-    session's checkpoint folder instead of re-running the full scan."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_BOUNDED_KEYS = 100_000
 
 
 def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
@@ -61,7 +57,7 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
 
     ``bounded_keys`` says the number of keys is small (e.g. one per column), so
     per-key frames may be broadcast; otherwise they are joined by key and left
-    to AQE. Passes over the data: sketch, bracket counts, bracket ranking.
+    to AQE. Passes over the data: the sketch, then the bracket ranking.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
@@ -71,37 +67,34 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     margin = 3.0 / accuracy
     sketch_probs = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    brackets = _materialize(
+    cap = _BOUNDED_KEYS if (bounded_keys or not grouped) else None
+    brackets = materialize(
         src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                F.percentile_approx("_v", sketch_probs, accuracy).alias("_s"))
         .select(*keys, "n", *[F.col("_s")[i].alias(f"_lo{i}") for i in range(k)],
-                *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]))
+                *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]), cap)
 
     def with_params(frame: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
         return attach(frame, params, keys, grouped, how, broadcast=bounded_keys)
 
     rows = with_params(src, brackets)
-    inside = [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in range(k)]
-    below = _materialize(
-        rows.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(k)],
-                                *[F.count_if(inside[i]).alias(f"_in{i}") for i in range(k)]))
-    widths = [F.max(f"_in{i}") for i in range(k)]
-    widest = one_row(below.agg((F.greatest(*widths) if k > 1 else widths[0]).alias("m")))["m"] or 0
-    n_buckets = max(1, math.ceil(widest / _ROWS_PER_BUCKET))
-    in_rows = (rows.select(*keys, "_v", F.posexplode(F.array(*inside)).alias("_i", "_ok"))
-               .where(F.col("_ok")).drop("_ok"))
-    off = value_offsets(in_rows, "_v", [*keys, "_i"], n_buckets=n_buckets).drop("n")
-    below_long = below.select(*keys, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(k)]))
-                              .alias("_i", "_below"))
-    # (keys, _i) is a real equi-join key; below_long has k rows per key.
-    off = off.join(F.broadcast(below_long) if (bounded_keys or not grouped) else below_long,
-                   [*keys, "_i"], "inner")
-    off = with_params(off, brackets.select(*keys, "n")).withColumn("below", F.col("below") + F.col("_below"))
+    # Rows below a bracket collapse into one sentinel value (−inf) per (key, quantile):
+    # the partial aggregate turns them into a single counted row per task, and the
+    # ranking then offsets every bracketed value by exactly that count.
+    tags = [F.when(F.col("_v") < F.col(f"_lo{i}"), F.lit(float("-inf")))
+            .when(F.col("_v") <= F.col(f"_hi{i}"), F.col("_v")) for i in range(k)]
+    in_rows = (rows.select(*keys, F.posexplode(F.array(*tags)).alias("_i", "_t"))
+               .where(F.col("_t").isNotNull()))
+    largest = one_row(brackets.agg(F.max("n").alias("m")))["m"] or 0
+    n_buckets = max(1, math.ceil(2 * margin * largest * 1.5 / _ROWS_PER_BUCKET))
+    off = value_offsets(in_rows, "_t", [*keys, "_i"], n_buckets=n_buckets).drop("n")
+    off = with_params(off, brackets.select(*keys, "n"))
     picked = _verified_pick(off, keys, probs)
     per_key = (picked.groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_qs"),
                     F.count_if(F.col("_q").isNull()).alias("_bad"), F.count(F.lit(1)).alias("_got")))
-    result = _materialize(with_params(per_key, brackets.select(*keys, "n"), "right" if grouped else "left"))
+    result = materialize(with_params(per_key, brackets.select(*keys, "n"), "right" if grouped else "left"),
+                         cap)
     expected_keys = one_row(brackets.agg(F.count(F.lit(1)).alias("c")))["c"]
     check = one_row(result.agg(
         F.count(F.lit(1)).alias("c"),
