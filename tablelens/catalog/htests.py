@@ -203,3 +203,57 @@ def q_t_test_welch_full(spark, sf):
 @register("t_test_by", None)
 def q_t_test_by(spark, sf):
     return ht.t_test(fx.table(spark, sf, "orders"), "o_orderstatus", "o_totalprice", by="o_orderpriority")
+
+
+# ----------------------------------------------------------- grouped (by=) variants
+@register("pearson_by",
+          "SELECT o_orderpriority, count(*) AS n, CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN "
+          "covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END AS r FROM "
+          "(SELECT o_orderpriority, CAST(o_orderkey AS DOUBLE) AS x, o_totalprice AS y FROM orders) AS t "
+          "GROUP BY o_orderpriority", ["r"])
+def q_pearson_by(spark, sf):
+    o = fx.table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return ht.pearson(o, "o_orderkey", "o_totalprice", by="o_orderpriority").select("o_orderpriority", "n", "r")
+
+
+@register("chi2_by",
+          "WITH o AS (SELECT o_orderstatus AS g, o_orderpriority AS a, CAST(o_custkey % 3 AS VARCHAR) AS b, "
+          "count(*) AS o FROM orders GROUP BY 1, 2, 3), "
+          "r AS (SELECT g, a, sum(o) AS r FROM o GROUP BY g, a), c AS (SELECT g, b, sum(o) AS c FROM o GROUP BY g, b), "
+          "t AS (SELECT g, sum(o) AS n, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc FROM o GROUP BY g), "
+          "e AS (SELECT o.g, o.o, CAST(r.r AS DOUBLE) * CAST(c.c AS DOUBLE) / CAST(t.n AS DOUBLE) AS e, "
+          "(t.nr - 1) * (t.nc - 1) AS dof, t.n FROM o JOIN r USING (g, a) JOIN c USING (g, b) JOIN t USING (g)) "
+          "SELECT g AS o_orderstatus, CAST(max(n) AS BIGINT) AS n, CAST(max(dof) AS BIGINT) AS dof, "
+          "CASE WHEN max(dof) = 0 THEN CAST(0 AS DOUBLE) WHEN max(dof) = 1 THEN "
+          "sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e) ELSE sum((o - e) * (o - e) / e) END AS chi2 "
+          "FROM e GROUP BY g", ["chi2"])
+def q_chi2_by(spark, sf):
+    from pyspark.sql import functions as F
+    o = fx.table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority",
+                                             (F.col("o_custkey") % 3).cast("string").alias("bucket"))
+    return ht.chi2(o, "o_orderpriority", "bucket", by="o_orderstatus").select("o_orderstatus", "n", "dof", "chi2")
+
+
+@register("ks_normal_by",
+          "WITH x AS (SELECT event_type AS g, value AS v FROM events WHERE value IS NOT NULL), "
+          "s AS (SELECT g, avg(v) AS mu, stddev_samp(v) AS sd, count(v) AS n FROM x GROUP BY g), "
+          "c AS (SELECT g, v, count(*) AS cnt FROM x GROUP BY g, v), "
+          "o AS (SELECT g, v, cnt, coalesce(sum(cnt) OVER (PARTITION BY g ORDER BY v ROWS BETWEEN UNBOUNDED "
+          "PRECEDING AND 1 PRECEDING), 0) AS below FROM c), "
+          f"f AS (SELECT o.*, s.n, {norm_cdf_sql('(v - mu) / sd')} AS F FROM o JOIN s USING (g)) "
+          "SELECT g AS event_type, max(n) AS n, max(greatest(CAST(below + cnt AS DOUBLE) / CAST(n AS DOUBLE) - F, "
+          "F - CAST(below AS DOUBLE) / CAST(n AS DOUBLE))) AS statistic FROM f GROUP BY g", ["statistic"])
+def q_ks_normal_by(spark, sf):
+    return ht.ks_normal(fx.table(spark, sf, "events"), "value", by="event_type").select("event_type", "n", "statistic")
+
+
+@register("spearman_by",
+          "WITH x AS (SELECT event_type AS g, CAST(user_id AS DOUBLE) AS a, value AS b FROM events), "
+          "k AS (SELECT g, CAST(rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) "
+          "/ 2.0 AS DOUBLE) AS rx, CAST(rank() OVER (PARTITION BY g ORDER BY b) + (count(*) OVER (PARTITION BY g, b) "
+          "- 1) / 2.0 AS DOUBLE) AS ry FROM x) "
+          "SELECT g AS event_type, count(*) AS n, CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 0 THEN "
+          "covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END AS r FROM k GROUP BY g", ["r"])
+def q_spearman_by(spark, sf):
+    ev = fx.table(spark, sf, "events").select("event_type", "user_id", "value")
+    return ht.spearman(ev, "user_id", "value", by="event_type").select("event_type", "n", "r")

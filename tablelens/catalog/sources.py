@@ -61,3 +61,12 @@ def q_export_roundtrip(spark, sf):
     base = _scratch(spark, "export")
     path = export_csv(fx.table(spark, sf, "lineitem").select(*KEYS, *FLOATS), base, "lineitem_clean")
     return read_csv(spark, path)
+
+
+@register("ingest_csv_rounded",
+          "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+          f"{rint2('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer", ["c_acctbal"])
+def q_ingest_csv_rounded(spark, sf):
+    path = _scratch(spark, "csv") + "/customer.csv"
+    fx.table(spark, sf, "customer").write.option("header", True).csv(path)
+    return read_csv(spark, path, round_decimals=2)
