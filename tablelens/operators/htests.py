@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
 from ..plans.fit import attach, clean_value
-from ..plans.ranks import keyed_offsets, average_ranks, sorted_positions, value_offsets
+from ..plans.ranks import average_ranks, keyed_offsets, sorted_positions
 from .columns import group_label
 
 ALPHA = 0.05

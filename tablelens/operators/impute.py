@@ -21,7 +21,6 @@ from ..plans.quantiles import exact_quantiles_refined
 from .profile import category_counts, missing_counts
 
 METHODS = ("mean", "median", "zero", "mode", "knn")
-APPLY_ORDER = ("mean", "median", "knn", "zero", "mode")
 
 
 class ImputePlanError(ValueError):

@@ -94,15 +94,6 @@ def long_form(df: DataFrame, cols: Sequence[str], value_type: str = "double",
         prepared.unpivot([], list(cols), "variable", "value")
 
 
-def struct_rows(exprs: list[Column]) -> Column:
-    """``explode(array(struct…))`` helper: turn one wide aggregate row into rows."""
-    return F.explode(F.array(*exprs))
-
-
-def empty_like(spark, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def typed_lit(value, dt: T.DataType) -> Column:
     """A literal of type ``dt`` (structs and arrays built field by field)."""
     if value is None:

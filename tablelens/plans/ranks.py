@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from .fit import collect_bounded, one_row
 
-# Distinct values per bucket the plan aims for; the bucket count itself is
-# capped so the collected split list stays small.
-_TARGET_PER_BUCKET = 2_000_000
+# Buckets per ranking: 4 per shuffle partition, capped so the collected split
+# list stays small.
 _MAX_BUCKETS = 4096
 
 
@@ -166,14 +165,6 @@ def sorted_positions(offsets: DataFrame, keys: Sequence[str] = (),
     return light_pos.unionByName(heavy_pos)
 
 
-def global_offsets_splits_bound() -> int:
-    return _MAX_BUCKETS
-
-
-__all__ = ["value_offsets", "average_ranks", "quantiles_from_offsets", "exact_quantiles",
-           "sorted_positions", "collect_bounded"]
-
-
 def keyed_offsets(df: DataFrame, value: str, keys: Sequence[str], grouped: bool) -> DataFrame:
     """:func:`value_offsets` for callers that carry a constant key when ungrouped:
     the whole-table path ranks without the key and adds it back afterwards."""
@@ -181,3 +172,7 @@ def keyed_offsets(df: DataFrame, value: str, keys: Sequence[str], grouped: bool)
         return value_offsets(df, value, keys)
     out = value_offsets(df.drop(*keys), value, [])
     return out.select(*[F.lit(0).alias(k) for k in keys], *out.columns)
+
+
+__all__ = ["value_offsets", "average_ranks", "quantiles_from_offsets", "exact_quantiles",
+           "sorted_positions", "keyed_offsets"]
