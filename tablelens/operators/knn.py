@@ -9,21 +9,25 @@ none). Ties are broken by the donor's row key.
 
 Plan (exact, bounded work per recipient):
 
-* Features without any missing value (besides c) span a grid; per-dimension
-  cell edges are donor quantiles (``percentile_approx``, a bounded list), and
-  a JVM ``Bucketizer`` assigns cells. Because F/|P| ≥ 1 and grid coordinates
-  are always present, the grid-subspace Euclidean distance is a lower bound of
-  the real distance.
+* Every feature other than c gets cell edges from donor quantiles
+  (``percentile_approx``, one bounded list per feature), sized so that cells
+  are roughly cubes in the metric (a narrow feature gets few cells); a JVM
+  ``Bucketizer`` assigns cells.
+* Recipients and donors are grouped by which features they have (a bit
+  mask). Each (recipient mask, donor mask) pair sharing at least one feature
+  is a *class*; its grid uses up to two of the shared features. Pairs sharing
+  none are skipped (no distance exists). Since F/|P| ≥ F/(features present
+  in r), ``sqrt(F/present_r)`` × the class-grid distance bounds the real one.
 * Donors with an identical feature vector are cut to the k smallest row keys
   (only those can ever be chosen); recipients with an identical vector are
-  solved once. Both cuts use ``row_number`` / ``distinct`` per key, which keep
-  hot vectors from turning into one huge task.
-* Round R joins each unresolved recipient to the donors in the (2R+1)^d cells
-  around it — an equi-join on cell coordinates, not a cross join — and keeps
-  the k nearest per recipient (``WindowGroupLimit`` is applied before the
-  shuffle). A recipient is resolved when its k-th distance is strictly below
-  the distance from it to the edge of the searched box, or when the box covers
-  the whole grid. Unresolved recipients continue with a wider ring.
+  solved once.
+* Round R joins each unresolved recipient, in each of its classes, to the
+  donors in the neighbouring cells (clipped to the grid) — an equi-join on
+  (class, cells), never a cross join — and keeps the k nearest over all
+  classes (``WindowGroupLimit`` before the shuffle). A recipient is resolved
+  when its k-th distance is strictly below the smallest box margin over its
+  classes (a class whose box covers its whole grid has no margin limit).
+  Unresolved recipients continue with a wider ring.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from ..plans.fit import materialize, one_row
 
 _TARGET_DONORS_PER_CELL = 64
 _MAX_CELLS_PER_DIM = 1024
-_MAX_GRID_DIMS = 3
 
 
 def _distance(features: Sequence[str], left: str, right: str) -> Column:
@@ -55,13 +58,18 @@ def _distance(features: Sequence[str], left: str, right: str) -> Column:
     return F.when(cnt > 0, F.sqrt(F.lit(float(len(features))) / cnt * sq))
 
 
-def _cell_edges(donors: DataFrame, dim: str, cells: int) -> list[float]:
-    if cells <= 1:
-        return [-math.inf, math.inf]
-    probs = [i / cells for i in range(1, cells)]
-    row = one_row(donors.agg(F.percentile_approx(dim, probs, max(10_000, 20 * cells)).alias("s")))
-    splits = sorted({float(s) for s in (row["s"] or []) if s is not None and math.isfinite(s)})
-    return [-math.inf] + splits + [math.inf]
+def _cell_edges(donors: DataFrame, cells: dict[str, int]) -> dict[str, list[float]]:
+    """Donor-quantile cell edges for every feature in one aggregate (bounded lists)."""
+    wanted = {f: c for f, c in cells.items() if c > 1}
+    edges = {f: [-math.inf, math.inf] for f in cells}
+    if not wanted:
+        return edges
+    row = one_row(donors.agg(*[F.percentile_approx(f, [i / c for i in range(1, c)], max(10_000, 20 * c))
+                               .alias(f) for f, c in wanted.items()]))
+    for f in wanted:
+        splits = sorted({float(v) for v in (row[f] or []) if v is not None and math.isfinite(v)})
+        edges[f] = [-math.inf] + splits + [math.inf]
+    return edges
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -69,104 +77,161 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def _mask(prefix: str, features: Sequence[str]) -> Column:
+    return sum((F.when(F.col(f"{prefix}{f}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+                for i, f in enumerate(features)), F.lit(0))
+
+
+def _pick(class_ids: list[int], values: dict[int, Column], default: Column) -> Column:
+    """CASE _class WHEN c THEN values[c] … END (one branch per class)."""
+    expr = None
+    for c in class_ids:
+        expr = (F.when(F.col("_class") == c, values[c]) if expr is None
+                else expr.when(F.col("_class") == c, values[c]))
+    return default if expr is None else expr.otherwise(default)
+
+
 def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
                     k: int = 5) -> DataFrame:
     """Distinct recipient vectors with their fill: <features…> (prefixed ``r_``), ``_fill``."""
     feats = list(features)
     if target not in feats:
         raise ValueError("the target column must be one of the features")
+    others = [f for f in feats if f != target]
     kcols = [f"_key{i}" for i in range(len(key))]
     base = df.select(*[F.col(c).alias(kc) for c, kc in zip(key, kcols)],
                      *[F.col(f).cast("double").alias(f) for f in feats])
     donor_only = lambda c: F.when(F.col(target).isNotNull(), F.col(c))
-    counts = one_row(base.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats],
-                              *[F.min(donor_only(f)).alias(f"_lo_{f}") for f in feats],
+    counts = one_row(base.agg(*[F.min(donor_only(f)).alias(f"_lo_{f}") for f in feats],
                               *[F.max(donor_only(f)).alias(f"_hi_{f}") for f in feats],
                               F.count_if(F.col(target).isNotNull()).alias("_donors"),
                               F.avg(target).alias("_mean")))
     col_mean = counts["_mean"]
-    grid_dims = [f for f in feats if f != target and counts[f] == 0][:_MAX_GRID_DIMS]
     recipients = (base.where(F.col(target).isNull()).select(*feats).distinct()
                   .select(*[F.col(f).alias(f"r_{f}") for f in feats]))
-    spark = df.sparkSession
-    if len(feats) == 1 or counts["_donors"] == 0:
+    if not others or counts["_donors"] == 0:
         return recipients.withColumn("_fill", F.lit(col_mean).cast("double"))
-    if not grid_dims:
-        raise NotImplementedError(
-            "exact KNN needs at least one feature without missing values besides the target")
 
     donors = base.where(F.col(target).isNotNull())
     w_dup = Window.partitionBy(*feats).orderBy(*kcols)
     donors = (donors.withColumn("_dup", F.row_number().over(w_dup)).where(F.col("_dup") <= k)
               .drop("_dup"))
     n_donors = counts["_donors"]
-    # Cells per dimension in proportion to its range, so cells are roughly cubes
-    # in the distance metric (a narrow dimension gets few cells, a wide one many);
-    # edges are donor quantiles so dense regions get finer cells.
-    spans = {g: max(counts[f"_hi_{g}"] - counts[f"_lo_{g}"], 0.0) for g in grid_dims}
-    wide = [g for g in grid_dims if spans[g] > 0]
+    # Cells per feature in proportion to its range (roughly cubic cells in the
+    # metric, judged on the two widest features); edges are donor quantiles.
+    spans = {f: (counts[f"_hi_{f}"] - counts[f"_lo_{f}"]) if counts[f"_lo_{f}"] is not None else 0.0
+             for f in others}
+    wide = sorted([f for f in others if spans[f] > 0], key=lambda f: -spans[f])[:2]
     target_cells = max(1.0, n_donors / _TARGET_DONORS_PER_CELL)
-    side = (math.prod(spans[g] for g in wide) / target_cells) ** (1.0 / len(wide)) if wide else 0.0
-    per_dim = {g: (max(1, min(_MAX_CELLS_PER_DIM, math.ceil(spans[g] / side))) if side > 0 else 1)
-               for g in grid_dims}
-    edges = {g: _cell_edges(donors, g, per_dim[g]) for g in grid_dims}
-    n_cells = {g: len(edges[g]) - 1 for g in grid_dims}
+    side = (math.prod(spans[f] for f in wide) / target_cells) ** (1.0 / len(wide)) if wide else 0.0
+    n_want = {f: (max(1, min(_MAX_CELLS_PER_DIM, math.ceil(spans[f] / side))) if side > 0 and spans[f] > 0
+                  else 1) for f in others}
+    edges = _cell_edges(donors, n_want)
+    n_cells = {f: len(edges[f]) - 1 for f in others}
 
     def bucket(frame: DataFrame, prefix: str) -> DataFrame:
-        for g in grid_dims:
-            if n_cells[g] > 1:
-                frame = Bucketizer(splits=edges[g], inputCol=f"{prefix}{g}", outputCol=f"_cell_{g}",
+        for f in others:
+            if n_cells[f] > 1:
+                frame = Bucketizer(splits=edges[f], inputCol=f"{prefix}{f}", outputCol=f"_cell_{f}",
                                    handleInvalid="keep").transform(frame)
-                frame = frame.withColumn(f"_cell_{g}", F.col(f"_cell_{g}").cast("int"))
+                frame = frame.withColumn(f"_cell_{f}", F.when(F.col(f"{prefix}{f}").isNotNull(),
+                                                              F.col(f"_cell_{f}").cast("int")))
             else:
-                frame = frame.withColumn(f"_cell_{g}", F.lit(0))
+                frame = frame.withColumn(f"_cell_{f}", F.when(F.col(f"{prefix}{f}").isNotNull(), F.lit(0)))
         return frame
 
     donors = bucket(donors.select(*[F.col(c).alias(f"d_{c}") for c in [*kcols, *feats]]), "d_")
-    donors = _checkpoint(donors)
-    pending = _checkpoint(bucket(recipients, "r_"))
+    donors = donors.withColumn("_dmask", _mask("d_", others))
+    pending = bucket(recipients, "r_").withColumn("_rmask", _mask("r_", others))
+    donors, pending = _checkpoint(donors), _checkpoint(pending)
+    limit = 1 << len(others)
+    rmasks = sorted(r["_rmask"] for r in pending.select("_rmask").distinct().limit(limit + 1).collect())
+    dmasks = sorted(r["_dmask"] for r in donors.select("_dmask").distinct().limit(limit + 1).collect())
+
+    # Classes: (recipient mask, donor mask) sharing a feature; grid = ≤ 2 shared
+    # features with the most cells.
+    classes: dict[int, tuple[int, int, list[str]]] = {}
+    for rm in rmasks:
+        for dm in dmasks:
+            shared = [f for i, f in enumerate(others) if (rm & dm) >> i & 1]
+            if shared:
+                dims = sorted(shared, key=lambda f: (-n_cells[f], -spans[f], f))[:2]
+                classes[len(classes)] = (rm, dm, dims)
+    ids = list(classes)
+    by_dmask: dict[int, list[int]] = {}
+    by_rmask: dict[int, list[int]] = {}
+    for c, (rm, dm, _) in classes.items():
+        by_dmask.setdefault(dm, []).append(c)
+        by_rmask.setdefault(rm, []).append(c)
+
+    def class_list(mask_col: str, table: dict[int, list[int]]) -> Column:
+        expr = F.array().cast("array<int>")
+        for m, cs in table.items():
+            expr = F.when(F.col(mask_col) == m, F.array(*[F.lit(c) for c in cs])).otherwise(expr)
+        return expr
+
+    def dim_cell(prefix_cell: str, slot: int) -> Column:
+        vals = {c: (F.col(f"{prefix_cell}{classes[c][2][slot]}") if len(classes[c][2]) > slot else F.lit(0))
+                for c in ids}
+        return _pick(ids, vals, F.lit(0))
+
+    donors_c = (donors.withColumn("_class", F.explode(class_list("_dmask", by_dmask)))
+                .withColumn("_ca", dim_cell("_cell_", 0)).withColumn("_cb", dim_cell("_cell_", 1)))
+    donors_c = _checkpoint(donors_c)
     rkeys = [f"r_{f}" for f in feats]
     dkey = [f"d_{c}" for c in kcols]
-    cell_cols = [f"_cell_{g}" for g in grid_dims]
+    present = sum((F.col(f"r_{f}").isNotNull().cast("int") for f in others), F.lit(0))
+    scale = F.sqrt(F.lit(float(len(feats))) / F.greatest(present, F.lit(1)))
     resolved = []
     radius = 1
     max_cells = max(n_cells.values())
     while True:
-        covers_all = radius >= max_cells - 1
-        # Neighbour cells, clipped to the grid: at most (2R+1)^d and never more than the grid.
-        probe = pending.select(*rkeys, *[F.col(c).alias(f"_rc_{g}") for c, g in zip(cell_cols, grid_dims)])
-        for g in grid_dims:
-            lo = F.greatest(F.col(f"_rc_{g}") - radius, F.lit(0))
-            hi = F.least(F.col(f"_rc_{g}") + radius, F.lit(n_cells[g] - 1))
-            probe = probe.withColumn(f"_cell_{g}", F.explode(F.sequence(lo, hi)))
-        pairs = probe.join(donors, cell_cols, "inner")
+        per_class = pending.withColumn("_class", F.explode(class_list("_rmask", by_rmask)))
+        per_class = per_class.withColumn("_rca", dim_cell("_cell_", 0)).withColumn("_rcb", dim_cell("_cell_", 1))
+        # Box margin per (recipient, class): distance to the nearest box face in
+        # the class dims; a dim whose box spans the whole grid adds no limit.
+        margins = {}
+        for c in ids:
+            faces, covers = [], []
+            for slot, f in enumerate(classes[c][2]):
+                cell = F.col("_rca" if slot == 0 else "_rcb")
+                edge = F.array(*[F.lit(float(x)) for x in edges[f]])
+                lo_i = F.greatest(cell - radius, F.lit(0))
+                hi_i = F.least(cell + radius, F.lit(n_cells[f] - 1)) + 1
+                faces.append(F.least(F.col(f"r_{f}") - F.element_at(edge, lo_i + 1),
+                                     F.element_at(edge, hi_i + 1) - F.col(f"r_{f}")))
+                covers.append(radius >= n_cells[f] - 1)
+            margins[c] = F.lit(float("inf")) if all(covers) else (
+                F.least(*faces) if len(faces) > 1 else faces[0])
+        per_class = per_class.withColumn("_cmargin", _pick(ids, margins, F.lit(float("inf"))) * scale)
+        probe = per_class
+        for slot, col in ((0, "_rca"), (1, "_rcb")):
+            size = {c: F.lit(n_cells[classes[c][2][slot]] - 1 if len(classes[c][2]) > slot else 0) for c in ids}
+            top = _pick(ids, size, F.lit(0))
+            probe = probe.withColumn("_ca" if slot == 0 else "_cb", F.explode(F.sequence(
+                F.greatest(F.col(col) - radius, F.lit(0)),
+                F.least(F.col(col) + radius, top))))
+        pairs = probe.select(*rkeys, "_class", "_ca", "_cb").join(
+            donors_c.select("_class", "_ca", "_cb", *dkey, *[f"d_{f}" for f in feats]),
+            ["_class", "_ca", "_cb"], "inner")
         pairs = pairs.withColumn("_dist", _distance(feats, "r_", "d_")).where(F.col("_dist").isNotNull())
         w = Window.partitionBy(*rkeys).orderBy("_dist", *dkey)
-        top = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        agg = top.groupBy(*rkeys).agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_kth"),
-                                      F.avg(f"d_{target}").alias("_fill"))
-        margins = []
-        for g in grid_dims:
-            edge = F.array(*[F.lit(float(x)) for x in edges[g]])
-            lo_idx = F.greatest(F.col(f"_cell_{g}") - radius, F.lit(0))
-            hi_idx = F.least(F.col(f"_cell_{g}") + radius, F.lit(n_cells[g] - 1)) + 1
-            margins.append(F.least(F.col(f"r_{g}") - F.element_at(edge, lo_idx + 1),
-                                   F.element_at(edge, hi_idx + 1) - F.col(f"r_{g}")))
-        # Any donor outside the box is at grid distance ≥ margin, and its real
-        # distance is ≥ sqrt(F/|P|)·grid distance with |P| ≤ features present in r.
-        present = sum((F.col(f"r_{f}").isNotNull().cast("int") for f in feats), F.lit(0))
-        margin = (F.least(*margins) if len(margins) > 1 else margins[0]) * \
-            F.sqrt(F.lit(float(len(feats))) / F.greatest(present, F.lit(1)))
-        st = (pending.withColumn("_margin", margin).alias("p")
+        top_k = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+        agg = top_k.groupBy(*rkeys).agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_kth"),
+                                        F.avg(f"d_{target}").alias("_fill"))
+        margin = per_class.groupBy(*rkeys).agg(F.min("_cmargin").alias("_margin"))
+        st = (pending.alias("p")
+              .join(margin.alias("m"), [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in rkeys], "left")
               .join(agg.alias("a"), [F.col(f"p.{c}").eqNullSafe(F.col(f"a.{c}")) for c in rkeys], "left")
-              .select(*[F.col(f"p.{c}").alias(c) for c in rkeys + cell_cols],
-                      "p._margin", "a._n", "a._kth", "a._fill"))
-        ok = F.lit(covers_all) | ((F.col("_n") == k) & (F.col("_kth") < F.col("_margin")))
+              .select(*[F.col(f"p.{c}").alias(c) for c in pending.columns],
+                      F.coalesce(F.col("m._margin"), F.lit(float("inf"))).alias("_margin"),
+                      F.coalesce(F.col("a._n"), F.lit(0)).alias("_n"), "a._kth", "a._fill"))
+        ok = (F.col("_margin") == float("inf")) | ((F.col("_n") == k) & (F.col("_kth") < F.col("_margin")))
         st = _checkpoint(st.withColumn("_ok", ok))
         resolved.append(st.where(F.col("_ok")).select(
             *rkeys, F.coalesce(F.col("_fill"), F.lit(col_mean).cast("double")).alias("_fill")))
-        pending = st.where(~F.col("_ok")).select(*rkeys, *cell_cols)
-        if covers_all or pending.isEmpty():
+        pending = st.where(~F.col("_ok")).select(*pending.columns)
+        if radius >= max_cells - 1 or pending.isEmpty():
             break
         radius = radius * 2 + 1
     out = resolved[0]

@@ -59,8 +59,8 @@ def _brute_knn(X, target, k):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_knn_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,all_incomplete", [(1, False), (2, False), (3, True), (4, True)])
+def test_knn_matches_brute_force(spark, seed, all_incomplete):
     rng = np.random.default_rng(seed)
     n = 300
     X = np.column_stack([rng.normal(size=n), rng.integers(0, 5, n).astype(float), rng.normal(size=n) * 10,
@@ -69,6 +69,10 @@ def test_knn_matches_brute_force(spark, seed):
     X[rng.random(n) < 0.2, 3] = np.nan      # another incomplete feature
     X[:40, 1] = 2.0                         # a hot value / duplicate vectors
     X[:40, 2] = 1.0
+    if all_incomplete:                      # no feature is complete besides none
+        X[rng.random(n) < 0.15, 1] = np.nan
+        X[rng.random(n) < 0.1, 2] = np.nan
+        X[5, 1:] = np.nan                   # a row with no feature at all
     pdf = pd.DataFrame(X, columns=["t", "a", "b", "c"]).assign(id=np.arange(n))
     df = spark.createDataFrame(pdf)
     for k in (1, 5):
