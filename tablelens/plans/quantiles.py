@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fit import attach, materialize, one_row
+from .fit import attach, collect_bounded, materialize, one_row
 from .ranks import quantiles_from_offsets, value_offsets
 
 DEFAULT_ACCURACY = 10_000
@@ -67,12 +67,21 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     margin = 3.0 / accuracy
     sketch_probs = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    cap = _BOUNDED_KEYS if (bounded_keys or not grouped) else None
-    brackets = materialize(
-        src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                               F.percentile_approx("_v", sketch_probs, accuracy).alias("_s"))
-        .select(*keys, "n", *[F.col("_s")[i].alias(f"_lo{i}") for i in range(k)],
-                *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]), cap)
+    small = bounded_keys or not grouped
+    sketch = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                     F.percentile_approx("_v", sketch_probs, accuracy).alias("_s"))
+              .select(*keys, "n", *[F.col("_s")[i].alias(f"_lo{i}") for i in range(k)],
+                      *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]))
+    if small:
+        # Bounded number of keys: the brackets live on the driver (one row per key).
+        bracket_rows = collect_bounded(sketch, _BOUNDED_KEYS)
+        brackets = src.sparkSession.createDataFrame(bracket_rows, sketch.schema)
+        largest = max((r["n"] for r in bracket_rows), default=0)
+        expected_keys = len(bracket_rows)
+    else:
+        brackets = materialize(sketch)
+        agg = one_row(brackets.agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("c")))
+        largest, expected_keys = agg["m"] or 0, agg["c"]
 
     def with_params(frame: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
         return attach(frame, params, keys, grouped, how, broadcast=bounded_keys)
@@ -85,7 +94,6 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
             .when(F.col("_v") <= F.col(f"_hi{i}"), F.col("_v")) for i in range(k)]
     in_rows = (rows.select(*keys, F.posexplode(F.array(*tags)).alias("_i", "_t"))
                .where(F.col("_t").isNotNull()))
-    largest = one_row(brackets.agg(F.max("n").alias("m")))["m"] or 0
     n_buckets = max(1, math.ceil(2 * margin * largest * 1.5 / _ROWS_PER_BUCKET))
     off = value_offsets(in_rows, "_t", [*keys, "_i"], n_buckets=n_buckets).drop("n")
     off = with_params(off, brackets.select(*keys, "n"))
@@ -93,13 +101,18 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
     per_key = (picked.groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_qs"),
                     F.count_if(F.col("_q").isNull()).alias("_bad"), F.count(F.lit(1)).alias("_got")))
-    result = materialize(with_params(per_key, brackets.select(*keys, "n"), "right" if grouped else "left"),
-                         cap)
-    expected_keys = one_row(brackets.agg(F.count(F.lit(1)).alias("c")))["c"]
-    check = one_row(result.agg(
-        F.count(F.lit(1)).alias("c"),
-        F.coalesce(F.sum(F.coalesce(F.col("_bad"), F.lit(0)) + (F.lit(k) - F.coalesce(F.col("_got"), F.lit(0)))),
-                   F.lit(0)).alias("f")))
+    result_df = with_params(per_key, brackets.select(*keys, "n"), "right" if grouped else "left")
+    if small:
+        result_rows = collect_bounded(result_df, _BOUNDED_KEYS)
+        result = src.sparkSession.createDataFrame(result_rows, result_df.schema)
+        check = {"c": len(result_rows),
+                 "f": sum((r["_bad"] or 0) + (k - (r["_got"] or 0)) for r in result_rows)}
+    else:
+        result = materialize(result_df)
+        check = one_row(result.agg(
+            F.count(F.lit(1)).alias("c"),
+            F.coalesce(F.sum(F.coalesce(F.col("_bad"), F.lit(0)) + (F.lit(k) - F.coalesce(F.col("_got"), F.lit(0)))),
+                       F.lit(0)).alias("f")))
     if check["f"] or check["c"] != expected_keys:
         return quantiles_from_offsets(value_offsets(src, "_v", keys), probs, keys)
     return result.select(*keys, "n", F.transform("_qs", lambda s: s["_q"]).alias("q"))
