@@ -50,14 +50,24 @@ def _verified_pick(off: DataFrame, keys: list[str], probs: Sequence[float]) -> D
 _BOUNDED_KEYS = 100_000
 
 
+def sketch_probs(probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY) -> list[float]:
+    """The 2·len(probs) sketch points (p − 3ε for every p, then p + 3ε)."""
+    margin = 3.0 / accuracy
+    return [max(0.0, float(p) - margin) for p in probs] + [min(1.0, float(p) + margin) for p in probs]
+
+
 def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
                             keys: Sequence[str] = (), bounded_keys: bool = False,
-                            accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                            accuracy: int = DEFAULT_ACCURACY, brackets: list | None = None) -> DataFrame:
     """keys…, n, q (array in ``probs`` order): exact linear-interpolation quantiles.
 
     ``bounded_keys`` says the number of keys is small (e.g. one per column), so
     per-key frames may be broadcast; otherwise they are joined by key and left
     to AQE. Passes over the data: the sketch, then the bracket ranking.
+    ``brackets`` (bounded keys only) passes sketches computed elsewhere — e.g. in
+    the same aggregate as the moments — as rows of (keys…, n, s) where ``s`` is
+    ``percentile_approx(value, sketch_probs(probs), accuracy)``; the sketch
+    pass is then skipped.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
@@ -66,13 +76,22 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
     src = (df.select(*keys, F.col(value).cast("double").alias("_v"))
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     margin = 3.0 / accuracy
-    sketch_probs = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    points = sketch_probs(probs, accuracy)
     small = bounded_keys or not grouped
     sketch = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                     F.percentile_approx("_v", sketch_probs, accuracy).alias("_s"))
+                                     F.percentile_approx("_v", points, accuracy).alias("_s"))
               .select(*keys, "n", *[F.col("_s")[i].alias(f"_lo{i}") for i in range(k)],
                       *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]))
-    if small:
+    if brackets is not None:
+        if not small:
+            raise ValueError("precomputed brackets are only accepted for bounded keys")
+        bracket_rows = [tuple([*(r[c] for c in keys), int(r["n"] or 0),
+                               *[(r["s"][i] if r["s"] else None) for i in range(2 * k)]])
+                        for r in brackets if r["n"]]
+        brackets = src.sparkSession.createDataFrame(bracket_rows, sketch.schema)
+        largest = max((r[len(keys)] for r in bracket_rows), default=0)
+        expected_keys = len(bracket_rows)
+    elif small:
         # Bounded number of keys: the brackets live on the driver (one row per key).
         bracket_rows = collect_bounded(sketch, _BOUNDED_KEYS)
         brackets = src.sparkSession.createDataFrame(bracket_rows, sketch.schema)
