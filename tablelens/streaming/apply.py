@@ -35,3 +35,20 @@ def profile_each_batch(stream: DataFrame, profile: Callable[[DataFrame], DataFra
     def run(batch: DataFrame, batch_id: int) -> None:
         sink(profile(batch), batch_id)
     return stream.writeStream.foreachBatch(run)
+
+
+def running_missing_counts(stream: DataFrame) -> DataFrame:
+    """C3 on a stream: per column, rows seen and missing values so far.
+
+    A streaming aggregation over the unpivoted null flags (state: one row per
+    column), written with ``outputMode("complete")`` or ``"update"``.
+    """
+    from pyspark.sql import functions as F
+
+    from ..plans.fit import missing_cond
+    if not stream.isStreaming:
+        raise ValueError("expected a streaming DataFrame (spark.readStream …)")
+    flags = stream.select(*[missing_cond(stream, c).cast("long").alias(c) for c in stream.columns])
+    long = flags.unpivot([], stream.columns, "variable", "is_missing")
+    return long.groupBy("variable").agg(F.count(F.lit(1)).alias("rows"),
+                                        F.sum("is_missing").alias("missing"))

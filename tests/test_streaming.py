@@ -31,3 +31,19 @@ def test_fitted_models_on_a_stream(spark):
     q2.processAllAvailable()
     q2.stop()
     assert seen == [2]
+
+
+def test_running_missing_counts(spark):
+    from tablelens.streaming.apply import running_missing_counts
+    tmp = tempfile.mkdtemp(prefix="tl-stream-mc-")
+    schema = "a double, b string"
+    spark.createDataFrame([(1.0, None), (float("nan"), "x")], schema).write.parquet(os.path.join(tmp, "in", "p1"))
+    stream = spark.readStream.schema(schema).parquet(os.path.join(tmp, "in", "*"))
+    q = (running_missing_counts(stream).writeStream.outputMode("complete").format("memory")
+         .queryName("tl_missing").option("checkpointLocation", os.path.join(tmp, "ck")).start())
+    q.processAllAvailable()
+    spark.createDataFrame([(None, None)], schema).write.parquet(os.path.join(tmp, "in", "p2"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r["variable"]: (r["rows"], r["missing"]) for r in spark.sql("SELECT * FROM tl_missing").collect()}
+    assert got == {"a": (3, 2), "b": (3, 2)}
