@@ -25,7 +25,8 @@ class Spec:
     def oracle(self) -> str:
         if not self.floats:
             return self.sql.strip()
-        repl = ", ".join(f"round({c}, {self.digits}) AS {c}" for c in self.floats)
+        # "+ 0.0" folds a rounded -0.0 into 0.0 (DuckDB keeps the sign, Spark does not).
+        repl = ", ".join(f"round({c}, {self.digits}) + CAST(0 AS DOUBLE) AS {c}" for c in self.floats)
         return f"SELECT * REPLACE ({repl}) FROM (\n{self.sql.strip()}\n) AS _q"
 
 
@@ -41,7 +42,7 @@ def register(name: str, sql: str | None, floats: list[str] | None = None, digits
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every DOUBLE column to ``digits`` decimals (mirrors ``Spec.oracle``)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
