@@ -22,8 +22,10 @@ def test_dedupe_is_partial_aggregate_not_window(spark, sf001):
 
 def test_describe_pushes_projection_to_scan(spark, sf001):
     li = fx.table(spark, sf001, "lineitem")
-    p = plan(P.describe_numeric(li, ["l_quantity"]))
+    p = plan(P.describe_numeric(li, ["l_quantity"], exact=False))
     assert "ReadSchema: struct<l_quantity:double>" in p
+    p = plan(P.describe_categorical(li, ["l_returnflag"]))
+    assert "ReadSchema: struct<l_returnflag:string>" in p
 
 
 def test_filters_reach_parquet(spark, sf001):
