@@ -44,7 +44,10 @@ def export_csv(df: DataFrame, base_dir: str, name: str, digits: int = 2, single_
         raise ExportError("nothing to export: the table is empty")
     rounded = round_floats(df, digits)
     fmt = f"%.{digits}f"
-    out = rounded.select(*[F.format_string(fmt, F.col(f.name)).alias(f.name)
+    # NULL and NaN are written as empty fields, as pandas does (Java's %.2f would
+    # print a truncated "null").
+    out = rounded.select(*[F.when(F.col(f.name).isNotNull() & ~F.isnan(f.name),
+                                  F.format_string(fmt, F.col(f.name))).alias(f.name)
                            if isinstance(f.dataType, FLOAT_TYPES) else F.col(f.name)
                            for f in rounded.schema.fields])
     if single_file:

@@ -106,3 +106,37 @@ def test_refined_quantiles_equal_full_ranking(spark, pairs, accuracy):
     s = pd.Series([float(v) for _, v in pairs])
     whole = exact_quantiles_refined(df, "x", probs, accuracy=accuracy).collect()[0]["q"]
     assert whole == pytest.approx([s.quantile(p) for p in probs], abs=1e-12)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(-20, 20), min_size=4, max_size=50))
+def test_adjusted_moments_match_pandas(spark, values):
+    from tablelens.operators.charts import distribution_summary
+    s = pd.Series(values, dtype="float64")
+    r = distribution_summary(spark.createDataFrame([(float(v),) for v in values], "x double"), "x").collect()[0]
+    if s.std() == 0:
+        assert r["skewness"] is None and r["kurtosis"] is None
+    else:
+        assert r["skewness"] == pytest.approx(s.skew(), rel=1e-9, abs=1e-9)
+        assert r["kurtosis"] == pytest.approx(s.kurt(), rel=1e-9, abs=1e-9)
+    assert r["median"] == pytest.approx(s.median())
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(0, 8), min_size=1, max_size=60))
+def test_average_ranks_match_pandas(spark, values):
+    from tablelens.plans.ranks import average_ranks, value_offsets
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    ranks = {r["value"]: r["rank"] for r in average_ranks(value_offsets(df, "x", n_buckets=3)).collect()}
+    s = pd.Series(values, dtype="float64")
+    for v, rk in zip(s, s.rank(method="average")):
+        assert ranks[v] == rk
+
+
+def test_two_rows_edge_cases(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,)], "x double")
+    r = P.describe_numeric(df).collect()[0]
+    assert (r["q25"], r["q50"], r["q75"]) == (1.5, 2.0, 2.5)
+    from tablelens.operators.charts import distribution_summary
+    d = distribution_summary(df, "x").collect()[0]
+    assert d["skewness"] is None and d["kurtosis"] is None

@@ -96,3 +96,12 @@ def test_export_rules(spark):
         export_csv(df, tmp, "clean_01", today=dt.date(2024, 5, 1))
     with pytest.raises(ExportError):
         export_csv(df.limit(0), tmp, "empty_one")
+
+
+def test_non_ascii_round_trip(spark):
+    tmp = tempfile.mkdtemp(prefix="tl-utf8-")
+    df = spark.createDataFrame([(1, "café crème", 1.005), (2, "数据分析", 2.0), (3, "Ωmega ✓", None)],
+                               "id long, text string, x double")
+    p = export_csv(df, tmp, "utf8-check", today=dt.date(2024, 1, 1))
+    back = {r["id"]: (r["text"], r["x"]) for r in read_csv(spark, p).collect()}
+    assert back == {1: ("café crème", 1.0), 2: ("数据分析", 2.0), 3: ("Ωmega ✓", None)}
