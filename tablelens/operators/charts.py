@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
-from ..plans.fit import attach, clean_value, one_row
+from ..plans.fit import attach, clean_value, missing_cond, one_row
 from ..plans.quantiles import exact_quantiles_refined
 from ..plans.ranks import sorted_positions, value_offsets
 from .columns import group_label, to_numeric
@@ -32,17 +32,18 @@ def _x(df: DataFrame, var: str):
 def value_counts(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """H1: value (and optional second key), count — nulls dropped, count desc then value."""
     keys = [by, var] if by else [var]
-    base = df.where(F.col(var).isNotNull())
+    base = df.where(~missing_cond(df, var))
     if by:
-        base = base.where(F.col(by).isNotNull())
+        base = base.where(~missing_cond(df, by))
     return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), *keys))
 
 
 def value_shares(df: DataFrame, var: str) -> DataFrame:
     """H2: value, count, pct of the non-null total (pie data)."""
-    counts = df.where(F.col(var).isNotNull()).groupBy(var).agg(F.count(F.lit(1)).alias("count"))
-    total = one_row(df.agg(F.count(var).alias("n")))["n"]
+    present = df.where(~missing_cond(df, var))
+    counts = present.groupBy(var).agg(F.count(F.lit(1)).alias("count"))
+    total = one_row(present.agg(F.count(F.lit(1)).alias("n")))["n"]
     return counts.select(var, "count",
                          (F.col("count") / F.lit(max(total, 1)) * F.lit(100)).alias("pct"))
 

@@ -89,7 +89,14 @@ def long_form(df: DataFrame, cols: Sequence[str], value_type: str = "double",
     following aggregate shuffles once for all columns.
     """
     keys = list(keys)
-    prepared = df.select(*keys, *[clean_value(df, c).cast(value_type).alias(c) for c in cols])
+
+    def as_value(c: str) -> Column:
+        if value_type == "string" and isinstance(dtype_of(df, c), T.BooleanType):
+            # pandas spells booleans True / False
+            return F.when(F.col(c), F.lit("True")).when(~F.col(c), F.lit("False"))
+        return clean_value(df, c).cast(value_type)
+
+    prepared = df.select(*keys, *[as_value(c).alias(c) for c in cols])
     return prepared.unpivot(keys or [], list(cols), "variable", "value") if keys else \
         prepared.unpivot([], list(cols), "variable", "value")
 

@@ -167,3 +167,10 @@ def test_skewed_hot_value_quantiles(spark):
     grouped = {row["g"]: row["median"] for row in H.box_stats(df, "x", by="g").collect()}
     pdf = pd.DataFrame({"x": vals, "g": ["hot" if i % 3 == 0 else "cold" for i in range(len(vals))]})
     assert grouped == pdf.groupby("g")["x"].median().to_dict()
+
+
+def test_value_counts_drop_nan_and_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (1.0,), (2.0,)], "x double")
+    assert [(r["x"], r["count"]) for r in H.value_counts(df, "x").collect()] == [(1.0, 2), (2.0, 1)]
+    shares = {r["x"]: r["pct"] for r in H.value_shares(df, "x").collect()}
+    assert shares[1.0] == pytest.approx(200 / 3)

@@ -50,7 +50,7 @@ def test_describe_categorical(spark):
     df = spark.createDataFrame([("x", True), ("y", False), ("x", None), (None, True)], "s string, b boolean")
     out = {r["variable"]: r for r in P.describe_categorical(df).collect()}
     assert (out["s"]["count"], out["s"]["unique"], out["s"]["top"], out["s"]["freq"], out["s"]["missing"]) == (3, 2, "x", 2, 1)
-    assert out["b"]["top"] == "true"
+    assert out["b"]["top"] == "True"
 
 
 def test_missing_report_sorted_and_rounded(spark):
