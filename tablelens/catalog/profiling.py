@@ -248,3 +248,14 @@ def q_duplicate_count(spark, sf):
 @register("row_count", "SELECT count(*) AS rows FROM lineitem")
 def q_row_count(spark, sf):
     return prof.row_count(fx.table(spark, sf, "lineitem"))
+
+
+_POSITIONS = [0, 1, 10, 100, 1000, 10000]
+
+
+@register("select_positions",
+          "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM "
+          "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) AS t "
+          f"WHERE pos IN ({', '.join(map(str, _POSITIONS))})", ["o_totalprice"])
+def q_select_positions(spark, sf):
+    return cols.select_positions(fx.table(spark, sf, "orders"), "o_orderkey", _POSITIONS)

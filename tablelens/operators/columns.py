@@ -154,3 +154,22 @@ def value_share(df: DataFrame, name: str, value) -> DataFrame:
 def is_empty(df: DataFrame) -> bool:
     """Non-empty gate (a LIMIT 1 job)."""
     return df.isEmpty()
+
+
+def with_positions(df: DataFrame, order_by: str, name: str = "_pos") -> DataFrame:
+    """0-based row position in ``order_by`` order (a unique numeric key).
+
+    The position is the number of rows with a smaller key, taken from the
+    distributed rank plan (no global sort in one task); ties, if any, share
+    the position of their first row.
+    """
+    from ..plans.ranks import value_offsets
+    offsets = value_offsets(df.select(order_by), order_by).select(
+        F.col("value").alias("_k"), F.col("below").alias(name))
+    return df.join(offsets, df[order_by].cast("double") == offsets["_k"], "inner").drop("_k")
+
+
+def select_positions(df: DataFrame, order_by: str, positions: Sequence[int]) -> DataFrame:
+    """B7 by position (``iloc``): rows at the given 0-based positions in ``order_by`` order."""
+    wanted = sorted({int(p) for p in positions})
+    return with_positions(df, order_by).where(F.col("_pos").isin(wanted)).drop("_pos")

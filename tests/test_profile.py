@@ -140,3 +140,15 @@ def test_two_rows_edge_cases(spark):
     from tablelens.operators.charts import distribution_summary
     d = distribution_summary(df, "x").collect()[0]
     assert d["skewness"] is None and d["kurtosis"] is None
+
+
+def test_select_positions_like_iloc(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    keys = rng.permutation(500) * 3 + 7
+    pdf = pd.DataFrame({"k": keys, "v": rng.normal(size=500)})
+    df = spark.createDataFrame(pdf)
+    picks = [0, 5, 17, 499]
+    got = C.select_positions(df, "k", picks).orderBy("k").toPandas()
+    exp = pdf.sort_values("k").iloc[picks].reset_index(drop=True)
+    pd.testing.assert_frame_equal(got.reset_index(drop=True), exp, check_dtype=False)
