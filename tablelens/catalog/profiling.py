@@ -259,3 +259,11 @@ _POSITIONS = [0, 1, 10, 100, 1000, 10000]
           f"WHERE pos IN ({', '.join(map(str, _POSITIONS))})", ["o_totalprice"])
 def q_select_positions(spark, sf):
     return cols.select_positions(fx.table(spark, sf, "orders"), "o_orderkey", _POSITIONS)
+
+
+@register("preview_page",
+          "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM "
+          "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) AS t "
+          "WHERE pos >= 30 AND pos < 40", ["o_totalprice"])
+def q_preview_page(spark, sf):
+    return cols.page(fx.table(spark, sf, "orders"), 3, 10, "o_orderkey")

@@ -173,3 +173,20 @@ def select_positions(df: DataFrame, order_by: str, positions: Sequence[int]) ->
     """B7 by position (``iloc``): rows at the given 0-based positions in ``order_by`` order."""
     wanted = sorted({int(p) for p in positions})
     return with_positions(df, order_by).where(F.col("_pos").isin(wanted)).drop("_pos")
+
+
+def page(df: DataFrame, page_no: int, size: int = 10, order_by: str | None = None) -> DataFrame:
+    """B8 pages: rows [page_no·size, (page_no+1)·size) in ``order_by`` order.
+
+    With a unique numeric key the page comes from row positions (distributed
+    rank), so a deep page costs the same as the first; otherwise
+    ``orderBy().offset().limit()``.
+    """
+    if page_no < 0 or size < 1:
+        raise ValueError("page_no must be >= 0 and size >= 1")
+    lo = page_no * size
+    if order_by and isinstance(df.schema[order_by].dataType, NUMERIC_TYPES):
+        return (with_positions(df, order_by).where((F.col("_pos") >= lo) & (F.col("_pos") < lo + size))
+                .orderBy("_pos").drop("_pos"))
+    ordered = df.orderBy(order_by) if order_by else df
+    return ordered.offset(lo).limit(size)

@@ -152,3 +152,10 @@ def test_select_positions_like_iloc(spark):
     got = C.select_positions(df, "k", picks).orderBy("k").toPandas()
     exp = pdf.sort_values("k").iloc[picks].reset_index(drop=True)
     pd.testing.assert_frame_equal(got.reset_index(drop=True), exp, check_dtype=False)
+
+
+def test_page(spark):
+    df = spark.createDataFrame([(i * 2, f"r{i}") for i in range(37)], "k long, s string")
+    assert [r["k"] for r in C.page(df, 2, 10, "k").collect()] == list(range(40, 60, 2))
+    assert [r["k"] for r in C.page(df, 3, 10, "k").collect()] == list(range(60, 74, 2))
+    assert [r["s"] for r in C.page(df, 1, 5, "s").collect()] == sorted(f"r{i}" for i in range(37))[5:10]
