@@ -161,7 +161,8 @@ def with_positions(df: DataFrame, order_by: str, name: str = "_pos") -> DataFram
 
     The position is the number of rows with a smaller key, taken from the
     distributed rank plan (no global sort in one task); ties, if any, share
-    the position of their first row.
+    the position of their first row. Keys are compared as DOUBLE, so integer
+    keys must stay below 2^53 in magnitude.
     """
     from ..plans.ranks import value_offsets
     offsets = value_offsets(df.select(order_by), order_by).select(
