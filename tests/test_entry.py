@@ -42,3 +42,61 @@ def test_double_columns_are_rounded_on_both_sides(spark, sf001):
         if doubles - set(spec.floats):
             missing[name] = sorted(doubles - set(spec.floats))
     assert not missing, missing
+
+
+def _bracket_groups(text: str) -> list[str]:
+    """Top-level [...] groups of a physical Window line: [exprs], [partition], [order],
+    where Spark omits the partition and/or order group when it is empty."""
+    depth, groups, cur = 0, [], []
+    for ch in text:
+        if ch == "[":
+            depth += 1
+            if depth == 1:
+                cur = []
+                continue
+        elif ch == "]":
+            depth -= 1
+            if depth == 0:
+                groups.append("".join(cur))
+                continue
+        if depth >= 1:
+            cur.append(ch)
+    return groups
+
+
+def _unpartitioned(window_line: str) -> bool:
+    g = _bracket_groups(window_line.split("Window ", 1)[1])
+    if len(g) == 1:
+        return True
+    return len(g) == 2 and (" ASC" in g[1] or " DESC" in g[1])
+
+
+def test_bracket_groups_detects_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    glob = spark.range(5).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    part = spark.range(5).withColumn("r", F.row_number().over(Window.partitionBy(F.col("id") % 2).orderBy("id")))
+    lines = lambda df: [l for l in df._jdf.queryExecution().executedPlan().toString().splitlines()
+                        if "Window [" in l]
+    nosort = spark.range(5).withColumn("s", F.sum("id").over(Window.partitionBy(F.col("id") % 2)))
+    assert lines(glob) and all(_unpartitioned(l) for l in lines(glob))
+    assert lines(part) and not any(_unpartitioned(l) for l in lines(part))
+    assert lines(nosort) and not any(_unpartitioned(l) for l in lines(nosort))
+
+
+def test_no_query_plan_has_products_or_global_windows(spark, sf001):
+    """Scale guard over every registered query: no cartesian / nested-loop join and
+    no window without a partition spec (that would run in one task)."""
+    import re
+
+    import __spark_entry__ as e
+    bad = {}
+    for name, fn in e.queries().items():
+        plan = fn(spark, sf001)._jdf.queryExecution().executedPlan().toString()
+        problems = [p for p in ("CartesianProduct", "BroadcastNestedLoopJoin") if p in plan]
+        for line in plan.splitlines():
+            if re.search(r"\bWindow \[", line) and _unpartitioned(line):
+                problems.append("unpartitioned Window")
+        if problems:
+            bad[name] = problems
+    assert not bad, bad
