@@ -317,3 +317,14 @@ def q_impute_knn(spark, sf):
     out = imp.impute(df, knn=["c_acctbal"], k=5, knn_features=["c_acctbal", "c_nationkey", "c_custkey"],
                      knn_order=["c_custkey"])
     return out.select("c_custkey", "c_acctbal")
+
+
+@register("impute_report_total",
+          f"WITH r AS ({_report_sql()}) SELECT * FROM r UNION ALL "
+          "SELECT 'TOTAL', CAST(NULL AS VARCHAR), CAST(sum(missing_before) AS BIGINT), "
+          "CAST(sum(missing_after) AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), "
+          "CASE WHEN sum(missing_before) > 0 THEN CAST(100 AS DOUBLE) - CAST(sum(missing_after) AS DOUBLE) / "
+          "CAST(sum(missing_before) AS DOUBLE) * 100 END FROM r", ["fill_value", "success_pct"])
+def q_impute_report_total(spark, sf):
+    df, model = _plan(spark, sf)
+    return imp.impute_report(df, model, with_total=True)

@@ -35,9 +35,12 @@ class ImputeModel:
     knn_k: int = 5
     knn_features: list[str] = field(default_factory=list)
     knn_order: list[str] = field(default_factory=list)
+    complete: set[str] = field(default_factory=set)   # columns with no missing value: left as is
 
     def fill_expr(self, name: str, source: DataFrame) -> Column:
         method = self.methods[name]
+        if name in self.complete:
+            return F.col(name)
         value = self.values.get(name)
         base = clean_value(source, name)
         if method == "zero":
@@ -101,10 +104,14 @@ def fit_imputer(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] =
     model = ImputeModel(plan, types={c: df.schema[c].dataType for c in df.columns},
                         knn_k=k, knn_features=list(knn_features or []),
                         knn_order=list(knn_order or []))
-    aggs = [F.avg(clean_value(df, c).cast("double")).alias(c) for c in mean]
+    # One aggregate: means plus the missing count of every planned column
+    # (columns without a missing value are skipped, as in the reference).
+    aggs = ([F.avg(clean_value(df, c).cast("double")).alias(c) for c in mean]
+            + [F.count_if(missing_cond(df, c)).alias(f"_m_{c}") for c in plan if plan[c] != "knn"])
     if aggs:
         row = one_row(df.agg(*aggs))
         model.values.update({c: row[c] for c in mean})
+        model.complete = {c for c in plan if plan[c] != "knn" and row[f"_m_{c}"] == 0}
     if median:
         rows = exact_quantiles_refined(long_form(df, list(median)), "value", [0.5], ["variable"],
                                        bounded_keys=True).collect()
@@ -126,8 +133,10 @@ def impute(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] = (),
     return fit_imputer(df, mean, median, zero, mode, knn, k, knn_features, knn_order).transform(df)
 
 
-def impute_report(df: DataFrame, model: ImputeModel, filled: DataFrame | None = None) -> DataFrame:
-    """Variable, method, missing_before, missing_after, fill_value, fill_label, success_pct.
+def impute_report(df: DataFrame, model: ImputeModel, filled: DataFrame | None = None,
+                  with_total: bool = False) -> DataFrame:
+    """Variable, method, missing_before, missing_after, fill_value, fill_label, success_pct
+    (``with_total`` appends a TOTAL row).
 
     For the projection-only methods both counts come from one aggregate over
     the source (the fill expression is evaluated inline); KNN columns are
@@ -165,11 +174,18 @@ def impute_report(df: DataFrame, model: ImputeModel, filled: DataFrame | None =
             for c in cols]
     meta_df = df.sparkSession.createDataFrame(
         meta, "variable string, method string, fill_value double, fill_label string")
-    return (out.join(F.broadcast(meta_df), "variable")
-            .select("variable", "method", "missing_before", "missing_after", "fill_value", "fill_label",
-                    F.when(F.col("missing_before") > 0,
-                           F.lit(100.0) - F.col("missing_after") / F.col("missing_before") * F.lit(100.0))
-                    .alias("success_pct")))
+    success = F.when(F.col("missing_before") > 0,
+                     F.lit(100.0) - F.col("missing_after") / F.col("missing_before") * F.lit(100.0))
+    per_col = (out.join(F.broadcast(meta_df), "variable")
+               .select("variable", "method", "missing_before", "missing_after", "fill_value", "fill_label"))
+    if not with_total:
+        return per_col.withColumn("success_pct", success)
+    total = per_col.agg(F.lit("TOTAL").alias("variable"), F.lit(None).cast("string").alias("method"),
+                        F.sum("missing_before").alias("missing_before"),
+                        F.sum("missing_after").alias("missing_after"),
+                        F.lit(None).cast("double").alias("fill_value"),
+                        F.lit(None).cast("string").alias("fill_label"))
+    return per_col.unionByName(total).withColumn("success_pct", success)
 
 
 def impute_preview(df: DataFrame, model: ImputeModel, order_by: Sequence[str], n: int = 3) -> DataFrame:

@@ -116,3 +116,14 @@ def test_dedupe_keep_variants(spark):
     assert [r["key"] for r in none.collect()] == ["solo"]
     rep = G.dedupe_report(df, ["key"]).collect()[0]
     assert (rep["initial"], rep["remaining"], rep["removed"]) == (100, 8, 92)
+
+
+def test_complete_columns_are_left_untouched(spark):
+    df = spark.createDataFrame([(1, 2, None), (2, 4, 3.0)], "id long, full long, gap double")
+    out = I.impute(df, mean=["full", "gap"])
+    assert dict(out.dtypes)["full"] == "bigint"
+    assert [r["gap"] for r in out.orderBy("id").collect()] == [3.0, 3.0]
+    model = I.fit_imputer(df, mean=["full", "gap"])
+    rep = {r["variable"]: r for r in I.impute_report(df, model, with_total=True).collect()}
+    assert rep["TOTAL"]["missing_before"] == 1 and rep["TOTAL"]["success_pct"] == 100.0
+    assert rep["full"]["success_pct"] is None
