@@ -156,6 +156,12 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def _position_table(df: DataFrame, order_by: str, name: str) -> DataFrame:
+    from ..plans.ranks import value_offsets
+    return value_offsets(df.select(order_by), order_by).select(
+        F.col("value").alias("_k"), F.col("below").alias(name))
+
+
 def with_positions(df: DataFrame, order_by: str, name: str = "_pos") -> DataFrame:
     """0-based row position in ``order_by`` order (a unique numeric key).
 
@@ -164,16 +170,24 @@ def with_positions(df: DataFrame, order_by: str, name: str = "_pos") -> DataFram
     the position of their first row. Keys are compared as DOUBLE, so integer
     keys must stay below 2^53 in magnitude.
     """
-    from ..plans.ranks import value_offsets
-    offsets = value_offsets(df.select(order_by), order_by).select(
-        F.col("value").alias("_k"), F.col("below").alias(name))
+    offsets = _position_table(df, order_by, name)
     return df.join(offsets, df[order_by].cast("double") == offsets["_k"], "inner").drop("_k")
 
 
+def _rows_at(df: DataFrame, order_by: str, keep, bound: int) -> DataFrame:
+    """Rows whose position satisfies ``keep``: the position table is filtered first,
+    so at most ``bound`` keys are broadcast back to the table (no full shuffle)."""
+    wanted = _position_table(df, order_by, "_pos").where(keep)
+    return (df.join(F.broadcast(wanted), df[order_by].cast("double") == wanted["_k"], "inner")
+            .drop("_k"))
+
+
 def select_positions(df: DataFrame, order_by: str, positions: Sequence[int]) -> DataFrame:
     """B7 by position (``iloc``): rows at the given 0-based positions in ``order_by`` order."""
     wanted = sorted({int(p) for p in positions})
-    return with_positions(df, order_by).where(F.col("_pos").isin(wanted)).drop("_pos")
+    if len(wanted) > MAX_BROADCAST_SELECTION:
+        return with_positions(df, order_by).where(F.col("_pos").isin(wanted)).drop("_pos")
+    return _rows_at(df, order_by, F.col("_pos").isin(wanted), len(wanted)).drop("_pos")
 
 
 def page(df: DataFrame, page_no: int, size: int = 10, order_by: str | None = None) -> DataFrame:
@@ -186,8 +200,8 @@ def page(df: DataFrame, page_no: int, size: int = 10, order_by: str | None = Non
     if page_no < 0 or size < 1:
         raise ValueError("page_no must be >= 0 and size >= 1")
     lo = page_no * size
-    if order_by and isinstance(df.schema[order_by].dataType, NUMERIC_TYPES):
-        return (with_positions(df, order_by).where((F.col("_pos") >= lo) & (F.col("_pos") < lo + size))
-                .orderBy("_pos").drop("_pos"))
+    if order_by and isinstance(df.schema[order_by].dataType, NUMERIC_TYPES) and size <= MAX_BROADCAST_SELECTION:
+        keep = (F.col("_pos") >= lo) & (F.col("_pos") < lo + size)
+        return _rows_at(df, order_by, keep, size).orderBy("_pos").drop("_pos")
     ordered = df.orderBy(order_by) if order_by else df
     return ordered.offset(lo).limit(size)
