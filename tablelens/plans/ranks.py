@@ -52,6 +52,13 @@ def value_offsets(df: DataFrame, value: str, keys: Sequence[str] = (),
           .where(F.col("value").isNotNull() & ~F.isnan("value"))
           .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")))
     nb = n_buckets or _bucket_count(spark)
+    if keys and nb == 1:
+        # Caller-bounded keys (e.g. quantile brackets): one window per key suffices.
+        per_key = Window.partitionBy(*keys)
+        ordered = per_key.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return vc.select(*keys, "value", "cnt",
+                         F.coalesce(F.sum("cnt").over(ordered), F.lit(0)).alias("below"),
+                         F.sum("cnt").over(per_key).alias("n"))
     splits: list[float] = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
