@@ -51,9 +51,10 @@ def q_density_histogram(spark, sf):
     return ch.density_histogram(fx.table(spark, sf, "events"), "value", 30)
 
 
-def box_sql(src: str, var: str, by: str | None = None) -> str:
+def box_sql(src: str, var: str, by: str | None = None, label: str | None = None) -> str:
+    """DuckDB twin of charts.box_stats; ``label`` names the group column in the output."""
     g = f"{by}" if by else "0"
-    gsel = f"g AS {by}, " if by else ""
+    gsel = f'g AS "{label or by}", ' if by else ""
     return (
         f"WITH x AS (SELECT {g} AS g, CAST({var} AS DOUBLE) AS v FROM {src} WHERE {var} IS NOT NULL), "
         f"q AS (SELECT g, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, quantile_cont(v, 0.25) AS q1, "
@@ -85,9 +86,7 @@ def q_box_outliers(spark, sf):
     return ch.box_outliers(fx.table(spark, sf, "events"), "value")
 
 
-@register("grouped_box", box_sql("events", "value", by="event_type").replace(
-    "g AS event_type", "g AS \"group\"").replace("SELECT event_type AS g", "SELECT event_type AS g"),
-    _BOX_FLOATS)
+@register("grouped_box", box_sql("events", "value", by="event_type", label="group"), _BOX_FLOATS)
 def q_grouped_box(spark, sf):
     return ch.grouped_box(fx.table(spark, sf, "events"), "event_type", "value")
 
