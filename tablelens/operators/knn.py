@@ -39,7 +39,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import materialize, one_row
+from ..plans.fit import collect_bounded, materialize, one_row
 
 _TARGET_DONORS_PER_CELL = 64
 _MAX_CELLS_PER_DIM = 1024
@@ -142,11 +142,14 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
 
     donors = bucket(donors.select(*[F.col(c).alias(f"d_{c}") for c in [*kcols, *feats]]), "d_")
     donors = donors.withColumn("_dmask", _mask("d_", others))
-    pending = bucket(recipients, "r_").withColumn("_rmask", _mask("r_", others))
-    donors, pending = _checkpoint(donors), _checkpoint(pending)
+    pending = _checkpoint(bucket(recipients, "r_").withColumn("_rmask", _mask("r_", others)))
     limit = 1 << len(others)
-    rmasks = sorted(r["_rmask"] for r in pending.select("_rmask").distinct().limit(limit + 1).collect())
-    dmasks = sorted(r["_dmask"] for r in donors.select("_dmask").distinct().limit(limit + 1).collect())
+    rmasks = sorted(r["_rmask"] for r in collect_bounded(pending.select("_rmask").distinct(), limit))
+    # Donor masks from a distinct aggregate over the base rows (at most 2^F rows);
+    # only the class-expanded donors below are written as a stage.
+    dmask_frame = (base.where(F.col(target).isNotNull())
+                   .select(_mask("", others).alias("_dmask")).distinct())
+    dmasks = sorted(r["_dmask"] for r in collect_bounded(dmask_frame, limit))
 
     # Classes: (recipient mask, donor mask) sharing a feature; grid = ≤ 2 shared
     # features with the most cells.
