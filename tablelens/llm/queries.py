@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated, find_contamination
+from .embedding_dedup import dedup_embeddings
+from .language import classify_language
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
+from .packing import pack_documents
+from .pipeline import pack_digest
+from .simhash import print_hex, simhash_dedup
+from .token_output import token_digests, write_to_stage
+from .toxicity import classify_toxicity
 from .url_filter import filter_urls
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -38,6 +47,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classify_toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc.doc_id", "held_out", "score", "predicted")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
 #: The rules that the query's contract fixes: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,8 +95,25 @@ SELECT parts.page_id, host, path, fits.rule AS rule, coalesce(fits.verdict, 'all
 FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND fits.n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": op1_line_dedup,
-    "op6_url_filters": op6_url_filters,
-}
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=3)
+    return out.select("doc_id", print_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, write_to_stage(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc.doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_line_dedup, op2_packing, op3_toxicity, op4_embedding_dedup, op5_decontamination, op6_url_filters,
+    op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_url_filters": OP6_SQL}
