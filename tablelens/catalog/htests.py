@@ -1,15 +1,18 @@
 """I keys: hypothesis tests.
 
-``<test>`` keys carry the statistic, which DuckDB computes too (E/S oracle);
-``<test>_full`` keys add the p-value and verdict and are rows-only (DuckDB has
-no t/χ²/Kolmogorov tails) — p-values are pinned by pytest goldens instead.
+``<test>`` keys carry the statistic; ``<test>_full`` keys add the p-value and
+verdict. DuckDB has no tail functions, so the twins sum them up: Student's t by
+the finite trigonometric series for whole degrees of freedom (the normal limit
+otherwise, for Welch's many), χ² by the series of the incomplete gamma
+function, Kolmogorov by its alternating series, Shapiro by Royston's normal
+transform — other methods than the library's continued fractions.
 """
 
 from __future__ import annotations
 
 from .. import fixtures as fx
 from ..functions.normal import norm_cdf_sql, ppnd_sql
-from ..functions.tails import _SW_C1, _SW_C2
+from ..functions.tails import _SW_C1, _SW_C2, _SW_C5, _SW_C6
 from ..operators import htests as ht
 from ..registry import register
 
@@ -17,6 +20,42 @@ LM = fx.LINEITEM_MISSING_SQL
 _LM_NOT_NULL = "l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_returnflag IS NOT NULL"
 
 
+def _t_p_sql(t: str, dof: str) -> str:
+    """Two-sided p of Student's t as SQL text over columns ``t`` and ``dof``."""
+    cos2, sine = f"({dof} / ({dof} + {t} * {t}))", f"sqrt({t} * {t} / ({dof} + {t} * {t}))"
+    even = (f"1 - {sine} * list_sum(list_transform(range(0, CAST({dof} / 2 AS BIGINT)), "
+            f"lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0) - 0.5 * ln(pi()) + j * ln({cos2}))))")
+    odd = (f"1 - 2 / pi() * (atan(abs({t}) / sqrt({dof})) + {sine} * sqrt({cos2}) * coalesce(list_sum(list_transform("
+           f"range(0, CAST(({dof} - 1) / 2 AS BIGINT)), lambda j: exp(2 * j * ln(2.0) + 2 * lgamma(j + 1.0) "
+           f"- lgamma(2 * j + 2.0) + j * ln({cos2})))), 0))")
+    z = f"(abs({t}) * (1 - 1 / (4 * {dof})) / sqrt(1 + {t} * {t} / (2 * {dof})))"
+    limit = f"2 * {norm_cdf_sql('-' + z)}"
+    return (f"(CASE WHEN {t} IS NULL THEN NULL WHEN isinf({t}) THEN 0.0 WHEN {dof} <> floor({dof}) THEN {limit} "
+            f"WHEN CAST({dof} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END)")
+
+
+def _chi2_p_sql(x: str, dof: str) -> str:
+    a, h = f"({dof} / 2.0)", f"({x} / 2.0)"
+    return (f"(CASE WHEN {dof} = 0 OR {x} <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 3000), "
+            f"lambda k: exp(({a} + k) * ln({h}) - {h} - lgamma({a} + k + 1.0)))) END)")
+
+
+def _ks_p_sql(d: str, n: str) -> str:
+    lam = f"((sqrt({n}) + 0.12 + 0.11 / sqrt({n})) * {d})"
+    return (f"greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 200), "
+            f"lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * {lam} * {lam})))))")
+
+
+def _verdict_sql(p: str, small: str, otherwise: str) -> str:
+    return f"CASE WHEN {p} IS NULL THEN 'undetermined' WHEN {p} < 0.05 THEN '{small}' ELSE '{otherwise}' END"
+
+
+def _with_p(inner: str, p: str, small: str, otherwise: str, extra: str = "") -> str:
+    """``inner``'s columns, the p-value and its verdict."""
+    return (f"SELECT *, {_verdict_sql('p_value', small, otherwise)} AS verdict{extra} "
+            f"FROM (SELECT *, {p} AS p_value FROM ({inner}) AS s) AS q")
+
+
 def _poly_sql(coefs: list[float], x: str) -> str:
     return " + ".join(f"{c!r} * pow({x}, {i})" for i, c in enumerate(coefs))
 
@@ -49,7 +88,13 @@ def q_shapiro(spark, sf):
     return ht.shapiro(fx.table(spark, sf, "events"), "value", by="event_type").select("event_type", "n", "w")
 
 
-@register("shapiro_full", None)
+def _shapiro_p_sql() -> str:
+    y = (f"((ln(1 - w) - ({_poly_sql(_SW_C5, 'ln(n)')})) / exp({_poly_sql(_SW_C6, 'ln(n)')}))")
+    return f"1 - {norm_cdf_sql(y)}"  # groups of more than 11 values
+
+
+@register("shapiro_full", _with_p(_shapiro_sql(), _shapiro_p_sql(), "not normal", "normal",
+                                  ", n >= 3 AND n <= 5000 AS p_reliable"), ["w", "p_value"])
 def q_shapiro_full(spark, sf):
     return ht.shapiro(fx.table(spark, sf, "events"), "value", by="event_type")
 
@@ -72,7 +117,7 @@ def q_ks_normal(spark, sf):
     return ht.ks_normal(fx.table(spark, sf, "lineitem"), "l_extendedprice").select("n", "statistic")
 
 
-@register("ks_normal_full", None)
+@register("ks_normal_full", _with_p(_ks_sql(), _ks_p_sql("statistic", "n"), "not normal", "normal"), ["statistic", "p_value"])
 def q_ks_normal_full(spark, sf):
     return ht.ks_normal(fx.table(spark, sf, "lineitem"), "l_extendedprice")
 
@@ -92,7 +137,9 @@ def q_pearson(spark, sf):
     return ht.pearson(fx.lineitem_missing(spark, sf), "l_quantity", "l_extendedprice").select("n", "r", "t_stat")
 
 
-@register("pearson_full", None)
+@register("pearson_full",
+          _with_p(_corr_sql(f"(SELECT * FROM {LM} AS m WHERE {_LM_NOT_NULL}) AS t", "l_quantity", "l_extendedprice"),
+                  _t_p_sql("t_stat", "CAST(n - 2 AS DOUBLE)"), "significant", "not significant"), ["r", "t_stat", "p_value"])
 def q_pearson_full(spark, sf):
     return ht.pearson(fx.lineitem_missing(spark, sf), "l_quantity", "l_extendedprice")
 
@@ -107,7 +154,9 @@ def q_spearman(spark, sf):
     return ht.spearman(fx.table(spark, sf, "lineitem"), "l_quantity", "l_discount").select("n", "r", "t_stat")
 
 
-@register("spearman_full", None)
+@register("spearman_full",
+          _with_p(_corr_sql(_spearman_src("l_quantity", "l_discount"), "rx", "ry"),
+                  _t_p_sql("t_stat", "CAST(n - 2 AS DOUBLE)"), "significant", "not significant"), ["r", "t_stat", "p_value"])
 def q_spearman_full(spark, sf):
     return ht.spearman(fx.table(spark, sf, "lineitem"), "l_quantity", "l_discount")
 
@@ -137,11 +186,19 @@ def q_chi2_yates(spark, sf):
     return ht.chi2(fx.table(spark, sf, "labels"), "quality", "toxic").select("n", "dof", "chi2", "yates")
 
 
-@register("chi2_full", None)
+@register("chi2_full", _with_p(_chi2_sql("labels", "quality", "toxic"), _chi2_p_sql("chi2", "dof"), "dependent", "independent"),
+          ["chi2", "p_value"])
 def q_chi2_full(spark, sf):
     return ht.chi2(fx.table(spark, sf, "labels"), "quality", "toxic")
 
 
+@register("chi2_table_full",
+          _with_p(_chi2_sql("orders", "o_orderpriority", "o_orderstatus"), _chi2_p_sql("chi2", "dof"), "dependent", "independent"),
+          ["chi2", "p_value"])
+def q_chi2_table_full(spark, sf):
+    return ht.chi2(fx.table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")
+
+
 @register("contingency",
           "SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem "
           "WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2")
@@ -190,19 +247,31 @@ def q_t_test_welch(spark, sf):
                      equal_var=False).select(*_T_COLS)
 
 
-@register("t_test_full", None)
+@register("t_test_full", _with_p(_t_sql(True), _t_p_sql("t_stat", "dof"), "significant", "not significant"), [*_T_FLOATS, "p_value"])
 def q_t_test_full(spark, sf):
     return ht.t_test(fx.table(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice")
 
 
-@register("t_test_welch_full", None)
+@register("t_test_welch_full", _with_p(_t_sql(False), _t_p_sql("t_stat", "dof"), "significant", "not significant"), [*_T_FLOATS, "p_value"])
 def q_t_test_welch_full(spark, sf):
     return ht.t_test(fx.table(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice", equal_var=False)
 
 
-@register("t_test_by", None)
+def _t_by_sql() -> str:
+    dof, se = "CAST(n1 + n2 - 2 AS DOUBLE)", "sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))"
+    inner = (
+        "WITH g AS (SELECT l_returnflag AS b, l_linestatus AS c, count(*) AS n, avg(l_extendedprice) AS m, "
+        "var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) "
+        "SELECT l_returnflag, group_1, group_2, n_1, n_2, mean_1, mean_2, "
+        f"(mean_1 - mean_2) / {se} AS t_stat, {dof} AS dof, 'ok' AS status FROM (SELECT a.b AS l_returnflag, a.c AS group_1, "
+        "b.c AS group_2, a.n AS n_1, b.n AS n_2, a.m AS mean_1, b.m AS mean_2, CAST(a.n AS DOUBLE) AS n1, CAST(b.n AS DOUBLE) AS n2, "
+        "a.v AS v1, b.v AS v2 FROM g AS a JOIN g AS b ON a.b = b.b AND a.c < b.c) AS p")
+    return _with_p(inner, _t_p_sql("t_stat", "dof"), "significant", "not significant")
+
+
+@register("t_test_by", _t_by_sql(), [*_T_FLOATS, "p_value"])
 def q_t_test_by(spark, sf):
-    return ht.t_test(fx.table(spark, sf, "orders"), "o_orderstatus", "o_totalprice", by="o_orderpriority")
+    return ht.t_test(fx.table(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice", by="l_returnflag")
 
 
 # ----------------------------------------------------------- grouped (by=) variants

@@ -37,15 +37,20 @@ def q_search_columns(spark, sf):
     return cols.search_columns(fx.table(spark, sf, "lineitem"), "PRICE|tax")
 
 
-@register("column_roles", _values([(c, t, ROLE[t]) for c, t in LINEITEM_TYPES], "variable, dtype, role"))
+def _present_sql(rows: list[tuple], names: str) -> str:
+    """The typed list of ``lineitem_missing``'s columns with each one's count of present values."""
+    counts = union_all([f"SELECT '{c}' AS variable, count({c}) AS present FROM {LM} AS m" for c, _ in LINEITEM_TYPES])
+    return f"SELECT t.*, c.present FROM ({_values(rows, names)}) AS t JOIN ({counts}) AS c USING (variable)"
+
+
+@register("column_roles", _present_sql([(c, t, ROLE[t]) for c, t in LINEITEM_TYPES], "variable, dtype, role"))
 def q_column_roles(spark, sf):
-    return cols.column_roles(fx.table(spark, sf, "lineitem"))
+    return cols.column_roles(fx.lineitem_missing(spark, sf), counts=True)
 
 
-@register("schema_report", _values([(i + 1, c, t) for i, (c, t) in enumerate(LINEITEM_TYPES)],
-                                   "position, variable, dtype"))
+@register("schema_report", _present_sql([(i + 1, c, t) for i, (c, t) in enumerate(LINEITEM_TYPES)], "position, variable, dtype"))
 def q_schema_report(spark, sf):
-    return cols.schema_report(fx.table(spark, sf, "lineitem"))
+    return cols.schema_report(fx.lineitem_missing(spark, sf), counts=True)
 
 
 _FLOATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -154,9 +159,26 @@ def q_describe_numeric_nan(spark, sf):
     return prof.describe_numeric(fx.lineitem_nan(spark, sf), ["l_tax"])
 
 
-@register("describe_numeric_approx", None)
+_APPROX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("describe_numeric_approx", union_all([
+    f"SELECT '{c}' AS variable, count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, "
+    f"true AS q25_ok, true AS q50_ok, true AS q75_ok FROM lineitem" for c in _APPROX]), ["mean", "std", "min", "max"])
 def q_describe_numeric_approx(spark, sf):
-    return prof.describe_numeric(fx.table(spark, sf, "lineitem"), exact=False)
+    """Approximate quartiles are held against the data: the rank of each is within a thousandth of what it should be."""
+    li = fx.table(spark, sf, "lineitem")
+    out = prof.describe_numeric(li, _APPROX, exact=False)
+    q = {r["variable"]: r for r in out.collect()}
+    ranks = li.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c) <= F.lit(q[c][k])).alias(f"{c}_{k}_upto") for c in _APPROX for k in ("q25", "q50", "q75")],
+                   *[F.count_if(F.col(c) < F.lit(q[c][k])).alias(f"{c}_{k}_below") for c in _APPROX for k in ("q25", "q50", "q75")]).first()
+    ok = {}
+    for c in _APPROX:
+        for k, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            ok[c, k] = ranks[f"{c}_{k}_below"] <= (p + 0.001) * ranks["n"] and ranks[f"{c}_{k}_upto"] >= (p - 0.001) * ranks["n"]
+    flags = spark.createDataFrame([(c, ok[c, "q25"], ok[c, "q50"], ok[c, "q75"]) for c in _APPROX],
+                                  "variable string, q25_ok boolean, q50_ok boolean, q75_ok boolean")
+    return out.join(F.broadcast(flags), "variable").select("variable", "count", "mean", "std", "min", "max", "q25_ok", "q50_ok", "q75_ok")
 
 
 def _cat_counts_sql(source: str, c: str) -> str:

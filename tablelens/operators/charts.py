@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
-from ..plans.fit import attach, clean_value, missing_cond, one_row
+from ..plans.fit import attach, clean_value, col, missing_cond, one_row, parse_double
 from ..plans.quantiles import exact_quantiles_refined
 from ..plans.ranks import sorted_positions, value_offsets
-from .columns import group_label, to_numeric
+from .columns import drop_missing, group_label, sample_rows
 
 KDE_POINTS = 100
 DENSITY_BINS = 30
@@ -35,16 +35,16 @@ def value_counts(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     base = df.where(~missing_cond(df, var))
     if by:
         base = base.where(~missing_cond(df, by))
-    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), *keys))
+    return (base.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), *map(col, keys)))
 
 
 def value_shares(df: DataFrame, var: str) -> DataFrame:
     """H2: value, count, pct of the non-null total (pie data)."""
     present = df.where(~missing_cond(df, var))
-    counts = present.groupBy(var).agg(F.count(F.lit(1)).alias("count"))
+    counts = present.groupBy(col(var)).agg(F.count(F.lit(1)).alias("count"))
     total = one_row(present.agg(F.count(F.lit(1)).alias("n")))["n"]
-    return counts.select(var, "count",
+    return counts.select(col(var), "count",
                          (F.col("count") / F.lit(max(total, 1)) * F.lit(100)).alias("pct"))
 
 
@@ -112,10 +112,10 @@ def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     src = (df.select(*[group_label(k).alias(k) for k in keys], _x(df, var).alias("_x"))
            .where(F.col("_x").isNotNull()))
     quart = exact_quantiles_refined(src, "_x", [0.25, 0.5, 0.75], keys)
-    iqr = F.col("q")[2] - F.col("q")[0]
-    fences = quart.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                          F.col("q")[2].alias("q3"), (F.col("q")[0] - F.lit(1.5) * iqr).alias("lower_fence"),
-                          (F.col("q")[2] + F.lit(1.5) * iqr).alias("upper_fence"))
+    q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))  # NULL where there is no value at all
+    iqr = q3 - q1
+    fences = quart.select(*keys, "n", q1.alias("q1"), median.alias("median"), q3.alias("q3"),
+                          (q1 - F.lit(1.5) * iqr).alias("lower_fence"), (q3 + F.lit(1.5) * iqr).alias("upper_fence"))
     rows = attach(src, fences.select(*keys, "lower_fence", "upper_fence"), keys, bool(by))
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     whisk = rows.groupBy(*keys).agg(
@@ -123,7 +123,7 @@ def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
         F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
         F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
-    out = attach(whisk, fences, keys, bool(by), "inner").where(F.col("n").isNotNull())
+    out = attach(whisk, fences, keys, bool(by), "inner", broadcast=False).where(F.col("n") > 0)
     notch = F.lit(NOTCH_FACTOR) * (F.col("q3") - F.col("q1")) / F.sqrt(F.col("n"))
     return out.select(*keys, "n", "mean", "std", "q1", "median", "q3",
                       "lower_fence", "upper_fence", "whisker_low", "whisker_high", "outliers",
@@ -132,19 +132,22 @@ def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
 
 
 def box_outliers(df: DataFrame, var: str) -> DataFrame:
-    """H4: the raw outlier points (value) outside the fences."""
-    stats = box_stats(df, var).select("lower_fence", "upper_fence")
-    r = one_row(stats)
-    x = _x(df, var)
-    return df.select(x.alias("value")).where(
-        (F.col("value") < F.lit(r["lower_fence"])) | (F.col("value") > F.lit(r["upper_fence"])))
+    """H4: the raw outlier points (value) outside the fences; none in a table without values."""
+    points = df.select(_x(df, var).alias("value"))
+    quart = exact_quantiles_refined(points, "value", [0.25, 0.75]).collect()  # one row
+    if not quart or not quart[0]["n"]:
+        return points.where(F.lit(False))
+    q1, q3 = quart[0]["q"]
+    return points.where((F.col("value") < q1 - 1.5 * (q3 - q1)) | (F.col("value") > q3 + 1.5 * (q3 - q1)))
 
 
-def prepare_groups(df: DataFrame, quali: str, quanti: str, null_label: str = "None") -> DataFrame:
+def prepare_groups(df: DataFrame, quali: str, quanti: str, null_label: str = "None",
+                   keep: Sequence[str] = ()) -> DataFrame:
     """B9 + B10 + B5: (group, value) with the group as text (missing = own group) and
-    the value coerced to number; rows whose value does not parse are dropped."""
+    the value coerced to number; rows whose value does not parse are dropped.
+    ``keep`` names columns to carry along."""
     return (df.select(group_label(quali, null_label).alias("group"),
-                      to_numeric(F.col(quanti)).alias("value"))
+                      parse_double(col(quanti), df.schema[quanti].dataType).alias("value"), *[col(k) for k in keep])
             .where(F.col("value").isNotNull() & ~F.isnan("value")))
 
 
@@ -163,61 +166,73 @@ def grouped_mean(df: DataFrame, quali: str, quanti: str) -> DataFrame:
 
 
 def strip_points(df: DataFrame, quali: str, quanti: str, max_points: int | None = None,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, row_key: Sequence[str] | None = None) -> DataFrame:
     """H7: group, value, group_mean for every point.
 
-    ``max_points`` turns on a seeded hash sample (a sampling feature, off by
-    default). Group means are joined by key; AQE broadcasts them when small and
-    splits skewed groups otherwise.
+    ``max_points`` shows a sample of that many points (a sampling feature, off
+    by default; see :func:`sample_rows`). Group means are those of all points;
+    they are looked up by group without shuffling the points.
     """
-    g = prepare_groups(df, quali, quanti)
-    if max_points is not None:
-        total = one_row(g.agg(F.count(F.lit(1)).alias("n")))["n"]
-        if total > max_points:
-            frac = max_points / total
-            g = g.where((F.abs(F.xxhash64(F.lit(seed), "group", "value")) % 1_000_000)
-                        < F.lit(int(frac * 1_000_000)))
+    g = prepare_groups(df, quali, quanti, keep=row_key or ())
     means = g.groupBy("group").agg(F.avg("value").alias("group_mean"))
-    return g.join(means, "group", "left").select("group", "value", "group_mean")
+    if max_points is not None:
+        g = sample_rows(g, max_points, seed, row_key)
+    return attach(g, means, ["group"], True, "left").select("group", "value", "group_mean")
 
 
 def scatter_points(df: DataFrame, cols: Sequence[str], max_points: int | None = None,
-                   seed: int = 42) -> DataFrame:
-    """Scatter-matrix data: the selected columns with listwise-missing rows dropped."""
-    out = df.select(*[_x(df, c).alias(c) for c in cols]).na.drop(how="any")
+                   seed: int = 42, row_key: Sequence[str] | None = None) -> DataFrame:
+    """Scatter-matrix data: the selected columns with listwise-missing rows dropped,
+    optionally a sample of ``max_points`` rows (see :func:`sample_rows`)."""
+    keys = [k for k in row_key or () if k not in cols]
+    out = drop_missing(df.select(*[col(k) for k in keys], *[_x(df, c).alias(c) for c in cols]), cols)
     if max_points is not None:
-        total = one_row(out.agg(F.count(F.lit(1)).alias("n")))["n"]
-        if total > max_points:
-            frac = max_points / total
-            out = out.where((F.abs(F.xxhash64(F.lit(seed), *cols)) % 1_000_000)
-                            < F.lit(int(frac * 1_000_000)))
-    return out
+        out = sample_rows(out, max_points, seed, row_key)
+    return out.select(*[col(c) for c in cols])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
                        listwise: bool = True) -> DataFrame:
-    """H8: long form (var_x, var_y, r) of Pearson correlations, one aggregate for all pairs.
+    """H8: long form (var_x, var_y, r) of Pearson correlations.
 
     Rows with a missing value in any selected column are dropped first
     (listwise). A constant column gives NULL (no division by zero). The
-    diagonal is exactly 1 for non-constant columns.
+    diagonal is exactly 1 for non-constant columns. One pass gets every column's
+    count and deviation, one more the whole matrix of cross-products, whatever
+    the number of columns; only the matrix reaches the driver.
     """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
     from ..plans.fit import numeric_columns
     cols = list(cols) if cols else numeric_columns(df)[:4]
-    base = df.select(*[_x(df, c).alias(c) for c in cols])
-    if listwise:
-        base = base.na.drop(how="any")
+    names = [f"c{i}" for i in range(len(cols))]
+    base = df.select(*[_x(df, c).alias(n) for c, n in zip(cols, names)])
+    if not listwise:
+        return _pairwise_correlation(base, names, cols)
+    base = base.na.drop(how="any")
+    spread = one_row(base.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_samp(n).alias(n) for n in names]))
+    live = [i for i, n in enumerate(names) if spread["n"] > 1 and spread[n] and spread[n] > 0]
+    r = {}
+    if len(live) > 1:
+        vectors = VectorAssembler(inputCols=[names[i] for i in live], outputCol="v").transform(base).select("v")
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        r = {(i, j): float(matrix[a, b]) for a, i in enumerate(live) for b, j in enumerate(live)}
+    rows = [(x, y, (1.0 if i == j else r[i, j]) if i in live and j in live else None)
+            for i, x in enumerate(cols) for j, y in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "var_x string, var_y string, r double")
+
+
+def _pairwise_correlation(base: DataFrame, names: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Correlations over the rows that have both values of a pair; one expression set per pair."""
     structs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            if a == b:
-                r = F.when(F.stddev_samp(a) > 0, F.lit(1.0))
-            else:
-                den = F.stddev_samp(a) * F.stddev_samp(b)
-                r = F.when(den > 0, F.covar_samp(a, b) / den)
-            structs.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), r.alias("r")))
-            if a != b:
-                structs.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"), r.alias("r")))
+    for a, x in zip(names, cols):
+        for b, y in zip(names, cols):
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            u, v = F.when(both, F.col(a)), F.when(both, F.col(b))
+            den = F.stddev_samp(u) * F.stddev_samp(v)
+            r = F.when(den > 0, F.lit(1.0) if a == b else F.covar_samp(u, v) / den)
+            structs.append(F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), r.alias("r")))
     return base.agg(F.array(*structs).alias("_a")).select(F.explode("_a").alias("_s")).select("_s.*")
 
 
@@ -233,9 +248,8 @@ def _grid(lo: float, hi: float, points: int):
 def kde(df: DataFrame, var: str, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian KDE (Scott bandwidth h = n^(−1/5)·std) on ``points`` grid points.
 
-    Equal values are pre-aggregated with their count; each distinct value then
-    emits its weighted contribution to every grid point (``posexplode`` of a
-    computed array — no join) and a partial aggregate sums them per point.
+    Every row adds its kernel to the ``points`` sums of one map-side aggregate:
+    no data is shuffled, one row of sums per task is.
     """
     x = _x(df, var)
     r = one_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"),
@@ -249,17 +263,11 @@ def kde(df: DataFrame, var: str, points: int = KDE_POINTS) -> DataFrame:
     grid = [lo + step * i for i in range(points)]
     if points > 1:
         grid[-1] = hi
-    vc = df.select(x.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(
-        F.count(F.lit(1)).alias("c"))
-    garr = F.array(*[F.lit(float(g)) for g in grid])
-    contrib = vc.select(F.posexplode(F.transform(
-        garr, lambda g: F.col("c") * F.exp(-((g - F.col("v")) * (g - F.col("v"))) / F.lit(2.0 * h * h))))
-        .alias("i", "w"))
     norm = float(n) * h * math.sqrt(2.0 * math.pi)
-    sums = contrib.groupBy("i").agg(F.sum("w").alias("s"))
-    gridf = spark.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "i int, x double")
-    return (gridf.join(F.broadcast(sums), "i", "left")
-            .select("i", "x", (F.coalesce(F.col("s"), F.lit(0.0)) / F.lit(norm)).alias("density")))
+    kernel = lambda g: F.sum(F.exp((x - F.lit(float(g))) * (x - F.lit(float(g))) * F.lit(-0.5 / (h * h))))
+    sums = one_row(df.agg(F.array(*[kernel(g) for g in grid]).alias("s")))["s"]
+    return spark.createDataFrame([(i, float(g), float(w) / norm) for i, (g, w) in enumerate(zip(grid, sums))],
+                                 "i int, x double, density double")
 
 
 def normal_curve(df: DataFrame, var: str, points: int = KDE_POINTS) -> DataFrame:
@@ -322,6 +330,6 @@ def distribution_summary(df: DataFrame, var: str, by: str | None = None) -> Data
                                      F.stddev_samp("_x").alias("std"), skew.alias("skewness"),
                                      kurt.alias("kurtosis"))
     med = exact_quantiles_refined(src.where(F.col("_x").isNotNull()), "_x", [0.5], keys).select(
-        *keys, F.col("q")[0].alias("median"))
-    out = attach(moments, med, keys, bool(by), "left")
+        *keys, F.get("q", F.lit(0)).alias("median"))
+    out = attach(moments, med, keys, bool(by), "left", broadcast=False)
     return out.select(*([by] if by else []), "n", "mean", "median", "std", "skewness", "kurtosis")

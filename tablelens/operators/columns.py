@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.fit import FLOAT_TYPES, NUMERIC_TYPES, collect_bounded
+from ..plans.fit import FLOAT_TYPES, NUMERIC_TYPES, col, collect_bounded, materialize, missing_cond, parse_double
 
 ROLE_QUANTITATIVE = "quantitative"
 ROLE_QUALITATIVE = "qualitative"
 ROLE_TEMPORAL = "temporal"
 ROLE_OTHER = "other"
 
-MAX_INLINE_SELECTION = 10_000        # keys inlined as an IN list
-MAX_BROADCAST_SELECTION = 1_000_000  # keys broadcast for the semi-join
 
 
 def role_of(dt: T.DataType, field: T.StructField | None = None) -> str:
@@ -40,20 +38,34 @@ def search_columns(df: DataFrame, pattern: str) -> DataFrame:
     No match gives a frame with no columns (reported, not raised).
     """
     rx = re.compile(pattern, re.IGNORECASE)
-    return df.select(*[c for c in df.columns if rx.search(c)])
+    return df.select(*[col(c) for c in df.columns if rx.search(c)])
 
 
-def column_roles(df: DataFrame) -> DataFrame:
-    """B2: (variable, dtype, role) — a schema walk, no job over the data."""
+def _present_counts(df: DataFrame) -> dict[str, int]:
+    aggs = [F.count(F.when(~missing_cond(df, c), 1)).alias(str(i)) for i, c in enumerate(df.columns)]
+    row = collect_bounded(df.agg(*aggs), 1)[0] if aggs else []
+    return dict(zip(df.columns, row))
+
+
+def column_roles(df: DataFrame, counts: bool = False) -> DataFrame:
+    """B2: (variable, dtype, role) — a schema walk. ``counts`` adds ``present``, the number
+    of values that are not missing, from one aggregate over the data."""
     rows = [(f.name, type_name(f.dataType), role_of(f.dataType)) for f in df.schema.fields]
     schema = "variable string, dtype string, role string"
+    if counts:
+        present = _present_counts(df)
+        rows, schema = [(*r, present[r[0]]) for r in rows], schema + ", present long"
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def schema_report(df: DataFrame) -> DataFrame:
-    """(position, variable, dtype)."""
+def schema_report(df: DataFrame, counts: bool = False) -> DataFrame:
+    """(position, variable, dtype), and ``present`` as in :func:`column_roles`."""
     rows = [(i + 1, f.name, type_name(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, variable string, dtype string")
+    schema = "position int, variable string, dtype string"
+    if counts:
+        present = _present_counts(df)
+        rows, schema = [(*r, present[r[1]]) for r in rows], schema + ", present long"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def round_half_even(c: Column, digits: int = 2) -> Column:
@@ -74,21 +86,23 @@ def round_floats(df: DataFrame, digits: int = 2, only_fractional: bool = True) -
     targets = floats
     if only_fractional:
         flags = collect_bounded(df.agg(*[
-            F.max(F.when(~F.isnan(c) & (F.col(c) != F.floor(c)), F.lit(1)).otherwise(F.lit(0)))
+            F.max(F.when(~F.isnan(col(c)) & (col(c) != F.floor(col(c))), F.lit(1)).otherwise(F.lit(0)))
             .alias(c) for c in floats]), 1)[0]
         targets = [c for c in floats if flags[c] == 1]
-    return df.select(*[round_half_even(F.col(c), digits).alias(c) if c in targets else F.col(c)
+    return df.select(*[round_half_even(col(c), digits).alias(c) if c in targets else col(c)
                        for c in df.columns])
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with NULL (or NaN) in any of ``subset`` (default: all columns)."""
-    return df.na.drop(how="any", subset=list(subset) if subset else None)
+    for name in subset or df.columns:
+        df = drop_missing_of(df, name)
+    return df
 
 
 def drop_missing_of(df: DataFrame, name: str) -> DataFrame:
     """Rows where ``name`` is present."""
-    c = F.col(name)
+    c = col(name)
     cond = c.isNotNull()
     if isinstance(df.schema[name].dataType, FLOAT_TYPES):
         cond = cond & ~F.isnan(c)
@@ -98,22 +112,14 @@ def drop_missing_of(df: DataFrame, name: str) -> DataFrame:
 def select_rows(df: DataFrame, key: str | Sequence[str], selection: DataFrame | Sequence) -> DataFrame:
     """Keep rows whose key appears in ``selection`` (a DataFrame of keys or a list).
 
-    A Python list is a user selection (bounded by what the caller typed) and is
-    broadcast; a DataFrame is joined and left to AQE, which broadcasts it only
-    when its measured size allows.
+    Either becomes a semi-join; adaptive execution broadcasts the selection when
+    its measured size allows.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if isinstance(selection, DataFrame):
-        sel = selection.select(*keys).distinct()
-        return df.join(sel, on=keys, how="left_semi")
-    values = list(selection)
-    if len(keys) == 1 and len(values) <= MAX_INLINE_SELECTION:
-        return df.where(F.col(keys[0]).isin(values))
-    schema = df.select(*keys).schema
-    sel = df.sparkSession.createDataFrame([tuple(v) if len(keys) > 1 else (v,) for v in values], schema)
-    # Broadcast only a selection of checked size; larger ones are a regular join.
-    sel = F.broadcast(sel) if len(values) <= MAX_BROADCAST_SELECTION else sel
-    return df.join(sel, on=keys, how="left_semi")
+    if not isinstance(selection, DataFrame):
+        schema = df.select(*[col(k) for k in keys]).schema
+        selection = df.sparkSession.createDataFrame([tuple(v) if len(keys) > 1 else (v,) for v in selection], schema)
+    return df.join(selection.select(*[col(k) for k in keys]).distinct(), on=keys, how="left_semi")
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | str | None = None) -> DataFrame:
@@ -125,27 +131,25 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | str | None = No
 
 
 def to_numeric(c: str | Column) -> Column:
-    """``pd.to_numeric(errors='coerce')`` — unparsable → NULL (try_cast)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast("double")
+    """``pd.to_numeric(errors='coerce')`` — what pandas does not parse as a number → NULL."""
+    return parse_double(col(c) if isinstance(c, str) else c)
 
 
 def group_label(c: str | Column, null_label: str = "None") -> Column:
     """Group key as text; a missing key becomes its own labelled group."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(col.cast("string"), F.lit(null_label))
+    return F.coalesce((col(c) if isinstance(c, str) else c).cast("string"), F.lit(null_label))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN → NULL in every floating column."""
-    return df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, FLOAT_TYPES) else F.col(f.name)
+    return df.select(*[F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, FLOAT_TYPES) else col(f.name)
                        for f in df.schema.fields])
 
 
 def value_share(df: DataFrame, name: str, value) -> DataFrame:
     """Rows equal to ``value`` and their share of *all* rows (nulls included)."""
-    hit = F.col(name) == F.lit(value)
+    hit = col(name) == F.lit(value)
     return df.agg(F.count_if(hit).alias("matches"),
                   F.count(F.lit(1)).alias("rows"),
                   (F.count_if(hit) * F.lit(100.0) / F.count(F.lit(1))).alias("pct"))
@@ -156,52 +160,66 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-def _position_table(df: DataFrame, order_by: str, name: str) -> DataFrame:
-    from ..plans.ranks import value_offsets
-    return value_offsets(df.select(order_by), order_by).select(
-        F.col("value").alias("_k"), F.col("below").alias(name))
+def _total_order(df: DataFrame, order_by: Sequence[str] | str | None) -> list[Column]:
+    """Ascending by ``order_by`` (NULL first, compared as their own type), then by every other
+    sortable column, so that only identical rows are tied."""
+    first = [order_by] if isinstance(order_by, str) else list(order_by or [])
+    rest = [f.name for f in df.schema.fields if f.name not in first and "map<" not in f.dataType.simpleString()]
+    return [col(c).asc_nulls_first() for c in [*first, *rest]]
 
 
-def with_positions(df: DataFrame, order_by: str, name: str = "_pos") -> DataFrame:
-    """0-based row position in ``order_by`` order (a unique numeric key).
+def with_positions(df: DataFrame, order_by: Sequence[str] | str, name: str = "_pos") -> DataFrame:
+    """Adds the 0-based row position in ``order_by`` order, unique for every row.
 
-    The position is the number of rows with a smaller key, taken from the
-    distributed rank plan (no global sort in one task); ties, if any, share
-    the position of their first row. Keys are compared as DOUBLE, so integer
-    keys must stay below 2^53 in magnitude.
+    Rows are range-partitioned, sorted within partitions and written once; a
+    position is the row's place in its partition plus the sizes of the
+    partitions before it (one collected number per partition). Keys of any type,
+    NULL keys (first) and ties (broken by the other columns) all get a position.
     """
-    offsets = _position_table(df, order_by, name)
-    return df.join(offsets, df[order_by].cast("double") == offsets["_k"], "inner").drop("_k")
-
-
-def _rows_at(df: DataFrame, order_by: str, keep, bound: int) -> DataFrame:
-    """Rows whose position satisfies ``keep``: the position table is filtered first,
-    so at most ``bound`` keys are broadcast back to the table (no full shuffle)."""
-    wanted = _position_table(df, order_by, "_pos").where(keep)
-    return (df.join(F.broadcast(wanted), df[order_by].cast("double") == wanted["_k"], "inner")
-            .drop("_k"))
-
-
-def select_positions(df: DataFrame, order_by: str, positions: Sequence[int]) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = _total_order(df, order_by)
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_id")))
+    part = F.shiftright("_id", 33)
+    sizes = collect_bounded(placed.groupBy(part.cast("int").alias("p")).count(), parts)
+    before, starts = 0, []
+    for p, n in sorted((r["p"], r["count"]) for r in sizes):
+        starts.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "_p int, _before long")
+    return (placed.withColumn("_p", part.cast("int")).join(F.broadcast(starts), "_p")
+            .select("_row.*", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name)))
+
+
+def select_positions(df: DataFrame, order_by: Sequence[str] | str, positions: Sequence[int]) -> DataFrame:
     """B7 by position (``iloc``): rows at the given 0-based positions in ``order_by`` order."""
-    wanted = sorted({int(p) for p in positions})
-    if len(wanted) > MAX_BROADCAST_SELECTION:
-        return with_positions(df, order_by).where(F.col("_pos").isin(wanted)).drop("_pos")
-    return _rows_at(df, order_by, F.col("_pos").isin(wanted), len(wanted)).drop("_pos")
+    wanted = df.sparkSession.createDataFrame([(int(p),) for p in sorted(set(positions))], "_pos long")
+    return with_positions(df, order_by).join(wanted, "_pos", "left_semi").drop("_pos")
 
 
-def page(df: DataFrame, page_no: int, size: int = 10, order_by: str | None = None) -> DataFrame:
-    """B8 pages: rows [page_no·size, (page_no+1)·size) in ``order_by`` order.
+def page(df: DataFrame, page_no: int, size: int = 10, order_by: Sequence[str] | str | None = None) -> DataFrame:
+    """B8 pages: rows [page_no·size, (page_no+1)·size) in ``order_by`` order (NULL first, ties by the other columns).
 
-    With a unique numeric key the page comes from row positions (distributed
-    rank), so a deep page costs the same as the first; otherwise
-    ``orderBy().offset().limit()``.
+    One plan for every size, type and key: ORDER BY … LIMIT … OFFSET, where each
+    task hands on at most the rows up to the page's end. For very deep pages of a
+    table that is paged through again and again, keep :func:`with_positions` and
+    filter it.
     """
     if page_no < 0 or size < 1:
         raise ValueError("page_no must be >= 0 and size >= 1")
-    lo = page_no * size
-    if order_by and isinstance(df.schema[order_by].dataType, NUMERIC_TYPES) and size <= MAX_BROADCAST_SELECTION:
-        keep = (F.col("_pos") >= lo) & (F.col("_pos") < lo + size)
-        return _rows_at(df, order_by, keep, size).orderBy("_pos").drop("_pos")
-    ordered = df.orderBy(order_by) if order_by else df
-    return ordered.offset(lo).limit(size)
+    ordered = df.orderBy(*_total_order(df, order_by)) if order_by else df
+    return ordered.offset(page_no * size).limit(size)
+
+
+def sample_rows(df: DataFrame, max_rows: int, seed: int = 42, row_key: Sequence[str] | None = None) -> DataFrame:
+    """At most ``max_rows`` rows, exactly that many if there are more.
+
+    With ``row_key`` (columns that tell rows apart) the rows with the smallest
+    md5 of seed and key are taken: the same on every run and engine. Without,
+    every row draws a seeded random number, equal rows too. Either way each task
+    hands on at most ``max_rows`` rows.
+    """
+    if not row_key:
+        return df.orderBy(F.rand(seed)).limit(max_rows)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in row_key]).cast("binary"))
+    return df.orderBy(draw, *_total_order(df, row_key)).limit(max_rows)

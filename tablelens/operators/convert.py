@@ -14,37 +14,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.fit import FLOAT_TYPES, one_row
+from ..plans.fit import FLOAT_TYPES, one_row, parse_double, parse_long
+from ..plans.fit import col as named
 
 TARGETS = {"int64": "bigint", "float64": "double", "category": "string", "object": "string",
            "text": "string", "datetime": "timestamp"}
 
-# pandas.to_datetime parses month-first when ambiguous; tried in order.
+# Tried in order. Of the two slash formats a column is read by one only: month first,
+# as pandas does, unless day first parses more of its values.
 DEFAULT_DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
                             "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd")
 
+_AMBIGUOUS = ("MM/dd/yyyy", "dd/MM/yyyy")
+
 
 def _present(df: DataFrame, c: str) -> Column:
-    col = F.col(c)
+    col = named(c)
     if isinstance(df.schema[c].dataType, FLOAT_TYPES):
         return col.isNotNull() & ~F.isnan(col)
     return col.isNotNull()
 
 
 def _parsed(df: DataFrame, c: str, target: str, formats: Sequence[str]) -> Column:
-    col = F.col(c)
+    col = named(c)
     dt = df.schema[c].dataType
     if target == "int64":
-        return F.when(_present(df, c), col.try_cast("bigint"))
+        return F.when(_present(df, c), parse_long(col, dt))
     if target == "float64":
-        return F.when(_present(df, c), col.try_cast("double"))
+        return F.when(_present(df, c), parse_double(col, dt))
     if target in ("category", "object", "text"):
         return col.cast("string")
     if target == "datetime":
         if isinstance(dt, (T.TimestampType, T.DateType, T.TimestampNTZType)):
             return col.cast("timestamp")
         s = col.cast("string")
-        return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        # ISO text in all its forms (fractions, Z, offsets) first, then the other formats.
+        return F.coalesce(s.try_cast("timestamp"), *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
     raise ValueError(f"unknown target type {target!r}; expected one of {sorted(TARGETS)}")
 
 
@@ -65,6 +70,9 @@ def plan_conversion(df: DataFrame, targets: Mapping[str, str],
             raise ValueError(f"unknown target type {target!r}")
         checks += [_fail_count(df, c, target, formats).alias(f"{c}__fail"),
                    F.count_if(~_present(df, c)).alias(f"{c}__missing")]
+        if target == "datetime":
+            text = named(c).cast("string")
+            checks += [F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"{c}__{i}") for i, f in enumerate(_AMBIGUOUS)]
     row = one_row(df.agg(*checks)) if checks else None
     plan = []
     for c, target in targets.items():
@@ -79,7 +87,12 @@ def plan_conversion(df: DataFrame, targets: Mapping[str, str],
             status = "failed"
         else:
             status = "converted"
-        plan.append({"variable": c, "from_type": current, "to_type": target, "status": status,
+        kept = list(formats)
+        if target == "datetime":
+            month_first, day_first = row[f"{c}__0"], row[f"{c}__1"]
+            drop = _AMBIGUOUS[1] if month_first >= day_first else _AMBIGUOUS[0]
+            kept = [f for f in formats if f != drop or not set(_AMBIGUOUS) <= set(formats)]
+        plan.append({"formats": kept, "variable": c, "from_type": current, "to_type": target, "status": status,
                      "failed_rows": failed,
                      "nulls_filled": missing if (target == "int64" and status == "converted") else 0})
     return plan
@@ -89,13 +102,14 @@ def apply_conversion(df: DataFrame, plan: list[dict],
                      formats: Sequence[str] = DEFAULT_DATETIME_FORMATS) -> DataFrame:
     """E1-E5 as one projection. int64 fills missing with 0 (NaN → 0 then cast)."""
     todo = {p["variable"]: p["to_type"] for p in plan if p["status"] == "converted"}
+    own_formats = {p["variable"]: p.get("formats", formats) for p in plan}
     out = []
     for c in df.columns:
         if c not in todo:
-            out.append(F.col(c))
+            out.append(named(c))
             continue
         target = todo[c]
-        expr = _parsed(df, c, target, formats)
+        expr = _parsed(df, c, target, own_formats[c])
         if target == "int64":
             expr = F.coalesce(expr, F.lit(0).cast("bigint"))
         meta = {"role": "category"} if target == "category" else None

@@ -1,9 +1,11 @@
-"""G — deduplication with a deterministic survivor and no window sort.
-
-The survivor of a group is ``min(struct(order_by…, other columns…))`` — an
-ordinary hash aggregate. Its partial (map-side) phase keeps one candidate per
-key per task, so a key holding a third of the table costs one row per task in
-the shuffle instead of a third of the table in one window partition.
+"""G — deduplication with a deterministic survivor and no window.
+
+The survivor of a group is ``min(struct(order_by…, other columns…))``. A struct
+has no fixed width, so Spark runs this as a sort aggregate: each task sorts its
+rows by key before the partial phase. That phase keeps one candidate per key
+per task, so a key holding a third of the table costs one row per task in the
+shuffle instead of a third of the table in one window partition. Whole-row
+comparison (no subset) is ``distinct``, a hash aggregate.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fit import col
+
 
 def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     return list(subset) if subset else list(df.columns)
@@ -31,24 +35,24 @@ def dedupe(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool
         raise ValueError("keep must be 'first', 'last' or False")
     if keep is False:
         others = [c for c in df.columns if c not in keys]
-        agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    *( [F.min(F.struct(*others)).alias("_r")] if others else []))
+        agg = df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_n"),
+                                              *([F.min(F.struct(*map(col, others))).alias("_r")] if others else []))
         kept = agg.where(F.col("_n") == 1)
-        return kept.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+        return kept.select(*[col(c) if c in keys else F.col("_r").getField(c).alias(c) for c in df.columns])
     if not subset or set(keys) == set(df.columns):
         return df.distinct()
     order = [c for c in (order_by or []) if c not in keys]
     others = [c for c in df.columns if c not in keys and c not in order]
-    payload = F.struct(*[F.col(c) for c in order + others])
+    payload = F.struct(*[col(c) for c in order + others])
     pick = F.min(payload) if keep == "first" else F.max(payload)
-    agg = df.groupBy(*keys).agg(pick.alias("_r"))
-    return agg.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    agg = df.groupBy(*map(col, keys)).agg(pick.alias("_r"))
+    return agg.select(*[col(c) if c in keys else F.col("_r").getField(c).alias(c) for c in df.columns])
 
 
 def dedupe_report(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool = "first") -> DataFrame:
     """Initial, remaining, removed, pct_removed — from one grouped aggregate."""
     keys = _keys(df, subset)
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_n"))
     remaining = (F.count_if(F.col("_n") == 1) if keep is False else F.count(F.lit(1)))
     return (groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("initial"),
                        remaining.alias("remaining"))

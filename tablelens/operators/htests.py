@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
-from ..plans.fit import attach, clean_value
+from ..plans.fit import attach, clean_value, safe_div
 from ..plans.ranks import average_ranks, keyed_offsets, sorted_positions
 from .columns import group_label
 
@@ -24,8 +24,8 @@ SHAPIRO_MAX_RELIABLE_N = 5000
 
 
 def verdict(p: Column, alpha: float, when_small: str, otherwise: str) -> Column:
-    """Label from a p-value; a NULL p is 'not significant'."""
-    return F.when(p < F.lit(alpha), F.lit(when_small)).otherwise(F.lit(otherwise))
+    """Label from a p-value; without one the test is 'undetermined'."""
+    return F.when(p.isNull() | F.isnan(p), F.lit("undetermined")).when(p < F.lit(alpha), F.lit(when_small)).otherwise(F.lit(otherwise))
 
 
 def _keyed(df: DataFrame, cols: Sequence[str], by: str | None) -> tuple[DataFrame, list[str]]:
@@ -59,13 +59,12 @@ def shapiro(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA
         at(F.lit(1), "value").alias("x_1"), at(F.lit(2), "value").alias("x_2"),
         at(F.col("n") - 1, "value").alias("x_n1"), at(F.col("n"), "value").alias("x_n"))
     ssq = src.groupBy(*keys).agg((F.var_pop(var) * F.count(var)).alias("ssq"))
-    joined = attach(sums, ssq, keys, bool(by))
+    joined = attach(sums, ssq, keys, bool(by), broadcast=False)
     res = joined.withColumn("_r", shapiro_udf("n", "sum_m2", "sum_mx", "m_n", "m_n1",
                                               "x_1", "x_2", "x_n1", "x_n", "ssq"))
     p = F.col("_r.p_value")
     return _out(res, by, ["n", F.col("_r.w").alias("w"), p.alias("p_value"),
-                          F.when(p > F.lit(alpha), F.lit("normal")).otherwise(F.lit("not normal"))
-                          .alias("verdict"),
+                          verdict(p, alpha, "not normal", "normal").alias("verdict"),
                           ((F.col("n") >= 3) & (F.col("n") <= SHAPIRO_MAX_RELIABLE_N)).alias("p_reliable")])
 
 
@@ -89,8 +88,7 @@ def ks_normal(df: DataFrame, var: str, by: str | None = None, alpha: float = ALP
     p = ks_p_udf("statistic", "n")
     res = st.withColumn("p_value", p)
     return _out(res, by, ["n", "statistic", "p_value",
-                          F.when(F.col("p_value") > F.lit(alpha), F.lit("normal"))
-                          .otherwise(F.lit("not normal")).alias("verdict")])
+                          verdict(F.col("p_value"), alpha, "not normal", "normal").alias("verdict")])
 
 
 # --------------------------------------------------------------------- I3/I4
@@ -196,7 +194,7 @@ def chi2_statistic(df: DataFrame, a: str, b: str, by: str | None = None,
     grouped = bool(by)
     rflat = rstat.select(*keys, "n_rows", "n", "inv_r", F.col("_fa.r").alias("r1"))
     cflat = cstat.select(*keys, "n_cols", "inv_c", F.col("_fb._b").alias("b1"), F.col("_fb.c").alias("c1"))
-    st = attach(attach(cellstats, rflat, keys, grouped), cflat, keys, grouped)
+    st = attach(attach(cellstats, rflat, keys, grouped, broadcast=False), cflat, keys, grouped, broadcast=False)
     st = st.withColumn("o11", F.when(F.col("_m._b") == F.col("b1"), F.col("_m.o")).otherwise(F.lit(0)))
     st = st.withColumn("s", F.col("s_rc") * F.col("n"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
@@ -249,9 +247,10 @@ def t_statistic(df: DataFrame, cat: str, num: str, by: str | None = None, equal_
     else:
         a1, a2 = v1 / n1, v2 / n2
         se = F.sqrt(a1 + a2)
-        dof = (a1 + a2) * (a1 + a2) / (a1 * a1 / (n1 - 1) + a2 * a2 / (n2 - 1))
+        dof = safe_div((a1 + a2) * (a1 + a2), a1 * a1 / (n1 - 1) + a2 * a2 / (n2 - 1))
     ok = F.col("k") == 2
-    t = F.when(ok & (se > 0), diff / se)
+    # Two constant groups: an infinite t if they differ, none if they don't.
+    t = F.when(ok & (se > 0), diff / se).when(ok & (se == 0) & (diff != 0), F.signum(diff) * F.lit(float("inf")))
     return two.select(*keys,
                       F.col("g1._c").alias("group_1"), F.col("g2._c").alias("group_2"),
                       F.col("g1.n").alias("n_1"), F.col("g2.n").alias("n_2"),
@@ -264,7 +263,8 @@ def t_test(df: DataFrame, cat: str, num: str, by: str | None = None, equal_var:
            listwise: str = "all", alpha: float = ALPHA, order_key: str | None = None) -> DataFrame:
     """I7 (pooled, ``equal_var=True``) / I8 (Welch): two-sided p and verdict."""
     st = t_statistic(df, cat, num, by, equal_var, listwise, order_key)
-    res = st.withColumn("p_value", F.when(F.col("t_stat").isNotNull(), t_p_udf(F.col("t_stat"), F.col("dof"))))
+    p = F.when(F.abs("t_stat") == float("inf"), 0.0).when(F.col("t_stat").isNotNull(), t_p_udf(F.col("t_stat"), F.col("dof")))
+    res = st.withColumn("p_value", p)
     return _out(res, by, ["group_1", "group_2", "n_1", "n_2", "mean_1", "mean_2", "t_stat", "dof",
                           "p_value", verdict(F.col("p_value"), alpha, "significant", "not significant")
                           .alias("verdict"), "status"])

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.fit import (clean_value, is_numeric, long_form, missing_cond, one_row)
+from ..plans.fit import clean_value, col, is_numeric, long_form, missing_cond, one_row
 from ..plans.quantiles import exact_quantiles_refined
-from .profile import category_counts, missing_counts
+from .profile import category_counts, missing_counts, mode_order
 
 METHODS = ("mean", "median", "zero", "mode", "knn")
 
@@ -40,7 +40,7 @@ class ImputeModel:
     def fill_expr(self, name: str, source: DataFrame) -> Column:
         method = self.methods[name]
         if name in self.complete:
-            return F.col(name)
+            return col(name)
         value = self.values.get(name)
         base = clean_value(source, name)
         if method == "zero":
@@ -52,15 +52,18 @@ class ImputeModel:
         return F.coalesce(base.cast("double"), F.lit(float(value)))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        simple = {c for c, m in self.methods.items() if m != "knn"}
-        out = df.select(*[self.fill_expr(c, df).alias(c) if c in simple else F.col(c)
-                          for c in df.columns])
+        def filled(frame: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+            return frame.select(*[self.fill_expr(c, frame).alias(c) if self.methods.get(c) in methods else col(c)
+                                  for c in frame.columns])
+
         knn_cols = [c for c, m in self.methods.items() if m == "knn"]
-        if knn_cols:
-            from .knn import knn_impute
-            out = knn_impute(out, knn_cols, k=self.knn_k,
-                             features=self.knn_features or None, order_by=self.knn_order or None)
-        return out
+        if not knn_cols:
+            return filled(df, ("mean", "median", "zero", "mode"))
+        from .knn import knn_impute
+        # Neighbours are sought among mean-filled features, not zero-filled ones.
+        out = knn_impute(filled(df, ("mean", "median")), knn_cols, k=self.knn_k,
+                         features=self.knn_features or None, order_by=self.knn_order or None)
+        return filled(out, ("zero", "mode"))
 
 
 def _plan(mean=(), median=(), zero=(), mode=(), knn=()) -> dict[str, str]:
@@ -118,8 +121,7 @@ def fit_imputer(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] =
         model.values.update({r["variable"]: r["q"][0] for r in rows})
     if mode:
         modes = (category_counts(df, list(mode)).where(F.col("value").isNotNull())
-                 .groupBy("variable")
-                 .agg(F.min(F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v"))).alias("m"))
+                 .groupBy("variable").agg(F.min(mode_order(df, mode)).alias("m"))
                  .select("variable", F.col("m.v").alias("v")).collect())
         model.values.update({r["variable"]: r["v"] for r in modes})
     return model
@@ -192,24 +194,28 @@ def impute_preview(df: DataFrame, model: ImputeModel, order_by: Sequence[str], n
     """Up to ``n`` changed rows per column (smallest ``order_by`` first).
 
     variable, method, <order_by…>, before ('NA'), after_value (numeric fills),
-    after_label (mode fills). ``row_number() <= n`` per variable is planned with
+    after_label (mode fills). With KNN columns ``order_by`` must be the unique row
+    key. ``row_number() <= n`` per variable is planned with
     a partial WindowGroupLimit below the shuffle, so each task ships ≤ n rows
     per variable.
     """
     from pyspark.sql import Window
 
     keys = list(order_by)
+    knn = [c for c, m in model.methods.items() if m == "knn"]
+    source, after = df, {c: model.fill_expr(c, df) for c, m in model.methods.items() if m != "knn"}
+    if knn:  # the neighbours' values come from the filled table, joined back by the row key
+        done = model.transform(df).select(*[col(k) for k in keys], *[col(c).alias(f"_after_{c}") for c in knn])
+        source = df.join(done, keys)
+        after |= {c: F.col(f"_after_{c}") for c in knn}
     parts = []
     for c, m in model.methods.items():
-        if m == "knn":
-            continue
-        after = model.fill_expr(c, df)
         is_text = m == "mode" and not is_numeric(model.types[c])
-        parts.append(df.where(missing_cond(df, c)).select(
+        parts.append(source.where(missing_cond(df, c)).select(
             F.lit(c).alias("variable"), F.lit(m).alias("method"), *keys,
             F.lit("NA").alias("before"),
-            (F.lit(None).cast("double") if is_text else after.cast("double")).alias("after_value"),
-            (after.cast("string") if is_text else F.lit(None).cast("string")).alias("after_label")))
+            (F.lit(None).cast("double") if is_text else after[c].cast("double")).alias("after_value"),
+            (after[c].cast("string") if is_text else F.lit(None).cast("string")).alias("after_label")))
     if not parts:
         raise ImputePlanError("nothing to preview")
     allp = parts[0]

@@ -39,7 +39,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import collect_bounded, materialize, one_row
+from ..plans.fit import clean_value, collect_bounded, materialize, one_row
 
 _TARGET_DONORS_PER_CELL = 64
 _MAX_CELLS_PER_DIM = 1024
@@ -100,16 +100,19 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     others = [f for f in feats if f != target]
     kcols = [f"_key{i}" for i in range(len(key))]
     base = df.select(*[F.col(c).alias(kc) for c, kc in zip(key, kcols)],
-                     *[F.col(f).cast("double").alias(f) for f in feats])
+                     *[clean_value(df, f).cast("double").alias(f) for f in feats])
     donor_only = lambda c: F.when(F.col(target).isNotNull(), F.col(c))
     counts = one_row(base.agg(*[F.min(donor_only(f)).alias(f"_lo_{f}") for f in feats],
                               *[F.max(donor_only(f)).alias(f"_hi_{f}") for f in feats],
                               F.count_if(F.col(target).isNotNull()).alias("_donors"),
                               F.avg(target).alias("_mean")))
     col_mean = counts["_mean"]
+    if counts["_donors"] == 0:
+        from .impute import ImputePlanError
+        raise ImputePlanError(f"column {target!r} has no value to learn from")
     recipients = (base.where(F.col(target).isNull()).select(*feats).distinct()
                   .select(*[F.col(f).alias(f"r_{f}") for f in feats]))
-    if not others or counts["_donors"] == 0:
+    if not others:
         return recipients.withColumn("_fill", F.lit(col_mean).cast("double"))
 
     donors = base.where(F.col(target).isNotNull())
@@ -248,7 +251,9 @@ def knn_impute(df: DataFrame, targets: Sequence[str], k: int = 5, features: Sequ
     """Fill every column of ``targets`` with the mean of its k nearest donors.
 
     ``features`` defaults to ``targets`` (the imputer is fitted on the selected
-    columns only); ``order_by`` is a unique row key used for tie-breaking.
+    columns only); ``order_by`` is a unique row key used for tie-breaking. NaN
+    counts as missing, in targets and in features; a target without any value is
+    an error. ``k`` may be 1 to 1000.
     """
     if not order_by:
         raise ValueError("knn_impute needs order_by= (a unique row key) for deterministic ties")
@@ -259,12 +264,12 @@ def knn_impute(df: DataFrame, targets: Sequence[str], k: int = 5, features: Sequ
         if t not in feats:
             feats.append(t)
     key = list(order_by)
-    originals = [F.col(f).cast("double").alias(f"_f_{f}") for f in feats]
+    originals = [clean_value(df, f).cast("double").alias(f"_f_{f}") for f in feats]
     out = df.select(*df.columns, *originals)
     for t in targets:
         fills = knn_fill_column(df, t, feats, key, k)
         cond = [F.col(f"_f_{f}").eqNullSafe(F.col(f"r_{f}")) for f in feats]
         joined = out.join(fills, cond, "left")
-        out = joined.select(*[F.coalesce(F.col(c).cast("double"), F.col("_fill")).alias(c) if c == t
+        out = joined.select(*[F.coalesce(F.col(f"_f_{t}"), F.col("_fill")).alias(c) if c == t
                               else F.col(c) for c in out.columns])
     return out.select(*df.columns)

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fit import (clean_value, long_form, materialize, missing_cond, numeric_columns,
+from ..plans.fit import (clean_value, col, dtype_of, is_numeric, long_form, materialize, missing_cond, numeric_columns,
                          qualitative_columns)
 from ..plans.quantiles import DEFAULT_ACCURACY, exact_quantiles_refined, sketch_probs
 from .columns import role_of, round_half_even, type_name
@@ -79,6 +79,14 @@ def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def mode_order(df: DataFrame, cols: Sequence[str]) -> Column:
+    """What the minimum over (variable, value, cnt) rows is taken of to get the mode: the most
+    frequent value, on ties the smallest — as a number in numeric columns, as text in others."""
+    numbers = [c for c in cols if is_numeric(dtype_of(df, c))]
+    number = F.when(F.col("variable").isin(numbers), F.col("value").try_cast("double"))
+    return F.struct((-F.col("cnt")).alias("k"), number.alias("x"), F.col("value").alias("v"))
+
+
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Variable, count, unique, top, freq, missing — two small shuffles total.
 
@@ -135,8 +143,7 @@ def mode_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     counts = category_counts(df, cols)
     present = F.col("value").isNotNull()
     return (counts.groupBy("variable")
-            .agg(F.min(F.when(present, F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v"))))
-                 .alias("_m"),
+            .agg(F.min(F.when(present, mode_order(df, cols))).alias("_m"),
                  F.sum("cnt").alias("rows"))
             .where(F.col("_m").isNotNull())
             .select("variable", F.col("_m.v").alias("mode"), (-F.col("_m.k")).alias("freq"),
@@ -150,7 +157,7 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     partial aggregate collapses hot keys before the shuffle.
     """
     keys = list(subset) if subset else df.columns
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    groups = df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_c"))
     return groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("rows"),
                       F.count(F.lit(1)).alias("distinct_rows")) \
         .select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"))

@@ -55,11 +55,8 @@ def fit_scaler(df: DataFrame, var: str, method: str, suffix: str = "_norm") -> S
         scale = None if r["lo"] is None else r["hi"] - r["lo"]
     else:
         rows = exact_quantiles_refined(df.select(x.alias("_x")), "_x", [0.25, 0.5, 0.75]).collect()
-        if rows:
-            q1, med, q3 = rows[0]["q"]
-            center, scale = med, q3 - q1
-        else:
-            center, scale = None, None
+        q = (rows[0]["q"] if rows else None) or []
+        center, scale = (q[1], q[2] - q[0]) if len(q) == 3 and None not in q else (None, None)
     if center is None:
         center = 0.0
     if scale is None or scale == 0:

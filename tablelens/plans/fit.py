@@ -19,6 +19,33 @@ FLOAT_TYPES = (T.FloatType, T.DoubleType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+#: Rows of per-key parameters (a few numbers each) that are broadcast.
+BROADCAST_KEYS = 100_000
+
+# Fixed value: the spellings of a number that pandas parses (no Java suffixes such as 10D).
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters (dots, spaces, back quotes) the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def parse_double(c: Column, dt: T.DataType | None = None) -> Column:
+    """Text to DOUBLE as pandas reads numbers, NULL where it is none; other types are cast."""
+    if dt is not None and not isinstance(dt, T.StringType):
+        return c.try_cast("double")
+    return F.when(c.cast("string").rlike(NUMBER_PATTERN), F.trim(c.cast("string")).try_cast("double"))
+
+
+def parse_long(c: Column, dt: T.DataType | None = None) -> Column:
+    """Text to BIGINT, NULL where it is no whole number; other types are cast."""
+    if dt is not None and not isinstance(dt, T.StringType):
+        return c.try_cast("bigint")
+    return F.when(c.cast("string").rlike(INTEGER_PATTERN), F.trim(c.cast("string")).try_cast("bigint"))
+
+
 class BoundExceeded(RuntimeError):
     """A driver-side collect would exceed its declared bound."""
 
@@ -62,7 +89,7 @@ def as_double(c: str | Column) -> Column:
 
 def missing_cond(df: DataFrame, name: str) -> Column:
     """NULL, and NaN for floating columns (pandas treats NaN as missing)."""
-    c = F.col(name)
+    c = col(name)
     if isinstance(dtype_of(df, name), FLOAT_TYPES):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -70,7 +97,7 @@ def missing_cond(df: DataFrame, name: str) -> Column:
 
 def clean_value(df: DataFrame, name: str) -> Column:
     """Column value with NaN mapped to NULL."""
-    c = F.col(name)
+    c = col(name)
     if isinstance(dtype_of(df, name), FLOAT_TYPES):
         return F.when(~F.isnan(c), c)
     return c
@@ -93,12 +120,11 @@ def long_form(df: DataFrame, cols: Sequence[str], value_type: str = "double",
     def as_value(c: str) -> Column:
         if value_type == "string" and isinstance(dtype_of(df, c), T.BooleanType):
             # pandas spells booleans True / False
-            return F.when(F.col(c), F.lit("True")).when(~F.col(c), F.lit("False"))
+            return F.when(col(c), F.lit("True")).when(~col(c), F.lit("False"))
         return clean_value(df, c).cast(value_type)
 
-    prepared = df.select(*keys, *[as_value(c).alias(c) for c in cols])
-    return prepared.unpivot(keys or [], list(cols), "variable", "value") if keys else \
-        prepared.unpivot([], list(cols), "variable", "value")
+    prepared = df.select(*[col(k) for k in keys], *[as_value(c).alias(c) for c in cols])
+    return prepared.unpivot([col(k) for k in keys], [col(c) for c in cols], "variable", "value")
 
 
 def typed_lit(value, dt: T.DataType) -> Column:
@@ -113,14 +139,19 @@ def typed_lit(value, dt: T.DataType) -> Column:
 
 
 def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
-           how: str = "inner", broadcast: bool = False) -> DataFrame:
+           how: str = "inner", broadcast: bool | None = None) -> DataFrame:
     """Add per-key parameters to ``df``.
 
-    Grouped: an equi-join on the keys (AQE broadcasts small sides after
-    measuring them). Ungrouped: ``params`` holds at most one row, which is
+    Grouped: an equi-join on the keys. Unless the caller knows the size, the
+    parameters are computed once and counted: up to ``BROADCAST_KEYS`` rows are
+    broadcast, so ``df`` is not shuffled by a key that may be hot; more are
+    joined, and adaptive execution splits skewed keys. Ungrouped: ``params`` holds at most one row, which is
     collected (a bounded fit) and added as literals — no join at all.
     """
     if grouped:
+        if broadcast is None:
+            params = materialize(params)
+            broadcast = params.count() <= BROADCAST_KEYS
         return df.join(F.broadcast(params) if broadcast else params, list(keys), how)
     rows = collect_bounded(params, 1)
     fields = [f for f in params.schema.fields if f.name not in keys]
@@ -147,5 +178,8 @@ def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/tablelens-stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # goes with the driver's JVM
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fit import attach, collect_bounded, materialize, one_row
+from .fit import BROADCAST_KEYS, attach, collect_bounded, materialize, one_row
 from .ranks import quantiles_from_offsets, value_offsets
 
 DEFAULT_ACCURACY = 10_000
@@ -62,8 +62,8 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
     """keys…, n, q (array in ``probs`` order): exact linear-interpolation quantiles.
 
     ``bounded_keys`` says the number of keys is small (e.g. one per column), so
-    per-key frames may be broadcast; otherwise they are joined by key and left
-    to AQE. Passes over the data: the sketch, then the bracket ranking.
+    per-key frames may be broadcast; otherwise they are counted, broadcast up to
+    ``BROADCAST_KEYS`` and joined by key beyond it. Passes over the data: the sketch, then the bracket ranking.
     ``brackets`` (bounded keys only) passes sketches computed elsewhere — e.g. in
     the same aggregate as the moments — as rows of (keys…, n, s) where ``s`` is
     ``percentile_approx(value, sketch_probs(probs), accuracy)``; the sketch
@@ -103,7 +103,7 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
         largest, expected_keys = agg["m"] or 0, agg["c"]
 
     def with_params(frame: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-        return attach(frame, params, keys, grouped, how, broadcast=bounded_keys)
+        return attach(frame, params, keys, grouped, how, broadcast=bounded_keys or expected_keys <= BROADCAST_KEYS)
 
     rows = with_params(src, brackets)
     # Rows below a bracket collapse into one sentinel value (−inf) per (key, quantile):

@@ -3,15 +3,16 @@
 Sorting a whole column with an un-partitioned window puts every row in one
 task. Instead:
 
-1. ``groupBy(keys, value).count()`` — map-side partial aggregation, so a hot
-   value costs one row per task, not one row per occurrence.
-2. Split points of the *value domain* from ``percentile_approx`` over the
-   distinct values (a bounded list collected to the driver), then a JVM
-   ``Bucketizer`` (binary search) assigns every distinct value a bucket.
-3. Per (keys, bucket) totals — at most #keys × #buckets rows — give each
-   bucket's offset with a window partitioned by the keys (for whole-table
-   ranks the ≤ #buckets totals are collected and applied as a literal array).
-4. A running sum partitioned by (keys, bucket) and ordered by value gives the
+1. Split points of the *value domain* from ``percentile_approx`` over the raw
+   rows (map-side sketches, nothing is shuffled; a bounded list is collected).
+   A JVM ``Bucketizer`` (binary search) gives every row its value range.
+2. ``groupBy(keys, range, value).count()`` — map-side partial aggregation, so a
+   hot value costs one row per task, not one row per occurrence. The distinct
+   values are written once as a stage and everything later reads that.
+3. Per (keys, range) totals — at most #keys × #ranges rows — give each range's
+   offset with a window partitioned by the keys (for whole-table ranks the
+   ≤ #ranges totals are collected and looked up by broadcast).
+4. A running sum partitioned by (keys, range) and ordered by value gives the
    number of rows strictly below every distinct value.
 
 The result has one row per distinct (keys, value) with ``cnt`` (occurrences),
@@ -28,11 +29,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fit import collect_bounded, one_row
+from .fit import collect_bounded, materialize, one_row
 
 # Buckets per ranking: 4 per shuffle partition, capped so the collected split
-# list stays small.
-_MAX_BUCKETS = 4096
+# list and the broadcast offsets stay small.
+_MAX_BUCKETS = 16_384
 
 
 def _bucket_count(spark) -> int:
@@ -48,47 +49,46 @@ def value_offsets(df: DataFrame, value: str, keys: Sequence[str] = (),
     """
     keys = list(keys)
     spark = df.sparkSession
-    vc = (df.select(*keys, F.col(value).cast("double").alias("value"))
-          .where(F.col("value").isNotNull() & ~F.isnan("value"))
-          .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")))
+    rows = (df.select(*keys, F.col(value).cast("double").alias("value"))
+            .where(F.col("value").isNotNull() & ~F.isnan("value")))
+    count = F.count(F.lit(1)).alias("cnt")
     nb = n_buckets or _bucket_count(spark)
     if keys and nb == 1:
         # Caller-bounded keys (e.g. quantile brackets): one window per key suffices.
         per_key = Window.partitionBy(*keys)
         ordered = per_key.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return vc.select(*keys, "value", "cnt",
-                         F.coalesce(F.sum("cnt").over(ordered), F.lit(0)).alias("below"),
-                         F.sum("cnt").over(per_key).alias("n"))
+        return rows.groupBy(*keys, "value").agg(count).select(
+            *keys, "value", "cnt", F.coalesce(F.sum("cnt").over(ordered), F.lit(0)).alias("below"),
+            F.sum("cnt").over(per_key).alias("n"))
     splits: list[float] = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
-        accuracy = max(10_000, 20 * nb)
-        row = one_row(vc.agg(F.percentile_approx("value", probs, accuracy).alias("s")))
-        if row["s"] is not None:
-            splits = sorted({float(s) for s in row["s"]})
+        row = one_row(rows.agg(F.percentile_approx("value", probs, max(10_000, 20 * nb)).alias("s")))
+        splits = sorted({float(s) for s in row["s"] or []})
     edges = [-math.inf] + [s for s in splits if math.isfinite(s)] + [math.inf]
     if len(edges) > 2:
         bucketed = Bucketizer(splits=edges, inputCol="value", outputCol="_b",
-                              handleInvalid="keep").transform(vc)
+                              handleInvalid="keep").transform(rows)
         bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
     else:
-        bucketed = vc.withColumn("_b", F.lit(0))
+        bucketed = rows.withColumn("_b", F.lit(0))
+    bucketed = materialize(bucketed.groupBy(*keys, "_b", "value").agg(count))
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bcnt"))
     wb = (Window.partitionBy(*keys, "_b").orderBy("value")
           .rowsBetween(Window.unboundedPreceding, -1))
     within = F.coalesce(F.sum("cnt").over(wb), F.lit(0))
     if not keys:
-        # Whole-table ranks: the bucket totals are at most len(edges) rows, so
-        # their prefix offsets are computed on the driver and applied as a
-        # literal array — no join and no single-partition window.
+        # Whole-table ranks: the bucket totals are at most len(edges) rows, so their
+        # prefix offsets are computed on the driver and looked up by bucket — no
+        # single-partition window.
         counts = {int(r["_b"]): int(r["_bcnt"]) for r in collect_bounded(totals, len(edges))}
         offs, run = [], 0
-        for b in range(len(edges) - 1):
-            offs.append(run)
-            run += counts.get(b, 0)
-        boff = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs]), F.col("_b") + 1)
-        return bucketed.select("value", "cnt", (boff + within).alias("below"),
-                               F.lit(run).cast("long").alias("n"))
+        for b in sorted(counts):
+            offs.append((b, run))
+            run += counts[b]
+        looked_up = F.broadcast(spark.createDataFrame(offs, "_b int, _boff long"))  # at most _MAX_BUCKETS rows
+        return bucketed.join(looked_up, "_b").select("value", "cnt", (F.col("_boff") + within).alias("below"),
+                                                     F.lit(run).cast("long").alias("n"))
     wk = Window.partitionBy(*keys)
     totals = (totals
               .withColumn("_boff", F.coalesce(
@@ -150,26 +150,18 @@ def sorted_positions(offsets: DataFrame, keys: Sequence[str] = (),
     """Expand distinct values back to the sorted sample: keys…, pos (1-based), value, n.
 
     A value occurring ``cnt`` times yields positions below+1 … below+cnt.
-    Values occurring more than ``chunk`` times are first cut into chunk
-    descriptors and spread over tasks, so no single task expands a hot value.
+    Every value is first cut into descriptors of at most ``chunk`` positions,
+    which are spread over tasks, so no single task expands a hot value.
     """
     keys = list(keys)
-    light = offsets.where(F.col("cnt") <= chunk)
-    heavy = offsets.where(F.col("cnt") > chunk)
-    light_pos = light.select(*keys, "value", "n",
-                             F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("cnt")))
-                             .alias("pos"))
-    spark = offsets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    chunks = (heavy
+    parts = int(offsets.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    chunks = (offsets
               .select(*keys, "value", "n", "below", "cnt",
-                      F.explode(F.sequence(F.lit(0), F.floor((F.col("cnt") - 1) / chunk).cast("long")))
-                      .alias("_j"))
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / chunk).cast("long"))).alias("_j"))
               .repartition(parts))
     start = F.col("below") + 1 + F.col("_j") * chunk
     end = F.least(F.col("below") + F.col("cnt"), start + chunk - 1)
-    heavy_pos = chunks.select(*keys, "value", "n", F.explode(F.sequence(start, end)).alias("pos"))
-    return light_pos.unionByName(heavy_pos)
+    return chunks.select(*keys, "value", "n", F.explode(F.sequence(start, end)).alias("pos"))
 
 
 def keyed_offsets(df: DataFrame, value: str, keys: Sequence[str], grouped: bool) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans.fit import col
+
 
 @dataclass
 class Spec:
@@ -42,8 +44,8 @@ def register(name: str, sql: str | None, floats: list[str] | None = None, digits
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every DOUBLE column to ``digits`` decimals (mirrors ``Spec.oracle``)."""
-    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.select(*[(F.round(col(f.name), digits) + F.lit(0.0)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name)
                        for f in df.schema.fields])
 
 

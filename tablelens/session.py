@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -59,5 +60,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                "can reach (HDFS/object store) before running stage-cutting operators")
         current = tempfile.mkdtemp(prefix="tablelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+_SHIPPED = "_tablelens_shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Functions that run in workers are found by module name there, so the
+    package must be importable wherever a worker starts: a cluster's machines,
+    or a driver started from another folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, _SHIPPED, False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tablelens-pkg-"), "tablelens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    setattr(sc, _SHIPPED, True)

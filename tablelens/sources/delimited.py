@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.fit import one_row
+from ..plans.fit import col, one_row, parse_double, parse_long
 
 # The tokens pandas.read_csv treats as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -27,47 +28,83 @@ DELIMITED_EXTENSIONS = {".csv": ",", ".txt": "\t", ".tsv": "\t"}
 WORKBOOK_EXTENSIONS = (".xlsx",)
 
 
-def infer_types(df: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
-    """A4: NA tokens → NULL, then per column int64 → float64 → bool → text.
+class RaggedRows(ValueError):
+    """Some rows have more fields than the header names."""
+
+
+def _plan_types(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str], extra: str | None = None) -> list:
+    """One aggregate over ``df`` -> the typed column expressions for ``columns``.
 
-    An integer column with missing values becomes DOUBLE (as in pandas); a
-    boolean column with missing values stays text; an all-missing column is
-    DOUBLE.
+    ``extra`` names a column that must be empty: the fields beyond the header.
     """
     tokens = list(na_tokens)
-    cleaned = {c: F.when(~F.col(c).isin(tokens), F.col(c)) for c in df.columns}
+    cleaned = {c: F.when(~col(c).isin(tokens), col(c)) for c in columns}
     bools = list(BOOL_TRUE + BOOL_FALSE)
-    aggs = []
-    for i, c in enumerate(df.columns):
+    aggs = [F.count(F.lit(1)).alias("rows"), (F.count(col(extra)) if extra else F.lit(0)).alias("ragged")]
+    for i, c in enumerate(columns):
         x = cleaned[c]
-        aggs += [F.count(x).alias(f"p{i}"), F.count(x.try_cast("bigint")).alias(f"l{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}"), F.count_if(x.isin(bools)).alias(f"b{i}"),
-                 F.count(F.lit(1)).alias(f"n{i}")]
-    row = one_row(df.agg(*aggs)) if aggs else None
+        aggs += [F.count(x).alias(f"p{i}"), F.count(parse_long(x)).alias(f"l{i}"),
+                 F.count(parse_double(x)).alias(f"d{i}"), F.count_if(x.isin(bools)).alias(f"b{i}")]
+    row = one_row(df.agg(*aggs))
+    if row["ragged"]:
+        raise RaggedRows(f"{row['ragged']} rows have more fields than the header's {len(columns)}")
     out = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         x = cleaned[c]
-        present, longs, doubles, bool_n, rows = (row[f"p{i}"], row[f"l{i}"], row[f"d{i}"],
-                                                 row[f"b{i}"], row[f"n{i}"])
-        has_missing = present < rows
+        present, longs, doubles, bool_n = row[f"p{i}"], row[f"l{i}"], row[f"d{i}"], row[f"b{i}"]
+        has_missing = present < row["rows"]
         if present == 0:
             out.append(F.lit(None).cast("double").alias(c))
         elif longs == present and not has_missing:
-            out.append(x.try_cast("bigint").alias(c))
+            out.append(parse_long(x).alias(c))
         elif doubles == present:
-            out.append(x.try_cast("double").alias(c))
+            out.append(parse_double(x).alias(c))
         elif bool_n == present and not has_missing:
             out.append(x.isin(list(BOOL_TRUE)).alias(c))
         else:
             out.append(x.alias(c))
-    return df.select(*out)
+    return out
+
+
+def infer_types(df: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
+    """A4: NA tokens → NULL, then per column int64 → float64 → bool → text.
+
+    A number is what pandas parses as one: codes such as ``10D`` stay text. An
+    integer column with missing values becomes DOUBLE (as in pandas); a boolean
+    column with missing values stays text; an all-missing column is DOUBLE.
+    """
+    return df.select(*_plan_types(df, df.columns, na_tokens)) if df.columns else df
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """The raw table: first row is the header, every column text, nothing inferred."""
+def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
     return (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline)
             .option("encoding", encoding).option("nullValue", None).option("emptyValue", "")
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("mode", "PERMISSIVE"))
+
+
+def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+                    multiline: bool = True) -> DataFrame:
+    """The raw table: first row is the header, every column text, nothing inferred.
+
+    Quoted fields may hold the separator, doubled quotes and line breaks. A file
+    with line breaks inside fields cannot be split, so each file is one task;
+    ``multiline=False`` reads files in splits, for data known to have none.
+    Files of one folder must have the same header: another order or other names
+    are an error, not a shift of values.
+    """
+    return _reader(spark, sep, encoding, multiline).option("enforceSchema", False).csv(path)
+
+
+def _read_typed(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> DataFrame:
+    """Types are planned on a read with one more column, which shows rows longer than the header."""
+    raw = read_text_table(spark, path, sep, encoding, multiline)
+    if not raw.columns:
+        return raw
+    extra = "_beyond_header"
+    wide = T.StructType([*raw.schema.fields, T.StructField(extra, T.StringType())])
+    longer = _reader(spark, sep, encoding, multiline).schema(wide).csv(path)
+    return raw.select(*_plan_types(longer, raw.columns, PANDAS_NA_TOKENS, extra))
 
 
 def _round_on_load(df: DataFrame, round_decimals: int | None) -> DataFrame:
@@ -78,24 +115,23 @@ def _round_on_load(df: DataFrame, round_decimals: int | None) -> DataFrame:
     return round_floats(df, round_decimals)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
-             round_decimals: int | None = None) -> DataFrame:
-    """A1: comma-separated, header row, pandas-style inferred types."""
-    return _round_on_load(infer_types(read_text_table(spark, path, ",", encoding)), round_decimals)
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", round_decimals: int | None = None,
+             multiline: bool = True) -> DataFrame:
+    """A1: comma-separated, header row, pandas-style inferred types. Rows longer than the header are an error."""
+    return _round_on_load(_read_typed(spark, path, ",", encoding, multiline), round_decimals)
 
 
-def read_txt(spark: SparkSession, path: str, encoding: str = "UTF-8",
-             round_decimals: int | None = None) -> DataFrame:
+def read_txt(spark: SparkSession, path: str, encoding: str = "UTF-8", round_decimals: int | None = None,
+             multiline: bool = True) -> DataFrame:
     """A2: tab-separated text."""
-    return _round_on_load(infer_types(read_text_table(spark, path, "\t", encoding)), round_decimals)
+    return _round_on_load(_read_typed(spark, path, "\t", encoding, multiline), round_decimals)
 
 
 def ingest(spark: SparkSession, path: str, round_decimals: int | None = None) -> DataFrame:
     """A5: dispatch on the extension; anything else is rejected."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in DELIMITED_EXTENSIONS:
-        return _round_on_load(infer_types(read_text_table(spark, path, DELIMITED_EXTENSIONS[ext])),
-                              round_decimals)
+        return _round_on_load(_read_typed(spark, path, DELIMITED_EXTENSIONS[ext], "UTF-8", True), round_decimals)
     if ext in WORKBOOK_EXTENSIONS:
         from .workbook import read_workbooks
         return _round_on_load(read_workbooks(spark, path), round_decimals)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import round_floats
-from ..plans.fit import FLOAT_TYPES
+from ..plans.fit import FLOAT_TYPES, col
 
 # Fixed value: allowed export names (3 to 40 word characters or dashes).
 NAME_PATTERN = r"^[\w-]{3,40}$"
@@ -46,11 +46,13 @@ def export_csv(df: DataFrame, base_dir: str, name: str, digits: int = 2, single_
     fmt = f"%.{digits}f"
     # NULL and NaN are written as empty fields, as pandas does (Java's %.2f would
     # print a truncated "null").
-    out = rounded.select(*[F.when(F.col(f.name).isNotNull() & ~F.isnan(f.name),
-                                  F.format_string(fmt, F.col(f.name))).alias(f.name)
-                           if isinstance(f.dataType, FLOAT_TYPES) else F.col(f.name)
+    out = rounded.select(*[F.when(col(f.name).isNotNull() & ~F.isnan(col(f.name)),
+                                  F.format_string(fmt, col(f.name))).alias(f.name)
+                           if isinstance(f.dataType, FLOAT_TYPES) else col(f.name)
                            for f in rounded.schema.fields])
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("errorifexists").option("header", True).csv(path)
+    # Quotes are doubled, text keeps its blanks and line breaks, an empty text is "" and a NULL nothing.
+    (out.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').csv(path))
     return path

@@ -16,10 +16,10 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import collect_bounded
+from ..plans.fit import col, collect_bounded, materialize
 from .delimited import infer_types
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -80,11 +80,9 @@ def parse_first_sheet(content: bytes) -> list[tuple[int, int, str | None]]:
 
 def _cells(batches):
     for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for r, c, t in parse_first_sheet(bytes(content)):
-                rows.append((path, r, c, t))
-        yield pd.DataFrame(rows, columns=["path", "row", "col", "value"])
+        for path, content in zip(pdf["path"], pdf["content"]):  # one file's cells at a time
+            rows = [(path, r, c, t) for r, c, t in parse_first_sheet(bytes(content))]
+            yield pd.DataFrame(rows, columns=["path", "row", "col", "value"])
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -93,14 +91,29 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
         _cells, "path string, row int, col int, value string")
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """A3: rows of the first sheet of every workbook under ``path``, typed by A4."""
-    cells = workbook_cells(spark, path)
+def _column_names(cells: DataFrame) -> DataFrame:
+    """(path, col, name) of every column with a cell: blank headers become ``Unnamed: n``,
+    the second ``x`` of a file ``x.1``, as pandas names them."""
     header = cells.where(F.col("row") == 0).select("path", "col", F.col("value").alias("name"))
+    used = cells.select("path", "col").distinct().join(header, ["path", "col"], "left")
+    used = used.withColumn("name", F.coalesce("name", F.concat(F.lit("Unnamed: "), F.col("col").cast("string"))))
+    nth = F.row_number().over(Window.partitionBy("path", "name").orderBy("col")) - 1
+    return used.withColumn("nth", nth).select(
+        "path", "col", F.when(F.col("nth") == 0, F.col("name")).otherwise(F.concat_ws(".", "name", F.col("nth").cast("string"))).alias("name"))
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """A3: rows of the first sheet of every workbook under ``path``, typed by A4.
+
+    Files are parsed once; their cells are written to the stage folder and every
+    later step reads those. Columns of the same name in several files join up.
+    """
+    cells = materialize(workbook_cells(spark, path))
+    header = _column_names(cells)
     names = [r["name"] for r in collect_bounded(
         header.groupBy("name").agg(F.min("col").alias("pos")).orderBy("pos", "name"), MAX_COLUMNS)]
     body = cells.where(F.col("row") > 0).join(header, ["path", "col"], "inner")
     wide = (body.groupBy("path", "row")
             .pivot("name", names).agg(F.first("value"))
             .orderBy("path", "row").drop("path", "row"))
-    return infer_types(wide.select(*names))
+    return infer_types(wide.select(*[col(n) for n in names]))

@@ -50,3 +50,17 @@ def test_knn_plan_uses_group_limit_and_equi_join(spark, sf001):
     p = plan(out)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert out.where(F.col("c_acctbal").isNull()).count() == 0
+
+
+def test_grouped_parameters_do_not_shuffle_the_rows(spark, sf001):
+    """Per-group fences, means and brackets are broadcast once counted: the only exchanges
+    are those of aggregates, none moves data rows to a task by their (maybe hot) group."""
+    c = fx.table(spark, sf001, "customer")
+    for out in (H.grouped_box(c, "c_mktsegment", "c_acctbal"), H.strip_points(c, "c_mktsegment", "c_acctbal"),
+                H.distribution_summary(c, "c_acctbal", by="c_mktsegment")):
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                below = " ".join(lines[i + 1:i + 3])
+                assert "Aggregate" in below or "FileScan" in below and "tablelens-stage" in below, below
+        assert any("BroadcastHashJoin" in x for x in lines) or "strip" not in str(out)
