@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
-from ..plans.fit import attach, clean_value, safe_div
+from ..plans.fit import attach, clean_value, materialize, safe_div
 from ..plans.ranks import average_ranks, keyed_offsets, sorted_positions
 from .columns import group_label
 
@@ -180,6 +180,7 @@ def chi2_statistic(df: DataFrame, a: str, b: str, by: str | None = None,
                      F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
     cells = (base.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
              .groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("o")))
+    cells = materialize(cells)  # the only pass over the data; all below reads the cells
     rows = cells.groupBy(*keys, "_a").agg(F.sum("o").alias("r"))
     cols = cells.groupBy(*keys, "_b").agg(F.sum("o").alias("c"))
     rstat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("r").alias("n"),

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.fit import clean_value, col, is_numeric, long_form, missing_cond, one_row
-from ..plans.quantiles import exact_quantiles_refined
+from ..plans.fit import clean_value, col, is_numeric, missing_cond, one_row
+from ..plans.quantiles import exact_quantiles_wide
 from .profile import category_counts, missing_counts, mode_order
 
 METHODS = ("mean", "median", "zero", "mode", "knn")
@@ -116,8 +116,7 @@ def fit_imputer(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] =
         model.values.update({c: row[c] for c in mean})
         model.complete = {c for c in plan if plan[c] != "knn" and row[f"_m_{c}"] == 0}
     if median:
-        rows = exact_quantiles_refined(long_form(df, list(median)), "value", [0.5], ["variable"],
-                                       bounded_keys=True).collect()
+        rows = exact_quantiles_wide(df, {c: clean_value(df, c).cast("double") for c in median}, [0.5]).collect()
         model.values.update({r["variable"]: r["q"][0] for r in rows})
     if mode:
         modes = (category_counts(df, list(mode)).where(F.col("value").isNotNull())

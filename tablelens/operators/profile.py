@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fit import (clean_value, col, dtype_of, is_numeric, long_form, materialize, missing_cond, numeric_columns,
                          qualitative_columns)
-from ..plans.quantiles import DEFAULT_ACCURACY, exact_quantiles_refined, sketch_probs
+from ..plans.quantiles import DEFAULT_ACCURACY, exact_quantiles_wide, sketch_probs
 from .columns import role_of, round_half_even, type_name
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -57,9 +57,9 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
     moments = _explode_structs(df.agg(F.array(*structs).alias("_a")))
     if exact:
         moments = materialize(moments, len(cols))
-        sketches = moments.select("variable", F.col("count").alias("n"), "s").collect()
-        qs = exact_quantiles_refined(long_form(df, cols), "value", QUARTILES, ["variable"],
-                                     bounded_keys=True, brackets=sketches).select("variable", "q")
+        sketches = {r["variable"]: (r["count"], r["s"]) for r in moments.select("variable", "count", "s").collect()}
+        qs = exact_quantiles_wide(df, {c: clean_value(df, c).cast("double") for c in cols}, QUARTILES,
+                                  sketches=sketches).select("variable", "q")
         moments = moments.drop("s").join(F.broadcast(qs), on="variable", how="left")
     out = moments.select(
         "variable", "count", "mean", "std", "min",

@@ -11,6 +11,10 @@ positions, so:
    value (−inf) whose count the map-side aggregate collapses to a row per
    task, so the offsets already include them.
 
+Whole-table quantiles of one or many columns (:func:`exact_quantiles_wide`) count
+the rows below each bracket in one wide aggregate instead, and emit only the
+values inside a bracket.
+
 Every answer is verified (both interpolation positions must fall inside the
 bracket); if any key fails, that call falls back to full R1, so results are
 always exact.
@@ -20,8 +24,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fit import BROADCAST_KEYS, attach, collect_bounded, materialize, one_row
@@ -47,63 +52,91 @@ def _verified_pick(off: DataFrame, keys: list[str], probs: Sequence[float]) -> D
     return picked.withColumn("_q", F.when(ok, F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")))
 
 
-_BOUNDED_KEYS = 100_000
-
-
 def sketch_probs(probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY) -> list[float]:
     """The 2·len(probs) sketch points (p − 3ε for every p, then p + 3ε)."""
     margin = 3.0 / accuracy
     return [max(0.0, float(p) - margin) for p in probs] + [min(1.0, float(p) + margin) for p in probs]
 
 
+#: Columns whose brackets are handled in one pass.
+_COLUMNS_AT_ONCE = 64
+
+
+def exact_quantiles_wide(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
+                         accuracy: int = DEFAULT_ACCURACY, sketches: dict | None = None) -> DataFrame:
+    """(variable, n, q): exact quantiles of several columns of one table.
+
+    ``columns`` maps a name to a DOUBLE expression without NaN; columns without
+    a value are left out. One aggregate gets the sketches (unless the caller has
+    them: name -> (n, percentile_approx at ``sketch_probs``)), one counts the
+    rows below every bracket, and only the values inside brackets are exploded
+    and ranked. No row is emitted for the others.
+    """
+    names, probs = list(columns), [float(p) for p in probs]
+    if len(names) > _COLUMNS_AT_ONCE:
+        parts = [exact_quantiles_wide(df, {c: columns[c] for c in names[a:a + _COLUMNS_AT_ONCE]}, probs, accuracy, sketches)
+                 for a in range(0, len(names), _COLUMNS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, parts)
+    k, points = len(probs), sketch_probs(probs, accuracy)
+    src = df.select(*[columns[c].alias(f"_x{j}") for j, c in enumerate(names)])
+    x = [F.col(f"_x{j}") for j in range(len(names))]
+    if sketches is None:
+        row = one_row(src.agg(*[F.count(v).alias(f"n{j}") for j, v in enumerate(x)],
+                              *[F.percentile_approx(v, points, accuracy).alias(f"s{j}") for j, v in enumerate(x)]))
+        sketches = {c: (row[f"n{j}"], row[f"s{j}"]) for j, c in enumerate(names)}
+    live = [j for j, c in enumerate(names) if sketches[c][0]]
+    schema = "variable string, n long, q array<double>"
+    if not live:
+        return df.sparkSession.createDataFrame([], schema)
+    bracket = {(j, i): (sketches[names[j]][1][i], sketches[names[j]][1][k + i]) for j in live for i in range(k)}
+    below = one_row(src.agg(*[F.count_if(x[j] < F.lit(lo)).alias(f"b{j}_{i}") for (j, i), (lo, _) in bracket.items()]))
+    tags = [F.when((x[j] >= F.lit(lo)) & (x[j] <= F.lit(hi)),
+                   F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), x[j].alias("_t"))) for (j, i), (lo, hi) in bracket.items()]
+    inside = src.select(F.explode(F.array_compact(F.array(*tags))).alias("_h")).select("_h.*")
+    largest = max(sketches[names[j]][0] for j in live)
+    n_buckets = max(1, math.ceil(6.0 / accuracy * largest * 1.5 / _ROWS_PER_BUCKET))
+    base = df.sparkSession.createDataFrame([(j, i, int(below[f"b{j}_{i}"]), int(sketches[names[j]][0])) for j, i in bracket],
+                                           "_j int, _i int, _base long, n long")  # one row per column and quantile
+    off = (value_offsets(inside, "_t", ["_j", "_i"], n_buckets=n_buckets).drop("n")
+           .join(F.broadcast(base), ["_j", "_i"]).withColumn("below", F.col("below") + F.col("_base")))
+    got = {(r["_j"], r["_i"]): r["_q"] for r in collect_bounded(_verified_pick(off, ["_j"], probs), len(bracket))}
+    rows = []
+    for j in live:
+        q = [got.get((j, i)) for i in range(k)]
+        if None in q:  # a sketch was off: rank the whole column
+            q = one_row(quantiles_from_offsets(value_offsets(src, f"_x{j}"), probs))["q"]
+        rows.append((names[j], int(sketches[names[j]][0]), [float(v) for v in q]))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
-                            keys: Sequence[str] = (), bounded_keys: bool = False,
-                            accuracy: int = DEFAULT_ACCURACY, brackets: list | None = None) -> DataFrame:
-    """keys…, n, q (array in ``probs`` order): exact linear-interpolation quantiles.
-
-    ``bounded_keys`` says the number of keys is small (e.g. one per column), so
-    per-key frames may be broadcast; otherwise they are counted, broadcast up to
-    ``BROADCAST_KEYS`` and joined by key beyond it. Passes over the data: the sketch, then the bracket ranking.
-    ``brackets`` (bounded keys only) passes sketches computed elsewhere — e.g. in
-    the same aggregate as the moments — as rows of (keys…, n, s) where ``s`` is
-    ``percentile_approx(value, sketch_probs(probs), accuracy)``; the sketch
-    pass is then skipped.
+                            keys: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """keys…, n, q (array in ``probs`` order): exact linear-interpolation quantiles per key.
+
+    The brackets are one row per key, computed once: they are broadcast up to
+    ``BROADCAST_KEYS`` keys and joined by key beyond it. Passes over the data:
+    the sketch, then the bracket ranking. Without keys see
+    :func:`exact_quantiles_wide`.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     k = len(probs)
-    grouped = bool(keys)
+    if not keys:
+        v = F.col(value).cast("double")
+        return exact_quantiles_wide(df, {"value": F.when(~F.isnan(v), v)}, probs, accuracy).select("n", "q")
     src = (df.select(*keys, F.col(value).cast("double").alias("_v"))
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     margin = 3.0 / accuracy
-    points = sketch_probs(probs, accuracy)
-    small = bounded_keys or not grouped
     sketch = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                     F.percentile_approx("_v", points, accuracy).alias("_s"))
+                                     F.percentile_approx("_v", sketch_probs(probs, accuracy), accuracy).alias("_s"))
               .select(*keys, "n", *[F.col("_s")[i].alias(f"_lo{i}") for i in range(k)],
                       *[F.col("_s")[k + i].alias(f"_hi{i}") for i in range(k)]))
-    if brackets is not None:
-        if not small:
-            raise ValueError("precomputed brackets are only accepted for bounded keys")
-        bracket_rows = [tuple([*(r[c] for c in keys), int(r["n"] or 0),
-                               *[(r["s"][i] if r["s"] else None) for i in range(2 * k)]])
-                        for r in brackets if r["n"]]
-        brackets = src.sparkSession.createDataFrame(bracket_rows, sketch.schema)
-        largest = max((r[len(keys)] for r in bracket_rows), default=0)
-        expected_keys = len(bracket_rows)
-    elif small:
-        # Bounded number of keys: the brackets live on the driver (one row per key).
-        bracket_rows = collect_bounded(sketch, _BOUNDED_KEYS)
-        brackets = src.sparkSession.createDataFrame(bracket_rows, sketch.schema)
-        largest = max((r["n"] for r in bracket_rows), default=0)
-        expected_keys = len(bracket_rows)
-    else:
-        brackets = materialize(sketch)
-        agg = one_row(brackets.agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("c")))
-        largest, expected_keys = agg["m"] or 0, agg["c"]
+    brackets = materialize(sketch)
+    size = one_row(brackets.agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("c")))
+    largest, expected_keys = size["m"] or 0, size["c"]
 
     def with_params(frame: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-        return attach(frame, params, keys, grouped, how, broadcast=bounded_keys or expected_keys <= BROADCAST_KEYS)
+        return attach(frame, params, keys, True, how, broadcast=expected_keys <= BROADCAST_KEYS)
 
     rows = with_params(src, brackets)
     # Rows below a bracket collapse into one sentinel value (−inf) per (key, quantile):
@@ -120,18 +153,11 @@ def exact_quantiles_refined(df: DataFrame, value: str, probs: Sequence[float],
     per_key = (picked.groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_qs"),
                     F.count_if(F.col("_q").isNull()).alias("_bad"), F.count(F.lit(1)).alias("_got")))
-    result_df = with_params(per_key, brackets.select(*keys, "n"), "right" if grouped else "left")
-    if small:
-        result_rows = collect_bounded(result_df, _BOUNDED_KEYS)
-        result = src.sparkSession.createDataFrame(result_rows, result_df.schema)
-        check = {"c": len(result_rows),
-                 "f": sum((r["_bad"] or 0) + (k - (r["_got"] or 0)) for r in result_rows)}
-    else:
-        result = materialize(result_df)
-        check = one_row(result.agg(
-            F.count(F.lit(1)).alias("c"),
-            F.coalesce(F.sum(F.coalesce(F.col("_bad"), F.lit(0)) + (F.lit(k) - F.coalesce(F.col("_got"), F.lit(0)))),
-                       F.lit(0)).alias("f")))
+    result = materialize(with_params(per_key, brackets.select(*keys, "n"), "right"))
+    check = one_row(result.agg(
+        F.count(F.lit(1)).alias("c"),
+        F.coalesce(F.sum(F.coalesce(F.col("_bad"), F.lit(0)) + (F.lit(k) - F.coalesce(F.col("_got"), F.lit(0)))),
+                   F.lit(0)).alias("f")))
     if check["f"] or check["c"] != expected_keys:
         return quantiles_from_offsets(value_offsets(src, "_v", keys), probs, keys)
     return result.select(*keys, "n", F.transform("_qs", lambda s: s["_q"]).alias("q"))
