@@ -14,6 +14,9 @@ LOWER = UPPER.lower()
 SPACES = " \t\n\x0b\x0c\r"
 #: Byte table that lower-cases A-Z and nothing else.
 LOWER_BYTES = bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
+#: Rows in a batch to a Python worker, where the session has Spark's default.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands for a null id wherever ids are compared as numbers: smaller than any id.
 NO_ID = -(1 << 63)
 
@@ -52,6 +55,13 @@ def drop_stage(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send fewer rows at once to Python workers: rows are whole texts here, and Spark's default of
+    10,000 rows a batch can be gigabytes of long ones. A value the session's owner chose stays."""
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,8 +13,8 @@ the root to the deepest context, each with the probability that the tree stops
 there.
 
 A gram is a number: the nearest context byte highest, then the farther ones,
-the byte itself lowest. So all contexts of one depth are prefixes, and grams
-with one nearest byte form a subtree of their own below the root.
+the byte itself lowest. So all contexts of one depth are prefixes, and the
+grams that share their nearest bytes form a subtree of their own.
 """
 
 from __future__ import annotations
@@ -71,66 +71,68 @@ class _Level:
         self.first = [np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1]) for x in self.nodes]
 
 
-class Subtree:
-    """The trees below the root for grams of one nearest context byte. ``n`` may be 0: a gram to predict only."""
+class Subtrees:
+    """The trees from depth ``top`` down, for all grams of some contexts of that length (sorted, distinct).
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int) -> None:
-        self.depth, self.byte = depth, grams & 255
+    ``n`` may be 0: a gram to predict only.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> None:
+        self.depth, self.top, self.grams, self.byte = depth, top, grams, grams & 255
         self.rows = [None] * (depth + 1)  # row of each gram at each depth
-        levels: list[_Level | None] = [None] * (depth + 1)
+        self.levels: list[_Level | None] = [None] * (depth + 1)
         keys, counts, at = grams, n, np.arange(len(grams))
-        up = [None] * (depth + 1)  # row at the next smaller depth of each row
-        for d in range(depth, 0, -1):
+        up = [None] * (depth + 2)  # row at the next smaller depth of each row
+        for d in range(depth, top - 1, -1):
             if d < depth:
-                wide = (keys >> 16 << 8) | (keys & 255)
-                keys, back = np.unique(wide, return_inverse=True)
+                keys, back = np.unique((keys >> 16 << 8) | (keys & 255), return_inverse=True)
                 counts = np.bincount(back, counts, len(keys)).astype(np.int64)
                 up[d + 1], at = back, back[at]
-            levels[d], self.rows[d] = _Level(keys, counts), at
-        self.levels = levels
-        # log Pw and the probability to stop, per depth, bit and node
+            self.levels[d], self.rows[d] = _Level(keys, counts), at
+        self.keys = keys  # (context, byte) rows at depth ``top``
+        # The probability to stop, per depth, bit and node; log Pw at ``top``, per bit and node.
         self.stop = [[None] * 8 for _ in range(depth + 1)]
         self.weighted = [None] * 8
         for bit in range(8):
             below = None
-            for d in range(depth, 0, -1):
-                level = levels[d]
+            for d in range(depth, top - 1, -1):
+                level = self.levels[d]
                 pe = kt(level.zeros[bit], level.ones[bit])
                 if d == depth:
                     pw, stop = pe, np.ones(len(pe))
                 else:
-                    child = levels[d + 1]
+                    child = self.levels[d + 1]
                     parent = level.nodes[bit][up[d + 1][child.first[bit]]]
-                    product = np.bincount(parent, below, len(pe))
-                    pw = _HALF + np.logaddexp(pe, product)
+                    pw = _HALF + np.logaddexp(pe, np.bincount(parent, below, len(pe)))
                     stop = np.exp(_HALF + pe - pw)
                 self.stop[d][bit], below = stop, pw
             self.weighted[bit] = below
 
-    def root_part(self):
-        """(node of the byte's tree, log Pw, zeros, ones) of the nodes at depth 1; a node is 2^bits + the bits."""
-        level, out = self.levels[1], []
+    def parts(self) -> list[np.ndarray]:
+        """(context one byte shorter than ``top``, node, log Pw, zeros, ones) of the nodes at ``top``.
+        A node is 2^bits + the bits before the decision."""
+        level, out = self.levels[self.top], []
         for bit in range(8):
-            prefix = (1 << bit) + (self.byte_at_one()[level.first[bit]] >> (8 - bit))
-            out.append((prefix, self.weighted[bit], level.zeros[bit], level.ones[bit]))
+            keys = self.keys[level.first[bit]]
+            out.append((keys >> 16, (1 << bit) + ((keys & 255) >> (8 - bit)), self.weighted[bit], level.zeros[bit], level.ones[bit]))
         return [np.concatenate(x) for x in zip(*out)]
 
-    def byte_at_one(self) -> np.ndarray:
-        byte = np.empty(len(self.levels[1].nodes[0]), np.int64)
-        byte[self.rows[1]] = self.byte
-        return byte
-
-    def log10(self, root: Root) -> np.ndarray:
+    def log10(self, crown: Crown) -> np.ndarray:
         """log10 of the predicted probability of each gram's byte in its context."""
         total = np.zeros(len(self.byte))
         for bit in range(8):
             set_ = (self.byte >> (7 - bit)) & 1 == 1
             node = (1 << bit) + (self.byte >> (8 - bit))
-            p, left = root.stop[node] * root.one[node], 1 - root.stop[node]
-            for d in range(1, self.depth + 1):
-                level, rows = self.levels[d], self.rows[d]
+            p, left = np.zeros(len(node)), np.ones(len(node))
+            for d in range(self.top):
+                context = self.grams >> (8 * (self.depth + 1 - d)) & (256**d - 1)
+                stop = crown.stop[d][context, node]
+                p += left * stop * crown.one[d][context, node]
+                left *= 1 - stop
+            for d in range(self.top, self.depth + 1):
+                level = self.levels[d]
                 one = (level.ones[bit] + 0.5) / (level.zeros[bit] + level.ones[bit] + 1.0)
-                at = level.nodes[bit][rows]
+                at = level.nodes[bit][self.rows[d]]
                 stop = self.stop[d][bit][at]
                 p += left * stop * one[at]
                 left *= 1 - stop
@@ -138,15 +140,22 @@ class Subtree:
         return total
 
 
-class Root:
-    """The roots of the byte's 255 trees, from the sums over all subtrees."""
-
-    def __init__(self, nodes, weighted, zeros, ones) -> None:
-        self.stop, self.one = np.full(256, 0.5), np.full(256, 0.5)
-        pe = kt(np.asarray(zeros, np.int64), np.asarray(ones, np.int64))
-        pw = _HALF + np.logaddexp(pe, weighted)
-        self.stop[nodes] = np.exp(_HALF + pe - pw)
-        self.one[nodes] = (np.asarray(ones) + 0.5) / (np.asarray(zeros) + np.asarray(ones) + 1.0)
+class Crown:
+    """The trees above depth ``top``, from sums over all subtrees: at most 256^(top-1) * 255 nodes."""
+
+    def __init__(self, top: int, context, node, weighted, zeros, ones) -> None:
+        self.stop, self.one = ([np.full((256**d, 256), 0.5) for d in range(top)] for _ in range(2))
+        context, node = np.asarray(context, np.int64), np.asarray(node, np.int64)
+        weighted, zeros, ones = np.asarray(weighted, float), np.asarray(zeros, np.int64), np.asarray(ones, np.int64)
+        for d in range(top - 1, -1, -1):
+            pe = kt(zeros, ones)
+            pw = _HALF + np.logaddexp(pe, weighted)
+            self.stop[d][context, node] = np.exp(_HALF + pe - pw)
+            self.one[d][context, node] = (ones + 0.5) / (zeros + ones + 1.0)
+            above, at = np.unique((context >> 8 << 8) | node if d else node, return_inverse=True)
+            weighted = np.bincount(at, pw, len(above))
+            zeros, ones = (np.bincount(at, x, len(above)).astype(np.int64) for x in (zeros, ones))
+            context, node = above >> 8, above & 255
 
 
 class Lookup:

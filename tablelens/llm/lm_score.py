@@ -3,9 +3,9 @@
 1. One pass over all texts counts words and grams (a byte with the ``depth``
    bytes before it); only learning texts add to the counts, the others add
    their grams with count 0. One aggregate brings the counts together.
-2. Grams are grouped by the nearest context byte: each group is a subtree, whose
-   mixtures are worked out in one task. What the root needs is 255 sums.
-3. With the root known, every gram of the corpus gets its log10 probability.
+2. Grams are dealt by their two nearest context bytes: each pair's subtree is
+   worked out in one task. What the tree above needs is at most 256 * 255 sums.
+3. With that known, every gram of the corpus gets its log10 probability.
 4. A second pass scores the texts. The most used words and grams are broadcast
    (``HOT_WORDS``, ``HOT_GRAMS`` bound them); occurrences of all others leave the
    pass as counts per text and are joined to their tables, so every token and
@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, held_out
-from .ctw import Lookup, Root, Subtree, grams_of
+from .common import LOWER_BYTES, bounded_batches, cut, held_out, shuffle_parts
+from .ctw import Crown, Lookup, Subtrees, grams_of
 
 HOT_WORDS = 1 << 18
 HOT_GRAMS = 1 << 20
 END = b"\n"
-_FLUSH_WORDS = 400_000
-_FLUSH_GRAMS = 1 << 22
+_FLUSH_WORDS = 200_000
+_FLUSH_GRAMS = 1 << 21
 _CHUNK = 1 << 22
 
 
@@ -78,7 +78,7 @@ class _GramCounter:
 def _rows(words, word_n, grams, gram_n) -> pa.RecordBatch:
     n, m = len(words), len(grams)
     return pa.RecordBatch.from_arrays(
-        [pa.array([*words, *repeat(None, m)], pa.binary()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams, pa.int64())]),
+        [pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams, pa.int64())]),
          pa.array(np.concatenate([np.asarray(word_n, np.int64), gram_n]))], names=["word", "gram", "n"])
 
 
@@ -115,28 +115,34 @@ def _sorted_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], n[order]
 
 
-def _root_parts(depth: int):
+def _parts(depth: int, top: int):
     def run(table):
-        nodes, weighted, zeros, ones = Subtree(*_sorted_grams(table), depth).root_part()
-        return pa.table({"node": pa.array(nodes.astype(np.int32)), "weighted": pa.array(weighted), "zeros": pa.array(zeros), "ones": pa.array(ones)})
+        context, node, weighted, zeros, ones = Subtrees(*_sorted_grams(table), depth, top).parts()
+        return pa.table({"context": pa.array(context), "node": pa.array(node), "weighted": pa.array(weighted),
+                         "zeros": pa.array(zeros), "ones": pa.array(ones)})
     return run
 
 
-def _predictions(depth: int, root: Root):
+def _predictions(depth: int, top: int, crown: Crown):
     def run(table):
         grams, n = _sorted_grams(table)
-        return pa.table({"gram": pa.array(grams), "n": pa.array(n), "value": pa.array(Subtree(grams, n, depth).log10(root))})
+        return pa.table({"gram": pa.array(grams), "n": pa.array(n), "value": pa.array(Subtrees(grams, n, depth, top).log10(crown))})
     return run
 
 
 def train_ctw(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, n) with learning counts -> (gram, n, value): log10 of its probability for every gram given."""
-    by_byte = grams.withColumn("byte", F.shiftright("gram", 8 * depth)).groupBy("byte")
-    parts = (by_byte.applyInArrow(_root_parts(depth), "node int, weighted double, zeros long, ones long")
-             .groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")))
-    got = parts.orderBy("node").toPandas()  # at most 255 rows
-    root = Root(got["node"].to_numpy(), got["weighted"].to_numpy(), got["zeros"].to_numpy(), got["ones"].to_numpy())
-    return by_byte.applyInArrow(_predictions(depth, root), "gram long, n long, value double")
+    """(gram, n) with learning counts -> (gram, n, value): log10 of its probability for every gram given.
+
+    Subtrees of the two nearest bytes are dealt to tasks whole, some to each.
+    """
+    top = min(2, depth)
+    nearest = F.shiftright("gram", 8 * (depth + 1 - top))
+    dealt = grams.withColumn("deal", F.pmod(F.xxhash64(nearest), F.lit(4 * shuffle_parts(grams.sparkSession)))).groupBy("deal")
+    parts = (dealt.applyInArrow(_parts(depth, top), "context long, node long, weighted double, zeros long, ones long")
+             .groupBy("context", "node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")))
+    got = parts.orderBy("context", "node").toPandas()  # at most 256 * 255 rows
+    crown = Crown(top, *(got[c].to_numpy() for c in ("context", "node", "weighted", "zeros", "ones")))
+    return dealt.applyInArrow(_predictions(depth, top, crown), "gram long, n long, value double")
 
 
 def _hottest(table: DataFrame, most: int) -> DataFrame:
@@ -205,6 +211,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     from, every bit has probability one half and the base one word type.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id), folds).alias("held_out"))
     counts = cut(rows.mapInArrow(_counter(depth), "word binary, gram long, n long")
                  .groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tablelens.llm import lm_score
-from tablelens.llm.ctw import Lookup, Root, Subtree, grams_of, kt
+from tablelens.llm.ctw import Crown, Lookup, Subtrees, grams_of, kt
 from tablelens.llm.lm_score import score_documents, text_words
 
 
@@ -111,6 +111,12 @@ def test_against_recursions(frame, monkeypatch, hot):
     agree(run(frame(rows, "doc_id long, text string"), depth=2), brute(rows, 2))
 
 
+def test_other_depths(frame):
+    rows = corpus(random.Random(5), 15)
+    for depth in (1, 4):
+        agree(run(frame(rows, "doc_id long, text string"), depth=depth), brute(rows, depth))
+
+
 def test_small_buffers(frame, monkeypatch):
     rows = corpus(random.Random(3))
     for name, value in (("_FLUSH_WORDS", 3), ("_FLUSH_GRAMS", 20), ("_CHUNK", 7)):
@@ -118,7 +124,8 @@ def test_small_buffers(frame, monkeypatch):
     agree(run(frame(rows, "doc_id long, text string"), depth=3), brute(rows, 3))
 
 
-def test_probabilities_add_to_one():
+@pytest.mark.parametrize("top", [1, 2])
+def test_probabilities_add_to_one(top):
     rng = np.random.default_rng(1)
     depth, text = 3, bytes(rng.choice(list(b"abc \n"), 300).tolist())
     grams, n = np.unique(grams_of(text, depth), return_counts=True)
@@ -127,12 +134,13 @@ def test_probabilities_add_to_one():
     both = np.unique(np.concatenate([grams, every]))
     counts = np.zeros(len(both), np.int64)
     counts[np.searchsorted(both, grams)] = n
-    parts = [Subtree(both[both >> (8 * depth) == c], counts[both >> (8 * depth) == c], depth) for c in np.unique(both >> (8 * depth))]
-    rows = [np.concatenate(x) for x in zip(*(p.root_part() for p in parts))]
-    nodes = np.unique(rows[0])
-    root = Root(nodes, *([np.bincount(rows[0], rows[k])[nodes] for k in (1, 2, 3)]))
-    mine = both >> (8 * depth) == context >> (8 * (depth - 1))
-    p = 10 ** Subtree(both[mine], counts[mine], depth).log10(root)
+    nearest = both >> (8 * (depth + 1 - top))
+    trees = [Subtrees(both[nearest == c], counts[nearest == c], depth, top) for c in np.unique(nearest)]
+    rows = [np.concatenate(x) for x in zip(*(t.parts() for t in trees))]
+    where, at = np.unique(rows[0] * 256 + rows[1], return_inverse=True)
+    crown = Crown(top, where >> 8, where & 255, *(np.bincount(at, rows[k]) for k in (2, 3, 4)))
+    mine = nearest == context >> (8 * (depth - top))
+    p = 10 ** Subtrees(both[mine], counts[mine], depth, top).log10(crown)
     assert p[np.searchsorted(both[mine], every)].sum() == pytest.approx(1.0)
 
 
