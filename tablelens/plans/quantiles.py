@@ -90,9 +90,10 @@ def exact_quantiles_wide(df: DataFrame, columns: dict[str, Column], probs: Seque
         return df.sparkSession.createDataFrame([], schema)
     bracket = {(j, i): (sketches[names[j]][1][i], sketches[names[j]][1][k + i]) for j in live for i in range(k)}
     below = one_row(src.agg(*[F.count_if(x[j] < F.lit(lo)).alias(f"b{j}_{i}") for (j, i), (lo, _) in bracket.items()]))
-    tags = [F.when((x[j] >= F.lit(lo)) & (x[j] <= F.lit(hi)),
-                   F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), x[j].alias("_t"))) for (j, i), (lo, hi) in bracket.items()]
-    inside = src.select(F.explode(F.array_compact(F.array(*tags))).alias("_h")).select("_h.*")
+    hits = {(j, i): (x[j] >= F.lit(lo)) & (x[j] <= F.lit(hi)) for (j, i), (lo, hi) in bracket.items()}
+    tags = [F.when(hit, F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), x[j].alias("_t"))) for (j, i), hit in hits.items()]
+    # Few rows have a value inside any bracket; only those are exploded.
+    inside = src.where(reduce(Column.__or__, hits.values())).select(F.explode(F.array_compact(F.array(*tags))).alias("_h")).select("_h.*")
     largest = max(sketches[names[j]][0] for j in live)
     n_buckets = max(1, math.ceil(6.0 / accuracy * largest * 1.5 / _ROWS_PER_BUCKET))
     base = df.sparkSession.createDataFrame([(j, i, int(below[f"b{j}_{i}"]), int(sketches[names[j]][0])) for j, i in bracket],
