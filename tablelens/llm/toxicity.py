@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import bounded_batches, cut, held_out
 from .decontaminate import split_words
 
 #: Lengths, in bytes, of the word beginnings that are features besides whole words.
 BEGINNINGS = (3, 4, 5, 6, 8)
 #: A feature that a text has so many times stands for a feature of its own.
 TIMES = (1, 2, 4)
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 _HASH_RANGE = 1 << 40
 
 
@@ -44,20 +44,37 @@ def text_features(text: str | None, features=word_features) -> list[bytes]:
     words, met = Counter(), Counter()
     for part in split_words(text):
         words.update(part)
-    for word, n in words.items():
-        for f in features(word):
-            met[f] += n
+    for word, own in zip(words, map(features, words)):
+        for f in own:
+            met[f] += words[word]
     return sorted([f if t == 1 else b"%s#%d" % (f, t) for f, n in met.items() for t in TIMES if n >= t])
 
 
-def _emit_features(chosen=None):
+def _count_features(batches):
+    """How many positive and unlabelled texts of a task hold each feature."""
+    counts = {True: Counter(), False: Counter()}
+
+    def flush():
+        found = list(counts[True].keys() | counts[False].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array([counts[k][f] for f in found], pa.int64()) for k in (True, False)]],
+                                         names=["feature", "p", "u"])
+        counts[True].clear()
+        counts[False].clear()
+        return out
+
+    for batch in batches:
+        for text, positive in zip(batch.column("text"), batch.column("positive").to_pylist()):
+            counts[positive].update(text_features(text.as_py()))
+            if len(counts[True]) + len(counts[False]) > _CACHE_WORDS:
+                yield flush()
+    yield flush()
+
+
+def _number_features(chosen: dict[bytes, int]):
     def run(batches):
         for batch in batches:
-            lists = [text_features(t.as_py()) for t in batch.column("text")]
-            if chosen is not None:
-                lists = [[chosen[f] for f in fs if f in chosen] for fs in lists]
-            kind = pa.binary() if chosen is None else pa.int32()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(lists, pa.list_(kind))],
+            lists = [[chosen[f] for f in text_features(t.as_py()) if f in chosen] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(lists, pa.list_(pa.int32()))],
                                              names=["doc_id", "positive", "features"])
     return run
 
@@ -106,30 +123,36 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, n_features: int, prior: float
     return weights[:-1], float(weights[-1]), risks
 
 
+class _Known(dict):
+    """word -> those of its features that a model uses."""
+
+    def __init__(self, used: set[bytes]) -> None:
+        self.used = used
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        got = self[word] = tuple(f for f in word_features(word) if f in self.used)
+        return got
+
+
 class ToxicityModel:
     def __init__(self, features: list[bytes], weights: np.ndarray, bias: float, prior: float) -> None:
         self.weights, self.bias, self.prior = dict(zip(features, weights.tolist())), bias, prior
 
     def scorer(self):
         """text -> score, with a bounded memory of words."""
-        weights, bias, memory = self.weights, self.bias, {}
-        used = {f.split(b"#")[0] for f in weights}
-
-        def known(word):
-            if (got := memory.get(word)) is None:
-                if len(memory) > _CACHE_WORDS:
-                    memory.clear()
-                got = memory[word] = tuple(f for f in word_features(word) if f in used)
-            return got
+        weights, bias, known = self.weights, self.bias, _Known({f.split(b"#")[0] for f in self.weights})
 
         def score(text: str | None) -> float:
-            z = bias + sum(weights.get(f, 0.0) for f in text_features(text, known))
+            if len(known) > _CACHE_WORDS:
+                known.clear()
+            z = bias + sum(weights.get(f, 0.0) for f in text_features(text, known.__getitem__))
             return float(_sigmoid(np.float64(z)))
         return score
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
     """(doc_id, positive, text) of the sample, one row per doc_id, and the class prior of the labelled rows."""
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
     ids = docs.select("doc_id").where("doc_id is not null")
@@ -160,19 +183,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 8192, m
     """
     sample, prior = _sample(docs, labels, max_positive, max_unlabelled)
     prior = class_prior or prior
-    features = sample.mapInArrow(_emit_features(), "doc_id long, positive boolean, features array<binary>")
     one = F.when(F.col("positive"), 1).otherwise(0)
     sizes = sample.agg(F.sum(one).alias("p"), F.sum(1 - one).alias("u")).first()
     n_p, n_u = max(1, sizes["p"] or 0), max(1, sizes["u"] or 0)
-    seen = (features.select("positive", F.explode("features").alias("feature"))
-            .groupBy("feature").agg(F.sum(one).alias("p"), F.sum(1 - one).alias("u")))
+    seen = (sample.mapInArrow(_count_features, "feature binary, p long, u long")
+            .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     share_p, share_u = F.col("p") / n_p, (F.col("u") + 1) / n_u
     contrast = (share_p - share_u) / F.sqrt(share_p / n_p + share_u / n_u)
     kept = (seen.where((F.col("p") >= min_positive) & (share_p >= 2 * share_u) & (contrast >= min_contrast))
             .orderBy(F.desc(contrast), "feature").limit(max_features).collect())
     names = [bytes(r["feature"]) for r in kept]
-    rows = sample.mapInArrow(_emit_features({f: i for i, f in enumerate(names)}), "doc_id long, positive boolean, features array<int>")
-    rows = rows.orderBy("doc_id").toPandas()  # at most the sample, a few numbers a row
+    rows = sample.mapInArrow(_number_features({f: i for i, f in enumerate(names)}), "doc_id long, positive boolean, features array<int>")
+    rows = rows.toPandas().sort_values("doc_id")  # at most the sample, a few numbers a row
     split = lambda wanted: Sparse([np.asarray(f) for f, p in zip(rows["features"], rows["positive"]) if p == wanted])
     weights, bias, _ = fit_nnpu(split(True), split(False), len(names), prior)
     return ToxicityModel(names, weights, bias, prior)
@@ -184,6 +206,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     A null or empty text has no features and gets the model's lowest evidence,
     its bias. Every row is scored, repeated ones alike.
     """
+    bounded_batches(docs.sparkSession)
     made = []  # one scorer for all batches of a task
 
     def run(texts: pa.Array) -> pa.Array:
