@@ -13,16 +13,24 @@ Ids are kept as little-endian unsigned 32-bit bytes.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 #: Parts that a worker remembers; then it starts afresh.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 400_000
 LONGEST_PART = 64
-_ODD = re.compile("\\s\\s|^\\s|\\s$|[^\\S\n ]|\u180e")
+#: White space (by any library's reading) other than the space and the line break.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
 _WORKERS: dict[str, Encoder] = {}
 
 
+def _plain(text: str) -> bool:
+    """Only single spaces and single line breaks, and none at the ends. A dozen substring searches are
+    much faster here than one regular expression."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+                or any(c in text for c in _OTHER_SPACE) or (not text.isascii() and any(c in text for c in _WIDE_SPACE)))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -51,7 +59,7 @@ class Encoder(dict):
 
     def _word(self, word: str) -> bytes:
         """A space and letters only: one piece, so the merges alone give its ids."""
-        mapped = (" " + word).encode().decode("latin-1").translate(self.letters)
+        mapped = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
@@ -66,7 +74,7 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not text or _ODD.search(text):
+        if not text or not _plain(text):
             return self.whole(text) if text else b""
         if len(self) > CACHE_PARTS:
             self.clear()
