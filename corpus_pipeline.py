@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablelens.llm.common import cut
 from tablelens.llm.pipeline import clean_toxic, drop_contaminated, drop_near_copies, drop_shared_lines, pack
+from tablelens.session import ship_package
 
 STAGES = [
     ("toxicity", clean_toxic),
@@ -24,6 +25,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)

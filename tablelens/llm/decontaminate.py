@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, bounded_batches
 
 #: Words in a shard: a document that reaches this many ends the shard.
 SHARD_WORDS = 1 << 20
@@ -228,6 +228,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     ``docs`` gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > MAX_BENCHMARK_CHARS:

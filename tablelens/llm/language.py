@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, held_out
+from .common import LOWER_BYTES, bounded_batches, held_out
 
 PLACES = 4096
 _CHUNK = 1 << 22
@@ -118,6 +118,7 @@ def fit_language(docs: DataFrame, per_language: int = 400, max_sample: int = 400
                  reject: float = 0.005) -> LanguageModel:
     """Learn from (text, lang) rows with both; document frequencies use all of them."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.where("text is not null and lang is not null and text <> ''").select("text", "lang")
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
     n = sum(sizes.values())
@@ -147,6 +148,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text")
         langs, scores, rejected = zip(*found) if found else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                                           names=["lang_pred", "score", "rejected"])
+    bounded_batches(docs.sparkSession)
     udf = F.arrow_udf(run, "lang_pred string, score double, rejected boolean")
     return (docs.select(F.struct("*").alias("doc")).select("doc", udf(F.col("doc").getField(text)).alias("found"))
             .select("doc", "found.lang_pred", "found.score", "found.rejected"))

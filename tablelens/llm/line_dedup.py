@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import mph
-from .common import NO_ID, SPACES, cut, lower_ascii, shuffle_parts
+from .common import NO_ID, SPACES, bounded_batches, cut, lower_ascii, shuffle_parts
 
 _INDEX = "shard long, sizes binary, words binary, fingerprints binary, counts binary, keepers binary"
 
@@ -101,6 +101,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     be an integer column. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ident = F.coalesce(F.col("doc").getField(doc_id).cast("long"), F.lit(NO_ID))
     content = F.coalesce(F.col("doc").getField(text), F.lit(""))
     rows = docs.select(F.struct("*").alias("doc"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts
+from .common import bounded_batches, shuffle_parts
 from .tokens import default_vocabulary, encoder
 
 #: Ids in a block: a document that reaches this many ends the block.
@@ -160,6 +160,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     document longer than a window goes through several sequences. An empty table
     gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
     content = F.col(text)
     rows = (docs.select(F.struct(*kept).alias("doc"), content.alias("text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, shuffle_parts
+from .common import LOWER_BYTES, bounded_batches, cut, shuffle_parts
 from .components import connected_components, roots
 
 #: Random reference fingerprints; each also stands with every block flipped.
@@ -171,6 +171,7 @@ def _links(max_bits: int):
 
 def fingerprint_documents(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """``doc`` (the input row as a struct) and ``print`` (64 bits as a long)."""
+    bounded_batches(docs.sparkSession)
     finger = F.arrow_udf(_fingerprints(shingle), "long")
     return docs.select(F.struct("*").alias("doc")).select("doc", finger(F.col("doc").getField(text)).alias("print"))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, stage_path
+from .common import bounded_batches, shuffle_parts, stage_path
 from .tokens import default_vocabulary, encoder
 
 ROW_GROUP_BYTES = 16 << 20
@@ -61,6 +61,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     written, ordered by text hash; null ids come first. ``doc_id`` must be an
     integer column. An empty table writes files without rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
             .withColumn("tie", F.xxhash64("text"))
             .repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "tie")
