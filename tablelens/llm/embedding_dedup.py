@@ -6,12 +6,14 @@
    exactly the threshold from random members must be found, or the beam widens.
 3. Blocks of classes query every shard. In each such task some queries are also
    answered by an exact scan; if the beam's recall on them is below ``recall``
-   the beam widens and the block is searched again. A query whose beam is full
-   of links is searched with wider beams, and by an exact scan of the shard once
-   the beam would be a large part of it, so no number of partners is a limit.
-4. Every link is verified by cosine in double precision.
-5. A task hands on link counts and one star per component of its links; the
-   components are united over all tasks.
+   the beam widens before the block is searched. A query whose beam is full of
+   links is answered by an exact scan of the shard, so no number of partners is
+   a limit.
+4. Every link is verified by cosine in double precision, unless float32 puts it
+   clear of the threshold by more than its own error.
+5. Links are folded chunk by chunk into link counts and one star per component,
+   so a task holds rows and never all pairs of a dense cluster; the components
+   are united over all tasks.
 
 Querying every shard costs (vectors) x (shards); shards only multiply when one
 would no longer fit a task.
@@ -32,6 +34,8 @@ _INDEX = ("dim int, shard int, nodes binary, weights binary, vectors binary, bea
           "members array<binary>, neighbours array<binary>")
 _AUDIT = 192
 _SLACK = 1e-4  # between float32 search and double verification
+_SURE_DIM = 1024  # up to here float32 errs by less than the slack, so only cosines within it of the threshold need verification
+_LINKS_AT_ONCE = 1 << 20
 
 
 def _unit(table: pa.Table, dim: int) -> np.ndarray:
@@ -92,55 +96,76 @@ class _Shard:
         self.graph = Hnsw(self.vectors.astype(np.float32), members, near)
 
     def scan(self, q: np.ndarray, threshold: float):
-        """(query, row) of all links, by comparing with every vector of the shard."""
-        one, two = [], []
-        step = max(1, (8 << 20) // max(1, len(self.vectors)))
+        """Chunks of (query, row) of all links, by comparing with every vector of the shard."""
+        step = max(1, (4 << 20) // max(1, len(self.vectors)))
         for at in range(0, len(q), step):
-            a, b = np.nonzero(q[at:at + step].astype(np.float32) @ self.graph.vectors.T >= threshold - _SLACK)
-            one.append(a + at)
-            two.append(b)
-        return self._verified(q, np.concatenate([*one, np.zeros(0, np.int64)]), np.concatenate([*two, np.zeros(0, np.int64)]), threshold)
-
-    def _verified(self, q, one, two, threshold):
-        keep = np.zeros(len(one), bool)
-        for at in range(0, len(one), 1 << 18):
-            s = slice(at, at + (1 << 18))
+            sims = q[at:at + step].astype(np.float32) @ self.graph.vectors.T
+            a, b = np.nonzero(sims >= threshold - _SLACK)
+            for start in range(0, len(a), _LINKS_AT_ONCE):
+                one, two = (x[start:start + _LINKS_AT_ONCE] for x in (a, b))
+                yield self._verified(q, one + at, two, sims[one, two], threshold)
+
+    def _verified(self, q, one, two, sims, threshold):
+        keep = sims >= (threshold + _SLACK if q.shape[1] <= _SURE_DIM else np.inf)
+        unsure, step = np.flatnonzero(~keep), max(1, (8 << 20) // q.shape[1])
+        for at in range(0, len(unsure), step):
+            s = unsure[at:at + step]
             keep[s] = np.einsum("nd,nd->n", q[one[s]], self.vectors[two[s]]) >= threshold
         return one[keep], two[keep]
 
     def links(self, q: np.ndarray, threshold: float, beam: int):
-        """(query, row) of the links that searches find; queries whose beams fill up with links are widened."""
-        n, one, two = len(self.vectors), [], []
-        left = np.arange(len(q))
-        while len(left) and beam * 8 < n:
-            full, step = [], _rows_at_once(n)
-            for at in range(0, len(left), step):
-                part = left[at:at + step]
-                nodes, sims = self.graph.search(q[part].astype(np.float32), beam)
+        """Chunks of (query, row) of the links that searches find; queries whose beams fill up with links are scanned."""
+        n, crowd = len(self.vectors), np.arange(len(q))
+        if beam * 8 < n:
+            full, step = [crowd[:0]], _rows_at_once(n)
+            for at in range(0, len(q), step):
+                nodes, sims = self.graph.search(q[at:at + step].astype(np.float32), beam)
                 crowded = sims[:, -1] >= threshold - _SLACK
                 a, b = np.nonzero((sims >= threshold - _SLACK) & (nodes >= 0) & ~crowded[:, None])
-                one.append(part[a])
-                two.append(nodes[a, b])
-                full.append(part[crowded])
-            left, beam = np.concatenate(full), beam * 4
-        a, b = self._verified(q, np.concatenate([*one, np.zeros(0, np.int64)]), np.concatenate([*two, np.zeros(0, np.int64)]), threshold)
-        if len(left):
-            c, d = self.scan(q[left], threshold)
-            a, b = np.concatenate([a, left[c]]), np.concatenate([b, d])
-        return a, b
-
-    def audited(self, q: np.ndarray, threshold: float, recall: float):
-        """Links of a block; the beam widens until it finds ``recall`` of an exact scan of some of the block's queries."""
-        some = np.arange(0, len(q), max(1, len(q) // _AUDIT))
-        a, b = self.scan(q[some], threshold)
-        truth = some[a] * len(self.vectors) + b
+                yield self._verified(q, a + at, nodes[a, b], sims[a, b], threshold)
+                full.append(at + np.flatnonzero(crowded))
+            crowd = np.concatenate(full)
+        for a, b in self.scan(q[crowd], threshold):
+            yield crowd[a], b
+
+    def widened(self, q: np.ndarray, threshold: float, recall: float) -> int:
+        """The first beam that finds ``recall`` of an exact scan of some of the block's queries."""
+        some = q[:: max(1, len(q) // _AUDIT)]
+        truth = sum(len(a) for a, _ in self.scan(some, threshold))
         beam = self.beam
-        while True:
-            one, two = self.links(q, threshold, beam)
-            found = np.isin(truth, one * len(self.vectors) + two).mean() if len(truth) else 1.0
-            if found >= recall or beam * 8 >= len(self.vectors):
-                return one, two
+        # Links found are among the true ones, each once, so their number tells the share.
+        while beam * 8 < len(self.vectors) and sum(len(a) for a, _ in self.links(some, threshold, beam)) < recall * truth:
             beam *= 2
+        return beam
+
+    def audited(self, q: np.ndarray, threshold: float, recall: float):
+        """All links of a block as (query, row); memory grows with the links, see :meth:`folded`."""
+        found = list(self.links(q, threshold, self.widened(q, threshold, recall)))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+    def folded(self, q: np.ndarray, nodes: np.ndarray, threshold: float, recall: float):
+        """Weight of each query's links to others, and one star (u, v) per component of the links.
+
+        Every chunk of links is folded in at once, so memory grows with rows and not with links.
+        """
+        n, count = len(self.vectors), np.zeros(len(q), np.int64)
+        at = np.minimum(np.searchsorted(self.nodes, nodes), n - 1)
+        own = np.where(self.nodes[at] == nodes, at, -1)  # a query's row, if it is of this shard
+        place = np.where(own >= 0, own, n + np.arange(len(q)))
+        root = np.arange(n + len(q))
+        for a, b in self.links(q, threshold, self.widened(q, threshold, recall)):
+            other = b != own[a]
+            a, b = a[other], b[other]
+            count += np.bincount(a, self.weights[b], len(q)).astype(np.int64)
+            one, two = root[place[a]], root[b]
+            new = one != two
+            if new.any():
+                ends, least = roots(one[new], two[new])
+                to = np.arange(len(root))
+                to[ends] = least
+                root = to[root]
+        ids, off = np.concatenate([self.nodes, nodes]), np.flatnonzero(root != np.arange(len(root)))
+        return count, ids[off], ids[root[off]]
 
 
 def _searcher(threshold: float, recall: float):
@@ -150,17 +175,10 @@ def _searcher(threshold: float, recall: float):
         if len(queries) and len(index):
             dim = key[0].as_py()
             shard, nodes = _Shard(index, dim), queries["node"].to_numpy()
-            a, b = shard.audited(_unit(queries, dim), threshold, recall)
-            other = nodes[a] != shard.nodes[b]
-            a, b = a[other], b[other]
-            count = np.bincount(a, shard.weights[b], len(nodes)).astype(np.int64)
+            count, u, v = shard.folded(_unit(queries, dim), nodes, threshold, recall)
             linked = np.flatnonzero(count)
-            u, v, weight = nodes[linked], nodes[linked], count[linked]
-            if len(a):
-                star, root = roots(nodes[a], shard.nodes[b])
-                off = star != root
-                u, v = np.concatenate([u, star[off]]), np.concatenate([v, root[off]])
-                weight = np.concatenate([weight, np.zeros(off.sum(), np.int64)])
+            weight = np.concatenate([count[linked], np.zeros(len(u), np.int64)])
+            u, v = np.concatenate([nodes[linked], u]), np.concatenate([nodes[linked], v])
         return pa.Table.from_arrays([pa.array(u), pa.array(v), pa.array(weight)], names=["u", "v", "links"])
     return run
 

@@ -98,3 +98,28 @@ def test_empty_table_and_extra_columns(spark, frame):
     rows = [(1, [1.0, 0.0], "a", 3), (2, [1.0, 0.01], "b", 4), (3, [0.0, 1.0], "c", 5)]
     out = dedup_embeddings(frame(rows, "vec_id long, embedding array<float>, h1 string, node int")).collect()
     assert sorted(tuple(r) for r in out) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+@pytest.mark.parametrize("tight", [0.99, 0.973])  # all pairs linked; pairs on both sides of the threshold
+def test_a_dense_cluster_takes_memory_by_rows(tight):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tablelens.llm.embedding_dedup import _builder, _searcher
+
+    rng = np.random.default_rng(5)
+    n, dim, base = 5000, 16, rng.normal(size=16)
+    v = np.stack([near(rng, base, tight) for _ in range(n)] + [rng.normal(size=dim) for _ in range(500)])
+    table = pa.table({"node": np.arange(len(v)), "weight": np.full(len(v), 2), "embedding": pa.array(v.tolist())})
+    index = _builder(0.95, 0.98, 64)((pa.scalar(dim), pa.scalar(0)), table)
+    tracemalloc.start()
+    out = _searcher(0.95, 0.98)((pa.scalar(dim),), table, index).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = 2 * ((unit @ unit.T >= 0.95).sum(axis=1) - 1)
+    counts = {u: k for u, w, k in zip(out["u"], out["v"], out["links"]) if u == w}
+    assert [counts.get(i, 0) for i in range(n)] == want[:n].tolist() and want.sum() > 10_000_000
+    assert len({w for u, w in zip(out["u"], out["v"]) if u != w and u < n and w < n}) == 1
+    assert peak < 250 << 20
