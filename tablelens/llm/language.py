@@ -8,14 +8,14 @@ its own texts lie; a text farther away than nearly all of them is marked as
 rejected.
 
 Document frequencies count every learning text. The centroids come from a
-bounded sample of labelled rows (``per_language``, ``max_sample``).
+bounded sample of each language's distinct texts (``per_language``, ``max_sample``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, bounded_batches, held_out
@@ -120,19 +120,26 @@ def fit_language(docs: DataFrame, per_language: int = 400, max_sample: int = 400
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.where("text is not null and lang is not null and text <> ''").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
-    n = sum(sizes.values())
+    copies = docs.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per language: rows, and distinct texts.
+    sizes = {r["lang"]: (r["n"], r["texts"]) for r in copies.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()}
+    n = sum(rows for rows, _ in sizes.values())
     # PLACES rows, whatever the table's size.
     seen = docs.mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(PLACES)
     df[seen["place"].to_numpy(int)] = seen["n"].to_numpy(float)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
     each = max(1, min(per_language, max_sample // max(1, len(sizes))))
-    shares = spark.createDataFrame([(lang, int(min(1.0, each / size) * _HASH_RANGE)) for lang, size in sizes.items()], "lang string, below long")
-    picked = (docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_HASH_RANGE)) < F.col("below"))
-              .select("lang", "text").distinct())
+    # The ``each`` smallest hashes of a language's distinct texts: hashes below a bound that about 2 * each + 64 of them pass, then ranked.
+    shares = spark.createDataFrame([(lang, int(min(1.0, (2 * each + 64) / texts) * _HASH_RANGE)) for lang, (_, texts) in sizes.items()],
+                                   "lang string, below long")
+    place = F.pmod(F.xxhash64("text"), F.lit(_HASH_RANGE))
+    picked = (docs.join(F.broadcast(shares), "lang").where(place < F.col("below")).select("lang", "text").distinct()
+              .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(place, "text"))).where(F.col("nth") <= each))
     rows = picked.mapInArrow(_counted, "lang string, counts binary").toPandas().sort_values(["lang", "counts"])
     samples = {lang: np.stack([np.frombuffer(c, "<i4") for c in own["counts"]]) for lang, own in rows.groupby("lang")}
+    if missing := sizes.keys() - samples.keys():
+        raise RuntimeError(f"no learning text drawn for {sorted(missing)}")
     return LanguageModel(idf, samples, clusters, reject)
 
 

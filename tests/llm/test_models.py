@@ -124,3 +124,25 @@ def test_kmeans_finds_separate_clusters():
     centroids, own = spherical_kmeans(v, 3)
     assert sorted(np.bincount(own)) == [30, 30, 30] and np.allclose(np.linalg.norm(centroids, axis=1), 1)
     assert LanguageModel(np.ones(4096), {}, 3, 0.01).predict(["abc"]) == [("und", 0.0, True)]
+
+
+def test_every_language_is_learnt_from_its_distinct_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tablelens.llm.language import fit_language
+
+    rows = spark.range(20_000).select(F.concat(F.lit("lang"), (F.col("id") % 20).cast("string")).alias("lang"),
+                                      F.concat(F.lit("copy "), F.col("id") % 100, F.lit(" of a text")).alias("text"))
+    many = spark.range(1000).select(F.lit("many").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    learnt = {}
+
+    class Model(LanguageModel):
+        def __init__(self, idf, samples, clusters, reject):
+            learnt.update(samples)
+            super().__init__(idf, samples, clusters, reject)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tablelens.llm.language.LanguageModel", Model)
+        model = fit_language(rows.unionByName(many), per_language=50)
+    assert {lang: len(own) for lang, own in learnt.items()} == {**{f"lang{i}": 5 for i in range(20)}, "many": 50}
+    assert set(model.langs) == set(learnt)
