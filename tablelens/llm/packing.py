@@ -106,9 +106,9 @@ def pack_block(docs: list[bytes], sentence_end: np.ndarray, window: int, gap: in
     return [(d, s, n, total, q, o, data[4 * a:4 * b]) for d, s, n, total, q, o, a, b in rows]
 
 
-def _packer(vocabulary: str, end_id: int, window: int, settings: dict):
+def _packer(vocabulary: str, added_tokens: bool, end_id: int, window: int, settings: dict):
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added_tokens)
         size = encode.tokenizer.get_vocab_size(with_added_tokens=True)
         sentence_end = np.zeros(max(size, end_id + 1), bool)
         for token, i in encode.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -146,7 +146,7 @@ def _packer(vocabulary: str, end_id: int, window: int, settings: dict):
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 2048, end_id: int = 1,
                    vocabulary: str | None = None, gap: int = 48, sentence_penalty: float = 24.0,
-                   word_penalty: float = 200.0, sequence_cost: float = 4.0) -> DataFrame:
+                   word_penalty: float = 200.0, sequence_cost: float = 4.0, added_tokens: bool = False) -> DataFrame:
     """Cut all documents, in doc_id order, into sequences of at most ``window`` ids with little padding.
 
     Returns one row per piece: ``doc`` (the input row without its text, as a
@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A null or empty text is its end id alone. Rows that repeat a doc_id are
     documents of their own, ordered by text hash; null ids come first. A
     document longer than a window goes through several sequences. An empty table
-    gives an empty result.
+    gives an empty result. ``added_tokens``: see :class:`.tokens.Encoder`.
     """
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
@@ -170,4 +170,4 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             .select("doc", "text"))
     settings = {"gap": gap, "sentence_penalty": sentence_penalty, "word_penalty": word_penalty, "sequence_cost": sequence_cost}
     schema = T.StructType([rows.schema["doc"], *[T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in _PIECE]])
-    return rows.mapInArrow(_packer(vocabulary or default_vocabulary(), end_id, window, settings), schema)
+    return rows.mapInArrow(_packer(vocabulary or default_vocabulary(), added_tokens, end_id, window, settings), schema)

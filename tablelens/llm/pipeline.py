@@ -56,4 +56,4 @@ def pack_digest(pieces: DataFrame) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_digest(pack_documents(docs.select("doc_id", "text")))
+    return pack_digest(pack_documents(docs.select("doc_id", "text"), added_tokens=True))

@@ -48,7 +48,7 @@ FROM judged GROUP BY doc_id
 """
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pack_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), added_tokens=True))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(spark, write_to_stage(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return token_digests(spark, write_to_stage(table(spark, sf_dir, "documents").select("doc_id", "text"), added_tokens=True))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

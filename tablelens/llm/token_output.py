@@ -33,9 +33,9 @@ _SCHEMA = "part int, place long, doc_id long, part_start long, n_tokens long, to
 _META = ["part", "place", "doc_id", "part_start", "n_tokens"]
 
 
-def _tokenize(vocabulary: str, end_id: int):
+def _tokenize(vocabulary: str, added_tokens: bool, end_id: int):
     def run(batches):
-        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary, added_tokens), TaskContext.get().partitionId()
         end, place, start = np.array([end_id], "<u4").tobytes(), 0, 0
         for batch in batches:
             ids = [encode.ids(t.as_py() or "") + end for t in batch.column("text")]
@@ -54,19 +54,20 @@ def _tokenize(vocabulary: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0,
-                 vocabulary: str | None = None) -> None:
+                 vocabulary: str | None = None, added_tokens: bool = False) -> None:
     """Encode whole texts, add ``end_id`` to each, and write the format above to ``path``.
 
     A null or empty text is its end id alone. Rows that repeat a doc_id are all
     written, ordered by text hash; null ids come first. ``doc_id`` must be an
     integer column. An empty table writes files without rows.
+    ``added_tokens``: see :class:`.tokens.Encoder`.
     """
     bounded_batches(docs.sparkSession)
     rows = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
             .withColumn("tie", F.xxhash64("text"))
             .repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "tie")
             .sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
-    writer = rows.mapInArrow(_tokenize(vocabulary or default_vocabulary(), end_id), _SCHEMA).write.mode("errorifexists")
+    writer = rows.mapInArrow(_tokenize(vocabulary or default_vocabulary(), added_tokens, end_id), _SCHEMA).write.mode("errorifexists")
     options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
                "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false",
                "parquet.enable.dictionary#tokens.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}

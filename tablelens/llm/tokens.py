@@ -4,8 +4,8 @@ The byte-level vocabulary splits a text into pieces before it merges bytes, and
 a piece never runs from a character other than white space into white space.
 So a text may be cut before every space or line break that stands alone, and
 its ids are the ids of the parts, joined. Parts repeat a lot, so each worker
-keeps those it has met. Texts with runs of white space, or white space at an
-end, are encoded whole.
+keeps those it has met. Texts with runs of white space, white space at an
+end, or the string of an added token that counts as one are encoded whole.
 
 Ids are kept as little-endian unsigned 32-bit bytes.
 """
@@ -21,7 +21,7 @@ LONGEST_PART = 64
 #: White space (by any library's reading) other than the space and the line break.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
-_WORKERS: dict[str, Encoder] = {}
+_WORKERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _plain(text: str) -> bool:
@@ -44,13 +44,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """part (without its leading space) -> id bytes."""
+    """part (without its leading space) -> id bytes.
 
-    def __init__(self, vocabulary: str) -> None:
+    ``added_tokens``: strings of the vocabulary's added tokens get those tokens' ids, as the library
+    does unless told otherwise; else they are ordinary text.
+    """
+
+    def __init__(self, vocabulary: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.letters = _byte_letters()
         self.marks = {m: self.whole(m) for m in ".,"}
 
@@ -74,7 +79,7 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not text or not _plain(text):
+        if not text or not _plain(text) or any(t in text for t in self.added):
             return self.whole(text) if text else b""
         if len(self) > CACHE_PARTS:
             self.clear()
@@ -82,7 +87,8 @@ class Encoder(dict):
         return self.whole(first) + b"".join(map(self.__getitem__, parts))
 
 
-def encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _WORKERS:
-        _WORKERS[vocabulary] = Encoder(vocabulary)
-    return _WORKERS[vocabulary]
+def encoder(vocabulary: str, added_tokens: bool = False) -> Encoder:
+    key = vocabulary, added_tokens
+    if key not in _WORKERS:
+        _WORKERS[key] = Encoder(*key)
+    return _WORKERS[key]

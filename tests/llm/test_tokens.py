@@ -155,3 +155,27 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     token_output.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path)
     assert token_output.token_digests(spark, path).collect() == []
+
+
+def test_queries_give_the_ids_of_an_unmodified_tokenizer(spark, frame, tmp_path):
+    from tablelens.llm import pipeline, queries
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = ["<|endoftext|>", "one<|endoftext|>two. three", "a <|endoftext|> b", "x <|endoftext|", "plain words here",
+             "<|endoftext|><|endoftext|>", "the end\n<|endoftext|>\nof it"]
+    frame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: list(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert want[0] == [50256]
+    start = 0
+    for r in sorted(queries.op8_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        data = array("I", [*want[r.doc_id], 0]).tobytes()
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(data) // 4, zlib.crc32(data))
+        start += r.n_tokens
+    packed = queries.op2_packing(spark, str(tmp_path)).collect()
+    last = pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    for rows in (packed, last):
+        got = {i: sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start) for i in want}
+        for i, pieces in got.items():
+            ids = [*want[i], 1]
+            assert sum(r.length for r in pieces) == len(ids) == pieces[0].doc_tokens
+            assert all(r.ids_crc32 == zlib.crc32(array("I", ids[r.start:r.start + r.length]).tobytes()) for r in pieces)
