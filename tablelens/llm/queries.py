@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_trie import rebuilt_trie
 from .decontaminate import contaminated, find_contamination
 from .embedding_dedup import dedup_embeddings
 from .language import classify_language
@@ -130,7 +131,56 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Rows of crc32's table by its rule, and the crc32 of a list of bytes; the SQL around it has ``tab`` in scope.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab"""
+
+
+def crc_sql(byte_list: str) -> str:
+    return (f"xor(list_reduce(list_concat([4294967295], {byte_list}), "
+            "lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295)")
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+turns AS (
+  SELECT conv_id, md5(length(r) || ':' || r || t) AS id, length(t) AS ch,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || t)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, {crc_sql("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM turns), crc),
+rebuilt AS (
+  SELECT c, 0 AS side, pos, id, ch FROM convs JOIN turns ON conv_id = c - c % 100 AND pos <= h
+  UNION ALL SELECT c, 1, pos, id, ch FROM convs JOIN turns ON conv_id = c AND pos > h),
+placed AS (SELECT c, id, ch, row_number() OVER (PARTITION BY c ORDER BY side, pos) AS d FROM rebuilt),
+paths AS (
+  SELECT c, d, ch, string_agg(id, ',') OVER (PARTITION BY c ORDER BY d) AS path FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (
+  SELECT d, path, min(c) AS top, count(*) AS n, any_value(ch) AS ch,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = deepest) AS ends
+  FROM (SELECT *, max(d) OVER (PARTITION BY c) AS deepest FROM paths) GROUP BY d, path),
+placed_nodes AS (
+  SELECT n.*, p.path AS above FROM nodes n LEFT JOIN paths p ON p.c = n.top AND p.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, above AS path, count(*) AS n_children FROM placed_nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT placed_nodes.*, coalesce(n_children, 0) AS n_children FROM placed_nodes LEFT JOIN kids USING (d, path)),
+trees AS (
+  SELECT a.d, a.path, sum((v.n - 1) * v.ch) AS saved, count(*) FILTER (WHERE v.n_children = 0) AS leaves
+  FROM full_nodes v JOIN paths a ON a.c = v.top AND a.d <= v.d GROUP BY 1, 2)
+SELECT f.top AS conv_id, CAST(f.d AS BIGINT) AS depth, p.top AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs,
+       CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_nodes f JOIN trees USING (d, path) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.path = f.above
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_packing, op3_toxicity, op4_embedding_dedup, op5_decontamination, op6_url_filters,
-    op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_url_filters": OP6_SQL}
+    op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring, op11_conversation_trie)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_url_filters": OP6_SQL,
+                              "op11_conversation_trie": OP11_SQL}
