@@ -16,6 +16,7 @@ from .lm_score import score_documents
 from .packing import pack_documents
 from .pipeline import pack_digest
 from .simhash import print_hex, simhash_dedup
+from .spelling import spelling_variants
 from .token_output import token_digests, write_to_stage
 from .toxicity import classify_toxicity
 from .url_filter import filter_urls
@@ -179,8 +180,47 @@ FROM full_nodes f JOIN trees USING (d, path) LEFT JOIN nodes p ON p.d = f.d - 1
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), delete_every=199)
+
+
+_UTF8 = "[192 + ord(x) // 64, 128 + ord(x) % 64]"  # the letters beyond ASCII end at U+00FF
+_UTF8_BYTES = ("flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), "
+               f"lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE {_UTF8} END))")
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (
+  SELECT doc_id, w, count(*) AS k
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {UPPER_LOWER}) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (SELECT w, k, {crc_sql(_UTF8_BYTES)} AS h FROM runs, crc),
+vocab AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN vocab b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n,
+         row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM near),
+forms AS (
+  SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * vocab.n THEN other END AS form,
+         CASE WHEN other_n >= 5 * vocab.n THEN other_n END AS form_n
+  FROM vocab LEFT JOIN best ON best.word = vocab.word AND place = 1),
+chain AS (
+  SELECT word, word AS here FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.here WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, chain.here AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain ON chain.word = f.word JOIN forms e ON e.word = chain.here AND e.form IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_packing, op3_toxicity, op4_embedding_dedup, op5_decontamination, op6_url_filters,
-    op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring, op11_conversation_trie)}
+    op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring, op11_conversation_trie,
+    op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_url_filters": OP6_SQL,
-                              "op11_conversation_trie": OP11_SQL}
+                              "op11_conversation_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
