@@ -10,9 +10,10 @@ within its own length, one out of all towards the next shorter and the next long
 length), two near words share at least one of them, and an equi-join on
 signatures followed by a check of the edit distance finds every near pair.
 
-A signature that very many words share (anagrams, long words of few letters) is
-cut finer, which is exact too: of two near words either the first half or the
-rest agrees letter by letter.
+Many words share a choice of blocks (anagrams, long words of few letters), so a
+signature also holds one of two halves: of two near words either the first half
+or the rest agrees letter by letter. That costs two rows instead of one and
+leaves few pairs to check.
 
 Signatures are 64-bit hashes of the agreeing features; two that collide only
 cost a check. Words, not their occurrences, are joined; occurrences are summed up
@@ -33,9 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, shuffle_parts
 
-BLOCKS = 9
-#: Words that may share a signature before it is cut finer.
-HOT_WORDS = 128
+BLOCKS = 4
 #: Words a counting task holds before it hands its counts on.
 HELD_WORDS = 1 << 18
 _WORD_BATCH = 1 << 15
@@ -104,60 +103,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def block_sums(words: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths, and per word and block the sum of the hashes of its features there."""
+def block_sums(words: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths; per word and block the sum of the hashes of its features there; per word four hashes of halves.
+
+    The halves: the first base // 2 letters and the last base - base // 2, for
+    base the word's length and one less.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
-    order = np.lexsort((letters, word))
-    letters = letters[order]  # the words' order stays
-    place = np.arange(len(letters))
-    new = np.ones(len(letters), bool)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    from_end, halves = lengths[word] - 1 - place, np.zeros((len(words), 4), np.uint64)
+    for k, base in enumerate((lengths[word], lengths[word] - 1)):
+        for side, at, inside in ((0, place, place < base // 2), (1, from_end, from_end < base - base // 2)):
+            here = _mix(letters[inside] * _A + at[inside].astype(np.uint64) * _B + np.uint64(side + 2))
+            np.add.at(halves, (word[inside], 2 * k + side), here)
+    letters = letters[np.lexsort((letters, word))]  # each word's letters sorted; the words' order stays
+    place, new = np.arange(len(letters)), np.ones(len(letters), bool)
     new[1:] = (letters[1:] != letters[:-1]) | (word[1:] != word[:-1])
-    nth = place - np.maximum.accumulate(np.where(new, place, 0)) if len(letters) else place
+    nth = place - np.maximum.accumulate(np.where(new, place, 0))
     feature = _mix(letters * _A + nth.astype(np.uint64) * _B + np.uint64(1))
     sums = np.zeros((len(words), blocks), np.uint64)
     np.add.at(sums, (word, (_mix(feature) % np.uint64(blocks)).astype(np.int64)), feature)
-    return lengths, sums
+    return lengths, sums, halves
 
 
-def _signatures(blocks: int):
-    """(word, n) -> (sig, base, same, word, n): same length, or ``base`` the shorter of two lengths."""
+def _signatures(blocks: int, shorter: int):
+    """(word, n) -> (sig, same, word, n), once for each choice of blocks and half.
+
+    Towards words of another length, these are for a word ``shorter`` by 0 or 1
+    letters: the longer word's with 1 meet the shorter word's with 0.
+    """
     choices = [(True, gone) for gone in itertools.combinations(range(blocks), 2)] + [(False, (gone,)) for gone in range(blocks)]
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, _WORD_BATCH):
                 batch = whole.slice(at, _WORD_BATCH)
-                lengths, sums = block_sums(batch.column("word").to_pylist(), blocks)
+                lengths, sums, halves = block_sums(batch.column("word").to_pylist(), blocks)
                 for k, (same, gone) in enumerate(choices):
                     kept = np.full(len(lengths), k + 1, np.uint64) * _B
                     for b in range(blocks):
                         if b not in gone:
                             kept = _mix(kept ^ sums[:, b])
-                    for base in [lengths] if same else [lengths, lengths - 1]:
-                        sig = _mix(kept + base.astype(np.uint64) * _A)
+                    less = 0 if same else shorter
+                    within = _mix(kept + (lengths - less).astype(np.uint64) * _A)
+                    for side in (0, 1):
+                        sig = _mix(within ^ (halves[:, 2 * less + side] + np.uint64(side)))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(sig.view(np.int64)), pa.array(base), pa.array(np.full(len(base), same)), batch.column("word"), batch.column("n")],
-                            names=["sig", "base", "same", "word", "n"])
+                            [pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), same)), batch.column("word"), batch.column("n")],
+                            names=["sig", "same", "word", "n"])
     return run
 
 
 def near_words(words: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(word, other, other_n): all ordered pairs of words at edit distance one. ``words``: distinct (word, n)."""
-    signed = cut(words.select("word", "n").mapInArrow(_signatures(blocks), "sig long, base long, same boolean, word string, n long"), "signatures")
-    hot = signed.groupBy("sig").count().where(F.col("count") > HOT_WORDS).select("sig")
-    half = F.floor(F.col("base") / 2)
-    parts = F.array(F.struct(F.lit(0).alias("end"), F.expr("left(word, int(floor(base / 2)))").alias("letters")),
-                    F.struct(F.lit(1).alias("end"), F.expr("right(word, int(base - floor(base / 2)))").alias("letters")))
-    finer = (signed.join(hot, "sig", "left_semi").where(half >= 0).withColumn("part", F.explode(parts))
-             .withColumn("sig", F.xxhash64("sig", "part")).drop("part"))
-    met = signed.join(hot, "sig", "left_anti").unionByName(finer)
-    met = cut(met.select("sig", "same", "word", "n", F.char_length("word").alias("length")), "met")
-    one, two = met.alias("one"), met.alias("two")
-    ordered = F.expr("CASE WHEN one.same THEN one.word < two.word ELSE one.length < two.length END")
-    pairs = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.same") == F.col("two.same")) & ordered
-                      & (F.levenshtein("one.word", "two.word", 1) == 1))
+    schema = "sig long, same boolean, word string, n long"
+    one, two = (words.select("word", "n").mapInArrow(_signatures(blocks, shorter), schema).alias(name) for shorter, name in ((0, "one"), (1, "two")))
+    once = F.expr("NOT one.same OR one.word < two.word")
+    pairs = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & once & (F.levenshtein("one.word", "two.word", 1) == 1))
              .select(F.col("one.word").alias("a"), F.col("one.n").alias("na"), F.col("two.word").alias("b"), F.col("two.n").alias("nb"))
              .distinct())
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("other_n")),
