@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..plans.fit import collect_bounded
 from .common import bounded_batches, cut, shuffle_parts
 
-BUCKETS = 256
+BUCKETS = 128
 #: Places of a triplet's second and third byte after its first.
 TRIPLETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 #: Difference per bucket of codes that have nothing in common (the mean over all 16 pairs).
@@ -215,7 +215,7 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     stage = cut(rows.mapInArrow(_along, _STAGE), "neighbours")
     closed = stage.where(F.col("edge").bitwiseAND(_LAST) == 0).select("doc_id", *(f.split()[0] for f in _RESULT.split(", ")))
     edges = stage.where("edge > 0")
-    parts = sorted(r["part"] for r in collect_bounded(edges.select("part").distinct(), 1 << 20, "non-empty partitions"))
+    parts = sorted(r["part"] for r in collect_bounded(edges.select("part").distinct(), 1 << 20))
     if not parts:
         return closed
     after = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]])), "part int, next_part int")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .conversation_trie import rebuilt_trie
 from .decontaminate import contaminated, find_contamination
 from .embedding_dedup import dedup_embeddings
+from .fingerprints import edited_likeness
 from .language import classify_language
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
@@ -180,6 +181,10 @@ FROM full_nodes f JOIN trees USING (d, path) LEFT JOIN nodes p ON p.d = f.d - 1
 """
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), delete_every=199)
 
@@ -221,6 +226,6 @@ FROM forms f JOIN chain ON chain.word = f.word JOIN forms e ON e.word = chain.he
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_packing, op3_toxicity, op4_embedding_dedup, op5_decontamination, op6_url_filters,
     op7_simhash_dedup, op8_token_output, op9_language_id, op10_lm_scoring, op11_conversation_trie,
-    op13_spelling_variants)}
+    op12_fingerprints, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_url_filters": OP6_SQL,
                               "op11_conversation_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
