@@ -70,7 +70,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     writer = rows.mapInArrow(_tokenize(vocabulary or default_vocabulary(), added_tokens, end_id), _SCHEMA).write.mode("errorifexists")
     options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
                "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false",
-               "parquet.enable.dictionary#tokens.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}
+               "parquet.enable.dictionary#tokens.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "snappy"}
     writer.options(**options).parquet(path)
 
 

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import os
 from array import array
+from operator import itemgetter
 
-#: Parts that a worker remembers; then it starts afresh.
-CACHE_PARTS = 400_000
+#: Parts in a generation of a worker's memory, which holds two.
+CACHE_PARTS = 300_000
 LONGEST_PART = 64
 #: White space (by any library's reading) other than the space and the line break.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -46,6 +47,10 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """part (without its leading space) -> id bytes.
 
+    The dict holds the parts met lately, ``old`` those of the time before; a
+    part met again comes back from there, so a full memory loses only what was
+    not used for a whole generation.
+
     ``added_tokens``: strings of the vocabulary's added tokens get those tokens' ids, as the library
     does unless told otherwise; else they are ordinary text.
     """
@@ -57,23 +62,37 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.letters = _byte_letters()
-        self.marks = {m: self.whole(m) for m in ".,"}
+        self.marks = {m: self.whole(m) for m in ".,\n"}
+        self.merge = self.tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A space and letters only: one piece, so the merges alone give its ids."""
-        mapped = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+    def _word(self, word: str, before: str = "Ġ") -> bytes:
+        """Letters only, after a space or nothing: one piece, so the merges alone give its ids."""
+        mapped = before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
+    def _opening(self, part: str) -> bytes:
+        """Ids of a part that begins the text or a line."""
         if part.isalpha():
-            ids = self._word(part)
-        elif part[-1:] in self.marks and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.marks[part[-1]]
-        else:
-            ids = self.whole(part if part[:1] == "\n" else " " + part)
+            return self._word(part, "")
+        if part[-1:] in self.marks and part[:-1].isalpha():
+            return self._word(part[:-1], "") + self.marks[part[-1]]
+        return self.whole(part)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if part.isalpha():
+                ids = self._word(part)
+            elif part[-1:] in self.marks and part[:-1].isalpha():
+                ids = self[part[:-1]] + self.marks[part[-1]]
+            elif part[:1] != "\n":
+                ids = self.whole(" " + part)
+            else:  # a line break alone is a piece of its own
+                ids = self.marks["\n"] + self._opening(part[1:])
         if len(part) <= LONGEST_PART:
             self[part] = ids
         return ids
@@ -82,9 +101,12 @@ class Encoder(dict):
         if not text or not _plain(text) or any(t in text for t in self.added):
             return self.whole(text) if text else b""
         if len(self) > CACHE_PARTS:
+            self.old = self.copy()
             self.clear()
         first, *parts = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, parts))
+        if len(parts) < 2:
+            return self._opening(first) + b"".join(map(self.__getitem__, parts))
+        return self._opening(first) + b"".join(itemgetter(*parts)(self))
 
 
 def encoder(vocabulary: str, added_tokens: bool = False) -> Encoder:
