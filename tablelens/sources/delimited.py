@@ -11,11 +11,12 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.fit import col, one_row, parse_double, parse_long
+from .quoted import has_quotes, read_quoted
 
 # The tokens pandas.read_csv treats as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -32,20 +33,29 @@ class RaggedRows(ValueError):
     """Some rows have more fields than the header names."""
 
 
-def _plan_types(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str], extra: str | None = None) -> list:
+def _plan_types(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str], extra: str | None = None,
+                bad_header: Column | None = None) -> list:
     """One aggregate over ``df`` -> the typed column expressions for ``columns``.
 
     ``extra`` names a column that must be empty: the fields beyond the header.
+    ``bad_header``: rows that are another file's header and differ; rows with a null there count as data.
     """
     tokens = list(na_tokens)
     cleaned = {c: F.when(~col(c).isin(tokens), col(c)) for c in columns}
     bools = list(BOOL_TRUE + BOOL_FALSE)
-    aggs = [F.count(F.lit(1)).alias("rows"), (F.count(col(extra)) if extra else F.lit(0)).alias("ragged")]
+    headers = F.count_if(bad_header) if bad_header is not None else F.lit(0)
+    if bad_header is not None:  # a file's header is not data
+        cleaned = {c: F.when(bad_header.isNull(), x) for c, x in cleaned.items()}
+    rows = F.count(F.lit(1)) if bad_header is None else F.count_if(bad_header.isNull())
+    beyond = F.count(col(extra)) if extra else F.lit(0)
+    aggs = [rows.alias("rows"), beyond.alias("ragged"), headers.alias("headers")]
     for i, c in enumerate(columns):
         x = cleaned[c]
         aggs += [F.count(x).alias(f"p{i}"), F.count(parse_long(x)).alias(f"l{i}"),
                  F.count(parse_double(x)).alias(f"d{i}"), F.count_if(x.isin(bools)).alias(f"b{i}")]
     row = one_row(df.agg(*aggs))
+    if row["headers"]:
+        raise ValueError(f"the headers of {row['headers']} files are not {list(columns)}")
     if row["ragged"]:
         raise RaggedRows(f"{row['ragged']} rows have more fields than the header's {len(columns)}")
     out = []
@@ -84,12 +94,10 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
 
 
 def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-                    multiline: bool = True) -> DataFrame:
-    """The raw table: first row is the header, every column text, nothing inferred.
+                    multiline: bool = False) -> DataFrame:
+    """The raw table by Spark's reader: first row is the header, every column text, nothing inferred.
 
-    Quoted fields may hold the separator, doubled quotes and line breaks. A file
-    with line breaks inside fields cannot be split, so each file is one task;
-    ``multiline=False`` reads files in splits, for data known to have none.
+    With ``multiline`` quoted fields may hold line breaks, and each file is one task.
     Files of one folder must have the same header: another order or other names
     are an error, not a shift of values.
     """
@@ -97,14 +105,33 @@ def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: st
 
 
 def _read_typed(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> DataFrame:
-    """Types are planned on a read with one more column, which shows rows longer than the header."""
-    raw = read_text_table(spark, path, sep, encoding, multiline)
-    if not raw.columns:
-        return raw
+    """Types are planned on a read with one more column, which shows rows longer than the header.
+
+    Every file is read in splits. Where quotes occur, line breaks may be inside
+    fields; then the records are found and parsed by :mod:`.quoted` and staged
+    once. ``multiline`` reads each file whole instead, in one task.
+    """
     extra = "_beyond_header"
-    wide = T.StructType([*raw.schema.fields, T.StructField(extra, T.StringType())])
-    longer = _reader(spark, sep, encoding, multiline).schema(wide).csv(path)
-    return raw.select(*_plan_types(longer, raw.columns, PANDAS_NA_TOKENS, extra))
+    whole = multiline or encoding.upper().startswith("UTF-16")
+    in_quotes = not whole and has_quotes(spark, path)
+    head = read_text_table(spark, path, sep, encoding, whole or in_quotes)  # a quoted header may hold line breaks
+    names = head.columns
+    if not names:
+        return head
+    if not in_quotes:
+        reader = _reader(spark, sep, encoding, whole)
+        text = [T.StructField(c, T.StringType()) for c in names]
+        longer = reader.schema(T.StructType([*text, T.StructField(extra, T.StringType())])).csv(path)
+        rows = _reader(spark, sep, encoding, whole).option("enforceSchema", False).schema(T.StructType(text)).csv(path)
+        return rows.select(*_plan_types(longer, names, PANDAS_NA_TOKENS, extra))
+    names = [*names[:-1], names[-1].removesuffix("\r")]
+    rows = read_quoted(spark, path, names, sep, encoding, extra)
+    same = F.lit(True)
+    for c in names:
+        same = same & col(c).eqNullSafe(F.lit(c))
+    bad = F.when(col("_header"), ~same)
+    typed = _plan_types(rows, names, PANDAS_NA_TOKENS, extra, bad)
+    return rows.where(~col("_header")).select(*typed)
 
 
 def _round_on_load(df: DataFrame, round_decimals: int | None) -> DataFrame:
@@ -116,22 +143,26 @@ def _round_on_load(df: DataFrame, round_decimals: int | None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", round_decimals: int | None = None,
-             multiline: bool = True) -> DataFrame:
-    """A1: comma-separated, header row, pandas-style inferred types. Rows longer than the header are an error."""
+             multiline: bool = False) -> DataFrame:
+    """A1: comma-separated, header row, pandas-style inferred types. Rows longer than the header are an error.
+
+    Quoted fields may hold the separator, doubled quotes and line breaks, and files are read in splits all the same.
+    ``multiline=True`` hands each file whole to one task, for files whose lines end in a lone carriage return.
+    """
     return _round_on_load(_read_typed(spark, path, ",", encoding, multiline), round_decimals)
 
 
 def read_txt(spark: SparkSession, path: str, encoding: str = "UTF-8", round_decimals: int | None = None,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = False) -> DataFrame:
     """A2: tab-separated text."""
     return _round_on_load(_read_typed(spark, path, "\t", encoding, multiline), round_decimals)
 
 
-def ingest(spark: SparkSession, path: str, round_decimals: int | None = None) -> DataFrame:
-    """A5: dispatch on the extension; anything else is rejected."""
+def ingest(spark: SparkSession, path: str, round_decimals: int | None = None, multiline: bool = False) -> DataFrame:
+    """A5: dispatch on the extension; anything else is rejected. ``multiline``: see :func:`read_csv`."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in DELIMITED_EXTENSIONS:
-        return _round_on_load(_read_typed(spark, path, DELIMITED_EXTENSIONS[ext], "UTF-8", True), round_decimals)
+        return _round_on_load(_read_typed(spark, path, DELIMITED_EXTENSIONS[ext], "UTF-8", multiline), round_decimals)
     if ext in WORKBOOK_EXTENSIONS:
         from .workbook import read_workbooks
         return _round_on_load(read_workbooks(spark, path), round_decimals)
