@@ -15,6 +15,7 @@ from .. import fixtures as fx
 from ..session import ensure_checkpoint_dir
 from ..sources.delimited import read_csv, read_txt
 from ..sources.export import export_csv
+from ..sources.workbook import parse_workbooks
 from ..registry import register
 from .sqlgen import rint2
 
@@ -70,3 +71,10 @@ def q_ingest_csv_rounded(spark, sf):
     path = _scratch(spark, "csv") + "/customer.csv"
     fx.table(spark, sf, "customer").write.option("header", True).csv(path)
     return read_csv(spark, path, round_decimals=2)
+
+
+@register("ingest_workbooks",
+          "SELECT event_id, date_trunc('second', ts) AS ts, event_type, CASE WHEN event_id % 9 <> 0 THEN value END AS value, "
+          "value > 50 AS large FROM events", ["value"])
+def q_ingest_workbooks(spark, sf):
+    return parse_workbooks(fx.event_workbooks(spark, sf))

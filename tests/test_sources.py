@@ -1,12 +1,13 @@
 import datetime as dt
 import os
 import tempfile
-import zipfile
 
 import pytest
 
 from tablelens.sources.delimited import infer_types, ingest, read_csv, read_txt
 from tablelens.sources.export import ExportError, export_csv, export_path
+from tablelens.fixtures import workbook_bytes
+from tablelens.sources import workbook
 from tablelens.sources.workbook import read_workbooks
 
 CSV = ("id,price,flag,when,label,partial,empty,mixed\n"
@@ -43,33 +44,9 @@ def test_tsv_and_dispatch(spark):
         ingest(spark, os.path.join(tmp, "t.xls"))
 
 
-def _xlsx(path, rows):
-    shared = []
-    def idx(s):
-        if s not in shared:
-            shared.append(s)
-        return shared.index(s)
-    sheet_rows = []
-    for r, row in enumerate(rows, start=1):
-        cells = []
-        for c, v in enumerate(row):
-            ref = f"{chr(65 + c)}{r}"
-            if isinstance(v, str):
-                cells.append(f'<c r="{ref}" t="s"><v>{idx(v)}</v></c>')
-            elif isinstance(v, bool):
-                cells.append(f'<c r="{ref}" t="b"><v>{int(v)}</v></c>')
-            elif v is not None:
-                cells.append(f'<c r="{ref}"><v>{v}</v></c>')
-        sheet_rows.append(f'<row r="{r}">{"".join(cells)}</row>')
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns} {rns}><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels",
-                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                   '<Relationship Id="rId1" Target="worksheets/sheet1.xml" Type="x"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{"".join(sheet_rows)}</sheetData></worksheet>')
-        z.writestr("xl/sharedStrings.xml", f'<sst {ns}>' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+def _xlsx(path, rows, **kw):
+    with open(path, "wb") as f:
+        f.write(workbook_bytes(rows, **kw))
 
 
 def test_workbooks(spark):
@@ -81,6 +58,40 @@ def test_workbooks(spark):
     assert sorted(r["name"] for r in df.collect()) == ["x", "y", "z"]
 
 
+def test_workbook_dates_and_odd_headers(spark):
+    tmp = tempfile.mkdtemp(prefix="tl-xlsx-")
+    at = [dt.datetime(2024, 1, 2), dt.datetime(1999, 12, 31, 23, 59, 59), dt.datetime(1900, 3, 1, 6)]
+    _xlsx(os.path.join(tmp, "a.xlsx"), [["when", "a.b", None, "x", "x"], [at[0], 1, "q", 1, 2], [None], [at[1], None, None, 3, 4, "beyond"], [at[2], 7]])
+    _xlsx(os.path.join(tmp, "b.xlsx"), [["x", "when"], [5, at[1]]], late=True)
+    _xlsx(os.path.join(tmp, "c.xlsx"), [["x", "only header"]])
+    df = read_workbooks(spark, tmp)
+    assert df.columns == ["when", "x", "a.b", "only header", "Unnamed: 2", "x.1", "Unnamed: 5"]
+    types = dict(df.dtypes)
+    assert types["when"] == "timestamp" and types["x"] == "double" and types["only header"] == "double" and types["a.b"] == "double"
+    got = sorted(((r["when"], r["x"], r["a.b"], r["Unnamed: 2"], r["Unnamed: 5"]) for r in df.collect()), key=repr)
+    want = [(at[0], 1.0, 1.0, "q", None), (at[1], 3.0, None, None, "beyond"), (at[2], None, 7.0, None, None), (at[1], 5.0, None, None, None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_number_formats():
+    kinds = {"yyyy-mm-dd": "date", "dd/mm/yy hh:mm": "date", "mmm-yy": "date", "h:mm AM/PM": "time", "[h]:mm:ss": "", "0.00": "", "General": "",
+             '0.0"days"': "", "#,##0.00 [$€-407]": "", "[Red]0.0": "", "[$-409]d-mmm-yyyy;@": "date", "mm:ss": "time", "@": ""}
+    assert {k: workbook.format_kind(k) for k in kinds} == kinds
+    assert workbook.date_text(45293.5, False) == "2024-01-02 12:00:00" and workbook.date_text(1, False) == "1900-01-01 00:00:00"
+    assert workbook.date_text(0.25, True) == "1904-01-01 06:00:00"
+
+
+def test_a_large_sheet_is_streamed():
+    import tracemalloc
+
+    content = workbook_bytes([["id", "text", "price"], *([k, f"t{k % 50}", k / 4] for k in range(100_000))])
+    tracemalloc.start()
+    n = sum(1 for _ in workbook.sheet_rows(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_001 and peak < 8 << 20  # a tree of the sheet is over 100 MB
+
+
 def test_export_rules(spark):
     tmp = tempfile.mkdtemp(prefix="tl-exp-")
     with pytest.raises(ExportError):
