@@ -319,6 +319,30 @@ def q_impute_knn(spark, sf):
     return out.select("c_custkey", "c_acctbal")
 
 
+_GAPPY = {"o.total": ("o_totalprice / 1000", 5), "cust id": ("o_custkey", 7), "day": ("date_diff('day', TIMESTAMP '1990-01-01', o_orderdate)", 11),
+          "`mod`": ("o_orderkey % 97", 13), "x.y": ("(o_orderkey * 7919) % 1009 / 10.0", 3)}
+_GAPPY_COLUMNS = ", ".join(f"CASE WHEN (o_orderkey + {m}) % {m} <> 0 THEN CAST({e} AS DOUBLE) END AS f{i}" for i, (e, m) in enumerate(_GAPPY.values()))
+_GAPPY_SHARED = " + ".join(f"CASE WHEN r.f{i} IS NOT NULL AND d.f{i} IS NOT NULL THEN 1 ELSE 0 END" for i in range(1, 5))
+_GAPPY_SQUARES = " + ".join(f"coalesce((r.f{i} - d.f{i}) * (r.f{i} - d.f{i}), 0)" for i in range(1, 5))
+
+
+@register("impute_knn_gappy",
+          f"WITH b AS (SELECT o_orderkey AS id, {_GAPPY_COLUMNS} FROM orders), "
+          f"p AS (SELECT r.id, d.id AS did, d.f0 AS v, {_GAPPY_SHARED} AS n, {_GAPPY_SQUARES} AS sq "
+          "FROM (SELECT * FROM b WHERE f0 IS NULL) AS r, (SELECT * FROM b WHERE f0 IS NOT NULL) AS d), "
+          "t AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY sqrt(CAST(5 AS DOUBLE) / n * sq), did) AS rn FROM p WHERE n > 0), "
+          "f AS (SELECT id, avg(v) AS fill FROM t WHERE rn <= 7 GROUP BY id) "
+          "SELECT b.id AS o_orderkey, coalesce(f0, fill, (SELECT avg(f0) FROM b)) AS total FROM b LEFT JOIN f USING (id)", ["total"])
+def q_impute_knn_gappy(spark, sf):
+    """Five features, each with gaps, and names with dots, spaces and back quotes."""
+    exprs = [F.col("o_totalprice") / 1000, F.col("o_custkey"), F.date_diff("o_orderdate", F.lit("1990-01-01").cast("date")),
+             F.col("o_orderkey") % 97, (F.col("o_orderkey") * 7919) % 1009 / 10.0]
+    df = fx.table(spark, sf, "orders").select("o_orderkey", *(
+        F.when((F.col("o_orderkey") + m) % m != 0, e.cast("double")).alias(n) for (n, (_, m)), e in zip(_GAPPY.items(), exprs)))
+    out = imp.impute(df, knn=["o.total"], k=7, knn_features=list(_GAPPY), knn_order=["o_orderkey"])
+    return out.select("o_orderkey", F.col("`o.total`").alias("total"))
+
+
 @register("impute_report_total",
           f"WITH r AS ({_report_sql()}) SELECT * FROM r UNION ALL "
           "SELECT 'TOTAL', CAST(NULL AS VARCHAR), CAST(sum(missing_before) AS BIGINT), "

@@ -1,4 +1,4 @@
-"""D4 — exact k-nearest-neighbour imputation without an all-pairs join.
+"""D4 — exact k-nearest-neighbour imputation by a partitioned k-d tree.
 
 Semantics (KNNImputer, uniform weights, *nan-euclidean* metric): for a row r
 missing column c, donors are rows with c present; the distance to donor d is
@@ -7,27 +7,26 @@ missing column c, donors are rows with c present; the distance to donor d is
 is the mean of c over the k nearest (fewer if fewer exist, the column mean if
 none). Ties are broken by the donor's row key.
 
-Plan (exact, bounded work per recipient):
-
-* Every feature other than c gets cell edges from donor quantiles
-  (``percentile_approx``, one bounded list per feature), sized so that cells
-  are roughly cubes in the metric (a narrow feature gets few cells); a JVM
-  ``Bucketizer`` assigns cells.
-* Recipients and donors are grouped by which features they have (a bit
-  mask). Each (recipient mask, donor mask) pair sharing at least one feature
-  is a *class*; its grid uses up to two of the shared features. Pairs sharing
-  none are skipped (no distance exists). Since F/|P| ≥ F/(features present
-  in r), ``sqrt(F/present_r)`` × the class-grid distance bounds the real one.
-* Donors with an identical feature vector are cut to the k smallest row keys
-  (only those can ever be chosen); recipients with an identical vector are
-  solved once.
-* Round R joins each unresolved recipient, in each of its classes, to the
-  donors in the neighbouring cells (clipped to the grid) — an equi-join on
-  (class, cells), never a cross join — and keeps the k nearest over all
-  classes (``WindowGroupLimit`` before the shuffle). A recipient is resolved
-  when its k-th distance is strictly below the smallest box margin over its
-  classes (a class whose box covers its whole grid has no margin limit).
-  Unresolved recipients continue with a wider ring.
+Plan (exact, any number of features, each with gaps or without):
+
+* The upper part of a k-d tree is cut from a bounded sample of donors: at most
+  ``MAX_LEAVES`` leaves of about ``LEAF_DONORS`` donors. Every donor goes down it
+  to one leaf and is staged once. Each leaf's bounding box (least and largest
+  value, and how many donors have one, per feature) comes from all its donors.
+* A box gives a lower bound of the distance to anything in it, over all
+  features the recipient has: a feature that every donor of the box has counts
+  with its gap; of those that only some have, just the ones that lower the mean
+  gap do.
+* Round one sends a recipient to the leaves of least bound that are sure to
+  hold k donors, which gives it a radius: the k-th distance found. Round two
+  sends it to every other leaf whose bound is within the radius. So two rounds
+  are always enough.
+* Within a leaf a task goes on with the tree down to blocks of ``BLOCK`` donors
+  that have the same features, and measures only blocks within the radius.
+
+Many recipients of one leaf are dealt to several tasks, with a copy of the leaf's
+donors each. Donors of equal features are cut to the k smallest row keys (only
+those can be chosen), equal recipients are solved once.
 """
 
 from __future__ import annotations
@@ -35,215 +34,287 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import clean_value, collect_bounded, materialize, one_row
+from ..plans.fit import clean_value, col, collect_bounded, materialize, one_row
+
+LEAF_DONORS = 1 << 16
+MAX_LEAVES = 4096
+SAMPLE_PER_LEAF = 32
+BLOCK = 256
+#: Recipients of one leaf that a task takes.
+TASK_RECIPIENTS = 1 << 13
+_QUERIES = 128  # measured together
+#: Bounds are lowered by this share, more than rounding can add to them.
+_SLACK = 1e-9
+
+
+def _split(points: np.ndarray) -> tuple[int, float] | None:
+    """Feature and threshold that halve the points on their widest feature; None if no feature has two values."""
+    here = ~np.isnan(points)
+    with np.errstate(invalid="ignore"):
+        low = np.where(here, points, np.inf).min(axis=0)
+        high = np.where(here, points, -np.inf).max(axis=0)
+        width = np.where(high > low, (high - low) * here.mean(axis=0), 0.0)
+    f = int(width.argmax())
+    if not width[f] > 0 or not np.isfinite(width[f]):
+        return None
+    values = points[here[:, f], f]
+    cut = float(np.median(values))
+    return f, cut if cut > low[f] else float(values[values > low[f]].min())
+
+
+class TopTree:
+    """Split planes that send any point to one of ``leaves`` leaves; a missing value goes right."""
+
+    def __init__(self, sample: np.ndarray, most_leaves: int):
+        self.feature, self.cut, self.child, self.leaves = [], [], [], 0
+        self._grow(sample, most_leaves)
+        self.feature, self.cut, self.child = np.array(self.feature), np.array(self.cut), np.array(self.child).reshape(-1, 2)
+
+    def _grow(self, points: np.ndarray, most: int) -> int:
+        """The node's number, or -1 - leaf."""
+        plane = _split(points) if most > 1 and len(points) > 1 else None
+        if plane is None:
+            self.leaves += 1
+            return -self.leaves
+        node = len(self.feature)
+        self.feature.append(plane[0])
+        self.cut.append(plane[1])
+        self.child.append([0, 0])
+        left = points[:, plane[0]] < plane[1]
+        self.child[node] = [self._grow(points[left], most // 2), self._grow(points[~left], most - most // 2)]
+        return node
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        at = np.full(len(points), 0 if len(self.feature) else -1)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            left = points[inner, self.feature[node]] < self.cut[node]
+            at[inner] = self.child[node, np.where(left, 0, 1)]
+        return -1 - at
+
+
+def lower_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, some: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Least distance of each query to any donor of each box; infinite where no donor can share a feature."""
+    n_features = queries.shape[1]
+    must, n_must = np.zeros((len(queries), len(low))), np.zeros((len(queries), len(low)))
+    may = np.full((n_features, len(queries), len(low)), np.inf) if (some & ~every).any() else None
+    for f in range(n_features):
+        q = queries[:, [f]]
+        has = ~np.isnan(q)
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(np.maximum(low[None, :, f] - q, q - high[None, :, f]), 0.0) ** 2
+        sure = has & every[None, :, f]
+        must += np.where(sure, gap, 0.0)
+        n_must += sure
+        if may is not None:
+            may[f] = np.where(has & (some & ~every)[None, :, f], gap, np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        best = np.where(n_must > 0, must / n_must, np.inf)
+        if may is not None:  # the optional gaps in ascending order, as long as they lower the mean
+            may.sort(axis=0)
+            total = must + np.cumsum(may, axis=0)
+            for f in range(n_features):
+                best = np.fmin(best, total[f] / (n_must + f + 1))
+    return np.sqrt(n_features * best) * (1 - _SLACK)
+
+
+def _blocks(points: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in blocks of near rows that have the same features."""
+    masks, out = np.unique(np.isnan(points), axis=0, return_inverse=True)[1].ravel(), []
+    todo = [np.flatnonzero(masks == m) for m in range(masks.max(initial=-1) + 1)]
+    while todo:
+        rows = todo.pop()
+        plane = _split(points[rows]) if len(rows) > BLOCK else None
+        if plane is None:
+            out += [rows[a:a + BLOCK] for a in range(0, len(rows), BLOCK)]
+        else:
+            left = points[rows, plane[0]] < plane[1]
+            todo += [rows[left], rows[~left]]
+    return out
+
+
+def distances(queries: np.ndarray, donors: np.ndarray) -> np.ndarray:
+    """nan-euclidean distances; infinite where no coordinate is shared."""
+    squares, shared = np.zeros((len(queries), len(donors))), np.zeros((len(queries), len(donors)))
+    for f in range(queries.shape[1]):
+        apart = queries[:, [f]] - donors[None, :, f]
+        both = ~np.isnan(apart)
+        squares += np.where(both, apart * apart, 0.0)
+        shared += both
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(shared > 0, np.sqrt(queries.shape[1] / shared * squares), np.inf)
+
+
+def _best(query: np.ndarray, distance: np.ndarray, donor: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k nearest, ties by donor."""
+    order = np.lexsort((donor, distance, query))
+    query = query[order]
+    first = np.searchsorted(query, query)
+    return order[np.arange(len(order)) - first < k]
+
+
+def nearest(queries: np.ndarray, donors: np.ndarray, k: int, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, donor) of each query's k nearest donors within its radius, ties to the lower donor row."""
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    if not len(queries) or not len(donors):
+        return none
+    blocks = _blocks(donors)
+    sizes = np.array([len(b) for b in blocks])
+    rows = [donors[b] for b in blocks]
+    has = np.array([~np.isnan(r[0]) for r in rows])
+    with np.errstate(invalid="ignore"):
+        low, high = np.array([r.min(axis=0) for r in rows]), np.array([r.max(axis=0) for r in rows])
+    found = []
+    order = np.concatenate(_blocks(queries))  # near queries want the same blocks
+    for at in range(0, len(order), _QUERIES):
+        own = order[at:at + _QUERIES]
+        some, limit = queries[own], radius[own].copy()
+        bound = lower_bounds(some, low, high, has, has)
+        # The blocks of least bound that hold k donors together give a radius.
+        rank = np.argsort(bound, axis=1)
+        held = np.cumsum(np.where(np.isfinite(np.take_along_axis(bound, rank, 1)), sizes[rank], 0), axis=1)
+        need = np.minimum((held < k).sum(axis=1), len(blocks) - 1)
+        enough = held[:, -1] >= k
+        lone = enough & (need == 0)
+        groups = [np.flatnonzero(lone & (rank[:, 0] == b)) for b in np.unique(rank[lone, 0])]
+        for q in groups + [np.array([q]) for q in np.flatnonzero(enough & (need > 0))]:
+            near = np.concatenate([rows[b] for b in rank[q[0], :need[q[0]] + 1]])
+            limit[q] = np.minimum(limit[q], np.partition(distances(some[q], near), k - 1, axis=1)[:, k - 1])
+        for b in np.flatnonzero((bound <= limit[:, None]).any(axis=0)):
+            q = np.flatnonzero(bound[:, b] <= limit)
+            d = distances(some[q], rows[b])
+            i, j = np.nonzero((d <= limit[q][:, None]) & np.isfinite(d))
+            keep = _best(i, d[i, j], blocks[b][j], k)
+            found.append((own[q[i[keep]]], d[i[keep], j[keep]], blocks[b][j[keep]]))
+    if not found:
+        return none
+    query, distance, donor = (np.concatenate(c) for c in zip(*found))
+    keep = _best(query, distance, donor, k)
+    return query[keep], distance[keep], donor[keep]
 
-_TARGET_DONORS_PER_CELL = 64
-_MAX_CELLS_PER_DIM = 1024
 
+def _matrix(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([pc.fill_null(table.column(n), math.nan).to_numpy() for n in names]) if table.num_rows else np.zeros((0, len(names)))
 
-def _distance(features: Sequence[str], left: str, right: str) -> Column:
-    sq = None
-    cnt = None
-    for f in features:
-        a, b = F.col(f"{left}{f}"), F.col(f"{right}{f}")
-        both = a.isNotNull() & b.isNotNull()
-        term = F.when(both, (a - b) * (a - b)).otherwise(F.lit(0.0))
-        one = F.when(both, F.lit(1)).otherwise(F.lit(0))
-        sq = term if sq is None else sq + term
-        cnt = one if cnt is None else cnt + one
-    return F.when(cnt > 0, F.sqrt(F.lit(float(len(features))) / cnt * sq))
 
+def _search(feats: list[str], keys: list[str], target: str, k: int):
+    """Cogroup of a leaf's recipients and donors -> (rid, distance, value, keys…), at most k rows a recipient."""
+    def run(recipients: pa.Table, donors: pa.Table) -> pa.Table:
+        donors = donors.take(pc.sort_indices(donors, [(c, "ascending") for c in keys], null_placement="at_start"))
+        queries = _matrix(recipients, feats)
+        q, d, j = nearest(queries, _matrix(donors, feats), k, recipients.column("radius").to_numpy())
+        chosen = donors.take(pa.array(j))
+        return pa.table([recipients.column("rid").take(pa.array(q)), pa.array(d), chosen.column(target), *(chosen.column(c) for c in keys)],
+                        names=["rid", "distance", "value", *keys])
+    return run
 
-def _cell_edges(donors: DataFrame, cells: dict[str, int]) -> dict[str, list[float]]:
-    """Donor-quantile cell edges for every feature in one aggregate (bounded lists)."""
-    wanted = {f: c for f, c in cells.items() if c > 1}
-    edges = {f: [-math.inf, math.inf] for f in cells}
-    if not wanted:
-        return edges
-    row = one_row(donors.agg(*[F.percentile_approx(f, [i / c for i in range(1, c)], max(10_000, 20 * c))
-                               .alias(f) for f, c in wanted.items()]))
-    for f in wanted:
-        splits = sorted({float(v) for v in (row[f] or []) if v is not None and math.isfinite(v)})
-        edges[f] = [-math.inf] + splits + [math.inf]
-    return edges
 
+def _route(tree: TopTree, feats: list[str]):
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("leaf", pa.array(tree.leaf(_matrix(batch, feats)).astype(np.int32)))
+    return run
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds: written once under ``spark.checkpoint.dir``."""
-    return materialize(df)
 
+def _assign(boxes: dict[str, np.ndarray], feats: list[str], k: int, again: bool):
+    """Recipients -> one row for each leaf they are sent to: at first the nearest that surely hold k donors, then all others in the radius."""
+    def first(bound, has):
+        sure = np.where(has[:, None, :], boxes["present"][None], 0).max(axis=2)  # donors that share one feature at least
+        rank = np.argsort(bound, axis=1, kind="stable")
+        held = np.cumsum(np.take_along_axis(sure, rank, 1), axis=1)
+        wanted = (np.concatenate([np.zeros((len(bound), 1)), held[:, :-1]], axis=1) < k) & np.isfinite(np.take_along_axis(bound, rank, 1))
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, rank, wanted, 1)
+        return chosen
 
-def _mask(prefix: str, features: Sequence[str]) -> Column:
-    return sum((F.when(F.col(f"{prefix}{f}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-                for i, f in enumerate(features)), F.lit(0))
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, _QUERIES):
+                batch = whole.slice(at, _QUERIES)
+                queries = _matrix(batch, feats)
+                bound = lower_bounds(queries, boxes["low"], boxes["high"], boxes["present"] > 0, boxes["present"] == boxes["size"][:, None])
+                chosen = first(bound, ~np.isnan(queries))
+                if again:
+                    chosen = ~chosen & (bound <= batch.column("radius").to_numpy()[:, None]) & np.isfinite(bound)
+                q, leaf = np.nonzero(chosen)
+                out = batch.take(pa.array(q))
+                yield out.append_column("leaf", pa.array(boxes["leaf"][leaf].astype(np.int32)))
+    return run
 
 
-def _pick(class_ids: list[int], values: dict[int, Column], default: Column) -> Column:
-    """CASE _class WHEN c THEN values[c] … END (one branch per class)."""
-    expr = None
-    for c in class_ids:
-        expr = (F.when(F.col("_class") == c, values[c]) if expr is None
-                else expr.when(F.col("_class") == c, values[c]))
-    return default if expr is None else expr.otherwise(default)
+def _in_leaves(recipients: DataFrame, donors: DataFrame, counts: dict[int, int], feats, keys, k, schema) -> DataFrame:
+    """Candidates of recipients in their leaves; leaves of many recipients are dealt to several tasks."""
+    salts = F.lit(1)
+    for leaf, n in counts.items():
+        if n > TASK_RECIPIENTS:
+            salts = F.when(F.col("leaf") == leaf, F.lit(math.ceil(n / TASK_RECIPIENTS))).otherwise(salts)
+    left = recipients.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
+    right = donors.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.groupBy("leaf", "salt").cogroup(right.groupBy("leaf", "salt")).applyInArrow(_search(feats, keys, feats[0], k), schema)
+
+
+def _boxes(donors: DataFrame, feats: list[str]) -> dict[str, np.ndarray]:
+    aggs = [f(c).alias(f"{name}_{c}") for c in feats for name, f in (("low", F.min), ("high", F.max), ("present", F.count))]
+    rows = collect_bounded(donors.groupBy("leaf").agg(F.count("*").alias("size"), *aggs).orderBy("leaf"), MAX_LEAVES)
+    out = {name: np.array([[math.nan if r[f"{name}_{c}"] is None else r[f"{name}_{c}"] for c in feats] for r in rows], float) for name in ("low", "high", "present")}
+    return out | {"leaf": np.array([r["leaf"] for r in rows]), "size": np.array([r["size"] for r in rows])}
 
 
 def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
                     k: int = 5) -> DataFrame:
-    """Distinct recipient vectors with their fill: <features…> (prefixed ``r_``), ``_fill``."""
-    feats = list(features)
-    if target not in feats:
+    """Distinct recipient vectors with their fill: r0, r1, … (by ``features``, the target's null) and ``_fill``."""
+    if target not in features:
         raise ValueError("the target column must be one of the features")
-    others = [f for f in feats if f != target]
-    kcols = [f"_key{i}" for i in range(len(key))]
-    base = df.select(*[F.col(c).alias(kc) for c, kc in zip(key, kcols)],
-                     *[clean_value(df, f).cast("double").alias(f) for f in feats])
-    donor_only = lambda c: F.when(F.col(target).isNotNull(), F.col(c))
-    counts = one_row(base.agg(*[F.min(donor_only(f)).alias(f"_lo_{f}") for f in feats],
-                              *[F.max(donor_only(f)).alias(f"_hi_{f}") for f in feats],
-                              F.count_if(F.col(target).isNotNull()).alias("_donors"),
-                              F.avg(target).alias("_mean")))
-    col_mean = counts["_mean"]
-    if counts["_donors"] == 0:
+    names = [target, *(f for f in features if f != target)]
+    feats, keys = [f"f{i}" for i in range(len(names))], [f"k{i}" for i in range(len(key))]
+    base = df.select(*[col(c).alias(kc) for c, kc in zip(key, keys)], *[clean_value(df, n).cast("double").alias(f) for n, f in zip(names, feats)])
+    own, others = feats[0], feats[1:]
+    counts = one_row(base.agg(F.count(own).alias("donors"), F.count_if(F.col(own).isNull()).alias("recipients"), F.avg(own).alias("mean")))
+    if counts["donors"] == 0:
         from .impute import ImputePlanError
         raise ImputePlanError(f"column {target!r} has no value to learn from")
-    recipients = (base.where(F.col(target).isNull()).select(*feats).distinct()
-                  .select(*[F.col(f).alias(f"r_{f}") for f in feats]))
-    if not others:
-        return recipients.withColumn("_fill", F.lit(col_mean).cast("double"))
-
-    donors = base.where(F.col(target).isNotNull())
-    w_dup = Window.partitionBy(*feats).orderBy(*kcols)
-    donors = (donors.withColumn("_dup", F.row_number().over(w_dup)).where(F.col("_dup") <= k)
-              .drop("_dup"))
-    n_donors = counts["_donors"]
-    # Cells per feature in proportion to its range (roughly cubic cells in the
-    # metric, judged on the two widest features); edges are donor quantiles.
-    spans = {f: (counts[f"_hi_{f}"] - counts[f"_lo_{f}"]) if counts[f"_lo_{f}"] is not None else 0.0
-             for f in others}
-    wide = sorted([f for f in others if spans[f] > 0], key=lambda f: -spans[f])[:2]
-    target_cells = max(1.0, n_donors / _TARGET_DONORS_PER_CELL)
-    side = (math.prod(spans[f] for f in wide) / target_cells) ** (1.0 / len(wide)) if wide else 0.0
-    n_want = {f: (max(1, min(_MAX_CELLS_PER_DIM, math.ceil(spans[f] / side))) if side > 0 and spans[f] > 0
-                  else 1) for f in others}
-    edges = _cell_edges(donors, n_want)
-    n_cells = {f: len(edges[f]) - 1 for f in others}
-
-    def bucket(frame: DataFrame, prefix: str) -> DataFrame:
-        for f in others:
-            if n_cells[f] > 1:
-                frame = Bucketizer(splits=edges[f], inputCol=f"{prefix}{f}", outputCol=f"_cell_{f}",
-                                   handleInvalid="keep").transform(frame)
-                frame = frame.withColumn(f"_cell_{f}", F.when(F.col(f"{prefix}{f}").isNotNull(),
-                                                              F.col(f"_cell_{f}").cast("int")))
-            else:
-                frame = frame.withColumn(f"_cell_{f}", F.when(F.col(f"{prefix}{f}").isNotNull(), F.lit(0)))
-        return frame
-
-    donors = bucket(donors.select(*[F.col(c).alias(f"d_{c}") for c in [*kcols, *feats]]), "d_")
-    donors = donors.withColumn("_dmask", _mask("d_", others))
-    pending = _checkpoint(bucket(recipients, "r_").withColumn("_rmask", _mask("r_", others)))
-    limit = 1 << len(others)
-    rmasks = sorted(r["_rmask"] for r in collect_bounded(pending.select("_rmask").distinct(), limit))
-    # Donor masks from a distinct aggregate over the base rows (at most 2^F rows);
-    # only the class-expanded donors below are written as a stage.
-    dmask_frame = (base.where(F.col(target).isNotNull())
-                   .select(_mask("", others).alias("_dmask")).distinct())
-    dmasks = sorted(r["_dmask"] for r in collect_bounded(dmask_frame, limit))
-
-    # Classes: (recipient mask, donor mask) sharing a feature; grid = ≤ 2 shared
-    # features with the most cells.
-    classes: dict[int, tuple[int, int, list[str]]] = {}
-    for rm in rmasks:
-        for dm in dmasks:
-            shared = [f for i, f in enumerate(others) if (rm & dm) >> i & 1]
-            if shared:
-                dims = sorted(shared, key=lambda f: (-n_cells[f], -spans[f], f))[:2]
-                classes[len(classes)] = (rm, dm, dims)
-    ids = list(classes)
-    by_dmask: dict[int, list[int]] = {}
-    by_rmask: dict[int, list[int]] = {}
-    for c, (rm, dm, _) in classes.items():
-        by_dmask.setdefault(dm, []).append(c)
-        by_rmask.setdefault(rm, []).append(c)
-
-    def class_list(mask_col: str, table: dict[int, list[int]]) -> Column:
-        expr = F.array().cast("array<int>")
-        for m, cs in table.items():
-            expr = F.when(F.col(mask_col) == m, F.array(*[F.lit(c) for c in cs])).otherwise(expr)
-        return expr
-
-    def dim_cell(prefix_cell: str, slot: int) -> Column:
-        vals = {c: (F.col(f"{prefix_cell}{classes[c][2][slot]}") if len(classes[c][2]) > slot else F.lit(0))
-                for c in ids}
-        return _pick(ids, vals, F.lit(0))
-
-    donors_c = (donors.withColumn("_class", F.explode(class_list("_dmask", by_dmask)))
-                .withColumn("_ca", dim_cell("_cell_", 0)).withColumn("_cb", dim_cell("_cell_", 1)))
-    donors_c = _checkpoint(donors_c)
-    rkeys = [f"r_{f}" for f in feats]
-    dkey = [f"d_{c}" for c in kcols]
-    present = sum((F.col(f"r_{f}").isNotNull().cast("int") for f in others), F.lit(0))
-    scale = F.sqrt(F.lit(float(len(feats))) / F.greatest(present, F.lit(1)))
-    resolved = []
-    radius = 1
-    max_cells = max(n_cells.values())
-    while True:
-        per_class = pending.withColumn("_class", F.explode(class_list("_rmask", by_rmask)))
-        per_class = per_class.withColumn("_rca", dim_cell("_cell_", 0)).withColumn("_rcb", dim_cell("_cell_", 1))
-        # Box margin per (recipient, class): distance to the nearest box face in
-        # the class dims; a dim whose box spans the whole grid adds no limit.
-        margins = {}
-        for c in ids:
-            faces, covers = [], []
-            for slot, f in enumerate(classes[c][2]):
-                cell = F.col("_rca" if slot == 0 else "_rcb")
-                edge = F.array(*[F.lit(float(x)) for x in edges[f]])
-                lo_i = F.greatest(cell - radius, F.lit(0))
-                hi_i = F.least(cell + radius, F.lit(n_cells[f] - 1)) + 1
-                faces.append(F.least(F.col(f"r_{f}") - F.element_at(edge, lo_i + 1),
-                                     F.element_at(edge, hi_i + 1) - F.col(f"r_{f}")))
-                covers.append(radius >= n_cells[f] - 1)
-            margins[c] = F.lit(float("inf")) if all(covers) else (
-                F.least(*faces) if len(faces) > 1 else faces[0])
-        per_class = per_class.withColumn("_cmargin", _pick(ids, margins, F.lit(float("inf"))) * scale)
-        probe = per_class
-        for slot, col in ((0, "_rca"), (1, "_rcb")):
-            size = {c: F.lit(n_cells[classes[c][2][slot]] - 1 if len(classes[c][2]) > slot else 0) for c in ids}
-            top = _pick(ids, size, F.lit(0))
-            probe = probe.withColumn("_ca" if slot == 0 else "_cb", F.explode(F.sequence(
-                F.greatest(F.col(col) - radius, F.lit(0)),
-                F.least(F.col(col) + radius, top))))
-        pairs = probe.select(*rkeys, "_class", "_ca", "_cb").join(
-            donors_c.select("_class", "_ca", "_cb", *dkey, *[f"d_{f}" for f in feats]),
-            ["_class", "_ca", "_cb"], "inner")
-        pairs = pairs.withColumn("_dist", _distance(feats, "r_", "d_")).where(F.col("_dist").isNotNull())
-        w = Window.partitionBy(*rkeys).orderBy("_dist", *dkey)
-        top_k = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        agg = top_k.groupBy(*rkeys).agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_kth"),
-                                        F.avg(f"d_{target}").alias("_fill"))
-        margin = per_class.groupBy(*rkeys).agg(F.min("_cmargin").alias("_margin"))
-        st = (pending.alias("p")
-              .join(margin.alias("m"), [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in rkeys], "left")
-              .join(agg.alias("a"), [F.col(f"p.{c}").eqNullSafe(F.col(f"a.{c}")) for c in rkeys], "left")
-              .select(*[F.col(f"p.{c}").alias(c) for c in pending.columns],
-                      F.coalesce(F.col("m._margin"), F.lit(float("inf"))).alias("_margin"),
-                      F.coalesce(F.col("a._n"), F.lit(0)).alias("_n"), "a._kth", "a._fill"))
-        ok = (F.col("_margin") == float("inf")) | ((F.col("_n") == k) & (F.col("_kth") < F.col("_margin")))
-        st = _checkpoint(st.withColumn("_ok", ok))
-        resolved.append(st.where(F.col("_ok")).select(
-            *rkeys, F.coalesce(F.col("_fill"), F.lit(col_mean).cast("double")).alias("_fill")))
-        pending = st.where(~F.col("_ok")).select(*pending.columns)
-        if radius >= max_cells - 1 or pending.isEmpty():
-            break
-        radius = radius * 2 + 1
-    out = resolved[0]
-    for r in resolved[1:]:
-        out = out.unionByName(r)
-    return out
+    vectors = base.where(F.col(own).isNull()).select(*feats).distinct()
+    back = [F.col(feats[names.index(f)]).alias(f"r{i}") for i, f in enumerate(features)]
+    mean = F.lit(counts["mean"]).cast("double")
+    if not others or counts["recipients"] == 0:
+        return vectors.select(*back, mean.alias("_fill"))
+
+    nth = F.row_number().over(Window.partitionBy(*feats).orderBy(*keys))
+    donors = base.where(F.col(own).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    schema = f"rid long, distance double, value double, {', '.join(f'{c} {base.schema[c].dataType.simpleString()}' for c in keys)}"
+    recipients = materialize(vectors.withColumn("rid", F.monotonically_increasing_id()).withColumn("radius", F.lit(math.inf)))
+    leaves = min(MAX_LEAVES, math.ceil(counts["donors"] / LEAF_DONORS))
+    if leaves == 1:
+        found = _in_leaves(recipients.withColumn("leaf", F.lit(0)), donors.withColumn("leaf", F.lit(0)), {0: counts["recipients"]}, feats, keys, k, schema)
+    else:
+        wanted = leaves * SAMPLE_PER_LEAF
+        share = int(min(1.0, wanted / counts["donors"]) * 1_000_000)
+        sample = collect_bounded(donors.where(F.pmod(F.xxhash64(*feats), F.lit(1_000_000)) < share).select(*feats), 4 * wanted)
+        tree = TopTree(np.array([[math.nan if v is None else v for v in r] for r in sample], float).reshape(-1, len(feats)), leaves)
+        placed = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in donors.schema.fields)}, leaf int"
+        donors = materialize(donors.mapInArrow(_route(tree, feats), placed))
+        boxes = _boxes(donors, feats)
+        sent = f"{', '.join(f'{f} double' for f in feats)}, rid long, radius double, leaf int"
+
+        def round_of(rows: DataFrame, again: bool) -> DataFrame:
+            pairs = materialize(rows.mapInArrow(_assign(boxes, feats, k, again), sent))
+            per_leaf = {r["leaf"]: r["n"] for r in collect_bounded(pairs.groupBy("leaf").agg(F.count("*").alias("n")), MAX_LEAVES)}
+            return _in_leaves(pairs, donors, per_leaf, feats, keys, k, schema)
+        near = materialize(round_of(recipients, False))
+        ranked = near.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy("distance")))
+        radius = ranked.where(F.col("nth") == k).select("rid", F.col("distance").alias("radius"))
+        wider = recipients.drop("radius").join(radius, "rid", "left").select(*feats, "rid", F.coalesce("radius", F.lit(math.inf)).alias("radius"))
+        found = near.unionByName(round_of(wider, True))
+        nth = F.row_number().over(Window.partitionBy("rid").orderBy("distance", *keys))
+        found = found.withColumn("nth", nth).where(F.col("nth") <= k)
+    fills = found.groupBy("rid").agg(F.avg("value").alias("_fill"))
+    return recipients.join(fills, "rid", "left").select(*back, F.coalesce("_fill", mean).alias("_fill"))
 
 
 def knn_impute(df: DataFrame, targets: Sequence[str], k: int = 5, features: Sequence[str] | None = None,
@@ -253,23 +324,25 @@ def knn_impute(df: DataFrame, targets: Sequence[str], k: int = 5, features: Sequ
     ``features`` defaults to ``targets`` (the imputer is fitted on the selected
     columns only); ``order_by`` is a unique row key used for tie-breaking. NaN
     counts as missing, in targets and in features; a target without any value is
-    an error. ``k`` may be 1 to 1000.
+    an error.
     """
     if not order_by:
         raise ValueError("knn_impute needs order_by= (a unique row key) for deterministic ties")
-    if not 1 <= k <= 1000:
-        raise ValueError("k must be between 1 and 1000")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     feats = list(features) if features else list(targets)
+    feats += [t for t in targets if t not in feats]
+    own = {f: F.col(f"_f_{i}") for i, f in enumerate(feats)}
+    rows = df.select(*[col(c) for c in df.columns], *[clean_value(df, f).cast("double").alias(f"_f_{i}") for i, f in enumerate(feats)])
+    lacking = F.lit(False)
     for t in targets:
-        if t not in feats:
-            feats.append(t)
-    key = list(order_by)
-    originals = [clean_value(df, f).cast("double").alias(f"_f_{f}") for f in feats]
-    out = df.select(*df.columns, *originals)
-    for t in targets:
-        fills = knn_fill_column(df, t, feats, key, k)
-        cond = [F.col(f"_f_{f}").eqNullSafe(F.col(f"r_{f}")) for f in feats]
-        joined = out.join(fills, cond, "left")
-        out = joined.select(*[F.coalesce(F.col(f"_f_{t}"), F.col("_fill")).alias(c) if c == t
-                              else F.col(c) for c in out.columns])
-    return out.select(*df.columns)
+        lacking = lacking | own[t].isNull()
+    filled = rows.where(lacking)  # other rows need no fill and no join
+    for n, t in enumerate(targets):
+        fills = knn_fill_column(df, t, feats, list(order_by), k).withColumnRenamed("_fill", f"_fill_{n}")
+        filled = filled.join(fills, [own[f].eqNullSafe(F.col(f"r{i}")) for i, f in enumerate(feats)], "left").drop(*[f"r{i}" for i in range(len(feats))])
+
+    def result(frame: DataFrame, fill: bool) -> DataFrame:
+        values = {t: F.coalesce(own[t], F.col(f"_fill_{n}")) if fill else own[t] for n, t in enumerate(targets)}
+        return frame.select(*[values[c].alias(c) if c in values else col(c) for c in df.columns])
+    return result(rows.where(~lacking), False).unionByName(result(filled, True))
