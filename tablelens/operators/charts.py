@@ -23,6 +23,8 @@ from .columns import drop_missing, group_label, sample_rows
 KDE_POINTS = 100
 DENSITY_BINS = 30
 NOTCH_FACTOR = 1.57
+#: Columns on either side of a block of a correlation matrix.
+BLOCK_COLUMNS = 6
 
 
 def _x(df: DataFrame, var: str):
@@ -197,29 +199,38 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
 
     Rows with a missing value in any selected column are dropped first
     (listwise). A constant column gives NULL (no division by zero). The
-    diagonal is exactly 1 for non-constant columns. One pass gets every column's
-    count and deviation, one more the whole matrix of cross-products, whatever
-    the number of columns; only the matrix reaches the driver.
+    diagonal is exactly 1 for non-constant columns. Co-moments about running
+    means (which merge over tasks) are taken in blocks of ``BLOCK_COLUMNS`` x
+    ``BLOCK_COLUMNS`` columns: each block is one generated-code aggregate over the
+    columns it reads, so up to that many columns are one pass, and no expression
+    list grows with the square of the columns. Only the matrix reaches the driver.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
     from ..plans.fit import numeric_columns
     cols = list(cols) if cols else numeric_columns(df)[:4]
     names = [f"c{i}" for i in range(len(cols))]
     base = df.select(*[_x(df, c).alias(n) for c, n in zip(cols, names)])
     if not listwise:
         return _pairwise_correlation(base, names, cols)
-    base = base.na.drop(how="any")
-    spread = one_row(base.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_samp(n).alias(n) for n in names]))
-    live = [i for i, n in enumerate(names) if spread["n"] > 1 and spread[n] and spread[n] > 0]
-    r = {}
-    if len(live) > 1:
-        vectors = VectorAssembler(inputCols=[names[i] for i in live], outputCol="v").transform(base).select("v")
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        r = {(i, j): float(matrix[a, b]) for a, i in enumerate(live) for b, j in enumerate(live)}
-    rows = [(x, y, (1.0 if i == j else r[i, j]) if i in live and j in live else None)
-            for i, x in enumerate(cols) for j, y in enumerate(cols)]
+    for n in names:
+        base = base.where(F.col(n).isNotNull())
+    blocks = [range(a, min(a + BLOCK_COLUMNS, len(cols))) for a in range(0, len(cols), BLOCK_COLUMNS)]
+    products, about = {}, set()
+    for a, left in enumerate(blocks):
+        for right in blocks[a:]:
+            pairs = [(i, j) for i in left for j in right if i <= j]
+            edges = [f(names[i]).alias(f"{k}{i}") for i in left for k, f in (("low", F.min), ("high", F.max))] if left is right else []
+            row = one_row(base.agg(*[F.covar_pop(names[i], names[j]).alias(f"s{k}") for k, (i, j) in enumerate(pairs)], *edges))
+            products |= dict(zip(pairs, row))
+            if left is right:
+                about |= {i for i in left if row[f"low{i}"] is not None and row[f"low{i}"] < row[f"high{i}"]}
+
+    def r(i: int, j: int) -> float | None:
+        if i not in about or j not in about:
+            return None
+        if i == j:
+            return 1.0
+        return products[min(i, j), max(i, j)] / (math.sqrt(products[i, i]) * math.sqrt(products[j, j]))
+    rows = [(x, y, r(i, j)) for i, x in enumerate(cols) for j, y in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "var_x string, var_y string, r double")
 
 
