@@ -107,22 +107,24 @@ def fit_imputer(df: DataFrame, mean: Sequence[str] = (), median: Sequence[str] =
     model = ImputeModel(plan, types={c: df.schema[c].dataType for c in df.columns},
                         knn_k=k, knn_features=list(knn_features or []),
                         knn_order=list(knn_order or []))
-    # One aggregate: means plus the missing count of every planned column
+    # One aggregate: means plus the missing counts
     # (columns without a missing value are skipped, as in the reference).
     aggs = ([F.avg(clean_value(df, c).cast("double")).alias(c) for c in mean]
-            + [F.count_if(missing_cond(df, c)).alias(f"_m_{c}") for c in plan if plan[c] != "knn"])
+            + [F.count_if(missing_cond(df, c)).alias(f"_m_{c}") for c in plan if plan[c] not in ("knn", "mode")])
     if aggs:
         row = one_row(df.agg(*aggs))
         model.values.update({c: row[c] for c in mean})
-        model.complete = {c for c in plan if plan[c] != "knn" and row[f"_m_{c}"] == 0}
+        model.complete = {c for c in plan if plan[c] not in ("knn", "mode") and row[f"_m_{c}"] == 0}
     if median:
         rows = exact_quantiles_wide(df, {c: clean_value(df, c).cast("double") for c in median}, [0.5]).collect()
         model.values.update({r["variable"]: r["q"][0] for r in rows})
-    if mode:
-        modes = (category_counts(df, list(mode)).where(F.col("value").isNotNull())
-                 .groupBy("variable").agg(F.min(mode_order(df, mode)).alias("m"))
-                 .select("variable", F.col("m.v").alias("v")).collect())
+    if mode:  # the counts of values also tell how many are missing
+        present = F.col("value").isNotNull()
+        modes = (category_counts(df, list(mode)).groupBy("variable")
+                 .agg(F.min(F.when(present, mode_order(df, mode))).alias("m"), F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).alias("missing"))
+                 .select("variable", F.col("m.v").alias("v"), "missing").collect())
         model.values.update({r["variable"]: r["v"] for r in modes})
+        model.complete |= {r["variable"] for r in modes if r["missing"] == 0}
     return model
 
 

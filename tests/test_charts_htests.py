@@ -174,3 +174,16 @@ def test_value_counts_drop_nan_and_null(spark):
     assert [(r["x"], r["count"]) for r in H.value_counts(df, "x").collect()] == [(1.0, 2), (2.0, 1)]
     shares = {r["x"]: r["pct"] for r in H.value_shares(df, "x").collect()}
     assert shares[1.0] == pytest.approx(200 / 3)
+
+
+def test_kde_of_odd_distributions(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    for values in (rng.normal(size=3000), np.r_[rng.normal(size=500), 1e7, -3e6], np.repeat([1.0, 2.0, 5.5], [400, 1, 30]), rng.lognormal(0, 3, 2000), [0.0, 1.0]):
+        v = np.asarray(values, float)
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "x double")
+        h = v.std(ddof=1) * len(v) ** -0.2
+        grid = np.linspace(v.min(), v.max(), 100)
+        want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        got = [r["density"] for r in H.kde(df, "x").orderBy("i").collect()]
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-13 / h)
