@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_pdf_col, ppnd_col
-from ..plans.fit import attach, clean_value, col, collect_bounded, missing_cond, one_row, parse_double
+from ..plans.fit import attach, clean_value, col, collect_bounded, missing_cond, one_row, parse_double, plain_names
 from ..plans.quantiles import exact_quantiles_refined
 from ..plans.ranks import sorted_positions, value_offsets
 from .columns import drop_missing, group_label, sample_rows
@@ -91,6 +91,30 @@ def histogram(df: DataFrame, var: str, bins: int = 5, density: bool = False) ->
     return out
 
 
+def histograms(df: DataFrame, series: dict, bins: int) -> DataFrame:
+    """H3 of several DOUBLE expressions at once: bin, lower, upper, count, series.
+
+    One pass for all ranges and one for all counts, whatever their number.
+    """
+    names = list(series)
+    edges = one_row(df.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(series.values()) for k, f in (("lo", F.min), ("hi", F.max))]))
+    live = [i for i in range(len(names)) if edges[f"lo{i}"] is not None]
+    width = {i: (edges[f"hi{i}"] - edges[f"lo{i}"]) / bins for i in live}
+
+    def bin_of(i: int):
+        x = series[names[i]]
+        at = F.least(F.floor((x - F.lit(edges[f"lo{i}"])) / F.lit(width[i])), F.lit(bins - 1)).cast("int") if width[i] > 0 else F.lit(0)
+        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("series"), at.alias("bin")))
+    schema = "bin int, lower double, upper double, count long, series string"
+    if not live:
+        return df.sparkSession.createDataFrame([], schema)
+    cells = df.select(F.explode(F.array_compact(F.array(*map(bin_of, live)))).alias("cell")).groupBy("cell.series", "cell.bin").count()
+    counts = {(r["series"], r["bin"]): r["count"] for r in collect_bounded(cells, bins * len(live))}
+    rows = [(b, edges[f"lo{i}"] + b * width[i], edges[f"hi{i}"] if b == bins - 1 else edges[f"lo{i}"] + (b + 1) * width[i], counts.get((i, b), 0), names[i])
+            for i in live for b in range(bins)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def density_histogram(df: DataFrame, var: str, bins: int = DENSITY_BINS) -> DataFrame:
     """H9: 30-bin histogram normalised to area one."""
     return histogram(df, var, bins, density=True)
@@ -104,6 +128,7 @@ def _keyed(df: DataFrame, var: str, by: str | None) -> tuple[DataFrame, list[str
     return df.select(F.lit(0).alias("_g"), _x(df, var).alias("_x")), ["_g"]
 
 
+@plain_names("var", "by", out=["by"])
 def box_stats(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """H4/H5: n, mean, std, q1, median, q3, fences, whiskers, outlier count, notch.
 
@@ -368,6 +393,7 @@ def adjusted_moments(x) -> tuple:
     return skew, kurt
 
 
+@plain_names("var", "by", out=["by"])
 def distribution_summary(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """N, mean, median, std (ddof=1), skewness G1, kurtosis G2 (bias-adjusted)."""
     src, keys = _keyed(df, var, by)

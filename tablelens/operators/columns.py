@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -126,7 +127,7 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | str | None = No
     """First ``n`` rows in ``order_by`` order (TakeOrderedAndProject: per-task top-n)."""
     if order_by:
         cols = [order_by] if isinstance(order_by, str) else list(order_by)
-        return df.orderBy(*cols).limit(n)
+        return df.orderBy(*map(col, cols)).limit(n)
     return df.limit(n)
 
 
@@ -216,10 +217,25 @@ def sample_rows(df: DataFrame, max_rows: int, seed: int = 42, row_key: Sequence[
 
     With ``row_key`` (columns that tell rows apart) the rows with the smallest
     md5 of seed and key are taken: the same on every run and engine. Without,
-    every row draws a seeded random number, equal rows too. Either way each task
-    hands on at most ``max_rows`` rows.
+    every row draws a seeded random number, equal rows too, which depends on how
+    the table is partitioned.
+
+    Two steps keep the merge small: the rows are counted, and only those are
+    sorted whose draw is below a threshold that ``max_rows`` and a few spare ones
+    are expected to pass, so all tasks together hand on about ``max_rows`` rows. In
+    the rare case that fewer pass, the threshold is doubled.
     """
-    if not row_key:
-        return df.orderBy(F.rand(seed)).limit(max_rows)
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in row_key]).cast("binary"))
-    return df.orderBy(draw, *_total_order(df, row_key)).limit(max_rows)
+    if row_key:
+        rows, order = df, _total_order(df, row_key)
+        draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in row_key]).cast("binary"))
+        passes = lambda share: F.substring(draw, 1, 8) <= F.lit(f"{int(share * 0xFFFFFFFF):08x}")
+    else:
+        rows, order = df.withColumn("_draw", F.rand(seed)), []
+        draw = F.col("_draw")
+        passes = lambda share: draw <= F.lit(share)
+    total = rows.count()
+    share = min(1.0, (max_rows + 6 * math.sqrt(max_rows) + 16) / max(total, 1))
+    while share < 1.0 and rows.where(passes(share)).count() < max_rows:
+        share = min(1.0, 2 * share)
+    few = rows.where(passes(share)) if share < 1.0 else rows
+    return few.orderBy(draw, *order).limit(max_rows).select(*map(col, df.columns))

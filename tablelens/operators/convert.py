@@ -132,4 +132,4 @@ def convert_preview(df: DataFrame, targets: Mapping[str, str], n: int = 5,
                     order_by: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows of the converted frame."""
     out, _ = convert(df, targets)
-    return out.orderBy(*order_by).limit(n) if order_by else out.limit(n)
+    return out.orderBy(*map(named, order_by)).limit(n) if order_by else out.limit(n)

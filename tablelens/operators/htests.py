@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
-from ..plans.fit import attach, clean_value, materialize, safe_div
+from ..plans.fit import attach, clean_value, col, materialize, plain_names, safe_div
 from ..plans.ranks import average_ranks, keyed_offsets, sorted_positions
-from .columns import group_label
+from .columns import drop_missing, group_label
 
 ALPHA = 0.05
 SHAPIRO_MAX_RELIABLE_N = 5000
@@ -39,6 +39,7 @@ def _out(frame: DataFrame, by: str | None, cols: list) -> DataFrame:
 
 
 # --------------------------------------------------------------------- I1
+@plain_names("var", "by", out=["by"])
 def shapiro(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA) -> DataFrame:
     """N, w, p_value, verdict ('normal' when p > alpha), p_reliable (3 ≤ n ≤ 5000).
 
@@ -69,6 +70,7 @@ def shapiro(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA
 
 
 # --------------------------------------------------------------------- I2
+@plain_names("var", "by", out=["by"])
 def ks_statistic(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     """D of the one-sample KS test against N(0,1) after standardising with the
     sample mean and ddof=1 std. Uses only distinct values and their offsets:
@@ -82,6 +84,7 @@ def ks_statistic(df: DataFrame, var: str, by: str | None = None) -> DataFrame:
     return off.groupBy(*keys).agg(F.max("n").alias("n"), F.max(d).alias("statistic"))
 
 
+@plain_names("var", "by", out=["by"])
 def ks_normal(df: DataFrame, var: str, by: str | None = None, alpha: float = ALPHA) -> DataFrame:
     """N, statistic, p_value, verdict ('normal' when p > alpha)."""
     st = ks_statistic(df, var, by)
@@ -94,9 +97,9 @@ def ks_normal(df: DataFrame, var: str, by: str | None = None, alpha: float = ALP
 # --------------------------------------------------------------------- I3/I4
 def _listwise(df: DataFrame, x: str, y: str, listwise: str, extra: Sequence[str] = ()) -> DataFrame:
     if listwise == "all":
-        return df.na.drop(how="any")
+        return drop_missing(df)
     if listwise == "used":
-        return df.na.drop(how="any", subset=[x, y, *extra])
+        return drop_missing(df, [x, y, *extra])
     raise ValueError("listwise must be 'all' (reference behaviour) or 'used'")
 
 
@@ -116,6 +119,7 @@ def _corr_result(stats: DataFrame, by: str | None, alpha: float) -> DataFrame:
                           verdict(F.col("p_value"), alpha, "significant", "not significant").alias("verdict")])
 
 
+@plain_names("x", "y", "by", out=["by"])
 def pearson(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str = "all",
             alpha: float = ALPHA) -> DataFrame:
     """N, r, t_stat, p_value (two-sided t with n−2 dof), verdict.
@@ -129,6 +133,7 @@ def pearson(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str
     return _corr_result(_pearson_from(src, keys, x, y), by, alpha)
 
 
+@plain_names("x", "y", "by", out=["by"])
 def spearman(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str = "all",
              alpha: float = ALPHA) -> DataFrame:
     """I4: Pearson on average ranks (ties averaged), ranks from the R1 plan.
@@ -148,6 +153,7 @@ def spearman(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str
 
 
 # --------------------------------------------------------------------- I5/I6
+@plain_names("a", "b", "by", out=["a", "b", "by"])
 def contingency(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
     """I6 (long form): observed (a, b, count) cells; pairs with a null dropped."""
     keys = [by] if by else []
@@ -155,6 +161,7 @@ def contingency(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFra
             .groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("count")))
 
 
+@plain_names("a", "b", out=["a"])
 def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame:
     """I6 (display form): one row per level of ``a``, one column per level of ``b``.
 
@@ -164,9 +171,11 @@ def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> D
     levels = [r[0] for r in collect_bounded(
         df.where(F.col(b).isNotNull()).select(b).distinct().orderBy(b), max_levels)]
     cells = contingency(df, a, b)
-    return cells.groupBy(a).pivot(b, levels).agg(F.first("count")).na.fill(0).orderBy(a)
+    wide = cells.groupBy(a).pivot(b, levels).agg(F.first("count")).orderBy(a)
+    return wide.select(a, *[F.coalesce(col(c), F.lit(0)).alias(c) for c in wide.columns if c != a])
 
 
+@plain_names("a", "b", "by", out=["by"])
 def chi2_statistic(df: DataFrame, a: str, b: str, by: str | None = None,
                    yates: bool = True) -> DataFrame:
     """χ² of independence from observed cells only (no level × level product).
@@ -208,6 +217,7 @@ def chi2_statistic(df: DataFrame, a: str, b: str, by: str | None = None,
                      chi2.alias("chi2"), use_yates.alias("yates"))
 
 
+@plain_names("a", "b", "by", out=["by"])
 def chi2(df: DataFrame, a: str, b: str, by: str | None = None, yates: bool = True,
          alpha: float = ALPHA) -> DataFrame:
     """N, dof, chi2, yates, p_value, verdict ('dependent' when p < alpha)."""
@@ -219,6 +229,7 @@ def chi2(df: DataFrame, a: str, b: str, by: str | None = None, yates: bool = Tru
 
 
 # --------------------------------------------------------------------- I7/I8
+@plain_names("cat", "num", "by", "order_key", out=["by"])
 def t_statistic(df: DataFrame, cat: str, num: str, by: str | None = None, equal_var: bool = True,
                 listwise: str = "all", order_key: str | None = None) -> DataFrame:
     """Two-sample t statistic from per-group (n, mean, var).
@@ -260,6 +271,7 @@ def t_statistic(df: DataFrame, cat: str, num: str, by: str | None = None, equal_
                       F.when(ok, F.lit("ok")).otherwise(F.lit("needs exactly 2 groups")).alias("status"))
 
 
+@plain_names("cat", "num", "by", "order_key", out=["by"])
 def t_test(df: DataFrame, cat: str, num: str, by: str | None = None, equal_var: bool = True,
            listwise: str = "all", alpha: float = ALPHA, order_key: str | None = None) -> DataFrame:
     """I7 (pooled, ``equal_var=True``) / I8 (Welch): two-sided p and verdict."""

@@ -162,7 +162,7 @@ def impute_report(df: DataFrame, model: ImputeModel, filled: DataFrame | None =
         if filled is None:
             filled = model.transform(df)
         before = df.agg(*[F.count_if(missing_cond(df, c)).alias(c) for c in knn_cols])
-        after = filled.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in knn_cols])
+        after = filled.agg(*[F.count_if(col(c).isNull()).alias(c) for c in knn_cols])
         b, a = one_row(before), one_row(after)
         frames.append(df.sparkSession.createDataFrame(
             [(c, int(b[c]), int(a[c])) for c in knn_cols],
@@ -206,21 +206,20 @@ def impute_preview(df: DataFrame, model: ImputeModel, order_by: Sequence[str], n
     knn = [c for c, m in model.methods.items() if m == "knn"]
     source, after = df, {c: model.fill_expr(c, df) for c, m in model.methods.items() if m != "knn"}
     if knn:  # the neighbours' values come from the filled table, joined back by the row key
-        done = model.transform(df).select(*[col(k) for k in keys], *[col(c).alias(f"_after_{c}") for c in knn])
+        done = model.transform(df).select(*[col(k) for k in keys], *[col(c).alias(f"_after_{i}") for i, c in enumerate(knn)])
         source = df.join(done, keys)
-        after |= {c: F.col(f"_after_{c}") for c in knn}
-    parts = []
+        after |= {c: F.col(f"_after_{i}") for i, c in enumerate(knn)}
+    if not model.methods:
+        raise ImputePlanError("nothing to preview")
+    changed = []
     for c, m in model.methods.items():
         is_text = m == "mode" and not is_numeric(model.types[c])
-        parts.append(source.where(missing_cond(df, c)).select(
-            F.lit(c).alias("variable"), F.lit(m).alias("method"), *keys,
-            F.lit("NA").alias("before"),
+        changed.append(F.when(missing_cond(df, c), F.struct(
+            F.lit(c).alias("variable"), F.lit(m).alias("method"), F.lit("NA").alias("before"),
             (F.lit(None).cast("double") if is_text else after[c].cast("double")).alias("after_value"),
-            (after[c].cast("string") if is_text else F.lit(None).cast("string")).alias("after_label")))
-    if not parts:
-        raise ImputePlanError("nothing to preview")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("variable").orderBy(*keys)
+            (after[c].cast("string") if is_text else F.lit(None).cast("string")).alias("after_label"))))
+    # One scan for all columns; a row gives one line for each of its missing values.
+    allp = (source.select(*map(col, keys), F.explode(F.array_compact(F.array(*changed))).alias("_c"))
+            .select("_c.variable", "_c.method", *map(col, keys), "_c.before", "_c.after_value", "_c.after_label"))
+    w = Window.partitionBy("variable").orderBy(*map(col, keys))
     return allp.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fit import clean_value, one_row
+from ..plans.fit import clean_value, col, one_row
 from ..plans.quantiles import exact_quantiles_refined
 
 SCALERS = ("standard", "minmax", "robust", "log")
@@ -74,7 +74,7 @@ def normalize_report(df: DataFrame, var: str, method: str = "standard") -> DataF
     model = fit_scaler(df, var, method)
     out = model.transform(df)
     a = clean_value(out, var).cast("double")
-    b = F.col(model.out_col)
+    b = col(model.out_col)
     stats = out.agg(F.min(a).alias("o_min"), F.max(a).alias("o_max"),
                     F.avg(a).alias("o_mean"), F.stddev_samp(a).alias("o_std"),
                     F.min(b).alias("n_min"), F.max(b).alias("n_max"),
@@ -86,10 +86,10 @@ def normalize_report(df: DataFrame, var: str, method: str = "standard") -> DataF
 
 
 def normalize_preview_hist(df: DataFrame, var: str, method: str = "standard", bins: int = 30) -> DataFrame:
-    """30-bin histograms of the original and the normalised column (long form)."""
-    from .charts import histogram
+    """30-bin histograms of the original and the normalised column (long form).
+
+    After the fit one pass gets both ranges and one both sets of counts.
+    """
+    from .charts import histograms
     model = fit_scaler(df, var, method)
-    out = model.transform(df)
-    before = histogram(out, var, bins).withColumn("series", F.lit("original"))
-    after = histogram(out, model.out_col, bins).withColumn("series", F.lit("normalized"))
-    return before.unionByName(after)
+    return histograms(df, {"original": clean_value(df, var).cast("double"), "normalized": model.expr(df)}, bins)

@@ -7,6 +7,8 @@ it refuses anything beyond the stated bound instead of silently pulling data.
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -32,6 +34,45 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_names(*columns: str, out: Sequence[str] = ()):
+    """Decorator for operators ``f(df, …)``: they see plain column names, whatever the names are.
+
+    ``columns`` are the parameters that name a column (or a list of them); the
+    table and they are renamed on the way in. Those in ``out`` get their own
+    names back in the result. So dots, spaces, back quotes and names that an
+    operator uses itself need no care inside.
+    """
+    def wrap(f):
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            table, *_ = bound.arguments
+            df = bound.arguments[table]
+            plain = {c: f"_col{i}" for i, c in reversed(list(enumerate(df.columns)))}
+
+            def new(name: str) -> str:
+                if name in plain:
+                    return plain[name]
+                same = [c for c in plain if c.lower() == name.lower()]  # Spark's names have no case
+                if len(same) != 1:
+                    raise ValueError(f"no column {name!r} in {df.columns}")
+                return plain[same[0]]
+            named = {p: bound.arguments[p] for p in columns if bound.arguments[p] is not None}
+            for p, v in named.items():
+                bound.arguments[p] = new(v) if isinstance(v, str) else [new(c) for c in v]
+            bound.arguments[table] = df.toDF(*[f"_col{i}" for i in range(len(df.columns))])
+            result = f(*bound.args, **bound.kwargs)
+            for p in out:
+                if p in named:
+                    result = result.withColumnRenamed(bound.arguments[p], named[p])
+            return result
+        return run
+    return wrap
+
+
 def parse_double(c: Column, dt: T.DataType | None = None) -> Column:
     """Text to DOUBLE as pandas reads numbers, NULL where it is none; other types are cast."""
     if dt is not None and not isinstance(dt, T.StringType):

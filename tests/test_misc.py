@@ -42,3 +42,20 @@ def test_single_file_export(spark):
     parts = [f for f in os.listdir(p) if f.startswith("part-")]
     assert len(parts) == 1
     assert read_csv(spark, p).count() == 100
+
+
+def test_a_sample_sorts_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tablelens.operators.columns import sample_rows
+    df = spark.range(0, 20_000, 1, 16).select("id", (F.col("id") % 7).alias("v"))
+    got = sample_rows(df, 100, row_key=["id"])
+    every = df.orderBy(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string")).cast("binary")), "id").limit(100)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in every.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = df.where(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string")).cast("binary")), 1, 8)
+                     <= F.lit(f"{int((100 + 60 + 16) / 20_000 * 0xFFFFFFFF):08x}")).count()
+    assert "md5" in plan.split("Filter")[1] and 100 <= below <= 260
+    assert sample_rows(df, 100).count() == 100 and sample_rows(df, 50_000).count() == 20_000 and sample_rows(df, 0).count() == 0
+    assert sample_rows(df.limit(0), 5, row_key=["id"]).count() == 0
+    assert len({r.id for r in sample_rows(df, 300).collect()}) == 300
