@@ -15,13 +15,16 @@ over several ranges, since the page's id breaks ties between equal keys.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fit import collect_bounded
 from .common import lower_ascii, shuffle_parts
 
 #: Rows sampled per range to place the split points.
@@ -104,10 +107,20 @@ def _sweep(default: str):
 
 
 def _split_points(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """``ranges`` - 1 (key, tie) pairs from the rows with the smallest hashes; at most SAMPLE_PER_RANGE rows a range."""
-    rows = keys.orderBy(F.xxhash64("key", "tie"), "key", "tie").limit(SAMPLE_PER_RANGE * ranges).collect()
-    found = sorted((r["key"], r["tie"]) for r in rows)
-    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+    """``ranges`` - 1 (key, tie) pairs that cut the rows evenly, from a share of the distinct pairs by their hash.
+
+    The share is set after a count, so about SAMPLE_PER_RANGE pairs a range
+    reach the driver however many tasks there are; rows that repeat count with their number.
+    """
+    wanted, steps = SAMPLE_PER_RANGE * ranges, 1 << 40
+    share = min(steps, math.ceil(wanted / max(1, keys.count()) * steps))
+    drawn = keys.where(F.pmod(F.xxhash64("key", "tie", F.lit("draw")), F.lit(steps)) < share)
+    found = sorted(tuple(r) for r in collect_bounded(drawn.groupBy("key", "tie").count(), 4 * wanted + 1000))
+    if not found:
+        return []
+    upto = list(accumulate(n for *_, n in found))
+    at = (bisect_left(upto, upto[-1] * k / ranges) for k in range(1, ranges))
+    return sorted({found[min(i + 1, len(found) - 1)][:2] for i in at})
 
 
 def _range_finder(points: list[tuple[str, int]]):

@@ -1,5 +1,10 @@
+import bisect
 import random
+from collections import Counter
 
+from pyspark.sql import functions as F
+
+from tablelens.llm import url_filter
 from tablelens.llm.url_filter import filter_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -53,3 +58,20 @@ def test_empty_tables(spark, frame):
     assert run(spark, frame([(1, "http://a.org/")], "page_id long, url string"), rules=[]) == [(1, "a.org", "/", None, "allow")]
     odd = [(None, "/", "block"), ("", "/", "block"), ("org", None, "block"), ("org", "/", None)]
     assert run(spark, frame([(None, "http://a.org/")], "page_id long, url string"), rules=odd) == [(None, "a.org", "/", None, "allow")]
+
+
+def test_split_points_cost_the_driver_the_same_for_any_number_of_tasks(spark, monkeypatch):
+    sizes, own = [], url_filter.collect_bounded
+
+    def seen(df, bound):
+        rows = own(df, bound)
+        sizes.append(len(rows))
+        return rows
+    monkeypatch.setattr(url_filter, "collect_bounded", seen)
+    keys = spark.range(0, 40_000, 1, 50).select(F.concat(F.lit("k"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")).alias("key"),
+                                               F.xxhash64("id").alias("tie"))
+    keys = keys.unionAll(spark.range(20_000).select(F.lit("hot").alias("key"), F.lit(1).cast("long").alias("tie")))
+    points = url_filter._split_points(keys, 8)
+    assert points == sorted(points) and len(points) <= 7 and sizes[0] < 4 * 24 * 8
+    bounds = [bisect.bisect_right(points, (r["key"], r["tie"])) for r in keys.collect()]
+    assert sorted(Counter(bounds).values())[-2] < 15_000  # all but the range of the hot key
