@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import norm_cdf_col, ppnd_col
 from ..functions.tails import chi2_p_udf, ks_p_udf, shapiro_udf, t_p_udf
 from ..plans.fit import attach, clean_value, col, materialize, plain_names, safe_div
-from ..plans.ranks import average_ranks, keyed_offsets, sorted_positions
+from ..plans.ranks import keyed_offsets, sorted_positions, with_ranks
 from .columns import drop_missing, group_label
 
 ALPHA = 0.05
@@ -136,20 +136,11 @@ def pearson(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str
 @plain_names("x", "y", "by", out=["by"])
 def spearman(df: DataFrame, x: str, y: str, by: str | None = None, listwise: str = "all",
              alpha: float = ALPHA) -> DataFrame:
-    """I4: Pearson on average ranks (ties averaged), ranks from the R1 plan.
-
-    Rows are joined to the per-distinct-value rank tables on (key, value); AQE
-    broadcasts small rank tables and splits skewed values otherwise.
-    """
+    """I4: Pearson on average ranks (ties averaged), both columns ranked in one R1 plan (see :func:`.ranks.with_ranks`)."""
     base = _listwise(df, x, y, listwise, [by] if by else [])
     src, keys = _keyed(base, [x, y], by)
     src = src.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_ranks(keyed_offsets(src, x, keys, bool(by))).select(*keys, F.col("value").alias(x),
-                                                           F.col("rank").alias("_rx"))
-    ry = average_ranks(keyed_offsets(src, y, keys, bool(by))).select(*keys, F.col("value").alias(y),
-                                                           F.col("rank").alias("_ry"))
-    ranked = src.join(rx, [*keys, x], "inner").join(ry, [*keys, y], "inner")
-    return _corr_result(_pearson_from(ranked, keys, "_rx", "_ry"), by, alpha)
+    return _corr_result(_pearson_from(with_ranks(src, [x, y], keys), keys, "_r0", "_r1"), by, alpha)
 
 
 # --------------------------------------------------------------------- I5/I6

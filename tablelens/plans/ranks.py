@@ -25,15 +25,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fit import collect_bounded, materialize, one_row
+from .fit import BROADCAST_KEYS, collect_bounded, materialize, one_row
 
 # Buckets per ranking: 4 per shuffle partition, capped so the collected split
 # list and the broadcast offsets stay small.
 _MAX_BUCKETS = 16_384
+#: Index values in a range, and rows of a range that one task looks up.
+_INDEX_VALUES = 50_000
+_RANGE_ROWS = 1 << 20
 
 
 def _bucket_count(spark) -> int:
@@ -49,7 +54,8 @@ def value_offsets(df: DataFrame, value: str, keys: Sequence[str] = (),
     """
     keys = list(keys)
     spark = df.sparkSession
-    rows = (df.select(*keys, F.col(value).cast("double").alias("value"))
+    # + 0.0 makes -0.0 zero: the Bucketizer tells them apart, grouping does not.
+    rows = (df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("value"))
             .where(F.col("value").isNotNull() & ~F.isnan("value")))
     count = F.count(F.lit(1)).alias("cnt")
     nb = n_buckets or _bucket_count(spark)
@@ -104,6 +110,60 @@ def average_ranks(offsets: DataFrame) -> DataFrame:
     return offsets.withColumn("rank", F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0))
 
 
+def _look_up(keys: list[str]):
+    """Cogroup of a range's rows and its part of the index: each row's rank by binary search among the sorted values."""
+    def run(rows: pa.Table, index: pa.Table) -> pa.Table:
+        values, ranks = index.column("value").to_numpy(), index.column("rank").to_numpy()
+        order = np.argsort(values)
+        at = np.searchsorted(values[order], rows.column("_v").to_numpy())
+        return pa.table([*(rows.column(c) for c in [*keys, "_row"]), pa.array(ranks[order][at] if len(at) else np.zeros(0))],
+                        names=[*keys, "_row", "_rank"])
+    return run
+
+
+def with_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys…, ``_r0``, ``_r1``, …): the average rank of each row's value in every column, within its key.
+
+    ``columns`` are DOUBLE without nulls. All columns are ranked in one R1 plan, whose
+    distinct values with their ranks are the index. If that is small it is
+    broadcast. If not, the rows go to the value ranges of the index, (key, column,
+    range), and look their value up there by binary search; ranges of many rows
+    are dealt to several tasks. Rows never move by a value itself, which may be hot.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, *columns)
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), (F.col(c) + F.lit(0.0)).alias("_v")) for i, c in enumerate(columns)])
+    long = rows.select(*keys, F.explode(each).alias("_s")).select(*keys, "_s.*")
+    index = materialize(average_ranks(value_offsets(long, "_v", [*keys, "_i"])).select(*keys, "_i", "value", "rank", "cnt"))
+    size = index.count()
+    if size <= BROADCAST_KEYS:
+        for i, c in enumerate(columns):
+            own = F.broadcast(index.where(F.col("_i") == i).select(*keys, F.col("value").alias(c), F.col("rank").alias(f"_r{i}")))
+            rows = rows.join(own, [*keys, c])
+        return rows.select(*keys, *[f"_r{i}" for i in range(len(columns))])
+    n = min(_MAX_BUCKETS, math.ceil(size / _INDEX_VALUES))
+    splits = one_row(index.agg(F.percentile_approx("value", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("s")))["s"]
+    edges = [-math.inf, *sorted({float(x) for x in splits}), math.inf]
+
+    def ranged(frame: DataFrame, value: str) -> DataFrame:
+        return Bucketizer(splits=edges, inputCol=value, outputCol="_b", handleInvalid="keep").transform(frame)
+    index = ranged(index, "value")
+    place = [*keys, "_i", "_b"]
+    dealt = materialize(index.groupBy(*place).agg(F.ceil(F.sum("cnt") / _RANGE_ROWS).cast("int").alias("_salts")))
+    many = dealt.where(F.col("_salts") > 1).withColumnRenamed("_salts", "_tasks")
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    long = numbered.select(*keys, "_row", F.explode(each).alias("_s")).select(*keys, "_row", "_s.*")
+    # Only ranges of over _RANGE_ROWS rows are listed: at most as many as the rows allow.
+    salted = (ranged(long, "_v").join(F.broadcast(many), place, "left")
+              .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.coalesce("_tasks", F.lit(1))).cast("int")))
+    parts = index.join(dealt, place).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in keys)
+    found = (salted.groupBy(*place, "_salt").cogroup(parts.groupBy(*place, "_salt"))
+             .applyInArrow(_look_up([*keys, "_i"]), f"{schema}, _i int, _row long, _rank double"))
+    wide = found.groupBy(*keys, "_row").agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))])
+    return wide.drop("_row")
+
+
 def quantiles_from_offsets(offsets: DataFrame, probs: Sequence[float],
                            keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles (numpy/pandas default) per key.
@@ -173,5 +233,5 @@ def keyed_offsets(df: DataFrame, value: str, keys: Sequence[str], grouped: bool)
     return out.select(*[F.lit(0).alias(k) for k in keys], *out.columns)
 
 
-__all__ = ["value_offsets", "average_ranks", "quantiles_from_offsets", "exact_quantiles",
+__all__ = ["value_offsets", "average_ranks", "with_ranks", "quantiles_from_offsets", "exact_quantiles",
            "sorted_positions", "keyed_offsets"]

@@ -187,3 +187,24 @@ def test_kde_of_odd_distributions(spark):
         want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
         got = [r["density"] for r in H.kde(df, "x").orderBy("i").collect()]
         np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-13 / h)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_ranks_by_either_way(spark, monkeypatch, small):
+    import numpy as np
+    import pandas as pd
+
+    from tablelens.plans import ranks
+    if not small:
+        monkeypatch.setattr(ranks, "BROADCAST_KEYS", 1)
+        monkeypatch.setattr(ranks, "_INDEX_VALUES", 40)
+        monkeypatch.setattr(ranks, "_RANGE_ROWS", 30)  # hot ranges are dealt to several tasks
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 900), "x": np.where(rng.random(900) < .4, 5.0, rng.normal(size=900) * 9), "y": rng.integers(0, 9, 900) * 1.0})
+    frame.loc[:3, "x"] = [-0.0, 0.0, 1e300, -1e300]
+    got = ranks.with_ranks(spark.createDataFrame(frame), ["x", "y"], ["g"]).toPandas()
+    want = frame.groupby("g")[["x", "y"]].rank()
+    for g in (0, 1):
+        mine = sorted(map(tuple, got[got["g"] == g][["_r0", "_r1"]].to_numpy()))
+        assert mine == sorted(map(tuple, want[frame["g"] == g].to_numpy()))
+    assert ranks.with_ranks(spark.createDataFrame(frame.head(0), "g long, x double, y double"), ["x", "y"], ["g"]).count() == 0
