@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fit import (clean_value, col, dtype_of, is_numeric, long_form, materialize, missing_cond, numeric_columns,
+from ..plans.fit import (clean_value, col, dtype_of, is_numeric, long_form, missing_cond, numeric_columns,
                          qualitative_columns)
-from ..plans.quantiles import DEFAULT_ACCURACY, exact_quantiles_wide, sketch_probs
+from ..plans.quantiles import exact_quantiles_wide
 from .columns import role_of, round_half_even, type_name
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -48,19 +48,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
                  F.min(x).alias("min"),
                  F.max(x).alias("max"),
                  F.count_if(missing_cond(df, c)).alias("missing")]
-        if exact:
-            # the quantile sketch rides along in the same single aggregate
-            parts.append(F.percentile_approx(x, sketch_probs(QUARTILES), DEFAULT_ACCURACY).alias("s"))
-        else:
+        if not exact:
             parts.append(F.percentile_approx(x, list(QUARTILES), 100_000).alias("q"))
         structs.append(F.struct(*parts))
     moments = _explode_structs(df.agg(F.array(*structs).alias("_a")))
     if exact:
-        moments = materialize(moments, len(cols))
-        sketches = {r["variable"]: (r["count"], r["s"]) for r in moments.select("variable", "count", "s").collect()}
-        qs = exact_quantiles_wide(df, {c: clean_value(df, c).cast("double") for c in cols}, QUARTILES,
-                                  sketches=sketches).select("variable", "q")
-        moments = moments.drop("s").join(F.broadcast(qs), on="variable", how="left")
+        qs = exact_quantiles_wide(df, {c: clean_value(df, c).cast("double") for c in cols}, QUARTILES).select("variable", "q")
+        moments = moments.join(F.broadcast(qs), on="variable", how="left")  # one row a column
     out = moments.select(
         "variable", "count", "mean", "std", "min",
         F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"),
