@@ -319,6 +319,16 @@ def q_impute_knn(spark, sf):
     return out.select("c_custkey", "c_acctbal")
 
 
+@register("impute_preview_knn",
+          f"SELECT 'c_acctbal' AS variable, 'knn' AS method, k.c_custkey, 'NA' AS before, k.c_acctbal AS after_value, CAST(NULL AS VARCHAR) AS after_label "
+          f"FROM ({_knn_sql(5)}) AS k JOIN {fx.CUSTOMER_MISSING_SQL} AS m ON m.c_custkey = k.c_custkey WHERE m.c_acctbal IS NULL ORDER BY 3 LIMIT 3",
+          ["after_value"])
+def q_impute_preview_knn(spark, sf):
+    df = fx.customer_missing(spark, sf)
+    model = imp.fit_imputer(df, knn=["c_acctbal"], k=5, knn_features=["c_acctbal", "c_nationkey", "c_custkey"], knn_order=["c_custkey"])
+    return imp.impute_preview(df, model, ["c_custkey"], 3)
+
+
 _GAPPY = {"o.total": ("o_totalprice / 1000", 5), "cust id": ("o_custkey", 7), "day": ("date_diff('day', TIMESTAMP '1990-01-01', o_orderdate)", 11),
           "`mod`": ("o_orderkey % 97", 13), "x.y": ("(o_orderkey * 7919) % 1009 / 10.0", 3)}
 _GAPPY_COLUMNS = ", ".join(f"CASE WHEN (o_orderkey + {m}) % {m} <> 0 THEN CAST({e} AS DOUBLE) END AS f{i}" for i, (e, m) in enumerate(_GAPPY.values()))

@@ -43,6 +43,12 @@ def q_page_text_key(spark, sf):
     return cols.page(fx.table(spark, sf, "orders").select("o_orderstatus", "o_orderkey"), 5, 40, "o_orderstatus")
 
 
+@register("page_index", "SELECT k, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, o_orderkey, o_totalprice) - 1 AS p "
+          f"FROM {_HASH_KEYED_SQL}) AS r WHERE p BETWEEN 1400 AND 1439", ["o_totalprice"])
+def q_page_index(spark, sf):
+    return cols.PositionIndex(_hash_keyed(spark, sf), "k").page(35, 40)
+
+
 _AT = [0, 1, 150, 1499, 1500, 9_000_000]
 
 

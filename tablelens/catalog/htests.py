@@ -326,3 +326,13 @@ def q_ks_normal_by(spark, sf):
 def q_spearman_by(spark, sf):
     ev = fx.table(spark, sf, "events").select("event_type", "user_id", "value")
     return ht.spearman(ev, "user_id", "value", by="event_type").select("event_type", "n", "r")
+
+
+@register("pearson_odd_names",
+          f"SELECT l_returnflag AS \"flag.of `row`\", CAST(count(*) AS BIGINT) AS n, corr(l_quantity, l_extendedprice) AS r FROM {LM} AS m "
+          "WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1", ["r"])
+def q_pearson_odd_names(spark, sf):
+    """Column names with dots, spaces and back quotes, listwise over the columns used."""
+    names = {"l_quantity": "Sepal.Length", "l_extendedprice": "a b", "l_returnflag": "flag.of `row`"}
+    df = fx.lineitem_missing(spark, sf).withColumnsRenamed(names)
+    return ht.pearson(df, "Sepal.Length", "a b", by="flag.of `row`", listwise="used").select("`flag.of ``row```", "n", "r")

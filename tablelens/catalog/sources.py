@@ -7,12 +7,10 @@ then read back through the library's readers.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..session import ensure_checkpoint_dir
+from ..plans.fit import stage_folder
 from ..sources.delimited import read_csv, read_txt
 from ..sources.export import export_csv
 from ..sources.workbook import parse_workbooks
@@ -24,7 +22,7 @@ FLOATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _scratch(spark, what: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-{what}-{uuid.uuid4().hex}"
+    return stage_folder(spark, what)
 
 
 @register("ingest_csv",

@@ -192,6 +192,42 @@ def with_positions(df: DataFrame, order_by: Sequence[str] | str, name: str = "_p
             .select("_row.*", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name)))
 
 
+class PositionIndex:
+    """B7/B8 for tables that are paged through again and again: rows with their positions, stored once in that order.
+
+    Files and their row groups hold runs of positions, so a page or a selection,
+    however deep, is a pushed-down range filter that reads the row groups with
+    those positions and nothing else. ``rows_per_group`` bounds what a page reads.
+    The files lie in the stage folder and go with the session.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str] | str, rows_per_group: int = 100_000):
+        self.columns = df.columns
+        placed = with_positions(df, order_by).select(*map(col, df.columns), "_pos")
+        # Rows come in order from the stage of with_positions; a bound on a page's rows bounds the groups.
+        self.rows = materialize(placed.sortWithinPartitions("_pos"), options={"parquet.block.row.count.limit": rows_per_group})
+
+    def _at(self, low: int, high: int) -> DataFrame:
+        return self.rows.where((F.col("_pos") >= low) & (F.col("_pos") <= high))
+
+    def page(self, page_no: int, size: int = 10) -> DataFrame:
+        """Rows [page_no·size, (page_no+1)·size) in order."""
+        if page_no < 0 or size < 1:
+            raise ValueError("page_no must be >= 0 and size >= 1")
+        return self._at(page_no * size, (page_no + 1) * size - 1).orderBy("_pos").select(*map(col, self.columns))
+
+    def select(self, positions: Sequence[int]) -> DataFrame:
+        """Rows at the given positions (those that exist)."""
+        wanted = sorted({int(p) for p in positions})
+        if not wanted:
+            return self.rows.where(F.lit(False)).select(*map(col, self.columns))
+        rows = self._at(wanted[0], wanted[-1])
+        if len(wanted) <= 1000:  # as a filter, which also skips row groups in between
+            return rows.where(F.col("_pos").isin(wanted)).select(*map(col, self.columns))
+        keys = self.rows.sparkSession.createDataFrame([(p,) for p in wanted], "_pos long")
+        return rows.join(keys, "_pos", "left_semi").select(*map(col, self.columns))
+
+
 def select_positions(df: DataFrame, order_by: Sequence[str] | str, positions: Sequence[int]) -> DataFrame:
     """B7 by position (``iloc``): rows at the given 0-based positions in ``order_by`` order."""
     wanted = df.sparkSession.createDataFrame([(int(p),) for p in sorted(set(positions))], "_pos long")
@@ -202,9 +238,8 @@ def page(df: DataFrame, page_no: int, size: int = 10, order_by: Sequence[str] |
     """B8 pages: rows [page_no·size, (page_no+1)·size) in ``order_by`` order (NULL first, ties by the other columns).
 
     One plan for every size, type and key: ORDER BY … LIMIT … OFFSET, where each
-    task hands on at most the rows up to the page's end. For very deep pages of a
-    table that is paged through again and again, keep :func:`with_positions` and
-    filter it.
+    task hands on at most the rows up to the page's end. For deep pages, or a
+    table that is paged through again and again, keep a :class:`PositionIndex`.
     """
     if page_no < 0 or size < 1:
         raise ValueError("page_no must be >= 0 and size >= 1")

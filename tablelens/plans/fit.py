@@ -203,7 +203,18 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], grouped: bool,
     return df.select("*", *[typed_lit(rows[0][f.name], f.dataType).alias(f.name) for f in fields])
 
 
-def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+def stage_folder(spark, name: str) -> str:
+    """A new path under the session's ``spark.checkpoint.dir``, deleted when the driver's JVM ends."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def materialize(df: DataFrame, max_rows: int | None = None, options: dict | None = None) -> DataFrame:
     """Compute ``df`` once and cut its lineage.
 
     With ``max_rows`` the frame is known to be small: it is collected (bounded)
@@ -214,13 +225,6 @@ def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     if max_rows is not None:
         rows = collect_bounded(df, max_rows)
         return df.sparkSession.createDataFrame(rows, df.schema)
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tablelens-stage-{uuid.uuid4().hex}"
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # goes with the driver's JVM
-    df.write.mode("errorifexists").parquet(path)
+    path = stage_folder(df.sparkSession, "stage")
+    df.write.mode("errorifexists").options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,3 +59,26 @@ def test_a_sample_sorts_few_rows(spark):
     assert sample_rows(df, 100).count() == 100 and sample_rows(df, 50_000).count() == 20_000 and sample_rows(df, 0).count() == 0
     assert sample_rows(df.limit(0), 5, row_key=["id"]).count() == 0
     assert len({r.id for r in sample_rows(df, 300).collect()}) == 300
+
+
+def test_a_deep_page_reads_one_row_group(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tablelens.operators.columns import PositionIndex
+    df = spark.range(0, 9000, 1, 6).select((F.col("id") * 7919 % 9001).alias("a.key"), F.col("id").alias("v"))
+    index = PositionIndex(df, "a.key", rows_per_group=100)
+    order = [(r[0], r[1]) for r in df.orderBy("`a.key`", "v").collect()]
+    assert [tuple(r) for r in index.page(711, 10).collect()] == order[7110:7120]
+    assert index.page(900, 10).count() == 0 and index.page(0, 3).columns == ["a.key", "v"]
+    assert sorted(tuple(r) for r in index.select([5, 8999, 10**9, 5]).collect()) == sorted([order[5], order[8999]])
+    assert index.select([]).count() == 0 and index.select(range(0, 9000, 2)).count() == 4500
+    assert "PushedFilters: [IsNotNull(_pos), GreaterThanOrEqual(_pos,7110), LessThanOrEqual(_pos,7119)]" in index.page(711, 10)._jdf.queryExecution().toString()
+    groups = []
+    for f in index.rows.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        at = meta.schema.names.index("_pos")
+        groups += [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+    assert len(groups) >= 90 and sum(s.min <= 7119 and s.max >= 7110 for s in groups) <= 2
