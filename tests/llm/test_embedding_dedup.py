@@ -123,3 +123,20 @@ def test_a_dense_cluster_takes_memory_by_rows(tight):
     assert [counts.get(i, 0) for i in range(n)] == want[:n].tolist() and want.sum() > 10_000_000
     assert len({w for u, w in zip(out["u"], out["v"]) if u != w and u < n and w < n}) == 1
     assert peak < 250 << 20
+
+
+def test_links_found_through_the_graphs_of_several_shards(frame):
+    """Shards of over 1,000 vectors, so every search walks a graph; planted links of the least cosines that count."""
+    rng = np.random.default_rng(12)
+    v = [rng.normal(size=32) for _ in range(2400)]
+    v += [near(rng, v[i], c) for i, c in enumerate(np.linspace(0.951, 0.97, 300))]
+    for i in range(500, 510):  # clusters
+        v += [near(rng, v[i], 0.985) for _ in range(20)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = {r.vec_id: r for r in dedup_embeddings(frame(rows, "vec_id long, embedding array<double>"), min_shards=2, small_shard=1000).collect()}
+    unit = np.stack(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    counts = np.array([got[i].n_links for i in range(len(v))])
+    assert (counts <= want).all() and counts.sum() >= 0.98 * want.sum() and want.sum() > 2000
+    brutal = {i: (c, k) for i, _, c, k in brute(rows)}
+    assert np.mean([(got[i].component_id, got[i].kept) == brutal[i] for i in got]) >= 0.99
