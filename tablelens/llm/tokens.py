@@ -4,7 +4,7 @@ The byte-level vocabulary splits a text into pieces before it merges bytes, and
 a piece never runs from a character other than white space into white space.
 So a text may be cut before every space or line break that stands alone, and
 its ids are the ids of the parts, joined. Parts repeat a lot, so each worker
-keeps those it has met. Texts with runs of white space, white space at an
+keeps those it has met twice. Texts with runs of white space, white space at an
 end, or the string of an added token that counts as one are encoded whole.
 
 Ids are kept as little-endian unsigned 32-bit bytes.
@@ -16,8 +16,12 @@ import os
 from array import array
 
 #: Parts that a worker remembers; then it starts afresh.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 700_000
 LONGEST_PART = 64
+#: Parts are remembered when met again, as most are met once: a byte per hash tells.
+_MET_MASK = (1 << 22) - 1
+#: Marks that follow a word in a piece of their own. An apostrophe may be part of one with letters.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: White space (by any library's reading) other than the space and the line break.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
@@ -57,25 +61,38 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.letters = _byte_letters()
-        self.marks = {m: self.whole(m) for m in ".,"}
+        self.line = self.whole("\n")
+        self.met = bytearray(_MET_MASK + 1)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A space and letters only: one piece, so the merges alone give its ids."""
-        mapped = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+    def _piece(self, piece: str, space: str) -> bytes:
+        """Letters only, or marks only: one piece, so the merges alone give its ids."""
+        mapped = space + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
+        """Ids of a part after its space. Keys that begin with a space (no part does) are pieces without one."""
         if part.isalpha():
-            ids = self._word(part)
-        elif part[-1:] in self.marks and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.marks[part[-1]]
+            ids = self._piece(part, "Ġ")
+        elif part[0] == " ":
+            ids = self._piece(part[1:], "")
         else:
-            ids = self.whole(part if part[:1] == "\n" else " " + part)
-        if len(part) <= LONGEST_PART:
-            self[part] = ids
+            word = part.rstrip(_MARKS)
+            line = word[:1] == "\n"
+            if not word[line:].isalpha():
+                ids = self.whole(part if part[0] == "\n" else " " + part)
+            else:
+                ids = self.line + self[" " + word[1:]] if line else self[word]
+                if len(word) < len(part):
+                    ids += self[" " + part[len(word):]]
+        at = hash(part) & _MET_MASK
+        if self.met[at]:
+            if len(part) <= LONGEST_PART:
+                self[part] = ids
+        else:
+            self.met[at] = 1
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -83,6 +100,7 @@ class Encoder(dict):
             return self.whole(text) if text else b""
         if len(self) > CACHE_PARTS:
             self.clear()
+            self.met = bytearray(_MET_MASK + 1)
         first, *parts = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, parts))
 
