@@ -116,7 +116,7 @@ class _Shard:
     def links(self, q: np.ndarray, threshold: float, beam: int):
         """Chunks of (query, row) of the links that searches find; queries whose beams fill up with links are scanned."""
         n, crowd = len(self.vectors), np.arange(len(q))
-        if beam * 8 < n:
+        if beam < n:
             full, step = [crowd[:0]], _rows_at_once(n)
             for at in range(0, len(q), step):
                 nodes, sims = self.graph.search(q[at:at + step].astype(np.float32), beam)
@@ -134,7 +134,7 @@ class _Shard:
         truth = sum(len(a) for a, _ in self.scan(some, threshold))
         beam = self.beam
         # Links found are among the true ones, each once, so their number tells the share.
-        while beam * 8 < len(self.vectors) and sum(len(a) for a, _ in self.links(some, threshold, beam)) < recall * truth:
+        while beam < len(self.vectors) and sum(len(a) for a, _ in self.links(some, threshold, beam)) < recall * truth:
             beam *= 2
         return beam
 
