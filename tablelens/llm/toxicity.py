@@ -10,9 +10,10 @@ going below zero (Kiryo et al., 2017):
 When the second term is negative the step goes up its gradient instead, so a
 flexible model cannot drive it down by fitting the unlabelled toxic texts.
 
-P and U are bounded samples (``max_positive``, ``max_unlabelled`` documents,
-picked by a hash of their id); the model is a short list of features. Scoring
-reads every whole text once, in tasks, without a shuffle.
+Features are counted over all documents and chosen from those counts. Only the
+fit takes bounded samples P and U (``max_positive``, ``max_unlabelled``
+documents, picked by a hash of their id); the model is a short list of features.
+Scoring reads every whole text once, in tasks, without a shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 #: A feature that a text has so many times stands for a feature of its own.
 TIMES = (1, 2, 4)
 _CACHE_WORDS = 100_000
+#: Features that a task counts before it hands the counts on.
+_COUNTED = 500_000
+#: So many ids (8 MB) are broadcast to the texts; more are joined by a shuffle.
+_FEW_IDS = 1_000_000
 _HASH_RANGE = 1 << 40
 
 
@@ -51,25 +56,40 @@ def text_features(text: str | None, features=word_features) -> list[bytes]:
 
 
 def _count_features(batches):
-    """How many positive and unlabelled texts of a task hold each feature."""
-    counts = {True: Counter(), False: Counter()}
+    """How many texts of a task hold each feature: ``p`` of the positive ones, ``u`` of all."""
+    positive, every = Counter(), Counter()
 
     def flush():
-        found = list(counts[True].keys() | counts[False].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array([counts[k][f] for f in found], pa.int64()) for k in (True, False)]],
+        found = list(every)
+        out = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array([c[f] for f in found], pa.int64()) for c in (positive, every)]],
                                          names=["feature", "p", "u"])
-        counts[True].clear()
-        counts[False].clear()
+        positive.clear()
+        every.clear()
         return out
 
     for batch in batches:
-        for text, positive in zip(batch.column("text"), batch.column("positive").to_pylist()):
-            counts[positive].update(text_features(text.as_py()))
-            if len(counts[True]) + len(counts[False]) > _CACHE_WORDS:
+        for text, toxic in zip(batch.column("text"), batch.column("positive").to_pylist()):
+            features = text_features(text.as_py())
+            every.update(features)
+            if toxic:
+                positive.update(features)
+            if len(every) > _COUNTED:
                 yield flush()
     yield flush()
 
 
+def count_features(docs: DataFrame, toxic: DataFrame, few: bool) -> DataFrame:
+    """(feature, p, u): how many texts hold it of those with an id in ``toxic``, and of all (doc_id, text) rows.
+
+    ``few``: ``toxic`` is known to be small, so it is broadcast and no text is shuffled.
+    """
+    toxic = toxic.withColumn("positive", F.lit(True))
+    rows = docs.select("doc_id", "text").join(F.broadcast(toxic) if few else toxic, "doc_id", "left")
+    return (rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+            .mapInArrow(_count_features, "feature binary, p long, u long")
+            .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
+
+
 def _number_features(chosen: dict[bytes, int]):
     def run(batches):
         for batch in batches:
@@ -150,49 +170,53 @@ class ToxicityModel:
         return score
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
-    """(doc_id, positive, text) of the sample, one row per doc_id, and the class prior of the labelled rows."""
-    bounded_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
-    ids = docs.select("doc_id").where("doc_id is not null")
-    total = ids.count()
-    prior = min(0.5, max(1e-4, (n["toxic"] or 0) / max(1, n["n"])))
-
-    def within(share: float):
-        return F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(_HASH_RANGE)) < int(min(1.0, share) * _HASH_RANGE)
-    toxic = known.where("toxic = 1").select("doc_id")
-    positive = toxic.where(within(max_positive / max(1, n["toxic"] or 0)))
-    unlabelled = ids.where(within(max_unlabelled / max(1, total))).distinct()  # drawn from all texts, toxic ones among them
+def _within(share: float):
+    """Ids whose hash falls in ``share`` of the range."""
+    return F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(_HASH_RANGE)) < int(min(1.0, share) * _HASH_RANGE)
+
+
+def _sample(docs: DataFrame, positive: DataFrame, unlabelled: DataFrame) -> DataFrame:
+    """(doc_id, positive, text) of the picked ids, one row per doc_id."""
     picked = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     # About max_positive + max_unlabelled ids: small enough to broadcast, so no text is shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return cut(rows.groupBy("doc_id", "positive").agg(F.max("text").alias("text")), "sample"), prior
+    return cut(rows.groupBy("doc_id", "positive").agg(F.max("text").alias("text")), "sample")
+
+
+def choose_features(seen: DataFrame, n_p: int, n_u: int, min_positive: int, min_contrast: float, max_features: int) -> list[bytes]:
+    """The features of (feature, p, u) that tell ``n_p`` positive texts from ``n_u`` unlabelled ones, best first."""
+    share_p, share_u = F.col("p") / max(1, n_p), (F.col("u") + 1) / max(1, n_u)
+    contrast = (share_p - share_u) / F.sqrt(share_p / max(1, n_p) + share_u / max(1, n_u))
+    kept = (seen.where((F.col("p") >= min_positive) & (share_p >= 2 * share_u) & (contrast >= min_contrast))
+            .orderBy(F.desc(contrast), "feature").limit(max_features).collect())
+    return [bytes(r["feature"]) for r in kept]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 8192, max_unlabelled: int = 16384,
                  min_positive: int = 4, min_contrast: float = 3.0, max_features: int = 4096, class_prior: float | None = None) -> ToxicityModel:
-    """Train from (doc_id, text) and (doc_id, toxic); only toxic = 1 is read as a label.
-
-    Features are kept if at least ``min_positive`` positive documents hold them
-    and their share among positives is at least twice that among unlabelled ones
-    and ``min_contrast`` standard errors above it; of more than ``max_features``
-    those of the largest contrast. The prior
-    is the share of toxic rows among labelled ones unless given. With no
-    positive document the model has no feature and gives all texts one low score.
+    """Train from (doc_id, text) and (doc_id, toxic). A text is positive if a label of its id is toxic = 1;
+    other labels only enter the class prior, the share of toxic ids among labelled ones (unless given).
+
+    Features are counted over all rows of ``docs`` with an id. They are kept if at
+    least ``min_positive`` positive rows hold them and their share among those is
+    at least twice that among all rows and ``min_contrast`` standard errors above
+    it; of more than ``max_features`` those of the largest contrast. The fit takes
+    about ``max_positive`` positive ids and ``max_unlabelled`` of all ids, repeated
+    ids once. With no positive row the model has no feature and gives all texts
+    one low score.
     """
-    sample, prior = _sample(docs, labels, max_positive, max_unlabelled)
-    prior = class_prior or prior
-    one = F.when(F.col("positive"), 1).otherwise(0)
-    sizes = sample.agg(F.sum(one).alias("p"), F.sum(1 - one).alias("u")).first()
-    n_p, n_u = max(1, sizes["p"] or 0), max(1, sizes["u"] or 0)
-    seen = (sample.mapInArrow(_count_features, "feature binary, p long, u long")
-            .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
-    share_p, share_u = F.col("p") / n_p, (F.col("u") + 1) / n_u
-    contrast = (share_p - share_u) / F.sqrt(share_p / n_p + share_u / n_u)
-    kept = (seen.where((F.col("p") >= min_positive) & (share_p >= 2 * share_u) & (contrast >= min_contrast))
-            .orderBy(F.desc(contrast), "feature").limit(max_features).collect())
-    names = [bytes(r["feature"]) for r in kept]
+    bounded_batches(docs.sparkSession)
+    docs = docs.where("doc_id is not null")
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
+    n_toxic = n["toxic"] or 0
+    prior = class_prior or min(0.5, max(1e-4, n_toxic / max(1, n["n"])))
+    toxic, few = known.where("toxic = 1").select("doc_id"), n_toxic <= _FEW_IDS
+    ids = docs.select("doc_id")
+    n_u, n_p = ids.count(), ids.join(F.broadcast(toxic) if few else toxic, "doc_id").count()
+    names = choose_features(count_features(docs, toxic, few), n_p, n_u, min_positive, min_contrast, max_features)
+
+    sample = _sample(docs, toxic.where(_within(max_positive / max(1, n_toxic))), ids.where(_within(max_unlabelled / max(1, n_u))).distinct())
     rows = sample.mapInArrow(_number_features({f: i for i, f in enumerate(names)}), "doc_id long, positive boolean, features array<int>")
     rows = rows.toPandas().sort_values("doc_id")  # at most the sample, a few numbers a row
     split = lambda wanted: Sparse([np.asarray(f) for f, p in zip(rows["features"], rows["positive"]) if p == wanted])

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,8 @@ import pytest
 
 from tablelens.llm.language import LanguageModel, classify_language, ngram_counts, spherical_kmeans
 from tablelens.llm.queries import op3_toxicity, op9_language_id
-from tablelens.llm.toxicity import Sparse, classify_toxicity, fit_nnpu
+from tablelens.llm import toxicity
+from tablelens.llm.toxicity import Sparse, choose_features, classify_toxicity, count_features, fit_nnpu, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,6 +64,49 @@ def test_toxicity_learns_and_takes_odd_rows(spark, frame):
     assert by[3][0].score == by[3][1].score
 
 
+def brute_features(text):
+    """Features of a text by the definition: words, word beginnings, and how often at least they are met."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    met = {}
+    for w in (w.encode() for w in words):
+        for f in [b"=" + w, *(w[:n] for n in (3, 4, 5, 6, 8) if len(w) >= n)]:
+            met[f] = met.get(f, 0) + 1
+    return {f if t == 1 else f + b"#%d" % t for f, n in met.items() for t in (1, 2, 4) if n >= t}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_toxicity_counts_features_of_all_rows(spark, frame, monkeypatch, few):
+    monkeypatch.setattr(toxicity, "_COUNTED", 50)
+    rows, _ = toy_docs(random.Random(2), 200)
+    rows += [(3, rows[3][1]), (500, None), (501, ""), (502, "Ärger ÄRGER x1 X1 x1 x1")]
+    toxic = {3, 7, 100, 502, 9999}
+    got = {bytes(r.feature): (r.p, r.u) for r in count_features(frame(rows, "doc_id long, text string").repartition(5),
+                                                               frame([(i,) for i in toxic], "doc_id long"), few).collect()}
+    want = {}
+    for i, text in rows:
+        for f in brute_features(text):
+            p, u = want.get(f, (0, 0))
+            want[f] = p + (i in toxic), u + 1
+    assert got == want
+
+
+def test_toxicity_feature_outside_the_fit_sample(spark, frame):
+    """A word of four positive texts among many is a feature however few texts the fit takes, and the score is by hand."""
+    rows = [(i, "plain words " + ("awful" if i % 4 == 0 else "fine") + (" rareword" if i in (0, 400, 800, 1200) else "")) for i in range(2000)]
+    labels = [(i, int(i % 4 == 0)) for i in range(2000)]
+    docs = frame(rows, "doc_id long, text string")
+    seen = count_features(docs, frame([(i,) for i, t in labels if t], "doc_id long"), True)
+    share_p, share_u = 4 / 500, 5 / 2000
+    assert (share_p - share_u) / (share_p / 500 + share_u / 2000) ** .5 > 1
+    assert b"=rareword" in choose_features(seen, 500, 2000, 4, 1.0, 4096)
+    model = fit_toxicity(docs, frame(labels, "doc_id long, toxic int"), max_positive=50, max_unlabelled=100, min_contrast=1.0)
+    assert b"=rareword" in model.weights and b"=awful" in model.weights
+    for r in score_toxicity(docs.where("doc_id < 40"), model).collect():
+        z = model.bias + sum(model.weights.get(f, 0) for f in brute_features(r.doc.text))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert r.predicted == int(r.score >= .5) == int("awful" in r.doc.text)
+
+
 def test_toxicity_without_labels_or_documents(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, score string")
