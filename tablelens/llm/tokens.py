@@ -15,8 +15,9 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Parts that a worker remembers; then it starts afresh.
-CACHE_PARTS = 700_000
+#: Parts that a worker remembers. When it holds so many it adds no more, and starts afresh after ``STALE`` further misses.
+CACHE_PARTS = 400_000
+STALE = 2_000_000
 LONGEST_PART = 64
 #: Parts are remembered when met again, as most are met once: a byte per hash tells.
 _MET_MASK = (1 << 22) - 1
@@ -62,7 +63,7 @@ class Encoder(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.letters = _byte_letters()
         self.line = self.whole("\n")
-        self.met = bytearray(_MET_MASK + 1)
+        self.met, self.missed = bytearray(_MET_MASK + 1), 0
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -87,8 +88,9 @@ class Encoder(dict):
                 ids = self.line + self[" " + word[1:]] if line else self[word]
                 if len(word) < len(part):
                     ids += self[" " + part[len(word):]]
-        at = hash(part) & _MET_MASK
-        if self.met[at]:
+        if len(self) >= CACHE_PARTS:
+            self.missed += 1
+        elif self.met[at := hash(part) & _MET_MASK]:
             if len(part) <= LONGEST_PART:
                 self[part] = ids
         else:
@@ -98,9 +100,9 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if not text or not _plain(text) or any(t in text for t in self.added):
             return self.whole(text) if text else b""
-        if len(self) > CACHE_PARTS:
+        if self.missed > STALE:
             self.clear()
-            self.met = bytearray(_MET_MASK + 1)
+            self.met, self.missed = bytearray(_MET_MASK + 1), 0
         first, *parts = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, parts))
 
