@@ -19,6 +19,7 @@ Scoring reads every whole text once, in tasks, without a shuffle.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 #: A feature that a text has so many times stands for a feature of its own.
 TIMES = (1, 2, 4)
 _CACHE_WORDS = 100_000
-#: Features that a task counts before it hands the counts on.
+#: Features that a task counts before it hands the counts on, and entries of texts that it counts at once.
 _COUNTED = 500_000
 #: So many ids (8 MB) are broadcast to the texts; more are joined by a shuffle.
 _FEW_IDS = 1_000_000
@@ -44,6 +45,10 @@ def word_features(word: bytes) -> list[bytes]:
     return [b"=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+def _often(feature: bytes, times: int) -> bytes:
+    return feature if times == 1 else b"%s#%d" % (feature, times)
+
+
 def text_features(text: str | None, features=word_features) -> list[bytes]:
     """Features of a whole text: those of its words, and again where they are met often (``TIMES``)."""
     words, met = Counter(), Counter()
@@ -52,30 +57,79 @@ def text_features(text: str | None, features=word_features) -> list[bytes]:
     for word, own in zip(words, map(features, words)):
         for f in own:
             met[f] += words[word]
-    return sorted([f if t == 1 else b"%s#%d" % (f, t) for f, n in met.items() for t in TIMES if n >= t])
+    return sorted([_often(f, t) for f, n in met.items() for t in TIMES if n >= t])
 
 
-def _count_features(batches):
-    """How many texts of a task hold each feature: ``p`` of the positive ones, ``u`` of all."""
-    positive, every = Counter(), Counter()
+class _FeatureCounts:
+    """How many texts hold each feature, in arrays by the features' numbers.
+
+    Texts are taken apart one by one and counted many at once: equal (text,
+    feature) entries are summed by a sort, which gives how often a text has each.
+    """
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}  # feature -> number
+        self.known: dict[bytes, list[int]] = {}  # word -> numbers of its features
+        self.counts = np.zeros((2, len(TIMES), 0), np.int64)  # of positive texts, of all
+        self._start()
 
-    def flush():
-        found = list(every)
-        out = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array([c[f] for f in found], pa.int64()) for c in (positive, every)]],
-                                         names=["feature", "p", "u"])
-        positive.clear()
-        every.clear()
-        return out
+    def _start(self) -> None:
+        self.features, self.sizes, self.times, self.entries, self.positive = [], [], [], [], []
 
+    def _number(self, word: bytes) -> list[int]:
+        got = self.known[word] = [self.numbers.setdefault(f, len(self.numbers)) for f in word_features(word)]
+        return got
+
+    def add(self, text: str | None, positive: bool) -> None:
+        words, before = Counter(), len(self.features)
+        for part in split_words(text):
+            words.update(part)
+        own = [self.known.get(w) or self._number(w) for w in words]
+        self.features.extend(chain.from_iterable(own))
+        self.sizes.extend(map(len, own))
+        self.times.extend(words.values())
+        self.entries.append(len(self.features) - before)
+        self.positive.append(positive)
+        if len(self.features) > _COUNTED:
+            self.fold()
+
+    def fold(self) -> None:
+        """Count the texts added since the last time."""
+        n, texts = len(self.numbers), np.repeat(np.arange(len(self.entries)), self.entries)
+        key = texts * n + np.array(self.features, np.int64)
+        order = np.argsort(key)
+        key, times = key[order], np.repeat(np.array(self.times, np.int64), self.sizes)[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times, first) if len(first) else times
+        text, feature = np.divmod(key[first], max(1, n))
+        toxic = np.array(self.positive, bool)[text]
+        self.counts = np.pad(self.counts, ((0, 0), (0, 0), (0, n - self.counts.shape[2])))
+        for at, t in enumerate(TIMES):
+            self.counts[0, at] += np.bincount(feature[toxic & (times >= t)], minlength=n)
+            self.counts[1, at] += np.bincount(feature[times >= t], minlength=n)
+        self._start()
+
+    def batch(self) -> pa.RecordBatch:
+        self.fold()
+        names, found, p, u = list(self.numbers), [], [], []
+        for at, t in enumerate(TIMES):
+            some = np.flatnonzero(self.counts[1, at])
+            found += [_often(names[i], t) for i in some.tolist()]
+            p.append(self.counts[0, at, some])
+            u.append(self.counts[1, at, some])
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.concatenate(p)), pa.array(np.concatenate(u))], names=["feature", "p", "u"])
+
+
+def _count_features(batches):
+    """How many texts of a task hold each feature: ``p`` of the positive ones, ``u`` of all."""
+    seen = _FeatureCounts()
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("positive").to_pylist()):
-            features = text_features(text.as_py())
-            every.update(features)
-            if toxic:
-                positive.update(features)
-            if len(every) > _COUNTED:
-                yield flush()
-    yield flush()
+            seen.add(text.as_py(), toxic)
+            if len(seen.numbers) > _COUNTED:
+                yield seen.batch()
+                seen = _FeatureCounts()
+    yield seen.batch()
 
 
 def count_features(docs: DataFrame, toxic: DataFrame, few: bool) -> DataFrame:
