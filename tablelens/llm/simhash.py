@@ -192,6 +192,7 @@ def near_duplicates(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     met = keyed.join(hot, "key", "left_anti").select("print", "key").unionByName(finer)
     links = (met.repartition(2 * shuffle_parts(spark), "key").sortWithinPartitions("key")
              .mapInArrow(_links(max_bits), "u long, v long"))
+    links = cut(links, "links")  # so that no task holds two Python workers, which stay with the executor
     return connected_components(links).select(F.col("node").alias("print"), F.col("component").alias("root"))
 
 

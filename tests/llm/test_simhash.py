@@ -130,3 +130,11 @@ def test_empty_table_and_extra_columns(spark, frame):
     rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)]
     out = simhash_dedup(frame(rows, "doc_id long, text string, print string, root int")).collect()
     assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1)]
+
+
+def test_links_are_staged_before_components(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(simhash, "connected_components", lambda links: seen.append(links) or connected_components(links))
+    df = spark.createDataFrame([(0,), (1,), (1 << 40,)], "print long")
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == [(1, 0), (1 << 40, 0)]
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().executedPlan().toString()  # else a task holds two Python workers
