@@ -10,23 +10,26 @@ none). Ties are broken by the donor's row key.
 Plan (exact, any number of features, each with gaps or without):
 
 * The upper part of a k-d tree is cut from a bounded sample of donors: at most
-  ``MAX_LEAVES`` leaves of about ``LEAF_DONORS`` donors. Every donor goes down it
-  to one leaf and is staged once. Each leaf's bounding box (least and largest
+  ``MAX_LEAVES`` leaves of about ``LEAF_DONORS`` donors. It parts donors by the
+  features they have before it parts them by values, so most leaves hold donors
+  of equal features and have sharp bounds. Every donor goes down it to one leaf
+  and is staged once. Each leaf's bounding box (least and largest
   value, and how many donors have one, per feature) comes from all its donors.
 * A box gives a lower bound of the distance to anything in it, over all
   features the recipient has: a feature that every donor of the box has counts
   with its gap; of those that only some have, just the ones that lower the mean
   gap do.
-* Round one sends a recipient to the leaves of least bound that are sure to
-  hold k donors, which gives it a radius: the k-th distance found. Round two
+* Round one sends a recipient to the leaf where the k-th donor is likely nearest
+  (by its bound and how densely it holds donors), or as many as are sure to hold
+  k donors, which gives it a radius: the k-th distance found. Round two
   sends it to every other leaf whose bound is within the radius. So two rounds
   are always enough.
 * Within a leaf a task goes on with the tree down to blocks of ``BLOCK`` donors
   that have the same features, and measures only blocks within the radius.
 
 Many recipients of one leaf are dealt to several tasks, with a copy of the leaf's
-donors each. Donors of equal features are cut to the k smallest row keys (only
-those can be chosen), equal recipients are solved once.
+donors each. Donors of equal features (besides the target) are cut to the k
+smallest row keys (only those can be chosen), equal recipients are solved once.
 """
 
 from __future__ import annotations
@@ -47,38 +50,75 @@ MAX_LEAVES = 4096
 SAMPLE_PER_LEAF = 32
 BLOCK = 256
 #: Recipients of one leaf that a task takes.
-TASK_RECIPIENTS = 1 << 13
-_QUERIES = 128  # measured together
+TASK_RECIPIENTS = 1 << 14
+_QUERIES = 128  # sent to leaves together
+_PAIRS = 512  # of a query and a block, measured together
+_FOUND = 1 << 18  # candidates of them that are kept before they are cut to the k nearest
 #: Bounds are lowered by this share, more than rounding can add to them.
 _SLACK = 1e-9
 
 
-def _split(points: np.ndarray) -> tuple[int, float] | None:
-    """Feature and threshold that halve the points on their widest feature; None if no feature has two values."""
+def _split(points: np.ndarray, splits: np.ndarray, lack: np.ndarray, reach: float) -> tuple[int, float] | None:
+    """Feature and threshold that halve the points; None if no feature has two values.
+
+    A query that lacks the feature (a share ``lack`` of them) meets both halves, so the more often a
+    feature was used (``splits``) the less it helps; one that has it meets both if the threshold lies
+    within its ``reach``. The split of least expected work is chosen, the widest where reach is unknown.
+    """
     here = ~np.isnan(points)
     with np.errstate(invalid="ignore"):
         low = np.where(here, points, np.inf).min(axis=0)
         high = np.where(here, points, -np.inf).max(axis=0)
-        width = np.where(high > low, (high - low) * here.mean(axis=0), 0.0)
-    f = int(width.argmax())
-    if not width[f] > 0 or not np.isfinite(width[f]):
+        width = np.where(high > low, high - low, 0.0)
+    fit = (width > 0) & np.isfinite(width)
+    if not fit.any():
         return None
+    width = np.where(fit, width, 1.0)
+    if np.isfinite(reach):
+        work = (1 - lack + lack * 2.0 ** (splits + 1)) / (1 - lack + lack * 2.0**splits) * (width / 2 + 2 * reach) / (width + 2 * reach)
+        work = 1 - (1 - work) * here.mean(axis=0)
+    else:
+        work = -width * here.mean(axis=0)
+    f = int(np.where(fit, work, np.inf).argmin())
     values = points[here[:, f], f]
     cut = float(np.median(values))
     return f, cut if cut > low[f] else float(values[values > low[f]].min())
 
 
+def _gaps(points: np.ndarray) -> tuple[int, float] | None:
+    """Feature that most evenly is there or missing, and a threshold above all its values; None if none has gaps."""
+    share = np.isnan(points).mean(axis=0)
+    share = np.minimum(share, 1 - share)
+    f = int(share.argmax())
+    return (f, np.inf) if share[f] > 0 else None
+
+
+def _likely_radius(sample: np.ndarray, donors: int, k: int) -> float:
+    """The k-th donor's distance, were the donors of each set of features spread evenly: the least over those sets."""
+    sets, of = np.unique(~np.isnan(sample), axis=0, return_inverse=True)
+    least = math.inf
+    for s, has in enumerate(sets):
+        own = sample[of.ravel() == s][:, has]
+        width = own.max(axis=0) - own.min(axis=0) if has.any() else np.zeros(0)
+        if width.size and np.isfinite(width).all():
+            share = k * len(sample) / (donors * len(own))
+            least = min(least, math.sqrt(len(has) / len(width)) * math.exp((np.log(np.maximum(width, 1e-9)).sum() + math.log(share)) / len(width)))
+    return least
+
+
 class TopTree:
-    """Split planes that send any point to one of ``leaves`` leaves; a missing value goes right."""
+    """Split planes that send any point to one of ``leaves`` leaves; a missing value goes right.
+    Points are parted by their gaps first, and leaves dealt to both sides by their share of the sample."""
 
-    def __init__(self, sample: np.ndarray, most_leaves: int):
+    def __init__(self, sample: np.ndarray, most_leaves: int, lack: np.ndarray | None = None, reach: float = math.inf):
+        self.lack, self.reach = np.zeros(sample.shape[1]) if lack is None else lack, reach
         self.feature, self.cut, self.child, self.leaves = [], [], [], 0
-        self._grow(sample, most_leaves)
+        self._grow(sample, most_leaves, np.zeros(sample.shape[1]))
         self.feature, self.cut, self.child = np.array(self.feature), np.array(self.cut), np.array(self.child).reshape(-1, 2)
 
-    def _grow(self, points: np.ndarray, most: int) -> int:
+    def _grow(self, points: np.ndarray, most: int, splits: np.ndarray) -> int:
         """The node's number, or -1 - leaf."""
-        plane = _split(points) if most > 1 and len(points) > 1 else None
+        plane = (_gaps(points) or _split(points, splits, self.lack, self.reach)) if most > 1 and len(points) > 1 else None
         if plane is None:
             self.leaves += 1
             return -self.leaves
@@ -87,7 +127,9 @@ class TopTree:
         self.cut.append(plane[1])
         self.child.append([0, 0])
         left = points[:, plane[0]] < plane[1]
-        self.child[node] = [self._grow(points[left], most // 2), self._grow(points[~left], most - most // 2)]
+        own = min(max(1, round(most * left.mean())), most - 1)
+        splits = splits + ((np.arange(len(splits)) == plane[0]) & np.isfinite(plane[1]))
+        self.child[node] = [self._grow(points[left], own, splits), self._grow(points[~left], most - own, splits)]
         return node
 
     def leaf(self, points: np.ndarray) -> np.ndarray:
@@ -103,8 +145,9 @@ def lower_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, some: n
     """Least distance of each query to any donor of each box; infinite where no donor can share a feature."""
     n_features = queries.shape[1]
     must, n_must = np.zeros((len(queries), len(low))), np.zeros((len(queries), len(low)))
-    may = np.full((n_features, len(queries), len(low)), np.inf) if (some & ~every).any() else None
-    for f in range(n_features):
+    mixed = np.flatnonzero((some & ~every).any(axis=1))  # boxes that hold features only some of their donors have
+    may = np.full((n_features, len(queries), len(mixed)), np.inf)
+    for f in np.flatnonzero(~np.isnan(queries).all(axis=0)):
         q = queries[:, [f]]
         has = ~np.isnan(q)
         with np.errstate(invalid="ignore"):
@@ -112,37 +155,41 @@ def lower_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, some: n
         sure = has & every[None, :, f]
         must += np.where(sure, gap, 0.0)
         n_must += sure
-        if may is not None:
-            may[f] = np.where(has & (some & ~every)[None, :, f], gap, np.inf)
+        if len(mixed):
+            may[f] = np.where(has & (some & ~every)[None, mixed, f], gap[:, mixed], np.inf)
     with np.errstate(invalid="ignore", divide="ignore"):
         best = np.where(n_must > 0, must / n_must, np.inf)
-        if may is not None:  # the optional gaps in ascending order, as long as they lower the mean
+        if len(mixed):  # the optional gaps in ascending order, as long as they lower the mean
             may.sort(axis=0)
-            total = must + np.cumsum(may, axis=0)
+            total = must[:, mixed] + np.cumsum(may, axis=0)
             for f in range(n_features):
-                best = np.fmin(best, total[f] / (n_must + f + 1))
+                best[:, mixed] = np.fmin(best[:, mixed], total[f] / (n_must[:, mixed] + f + 1))
     return np.sqrt(n_features * best) * (1 - _SLACK)
 
 
-def _blocks(points: np.ndarray) -> list[np.ndarray]:
-    """Row numbers in blocks of near rows that have the same features."""
-    masks, out = np.unique(np.isnan(points), axis=0, return_inverse=True)[1].ravel(), []
-    todo = [np.flatnonzero(masks == m) for m in range(masks.max(initial=-1) + 1)]
+def _blocks(points: np.ndarray, lack: np.ndarray | None = None, reach: float = math.inf) -> list[np.ndarray]:
+    """Row numbers in blocks of near rows that have the same features (``lack`` and ``reach``: see :func:`_split`)."""
+    lack, none = np.zeros(points.shape[1]) if lack is None else lack, np.zeros(points.shape[1])
+    masks, out = np.zeros(len(points), np.int64), []
+    for gap in np.isnan(points).T:
+        masks = np.unique(2 * masks + gap, return_inverse=True)[1]
+    todo = [(np.flatnonzero(masks == m), none) for m in range(masks.max(initial=-1) + 1)]
     while todo:
-        rows = todo.pop()
-        plane = _split(points[rows]) if len(rows) > BLOCK else None
+        rows, splits = todo.pop()
+        plane = _split(points[rows], splits, lack, reach) if len(rows) > BLOCK else None
         if plane is None:
             out += [rows[a:a + BLOCK] for a in range(0, len(rows), BLOCK)]
         else:
             left = points[rows, plane[0]] < plane[1]
-            todo += [rows[left], rows[~left]]
+            splits = splits + (np.arange(len(splits)) == plane[0])
+            todo += [(rows[left], splits), (rows[~left], splits)]
     return out
 
 
 def distances(queries: np.ndarray, donors: np.ndarray) -> np.ndarray:
     """nan-euclidean distances; infinite where no coordinate is shared."""
     squares, shared = np.zeros((len(queries), len(donors))), np.zeros((len(queries), len(donors)))
-    for f in range(queries.shape[1]):
+    for f in np.flatnonzero(~np.isnan(queries).all(axis=0)):
         apart = queries[:, [f]] - donors[None, :, f]
         both = ~np.isnan(apart)
         squares += np.where(both, apart * apart, 0.0)
@@ -159,44 +206,92 @@ def _best(query: np.ndarray, distance: np.ndarray, donor: np.ndarray, k: int) ->
     return order[np.arange(len(order)) - first < k]
 
 
+class _Blocks:
+    """Donors in blocks of near ones that have the same features, measured many (query, block) pairs at once."""
+
+    def __init__(self, donors: np.ndarray, lack: np.ndarray, reach: float):
+        blocks = _blocks(donors, lack, reach)
+        self.sizes = np.array([len(b) for b in blocks])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.rows = np.concatenate(blocks)
+        points = donors[self.rows]
+        self.has = ~np.isnan(points[self.starts])
+        self.low, self.high = np.minimum.reduceat(points, self.starts), np.maximum.reduceat(points, self.starts)
+        self.columns = np.nan_to_num(points.T, nan=0.0, posinf=np.inf, neginf=-np.inf).copy()
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Least distance of each block to a box around all queries, which have the same features."""
+        both = self.has & ~np.isnan(queries[0])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gap = np.maximum(np.maximum(self.low - queries.max(axis=0), queries.min(axis=0) - self.high), 0.0)
+            return np.nan_to_num(np.sqrt(queries.shape[1] / both.sum(axis=1) * np.where(both, gap * gap, 0.0).sum(axis=1)), nan=np.inf, posinf=np.inf) * (1 - _SLACK)
+
+    def measure(self, queries: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """nan-euclidean distances of each query to its block's donors, infinite beyond the block's end
+        or where no coordinate is shared, and the donors' places in ``rows``."""
+        place = np.arange(self.sizes[block].max(initial=1))
+        at = np.minimum(self.starts[block][:, None] + place, len(self.rows) - 1)
+        both = self.has[block] & ~np.isnan(queries)
+        squares, shared = np.zeros(at.shape), both.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for f in np.flatnonzero(both.any(axis=0)):
+                apart = np.where(both[:, f], queries[:, f], 0.0)[:, None] - self.columns[f][at]
+                squares += np.where(both[:, [f]], apart * apart, 0.0)
+            distance = np.sqrt((queries.shape[1] / shared)[:, None] * squares)
+        distance[(place >= self.sizes[block][:, None]) | (shared == 0)[:, None] | np.isnan(distance)] = np.inf
+        return distance, at
+
+
 def nearest(queries: np.ndarray, donors: np.ndarray, k: int, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, distance, donor) of each query's k nearest donors within its radius, ties to the lower donor row."""
     none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     if not len(queries) or not len(donors):
         return none
-    blocks = _blocks(donors)
-    sizes = np.array([len(b) for b in blocks])
-    rows = [donors[b] for b in blocks]
-    has = np.array([~np.isnan(r[0]) for r in rows])
-    with np.errstate(invalid="ignore"):
-        low, high = np.array([r.min(axis=0) for r in rows]), np.array([r.max(axis=0) for r in rows])
-    found = []
-    order = np.concatenate(_blocks(queries))  # near queries want the same blocks
-    for at in range(0, len(order), _QUERIES):
-        own = order[at:at + _QUERIES]
+    donors = np.where(np.isnan(queries).all(axis=0), np.nan, donors)  # what no query has tells nothing
+    lack, reach = np.isnan(queries).mean(axis=0), float(np.median(radius))
+    blocks, found = _Blocks(donors, lack, reach), []
+    for own in _blocks(queries, lack, reach):  # near queries of equal features want the same blocks
         some, limit = queries[own], radius[own].copy()
-        bound = lower_bounds(some, low, high, has, has)
-        # The blocks of least bound that hold k donors together give a radius.
-        rank = np.argsort(bound, axis=1)
-        held = np.cumsum(np.where(np.isfinite(np.take_along_axis(bound, rank, 1)), sizes[rank], 0), axis=1)
-        need = np.minimum((held < k).sum(axis=1), len(blocks) - 1)
-        enough = held[:, -1] >= k
-        lone = enough & (need == 0)
-        groups = [np.flatnonzero(lone & (rank[:, 0] == b)) for b in np.unique(rank[lone, 0])]
-        for q in groups + [np.array([q]) for q in np.flatnonzero(enough & (need > 0))]:
-            near = np.concatenate([rows[b] for b in rank[q[0], :need[q[0]] + 1]])
-            limit[q] = np.minimum(limit[q], np.partition(distances(some[q], near), k - 1, axis=1)[:, k - 1])
-        for b in np.flatnonzero((bound <= limit[:, None]).any(axis=0)):
-            q = np.flatnonzero(bound[:, b] <= limit)
-            d = distances(some[q], rows[b])
-            i, j = np.nonzero((d <= limit[q][:, None]) & np.isfinite(d))
-            keep = _best(i, d[i, j], blocks[b][j], k)
-            found.append((own[q[i[keep]]], d[i[keep], j[keep]], blocks[b][j[keep]]))
+        at_hand = np.flatnonzero(blocks.bounds(some) <= limit.max())
+        if not len(at_hand):
+            continue
+        sizes = blocks.sizes[at_hand]
+        bound = lower_bounds(some, blocks.low[at_hand], blocks.high[at_hand], blocks.has[at_hand], blocks.has[at_hand])
+        # Where many donors may lie within the radius, the blocks of least bound that hold k donors together give a smaller one.
+        wide = np.flatnonzero((((bound <= limit[:, None]) & np.isfinite(bound)) @ sizes > 4 * max(k, BLOCK)) & (limit > 0))
+        first = bound[wide].argmin(axis=1)
+        lone = (sizes[first] >= k) & np.isfinite(bound[wide, first])
+        if lone.any():
+            q = wide[lone]
+            limit[q] = np.minimum(limit[q], np.partition(blocks.measure(some[q], at_hand[first[lone]])[0], k - 1, axis=1)[:, k - 1])
+        for q in wide[~lone]:
+            rank = np.argsort(bound[q])
+            rank = rank[np.isfinite(bound[q, rank])]
+            held = np.cumsum(sizes[rank])
+            if len(rank) and held[-1] >= k:
+                rank = rank[:(held < k).sum() + 1]
+                near = blocks.measure(np.repeat(some[[q]], len(rank), axis=0), at_hand[rank])[0].ravel()
+                limit[q] = min(limit[q], np.partition(near, k - 1)[k - 1])
+        query, block = np.nonzero((bound <= limit[:, None]) & np.isfinite(bound))
+        parts = []
+        for a in range(0, len(query), _PAIRS):
+            i, b = query[a:a + _PAIRS], at_hand[block[a:a + _PAIRS]]
+            d, place = blocks.measure(some[i], b)
+            x, y = np.nonzero((d <= limit[i][:, None]) & np.isfinite(d))
+            parts.append((i[x], d[x, y], blocks.rows[place[x, y]]))
+            if sum(len(p[0]) for p in parts) > _FOUND:
+                i, d, j = (np.concatenate(c) for c in zip(*parts))
+                keep = _best(i, d, j, k)
+                parts = [(i[keep], d[keep], j[keep])]
+        if parts:
+            i, d, j = (np.concatenate(c) for c in zip(*parts))
+            keep = _best(i, d, j, k)
+            found.append((own[i[keep]], d[keep], j[keep]))
     if not found:
         return none
     query, distance, donor = (np.concatenate(c) for c in zip(*found))
-    keep = _best(query, distance, donor, k)
-    return query[keep], distance[keep], donor[keep]
+    order = np.argsort(query, kind="stable")
+    return query[order], distance[order], donor[order]
 
 
 def _matrix(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
@@ -224,13 +319,32 @@ def _route(tree: TopTree, feats: list[str]):
 
 def _assign(boxes: dict[str, np.ndarray], feats: list[str], k: int, again: bool):
     """Recipients -> one row for each leaf they are sent to: at first the nearest that surely hold k donors, then all others in the radius."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        width = np.nan_to_num(np.log(boxes["high"] - boxes["low"]), nan=0.0, neginf=-50.0, posinf=50.0)
+        share = np.log(k / boxes["size"])[None, :]
+    held_by = (boxes["present"] > 0).astype(float)
+
+    def guess(has):
+        """The k-th donor's distance from a point inside each box, were its donors spread evenly."""
+        shared = np.maximum(has @ held_by.T, 1.0)
+        return np.sqrt(has.shape[1] / shared) * np.exp(np.minimum((has @ (held_by * width).T + share) / shared, 300.0))
+
     def first(bound, has):
-        sure = np.where(has[:, None, :], boxes["present"][None], 0).max(axis=2)  # donors that share one feature at least
-        rank = np.argsort(bound, axis=1, kind="stable")
-        held = np.cumsum(np.take_along_axis(sure, rank, 1), axis=1)
-        wanted = (np.concatenate([np.zeros((len(bound), 1)), held[:, :-1]], axis=1) < k) & np.isfinite(np.take_along_axis(bound, rank, 1))
+        sure = np.zeros(bound.shape)  # donors that share one feature at least
+        for f in range(has.shape[1]):
+            sure = np.maximum(sure, np.where(has[:, [f]], boxes["present"][None, :, f], 0))
+        likely = bound + guess(has.astype(float))
         chosen = np.zeros(bound.shape, bool)
-        np.put_along_axis(chosen, rank, wanted, 1)
+        best = likely.argmin(axis=1)
+        one = (sure[np.arange(len(best)), best] >= k) & np.isfinite(bound[np.arange(len(best)), best])
+        chosen[one, best[one]] = True
+        rest = np.flatnonzero(~one)
+        rank = np.argsort(likely[rest], axis=1, kind="stable")
+        held = np.cumsum(np.take_along_axis(sure[rest], rank, 1), axis=1)
+        wanted = (np.concatenate([np.zeros((len(rest), 1)), held[:, :-1]], axis=1) < k) & np.isfinite(np.take_along_axis(bound[rest], rank, 1))
+        some = np.zeros((len(rest), bound.shape[1]), bool)
+        np.put_along_axis(some, rank, wanted, 1)
+        chosen[rest] = some
         return chosen
 
     def run(batches):
@@ -250,10 +364,8 @@ def _assign(boxes: dict[str, np.ndarray], feats: list[str], k: int, again: bool)
 
 def _in_leaves(recipients: DataFrame, donors: DataFrame, counts: dict[int, int], feats, keys, k, schema) -> DataFrame:
     """Candidates of recipients in their leaves; leaves of many recipients are dealt to several tasks."""
-    salts = F.lit(1)
-    for leaf, n in counts.items():
-        if n > TASK_RECIPIENTS:
-            salts = F.when(F.col("leaf") == leaf, F.lit(math.ceil(n / TASK_RECIPIENTS))).otherwise(salts)
+    tasks = [math.ceil(max(1, counts.get(leaf, 0)) / TASK_RECIPIENTS) for leaf in range(max(counts, default=0) + 1)]
+    salts = F.coalesce(F.get(F.lit(tasks), F.col("leaf")), F.lit(1))
     left = recipients.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
     right = donors.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.groupBy("leaf", "salt").cogroup(right.groupBy("leaf", "salt")).applyInArrow(_search(feats, keys, feats[0], k), schema)
@@ -275,7 +387,8 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     feats, keys = [f"f{i}" for i in range(len(names))], [f"k{i}" for i in range(len(key))]
     base = df.select(*[col(c).alias(kc) for c, kc in zip(key, keys)], *[clean_value(df, n).cast("double").alias(f) for n, f in zip(names, feats)])
     own, others = feats[0], feats[1:]
-    counts = one_row(base.agg(F.count(own).alias("donors"), F.count_if(F.col(own).isNull()).alias("recipients"), F.avg(own).alias("mean")))
+    counts = one_row(base.agg(F.count(own).alias("donors"), F.count_if(F.col(own).isNull()).alias("recipients"), F.avg(own).alias("mean"),
+                             *[F.count_if(F.col(own).isNull() & F.col(f).isNull()).alias(f"lack_{f}") for f in feats]))
     if counts["donors"] == 0:
         from .impute import ImputePlanError
         raise ImputePlanError(f"column {target!r} has no value to learn from")
@@ -285,8 +398,8 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     if not others or counts["recipients"] == 0:
         return vectors.select(*back, mean.alias("_fill"))
 
-    nth = F.row_number().over(Window.partitionBy(*feats).orderBy(*keys))
-    donors = base.where(F.col(own).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    nth = F.row_number().over(Window.partitionBy(*others).orderBy(*keys))
+    donors = base.where(F.col(own).isNotNull() & F.coalesce(*others).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
     schema = f"rid long, distance double, value double, {', '.join(f'{c} {base.schema[c].dataType.simpleString()}' for c in keys)}"
     recipients = materialize(vectors.withColumn("rid", F.monotonically_increasing_id()).withColumn("radius", F.lit(math.inf)))
     leaves = min(MAX_LEAVES, math.ceil(counts["donors"] / LEAF_DONORS))
@@ -296,7 +409,10 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
         wanted = leaves * SAMPLE_PER_LEAF
         share = int(min(1.0, wanted / counts["donors"]) * 1_000_000)
         sample = collect_bounded(donors.where(F.pmod(F.xxhash64(*feats), F.lit(1_000_000)) < share).select(*feats), 4 * wanted)
-        tree = TopTree(np.array([[math.nan if v is None else v for v in r] for r in sample], float).reshape(-1, len(feats)), leaves)
+        points = np.array([[math.nan if v is None else v for v in r] for r in sample], float).reshape(-1, len(feats))
+        points[:, 0] = math.nan  # no recipient has the target
+        lack = np.array([counts[f"lack_{f}"] for f in feats]) / counts["recipients"]
+        tree = TopTree(points, leaves, lack, _likely_radius(points, counts["donors"], k))
         placed = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in donors.schema.fields)}, leaf int"
         donors = materialize(donors.mapInArrow(_route(tree, feats), placed))
         boxes = _boxes(donors, feats)

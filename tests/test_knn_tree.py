@@ -86,3 +86,27 @@ def test_no_donor_is_copied_into_classes():
     rng = np.random.default_rng(1)
     blocks = knn._blocks(gappy(rng, 5000, 6, .4))
     assert sorted(np.concatenate(blocks)) == list(range(5000)) and max(map(len, blocks)) <= BLOCK
+
+
+def test_leaves_part_donors_by_their_gaps():
+    rng = np.random.default_rng(4)
+    points = gappy(rng, 20_000, 4, .3)
+    leaf = TopTree(points[::5], 64).leaf(points)
+    masks = np.isnan(points) @ (1 << np.arange(4))
+    pure = [len(set(masks[leaf == n])) == 1 for n in range(leaf.max() + 1)]
+    assert np.mean(pure) > 0.95
+    boxes = [points[leaf == n] for n in range(leaf.max() + 1)]
+    here = np.array([(~np.isnan(b)).any(0) for b in boxes])
+    every = np.array([(~np.isnan(b)).all(0) for b in boxes])
+    low, high = (np.array([g(np.where(np.isnan(b), s, b), axis=0) for b in boxes]) for g, s in ((np.min, np.inf), (np.max, -np.inf)))
+    assert (lower_bounds(points[:300], low, high, here, every) <= 0).mean() < 0.5
+
+
+def test_a_feature_that_queries_lack_is_split_less():
+    rng = np.random.default_rng(6)
+    points = rng.random((1000, 2)) * [100, 10]
+    none, lack = np.zeros(2), np.array([0.9, 0.1])
+    assert knn._split(points, none, lack, np.inf)[0] == 0 and knn._split(points, none, lack, 0.0)[0] == 1
+    assert knn._split(points, np.array([0, 9]), lack, 0.0)[0] == 0 and knn._split(np.full((9, 2), 1.0), none, lack, 0.0) is None
+    blocks = knn._blocks(points, lack, 0.0)
+    assert sorted(np.concatenate(blocks)) == list(range(1000))
