@@ -15,6 +15,10 @@ signature also holds one of two halves: of two near words either the first half
 or the rest agrees letter by letter. That costs two rows instead of one and
 leaves few pairs to check.
 
+Joins of tables as large as the vocabulary ask for a sort-merge join: Spark sizes a
+stage by its compressed files and does not know that a task makes 20 signatures of a
+word, so it would send far more than its limit through the driver.
+
 Signatures are 64-bit hashes of the agreeing features; two that collide only
 cost a check. Words, not their occurrences, are joined; occurrences are summed up
 in the tasks that read the texts, before any shuffle.
@@ -161,7 +165,7 @@ def near_words(words: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     schema = "sig long, same boolean, word string, n long"
     one, two = (words.select("word", "n").mapInArrow(_signatures(blocks, shorter), schema).alias(name) for shorter, name in ((0, "one"), (1, "two")))
     once = F.expr("NOT one.same OR one.word < two.word")
-    pairs = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & once & (F.levenshtein("one.word", "two.word", 1) == 1))
+    pairs = (one.join(two.hint("merge"), (F.col("one.sig") == F.col("two.sig")) & once & (F.levenshtein("one.word", "two.word", 1) == 1))
              .select(F.col("one.word").alias("a"), F.col("one.n").alias("na"), F.col("two.word").alias("b"), F.col("two.n").alias("nb"))
              .distinct())
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("other_n")),
@@ -179,7 +183,7 @@ def roots(forms: DataFrame, most_n: int, factor: int) -> DataFrame:
     links = math.log(max(most_n, factor), factor) + 1
     for _ in range(math.ceil(math.log2(links))):
         further = found.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        found = cut(found.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+        found = cut(found.join(further.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
     return found
 
 
@@ -195,12 +199,12 @@ def group_variants(words: DataFrame, factor: int = 5, blocks: int = BLOCKS) -> D
     best = (near_words(words, blocks).groupBy("word")
             .agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best")))
     much = -F.col("best.minus") >= factor * F.col("n")
-    out = cut(words.join(best, "word", "left")
+    out = cut(words.join(best.hint("merge"), "word", "left")
               .select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                       F.when(much, F.col("best.other")).alias("form"), F.when(much, -F.col("best.minus")).alias("form_n")), "forms")
     most = words.agg(F.max("n")).first()[0] or 1
     ends = roots(out.where("form is not null"), most, factor)
-    return out.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_length: int = 6, least_count: int = 5,

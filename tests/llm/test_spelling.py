@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from tablelens.llm import spelling
-from tablelens.llm.spelling import group_variants, spelling_variants
+from tablelens.llm.common import cut
+from tablelens.llm.spelling import group_variants, near_words, spelling_variants
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string"
@@ -105,3 +106,20 @@ def test_counts_handed_on_early(monkeypatch):
 
 def test_empty_table(spark):
     assert spelling_variants(spark.createDataFrame([], SCHEMA), delete_every=199).collect() == []
+
+
+def test_joins_are_not_broadcast_by_a_size_estimate(spark, frame):
+    """A vocabulary under Spark's default limit still makes 20 signatures a word."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10MB")
+    try:
+        words = sample_words(random.Random(1))
+        staged = cut(frame(list(words.items()), "word string, n long"), "words")
+        whole = group_variants(staged)
+        for df in (near_words(staged), whole):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert sorted(map(tuple, whole.collect())) == slow_variants(words)
+    finally:
+        spark.conf.set(setting, before)
