@@ -9,6 +9,12 @@ none). Ties are broken by the donor's row key.
 
 Plan (exact, any number of features, each with gaps or without):
 
+* No donor comes before one at distance zero with a smaller key. So each recipient
+  first looks for equal values (in all features shared) among the donors of the
+  smallest keys, about ``EARLY_DONORS`` of them, by look-ups without any distance. One that
+  finds k there is settled; only the rest goes on. Where few features are shared or
+  values repeat, that is nearly every recipient of a large table. The look-up is
+  left out where it would copy more rows than the table has, four times over.
 * The upper part of a k-d tree is cut from a bounded sample of donors: at most
   ``MAX_LEAVES`` leaves of about ``LEAF_DONORS`` donors. It parts donors by the
   features they have before it parts them by values, so most leaves hold donors
@@ -43,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fit import clean_value, col, collect_bounded, materialize, one_row
+from ..plans.fit import BROADCAST_KEYS, clean_value, col, collect_bounded, materialize, one_row, typed_lit
 
 LEAF_DONORS = 1 << 16
 MAX_LEAVES = 4096
@@ -51,6 +57,12 @@ SAMPLE_PER_LEAF = 32
 BLOCK = 256
 #: Recipients of one leaf that a task takes.
 TASK_RECIPIENTS = 1 << 14
+#: Donors of the smallest keys in which equal values are looked up first.
+EARLY_DONORS = 1 << 19
+#: Recipients of the same features that a task looks up, times k.
+EARLY_FOUND = 1 << 20
+_EARLY_SETS = 64  # of features that recipients have, at most
+_TINY = 1e-140  # squares of gaps between larger numbers are not lost
 _QUERIES = 128  # sent to leaves together
 _PAIRS = 512  # of a query and a block, measured together
 _FOUND = 1 << 18  # candidates of them that are kept before they are cut to the k nearest
@@ -294,6 +306,48 @@ def nearest(queries: np.ndarray, donors: np.ndarray, k: int, radius: np.ndarray)
     return query[order], distance[order], donor[order]
 
 
+def equal_donors(queries: np.ndarray, donors: np.ndarray, k: int) -> np.ndarray:
+    """Rows of each query's first k donors at distance zero, ``len(donors)`` where there are fewer.
+
+    All queries have the same features. A query near numbers so small that the square of a
+    gap would be lost gets none.
+    """
+    found = np.full((len(queries), k), len(donors))
+    if not len(queries) or not len(donors):
+        return found
+    features = np.flatnonzero(~np.isnan(queries[0]))
+    tiny, none = (donors != 0) & (np.abs(donors) < _TINY), queries == 0
+    lost = ((none & tiny.any(axis=0)) | (~none & (np.abs(queries) < _TINY))).any(axis=1)
+    masks = np.zeros(len(donors), np.int64)
+    for f in features:
+        masks = np.unique(2 * masks + ~np.isnan(donors[:, f]), return_inverse=True)[1]
+    for m in range(masks.max() + 1):  # donors that share the same features with the queries
+        rows = np.flatnonzero(masks == m)
+        shared = [f for f in features if not np.isnan(donors[rows[0], f])]
+        if not shared:
+            continue
+        code, own, wanted = np.zeros(len(rows), np.int64), np.flatnonzero(~lost), np.zeros((~lost).sum(), np.int64)
+        for f in shared:
+            values, place = np.unique(donors[rows, f], return_inverse=True)
+            q = queries[own, f]
+            at = np.minimum(np.searchsorted(values, q), len(values) - 1)
+            same = (values[at] == q) & np.isfinite(q)
+            levels, code = np.unique(code * len(values) + place, return_inverse=True)
+            own, wanted = own[same], wanted[same] * len(values) + at[same]
+            at = np.minimum(np.searchsorted(levels, wanted), len(levels) - 1)
+            same = levels[at] == wanted
+            own, wanted = own[same], at[same]
+            if not len(own):
+                break
+        else:
+            order = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code))
+            place = np.concatenate([[0], ends])[wanted][:, None] + np.arange(k)
+            more = np.where(place < ends[wanted][:, None], rows[order[np.minimum(place, len(rows) - 1)]], len(donors))
+            found[own] = np.sort(np.concatenate([found[own], more], axis=1), axis=1)[:, :k]
+    return found
+
+
 def _matrix(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([pc.fill_null(table.column(n), math.nan).to_numpy() for n in names]) if table.num_rows else np.zeros((0, len(names)))
 
@@ -310,6 +364,47 @@ def _search(feats: list[str], keys: list[str], target: str, k: int):
     return run
 
 
+def _look_up(feats: list[str], keys: list[str], target: str, k: int):
+    """Cogroup of recipients of the same features and early donors -> the recipients and ``_fill``, null if not settled."""
+    def run(recipients: pa.Table, donors: pa.Table) -> pa.Table:
+        donors = donors.take(pc.sort_indices(donors, [(c, "ascending") for c in keys], null_placement="at_start"))
+        queries, values = _matrix(recipients, feats)[:, 1:], donors.column(target).to_numpy()
+        found = equal_donors(queries, _matrix(donors, feats)[:, 1:], k)
+        settled, fill = found[:, -1] < len(values), np.zeros(len(queries))
+        fill[settled] = values[found[settled]].mean(axis=1)
+        return recipients.select([*feats, "rid", "radius"]).append_column("_fill", pa.array(fill, mask=~settled))
+    return run
+
+
+def _settle(recipients: DataFrame, donors: DataFrame, rows: int, feats: list[str], keys: list[str], k: int) -> tuple[DataFrame, int]:
+    """Recipients with ``_fill``, which is not null if k of the donors with the smallest keys are at distance
+    zero, and how many recipients there are. ``rows``: of the table."""
+    others = feats[1:]
+    recipients = recipients.withColumn("has", F.concat(*[F.when(F.col(f).isNull(), "0").otherwise("1") for f in others]))
+    sets = recipients.groupBy("has").agg(F.count("*").alias("n")).limit(_EARLY_SETS + 1).collect()
+    tasks = {r["has"]: math.ceil(r["n"] * k / EARLY_FOUND) for r in sets if "1" in r["has"]}
+    unsettled = recipients.drop("has").withColumn("_fill", F.lit(None).cast("double"))
+    if len(sets) > _EARLY_SETS:
+        return unsettled, unsettled.count()
+    n = sum(r["n"] for r in sets)
+    most = min(EARLY_DONORS, 4 * rows // max(1, sum(tasks.values())))
+    every = max(1, most >> 10)
+    wanted = most // every
+    least = donors.where(F.pmod(F.xxhash64(*feats, *keys), F.lit(every)) == 0).select(*keys).orderBy(*keys).limit(wanted)
+    last = collect_bounded(least, wanted)
+    early = donors
+    if len(last) == wanted > 0:
+        early = donors.where(F.struct(*keys) <= F.struct(*[typed_lit(last[-1][c], donors.schema[c].dataType).alias(c) for c in keys]))
+    if not tasks or not wanted or early.count() > 4 * most:  # keys that repeat very often
+        return unsettled, n
+    at = F.create_map(*[F.lit(x) for pair in tasks.items() for x in pair])
+    left = recipients.withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce(at[F.col("has")], F.lit(1))).cast("int"))
+    right = (early.select("*", F.explode(at).alias("has", "tasks"))
+             .select(*feats, *keys, "has", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt")))
+    schema = f"{', '.join(f'{f} double' for f in feats)}, rid long, radius double, _fill double"
+    return materialize(left.groupBy("has", "salt").cogroup(right.groupBy("has", "salt")).applyInArrow(_look_up(feats, keys, feats[0], k), schema)), n
+
+
 def _route(tree: TopTree, feats: list[str]):
     def run(batches):
         for batch in batches:
@@ -364,10 +459,10 @@ def _assign(boxes: dict[str, np.ndarray], feats: list[str], k: int, again: bool)
 
 def _in_leaves(recipients: DataFrame, donors: DataFrame, counts: dict[int, int], feats, keys, k, schema) -> DataFrame:
     """Candidates of recipients in their leaves; leaves of many recipients are dealt to several tasks."""
-    tasks = [math.ceil(max(1, counts.get(leaf, 0)) / TASK_RECIPIENTS) for leaf in range(max(counts, default=0) + 1)]
-    salts = F.coalesce(F.get(F.lit(tasks), F.col("leaf")), F.lit(1))
+    tasks = [math.ceil(counts.get(leaf, 0) / TASK_RECIPIENTS) for leaf in range(max(counts, default=0) + 1)]
+    salts = F.coalesce(F.get(F.lit(tasks), F.col("leaf")), F.lit(0))
     left = recipients.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
-    right = donors.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = donors.where(salts > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.groupBy("leaf", "salt").cogroup(right.groupBy("leaf", "salt")).applyInArrow(_search(feats, keys, feats[0], k), schema)
 
 
@@ -398,14 +493,29 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
     if not others or counts["recipients"] == 0:
         return vectors.select(*back, mean.alias("_fill"))
 
-    nth = F.row_number().over(Window.partitionBy(*others).orderBy(*keys))
-    donors = base.where(F.col(own).isNotNull() & F.coalesce(*others).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    def distinct_donors(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*others).orderBy(*keys))
+        return rows.where(F.coalesce(*others).isNotNull()).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    donors = base.where(F.col(own).isNotNull() & F.coalesce(*others).isNotNull())
     schema = f"rid long, distance double, value double, {', '.join(f'{c} {base.schema[c].dataType.simpleString()}' for c in keys)}"
     recipients = materialize(vectors.withColumn("rid", F.monotonically_increasing_id()).withColumn("radius", F.lit(math.inf)))
     leaves = min(MAX_LEAVES, math.ceil(counts["donors"] / LEAF_DONORS))
     if leaves == 1:
-        found = _in_leaves(recipients.withColumn("leaf", F.lit(0)), donors.withColumn("leaf", F.lit(0)), {0: counts["recipients"]}, feats, keys, k, schema)
+        found = _in_leaves(recipients.withColumn("leaf", F.lit(0)), distinct_donors(donors).withColumn("leaf", F.lit(0)), {0: counts["recipients"]}, feats, keys, k, schema)
     else:
+        every, n_vectors = _settle(recipients, donors, counts["donors"] + counts["recipients"], feats, keys, k)
+        settled = every.where(F.col("_fill").isNotNull() | F.coalesce(*others).isNull()).select(*back, F.coalesce("_fill", mean).alias("_fill"))
+
+        def with_settled(filled: DataFrame) -> DataFrame:
+            both = settled.unionByName(filled)  # Spark would size it by its compressed files
+            return both.hint("merge") if n_vectors > BROADCAST_KEYS else both
+        recipients = every.where(F.col("_fill").isNull() & F.coalesce(*others).isNotNull()).drop("_fill")
+        counts = counts.asDict() | one_row(recipients.agg(F.count("*").alias("recipients"), *[F.count_if(F.col(f).isNull()).alias(f"lack_{f}") for f in feats])).asDict()
+        averaged = recipients.select(*back, mean.alias("_fill"))
+        if counts["recipients"] == 0:
+            return with_settled(averaged)
+        # What no recipient left has tells nothing.
+        donors = distinct_donors(donors.withColumns({f: F.lit(None).cast("double") for f in others if counts[f"lack_{f}"] == counts["recipients"]}))
         wanted = leaves * SAMPLE_PER_LEAF
         share = int(min(1.0, wanted / counts["donors"]) * 1_000_000)
         sample = collect_bounded(donors.where(F.pmod(F.xxhash64(*feats), F.lit(1_000_000)) < share).select(*feats), 4 * wanted)
@@ -416,6 +526,8 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
         placed = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in donors.schema.fields)}, leaf int"
         donors = materialize(donors.mapInArrow(_route(tree, feats), placed))
         boxes = _boxes(donors, feats)
+        if not len(boxes["size"]):
+            return with_settled(averaged)
         sent = f"{', '.join(f'{f} double' for f in feats)}, rid long, radius double, leaf int"
 
         def round_of(rows: DataFrame, again: bool) -> DataFrame:
@@ -430,7 +542,8 @@ def knn_fill_column(df: DataFrame, target: str, features: Sequence[str], key: Se
         nth = F.row_number().over(Window.partitionBy("rid").orderBy("distance", *keys))
         found = found.withColumn("nth", nth).where(F.col("nth") <= k)
     fills = found.groupBy("rid").agg(F.avg("value").alias("_fill"))
-    return recipients.join(fills, "rid", "left").select(*back, F.coalesce("_fill", mean).alias("_fill"))
+    filled = recipients.join(fills, "rid", "left").select(*back, F.coalesce("_fill", mean).alias("_fill"))
+    return filled if leaves == 1 else with_settled(filled)
 
 
 def knn_impute(df: DataFrame, targets: Sequence[str], k: int = 5, features: Sequence[str] | None = None,

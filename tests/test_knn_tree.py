@@ -110,3 +110,74 @@ def test_a_feature_that_queries_lack_is_split_less():
     assert knn._split(points, np.array([0, 9]), lack, 0.0)[0] == 0 and knn._split(np.full((9, 2), 1.0), none, lack, 0.0) is None
     blocks = knn._blocks(points, lack, 0.0)
     assert sorted(np.concatenate(blocks)) == list(range(1000))
+
+
+def test_equal_donors_are_the_first_at_distance_zero():
+    rng = np.random.default_rng(3)
+    odd = np.array([0.0, -0.0, 1.0, 2.5, np.inf, -np.inf, np.nan, 1e300, 1e308])
+    donors, queries = odd[rng.integers(0, len(odd), (900, 3))], odd[rng.integers(0, len(odd), (300, 3))]
+    for has in np.unique(~np.isnan(queries), axis=0):
+        own = queries[(np.isnan(queries) == ~has).all(axis=1)]
+        for k in (1, 7, 40):
+            with np.errstate(all="ignore"):
+                want = [sorted(np.flatnonzero((d := distances(q[None], donors)[0]) == 0), key=int)[:k] if not np.isinf(q).any() else None for q in own]
+            for found, first in zip(knn.equal_donors(own, donors, k), want):
+                if first is not None:
+                    assert found.tolist() == first + [len(donors)] * (k - len(first))
+    assert knn.equal_donors(queries[:0], donors, 3).shape == (0, 3) and (knn.equal_donors(queries[:5], donors[:0], 2) == 0).all()
+
+
+def test_squares_that_are_lost_are_left_to_the_tree():
+    donors = np.array([[1e-170, 1.0], [0.0, 1.0], [0.0, 1.0]])
+    queries = np.array([[0.0, 1.0], [1e-170, 1.0], [3.0, 1.0]])
+    assert (distances(queries[:2], donors) == 0).all()
+    assert (knn.equal_donors(queries, donors, 2) == len(donors)).all()
+    assert knn.equal_donors(queries[:1], donors[1:], 2).tolist() == [[0, 1]]
+
+
+def few_values(rng, n):
+    x = rng.integers(0, 4, (n, 4)).astype(float)
+    x[:, 0] = rng.random(n)
+    x[rng.random((n, 4)) < .2] = np.nan
+    return x
+
+
+def filled(x, k):
+    lacks, out = np.isnan(x[:, 0]), x[:, 0].copy()
+    donors = np.flatnonzero(~lacks)
+    for r in np.flatnonzero(lacks):
+        near = brute(x[[r]], x[donors], k)
+        out[r] = np.mean([x[donors[j], 0] for _, _, j in near]) if near else np.nanmean(x[:, 0])
+    return out
+
+
+@pytest.mark.parametrize("early,found,repeat", [(0, 50, 1), (32, 20, 1), (200, 1 << 20, 1), (200, 1 << 20, 60), (1 << 19, 100, 1)])
+def test_early_donors_change_nothing(spark, monkeypatch, early, found, repeat):
+    monkeypatch.setattr(knn, "LEAF_DONORS", 90)
+    monkeypatch.setattr(knn, "EARLY_DONORS", early)
+    monkeypatch.setattr(knn, "EARLY_FOUND", found)
+    x = few_values(np.random.default_rng(8), 900)
+    x[:40, 1:] += np.random.default_rng(9).random((40, 3)) * .01  # no donor equals these
+    x[41] = [np.nan, np.nan, np.nan, np.nan]
+    frame = pd.DataFrame(x, columns=["t", "a", "b", "c"]).assign(key=np.arange(900) // repeat, sub=[f"k{i % repeat:02}" for i in range(900)])
+    frame.loc[frame.key == 0, "key"] = None  # keys may be null: these come first
+    df = spark.createDataFrame(frame.astype({"key": "Int64"}).astype(object).where(frame.notna(), None), "t double, a double, b double, c double, key long, sub string").repartition(5)
+    got = knn_impute(df, ["t"], k=4, features=["t", "a", "b", "c"], order_by=["key", "sub"]).orderBy("key", "sub").toPandas()
+    np.testing.assert_allclose(got["t"].to_numpy(float), filled(x, 4), rtol=1e-12)
+
+
+def test_recipients_with_equal_donors_meet_no_leaf(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF_DONORS", 90)
+    monkeypatch.setattr(knn, "_in_leaves", None)
+    x = few_values(np.random.default_rng(5), 2000)
+    x[np.isnan(x[:, 1:]).all(axis=1), 1] = 0.0
+    frame = pd.DataFrame(x, columns=["t", "a", "b", "c"]).assign(key=np.arange(2000))
+    got = knn_impute(spark.createDataFrame(frame), ["t"], k=3, features=["t", "a", "b", "c"], order_by=["key"]).orderBy("key").toPandas()
+    np.testing.assert_allclose(got["t"].to_numpy(), filled(x, 3), rtol=1e-12)
+
+
+def test_no_donor_has_what_the_recipients_have(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF_DONORS", 20)
+    rows = [(float(i), float(i % 7), None, i) for i in range(100)] + [(None, None, float(i), 100 + i) for i in range(9)]
+    got = knn_impute(spark.createDataFrame(rows, "t double, a double, b double, key long"), ["t"], k=3, features=["t", "a", "b"], order_by=["key"])
+    assert [r["t"] for r in got.orderBy("key").collect()] == [*map(float, range(100)), *[49.5] * 9]
